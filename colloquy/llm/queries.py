@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, secrets, sharding
+from . import bpe, exact, mixing, ngram_join, secrets, sharding
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op2_bpe": bpe.op2_bpe,
     "op3_mix": mixing.op3_mix,
     "op5_feistel_shards": sharding.op5_feistel_shards,
