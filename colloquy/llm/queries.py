@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, ngram_join, secrets, sharding
+from . import bpe, exact, mixing, ngram_join, quality, secrets, sharding
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -10,7 +10,8 @@ QUERIES = {
     "op3_mix": mixing.op3_mix,
     "op5_feistel_shards": sharding.op5_feistel_shards,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
-SQL = {"op10_exact_dedup": exact.OP10_SQL}
+SQL = {"op8_quality_rules": quality.OP8_SQL, "op10_exact_dedup": exact.OP10_SQL}
