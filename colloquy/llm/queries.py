@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, ngram_join, quality, secrets, sharding
+from . import bpe, exact, language, mixing, ngram_join, quality, secrets, sharding
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_feistel_shards": sharding.op5_feistel_shards,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_language_id": language.op9_language_id,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
