@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, language, lattice, mixing, ngram_join, quality, secrets, sharding
+from . import bpe, exact, language, lattice, mixing, ngram_join, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op2_bpe": bpe.op2_bpe,
     "op3_mix": mixing.op3_mix,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_feistel_shards": sharding.op5_feistel_shards,
     "op6_lattice_score": lattice.op6_lattice_score,
     "op7_secret_scan": secrets.op7_secret_scan,
