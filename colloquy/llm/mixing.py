@@ -127,14 +127,6 @@ def mix(df: DataFrame, size: str, weights: list[float], share: float, most: floa
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(df: DataFrame, size: str, **options) -> DataFrame:
-    """The mix as rows: each row as often as the tokens taken from it, to the nearest whole number of times."""
-    columns = df.columns
-    taken = mix(df, size, **options)
-    times = F.floor((F.col("taken") + F.floor(F.col(size) / 2)) / F.greatest(F.col(size), F.lit(1))).cast("int")
-    return taken.withColumn("_times", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[F.col(f"`{c}`") for c in columns])
-
-
 def word_count(text: str = "text"):
     """Words of the contract: maximal runs of anything but the six white-space bytes."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

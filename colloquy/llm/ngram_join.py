@@ -3,15 +3,13 @@
 A document is the set of its distinct five-word shingles. Documents with equal sets form one class, and classes are
 joined at a Jaccard similarity of 0.8 or more:
 
-1. Tiles. Bands of set sizes grow by half. A tile holds the sizes of a band and those below it that can still link
-   with them. Linked sets in a tile differ in at most D = floor(2 * largest / 9) shingles, so of more than D groups
-   that cut the hash range, one group has the same shingles in both. Tile, group and the hash of what is in the group
-   make a key, and linked sets share one; documents that merely share a passage share none, since their groups hold
-   other shingles too. Keys travel as packed 64-bit values, a binary per input slice and bucket.
-2. Runs. Classes with the same key form a run. The least member of a run is compared with the others first; what these
-   links leave in different components is then compared in full.
-3. Bounds and proof. In a comparison bitmap signatures of both sets, folded to the same length, bound the overlap from
-   above by bit counts; pairs that pass are decided by intersecting the sorted arrays.
+1. Tiles. In any one order of all shingles, two linked sets share one of their first n - ceil(0.8 n) + 1. Shingles that
+   many documents hold come last in that order, so that a shared passage brings few sets together; which ones those are
+   is counted on a quarter of the classes and decides the order only, never the result. A tile is what shares such a
+   shingle; its sets are compared within the size band that can link, that is 0.8 to 1.25 times each other's size.
+2. Bounds. Bitmap signatures of both sets, folded to one length, bound the overlap from above by bit counts.
+3. Proof. Pairs that pass are decided by intersecting the sorted arrays: for each class its least partner first, then
+   what proven links leave in different components. A pair that links already join is not compared again.
 
 Components come from the proven links. Sets are held as 64-bit hashes of shingles.
 """
@@ -31,20 +29,13 @@ from .components import components
 WIDTH = 5
 #: Documents per bucket of keys, on average; a bucket is sorted in one task.
 BUCKET_DOCS = 4_000
-#: Members of a run in a row, and sets compared with one set in a task.
-RUN_ROWS = 512
+#: Sets compared with one set in a task; tiles of more members than PAIRED are compared with their least member first.
 CHUNK_SETS = 256
-
-
-def band_edges() -> np.ndarray:
-    """First sizes of the bands, to beyond any document."""
-    edges = [1]
-    while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
-    return np.array(edges, np.int64)
-
-
-_EDGES = band_edges()
+PAIRED = 16
+#: Members of a large tile in a row.
+RUN_ROWS = 512
+#: A shingle comes last if this many classes of the counted quarter hold it; of those, the most frequent ones.
+FREQUENT, MOST_FREQUENT = 4, 400_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,41 +79,17 @@ def class_ids(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile_keys(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, key) for every tile and group of each set."""
+def tile_keys(shingles: np.ndarray, bounds: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, shingle) of each set's first shingles, those in the sorted array ``last`` coming last."""
     sizes = np.diff(bounds)
-    band = np.searchsorted(_EDGES, sizes, "right") - 1
-    docs_out, keys_out = [], []
-    for step in range(0, 3):
-        tile = band + step
-        # In the tile above, only sizes of at least 0.8 times its smallest.
-        docs = np.flatnonzero((sizes > 0) & (sizes * 5 >= _EDGES[tile] * 4))
-        most = (2 * (_EDGES[tile + 1] - 1)) // 9
-        docs = docs[most[docs] > 0]
-        if not len(docs):
-            continue
-        differ = most[docs]
-        groups = differ + 1 + differ // 32
-        lengths = sizes[docs]
-        at = np.repeat(bounds[:-1][docs] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        held = shingles[at]
-        who = np.repeat(np.arange(len(docs)), lengths)
-        group = ((held >> np.uint64(32)) * groups[who].astype(np.uint64)) >> np.uint64(32)
-        first = np.ones(len(held), bool)
-        first[1:] = (group[1:] != group[:-1]) | (who[1:] != who[:-1])
-        starts = np.flatnonzero(first)
-        label = group[starts] * np.uint64(0xC2B2AE3D27D4EB4F) + (tile[docs][who[starts]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x165667B19E3779F9)
-        keys_out.append(mix64(_segment_sums(mix64(held + np.uint64(0x27D4EB2F165667C5)), starts) + label))
-        docs_out.append(docs[who[starts]])
-        # All groups that two sets share may be empty ones, but only if neither fills more than D groups.
-        filled = np.bincount(who[starts], minlength=len(docs))
-        for k in np.flatnonzero(filled <= differ):
-            empty = np.setdiff1d(np.arange(groups[k], dtype=np.uint64), group[starts][who[starts] == k])
-            keys_out.append(mix64(empty * np.uint64(0xC2B2AE3D27D4EB4F) + (tile[docs[k : k + 1]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x165667B19E3779F9)))
-            docs_out.append(np.full(len(empty), docs[k]))
-    if not keys_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs_out), np.concatenate(keys_out)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    late = np.zeros(len(shingles), bool)
+    if len(last) and len(shingles):
+        late = last[np.minimum(np.searchsorted(last, shingles), len(last) - 1)] == shingles
+    order = np.lexsort((late, owner))  # stable: by hash within
+    rank = np.arange(len(shingles)) - np.repeat(bounds[:-1], sizes)
+    first = rank < (sizes - -(-4 * sizes // 5) + 1)[owner]
+    return owner[first], mix64(shingles[order][first])
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -156,58 +123,113 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end, data, offsets in text_slices(batch.column(1)):
             shingles, bounds = shingle_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(np.diff(bounds), pa.int64()), pa.array(class_ids(shingles, bounds).view(np.int64))], names=["doc_id", "n_shingles", "class"])
+            bits = pa.array([bitmap(shingles[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(np.diff(bounds), pa.int64()), pa.array(class_ids(shingles, bounds).view(np.int64)), bits], names=["doc_id", "n_shingles", "class", "bits"])
+
+
+def _deal(values: np.ndarray, by: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """One row per bucket with its packed values."""
+    bucket = by % np.uint64(n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, values = bucket[order], values[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(bucket))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array([values[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["bucket", "packed"])
+
+
+def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shingles, bounds, class ids, whether the task meets the class first) by slices of a text column."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, _, data, offsets in text_slices(batch.column(0), 4 << 20):
+            shingles, bounds = shingle_sets(data, offsets)
+            ids = class_ids(shingles, bounds)
+            new = np.zeros(len(ids), bool)
+            for k, i in enumerate(ids.tolist()):
+                if i not in seen:
+                    new[k] = True
+                    seen.add(i)
+            seen = seen if len(seen) < 500_000 else set()
+            yield shingles, bounds, ids, new
 
 
-def _short(ids: np.ndarray) -> np.ndarray:
-    return ids >> np.uint64(32)
+def _counted(n_buckets: int):
+    """Half of the shingles of a quarter of the classes, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingles, bounds, ids, new in _new_sets(batches):
+            pick = np.repeat(new & ((ids >> np.uint64(40)) % np.uint64(4) == 0), np.diff(bounds)) & (shingles < np.uint64(1 << 63))
+            yield _deal(shingles[pick], mix64(shingles[pick]), n_buckets)
+
+    return run
+
+
+def _often(table: pa.Table) -> pa.Table:
+    values, n = np.unique(_unpacked(table), return_counts=True)
+    return pa.table({"shingle": values[n >= FREQUENT].view(np.int64), "n": n[n >= FREQUENT].astype(np.int64)})
 
 
-def _keys(n_buckets: int):
+def _unpacked(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("packed")])
+
+
+def _keys(n_buckets: int, last):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), 4 << 20):
-                shingles, bounds = shingle_sets(data, offsets)
-                ids = class_ids(shingles, bounds)
-                new = np.array([i not in seen for i in ids.tolist()])
-                seen = seen if len(seen) < 500_000 else set()
-                seen.update(ids.tolist())
-                docs, keys = tile_keys(shingles, bounds)
-                keep = new[docs] if len(docs) else np.zeros(0, bool)
-                docs, keys = docs[keep], keys[keep]
-                bucket = (keys & np.uint64(0xFFFFFFFF)) % np.uint64(n_buckets)
-                packed = (keys & ~np.uint64(0xFFFFFFFF)) | _short(ids[docs])
-                order = np.argsort(bucket, kind="stable")
-                bucket, packed = bucket[order], packed[order]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                ends = np.append(cuts[1:], len(bucket))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array([packed[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["bucket", "packed"])
+        for shingles, bounds, ids, new in _new_sets(batches):
+            docs, keys = tile_keys(shingles, bounds, last.value)
+            docs, keys = docs[new[docs]], keys[new[docs]]
+            # Half of the key beside the bucket, and half of the class: chance meetings do no harm, sets are compared in full.
+            yield _deal((keys & ~np.uint64(0xFFFFFFFF)) | (ids[docs] >> np.uint64(32)), keys & np.uint64(0xFFFFFFFF), n_buckets)
 
     return run
 
 
-def _runs(table: pa.Table) -> pa.Table:
-    """Distinct runs of two or more classes with one key, as rows of up to RUN_ROWS members after the run's least."""
-    values = np.unique(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("packed")]))
-    keys = values >> np.uint64(32)
+def _tiles(table: pa.Table) -> pa.Table:
+    """Pairs of small tiles (tile null), and of large ones (tile, least member, other) for each other member; each once."""
+    values = np.unique(_unpacked(table))
+    keys, members = values >> np.uint64(32), (values & np.uint64(0xFFFFFFFF)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    lengths = np.diff(np.append(cuts, len(values)))
-    several = lengths > 1
-    cuts, lengths = cuts[several], lengths[several]
-    members = (values & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    seen, run_ids, leads, rows = set(), [], [], []
+    sizes = np.diff(np.append(cuts, len(values)))
+    pairs = []
+    for k in range(2, PAIRED + 1):
+        at = cuts[sizes == k]
+        if len(at):
+            i, j = np.triu_indices(k, 1)
+            pairs.append(members[at[:, None] + i].ravel() << 32 | members[at[:, None] + j].ravel())
+    pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    out = {"tile": [np.full(len(pairs), -1)], "a": [pairs >> 32 & 0xFFFFFFFF], "b": [pairs & 0xFFFFFFFF]}
+    seen: set[int] = set()
     mixed = mix64(members.astype(np.uint64) + np.uint64(77))
-    for a, n in zip(cuts.tolist(), lengths.tolist()):
-        run = int(mixed[a : a + n].sum(dtype=np.uint64)) ^ n
-        if run in seen:
-            continue
-        seen.add(run)
-        for at in range(a + 1, a + n, RUN_ROWS):
-            run_ids.append(run)
-            leads.append(members[a])
-            rows.append(members[at : min(a + n, at + RUN_ROWS)])
-    return pa.table({"run": pa.array(np.array(run_ids, np.uint64).view(np.int64)), "lead": pa.array(np.array(leads, np.int64)), "others": pa.array(rows, pa.list_(pa.int64()))})
+    for at, n in zip(cuts[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist()):
+        tile = (int(mixed[at : at + n].sum(dtype=np.uint64)) ^ n) >> 1
+        if tile not in seen:
+            seen.add(tile)
+            out["tile"].append(np.full(n - 1, tile))
+            out["a"].append(np.full(n - 1, members[at]))
+            out["b"].append(members[at + 1 : at + n])
+    return pa.table({c: np.concatenate(v).astype(np.int64) for c, v in out.items()})
+
+
+def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (lead, rep_a, n_a, bits_a, member, rep_b, n_b, bits_b) whose bitmaps leave room for the overlap needed."""
+    for batch in batches:
+        n_a, n_b = batch.column(2).to_pylist(), batch.column(6).to_pylist()
+        bits_a, bits_b = batch.column(3), batch.column(7)
+        room = [
+            most_overlap(np.frombuffer(a.as_buffer(), np.uint64), n, np.frombuffer(b.as_buffer(), np.uint64), m) * 9 >= 4 * (n + m)
+            for a, n, b, m in zip(bits_a, n_a, bits_b, n_b)
+        ]
+        yield batch.select([0, 1, 4, 5]).filter(pa.array(room, pa.bool_()))
+
+
+def _bounded(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of short class ids as classes, those that sizes and bitmaps allow; materialised."""
+    left = classes.select(F.col("short").alias("a"), F.col("class").alias("lead"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = classes.select(F.col("short").alias("b"), F.col("class").alias("member"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    # Sizes first: bitmaps travel for pairs of one band only.
+    near = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").filter("4 * (n_a + n_b) <= 9 * least(n_a, n_b)").select("a", "b").distinct()
+    full = near.join(left, "a").join(right, "b").filter("lead <> member").select("lead", "rep_a", "n_a", "bits_a", "member", "rep_b", "n_b", "bits_b")
+    return materialise(full.mapInArrow(_within_bound, "lead long, rep_a long, member long, rep_b long"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,14 +254,10 @@ def _prove(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([lead] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
 
-def _proven(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b) of short class ids, the linked ones as class ids; materialised."""
-    left = classes.select(F.col("short").alias("a"), F.col("class").alias("lead"), F.col("n").alias("n_a"), F.col("rep").alias("rep_a"))
-    right = classes.select(F.col("short").alias("b"), F.col("class").alias("member"), F.col("n").alias("n_b"), F.col("rep").alias("rep_b"))
-    sized = pairs.join(left, "a").join(right, "b").filter("lead <> member and 4 * (n_a + n_b) <= 9 * least(n_a, n_b)")
-    sized = materialise(sized.select("lead", "rep_a", "member", "rep_b").distinct())
-    degree = sized.groupBy("lead").agg((F.floor(F.count("*") / CHUNK_SETS) + 1).alias("chunks"))
-    dealt = sized.join(degree, "lead").withColumn("chunk", F.pmod(F.xxhash64("member"), "chunks"))
+def _proven(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The linked ones of bounded pairs, as class ids; materialised. A lead's partners are dealt out in chunks."""
+    degree = pairs.groupBy("lead").agg((F.floor(F.count("*") / CHUNK_SETS) + 1).alias("chunks"))
+    dealt = pairs.join(degree, "lead").withColumn("chunk", F.pmod(F.xxhash64("member"), "chunks"))
     wanted = dealt.select("lead", "chunk", F.col("lead").alias("member"), F.col("rep_a").alias("rep")).distinct().unionByName(dealt.select("lead", "chunk", "member", F.col("rep_b").alias("rep")))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("lead", "chunk", "member", "text")
     sets = texts.mapInArrow(_sets, "lead long, chunk long, member long, shingles binary")
@@ -247,38 +265,47 @@ def _proven(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def jaccard_components(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id and n_class_links (links of its class with other classes).
+    """Per row: doc_id, n_shingles, component_id and n_class_links (proven links of its class with other classes).
 
     Null, empty and white-space texts have no shingles and link with nothing, not even each other. Rows with equal
     sets, repeats included, link. A null id is nobody's component id while its component has another; a component
     of null ids only has a null one. An empty table gives an empty one; other columns are not read.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    members = materialise(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class long"))
+    members = materialise(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class long, bits binary"))
     classes = materialise(
-        members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")).withColumn("short", F.shiftrightunsigned("class", 32))
+        members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")).withColumn("short", F.shiftrightunsigned("class", 32))
     )
+    members = members.drop("bits")
     n_buckets = max(64, members.count() // BUCKET_DOCS)
-    keys = docs.select("text").mapInArrow(_keys(n_buckets), "bucket long, packed binary")
-    runs = materialise(keys.groupBy("bucket").applyInArrow(_runs, "run long, lead long, others array<long>"))
-
-    first = runs.select(F.col("lead").alias("a"), F.explode("others").alias("b")).distinct()
-    links = _proven(docs, classes, first)
+    often = docs.select("text").mapInArrow(_counted(n_buckets), "bucket long, packed binary").groupBy("bucket").applyInArrow(_often, "shingle long, n long")
+    last = [r.shingle for r in often.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()]
+    last = spark.sparkContext.broadcast(np.sort(np.array(last, np.int64).view(np.uint64)))
+    keys = docs.select("text").mapInArrow(_keys(n_buckets, last), "bucket long, packed binary")
+    tiles = materialise(keys.groupBy("bucket").applyInArrow(_tiles, "tile long, a long, b long"))
+
+    pairs = _bounded(classes, tiles.select("a", "b").distinct())
+    first = pairs.groupBy("member", "rep_b").agg(F.min(F.struct("lead", "rep_a")).alias("x")).select("x.lead", "x.rep_a", "member", "rep_b")
+    links = _proven(docs, first)
     part = materialise(_with_own(classes.select("class", "short"), components(links)))
 
-    # What the first links leave apart in a run is compared pair by pair, once.
-    inside = runs.select("run", F.col("lead").alias("short")).distinct().unionByName(runs.select("run", F.explode("others").alias("short")))
+    # What these links leave apart: bounded pairs, and members of large tiles.
+    one, two = part.select(F.col("class").alias("lead"), F.col("component").alias("ca")), part.select(F.col("class").alias("member"), F.col("component").alias("cb"))
+    rest = pairs.join(first.select("lead", "member"), ["lead", "member"], "left_anti").join(one, "lead").join(two, "member").filter("ca <> cb").select("lead", "rep_a", "member", "rep_b")
+    large = tiles.filter("tile >= 0")
+    inside = large.select("tile", F.col("a").alias("short")).unionByName(large.select("tile", F.col("b").alias("short"))).distinct()
     labelled = inside.join(part.select("short", "component"), "short")
-    apart = labelled.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).filter("lo <> hi and k > 2").select("run")
-    open_runs = materialise(labelled.join(apart, "run").distinct())
-    if not open_runs.isEmpty():
-        one = open_runs.select("run", F.col("short").alias("a"), F.col("component").alias("ca"))
-        two = open_runs.select("run", F.col("short").alias("b"), F.col("component").alias("cb"))
-        rest = one.join(two, "run").filter("ca <> cb and a < b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-        more = _proven(docs, classes, rest)
-        if not more.isEmpty():
-            links = materialise(links.unionByName(more))
-            part = materialise(_with_own(classes.select("class", "short"), components(links)))
+    apart = labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("tile")
+    open_tiles = materialise(labelled.join(apart, "tile").distinct())
+    if not open_tiles.isEmpty():
+        across = open_tiles.select("tile", F.col("short").alias("a"), F.col("component").alias("ca")).join(open_tiles.select("tile", F.col("short").alias("b"), F.col("component").alias("cb")), "tile")
+        more = _bounded(classes, across.filter("ca <> cb and a < b").select("a", "b"))
+        rest = rest.unionByName(more.join(first.select("lead", "member"), ["lead", "member"], "left_anti").select("lead", "rep_a", "member", "rep_b"))
+    rest = materialise(rest.distinct())
+    if not rest.isEmpty():
+        links = materialise(links.unionByName(_proven(docs, rest)).distinct())
+        part = materialise(_with_own(classes.select("class", "short"), components(links)))
 
     degree = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_class_links"))
     labels = part.select("class", "component")
