@@ -330,4 +330,17 @@ def near_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> Dat
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w
+), n AS MATERIALIZED (SELECT doc_id, len(g)::BIGINT AS n FROM s), x AS MATERIALIZED (SELECT doc_id, unnest(g) AS g FROM s),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reach(u, v) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.v)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.v) AS component_id FROM n JOIN reach ON reach.u = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
-SQL = {"op8_quality_rules": quality.OP8_SQL, "op10_exact_dedup": exact.OP10_SQL}
+SQL = {"op1_ngram_jaccard": ngram_join.OP1_SQL, "op8_quality_rules": quality.OP8_SQL, "op10_exact_dedup": exact.OP10_SQL}
