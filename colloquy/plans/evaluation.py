@@ -61,6 +61,20 @@ def regression_problems(now: DataFrame, base: dict[str, float], slack: float = 0
     return now.withColumn("problems", F.concat_ws(",", *worse))
 
 
+def ramp_limit(steps: DataFrame, load: str, verdict: str) -> DataFrame:
+    """(last_ok, first_bad) over recorded load steps: the worst of a load's repeats counts, what comes after a failure doesn't."""
+    worst = steps.groupBy(load).agg(F.max(F.col(verdict).isNotNull()).alias("bad"))
+    first = worst.agg(F.min(F.when(F.col("bad"), F.col(load))).alias("first_bad"))
+    fine = F.when(~F.col("bad") & (F.col("first_bad").isNull() | (F.col(load) < F.col("first_bad"))), F.col(load))
+    return worst.join(F.broadcast(first)).agg(F.max(fine).alias("last_ok"), F.max("first_bad").alias("first_bad"))
+
+
+def progress_bar(percent: Column, width: int = 22) -> Column:
+    """Filled and empty blocks."""
+    full = F.round(percent / 100 * width).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
 def _steps(spark, d):
     rows = timed_segments(spark, d)
     return rows.groupBy("meeting_id").agg(F.count_distinct("speaker_id").alias("meetings"), F.count_if(F.col("channel") == "mixed").alias("errors0"), F.count("*").alias("segments0"), F.max("energy").alias("p95")).select(
@@ -138,6 +152,8 @@ QUERIES = {
     "error_kinds": lambda s, d: table(s, d, "part").groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind")).agg(F.count("*").alias("n")),
     "degradation_verdict": lambda s, d: _steps(s, d).select("meeting_id", load_verdict(60.0).alias("verdict")),
     "soak_verdict": _soak,
+    "ramp_limit": lambda s, d: ramp_limit(_steps(s, d).withColumn("verdict", load_verdict(1e9)), "meeting_id", "verdict"),
+    "progress_bars": lambda s, d: table(s, d, "part").select("p_partkey", progress_bar(F.col("p_size") * 2).alias("bar")),
     "regression_gate": lambda s, d: regression_problems(s.createDataFrame([(1, 0.03, 0, 0), (2, 0.05, 0, 0), (3, 0.01, 1, 2)], "run long, wer double, splits long, merges long"), {"wer": 0.016, "splits": 0, "merges": 0}).select("run", "problems"),
     "level_rollup": _rollup,
     "model_catalogue": lambda s, d: model_catalogue(s.createDataFrame(_CATALOGUE, "id string, context long, modalities array<string>")),
@@ -153,6 +169,9 @@ SQL = {
     "error_kinds": "SELECT split_part(p_type, ' ', 1) AS kind, count(*) AS n FROM part GROUP BY 1",
     "degradation_verdict": f"SELECT meeting_id, CASE WHEN restarted THEN 'restarted' WHEN status <> 'running' THEN 'status ' || status WHEN errors > 0 THEN 'errors' WHEN segments = 0 THEN 'nothing recognised' WHEN segments < meetings THEN (meetings - segments) || ' lost' WHEN p95 > 60 THEN 'slow' END AS verdict FROM {_STEP}",
     "soak_verdict": f"SELECT meeting_id, CASE WHEN n < 10 THEN 'too short' WHEN per_hour * 100 > 50 THEN 'leak' WHEN per_hour * 100 > 15 THEN 'growing' WHEN late < early * 0.7 AND early > 0 THEN 'slowing' ELSE 'stable' END AS verdict FROM {_SLOPE} JOIN {_RATES} USING (meeting_id)",
+    "ramp_limit": f"""WITH v AS (SELECT meeting_id, restarted OR status <> 'running' OR errors > 0 OR segments = 0 OR segments < meetings AS bad FROM {_STEP}), f AS (SELECT min(meeting_id) AS first_bad FROM v WHERE bad)
+      SELECT max(meeting_id) FILTER (NOT bad AND (first_bad IS NULL OR meeting_id < first_bad)) AS last_ok, max(first_bad) AS first_bad FROM v, f""",
+    "progress_bars": "SELECT p_partkey, repeat('█', round(p_size * 2 / 100 * 22)::BIGINT) || repeat('░', 22 - round(p_size * 2 / 100 * 22)::BIGINT) AS bar FROM part",
     "regression_gate": "SELECT * FROM (VALUES (1::BIGINT, ''), (2, 'wer'), (3, 'splits,merges')) AS v(run, problems)",
     "level_rollup": "SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS passed, round(count(*) FILTER (o_orderstatus = 'F') / count(*) * 100, 6) AS share FROM orders GROUP BY ROLLUP (o_orderpriority)",
     "model_catalogue": "SELECT * FROM (VALUES ('a', 131072::BIGINT), ('c', 0), ('e', 200000), ('f', 0)) AS v(id, context)",
