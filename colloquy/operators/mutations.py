@@ -25,7 +25,7 @@ def merge_plan(speakers: DataFrame, segments: DataFrame, a: int, b: int) -> Data
 
 def remap(df: DataFrame, column: str, plan: DataFrame) -> DataFrame:
     """``df`` with ``column`` rewritten from source to target; nulls and others stay."""
-    to = F.broadcast(plan.select(F.col("source").alias("_from"), F.col("target").alias("_to")).limit(1_000))
+    to = plan.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
     return df.join(to, F.col(column) == F.col("_from"), "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
 
 
@@ -47,7 +47,7 @@ def delete_speaker(speakers: DataFrame, segments: DataFrame, prints: DataFrame,
     """Without the speaker and their prints, their segments not attributed; oneself can't be deleted."""
     gone = speakers.filter((F.col("id") == speaker_id) & ~F.col("is_self")).select(F.col("id").alias("_gone"))
     kept = speakers.join(gone, F.col("id") == F.col("_gone"), "left_anti")
-    freed = segments.join(F.broadcast(gone.limit(1)), F.col("speaker_id") == F.col("_gone"), "left").withColumn("speaker_id", F.when(F.col("_gone").isNull(), F.col("speaker_id"))).drop("_gone")
+    freed = segments.join(gone.distinct(), F.col("speaker_id") == F.col("_gone"), "left").withColumn("speaker_id", F.when(F.col("_gone").isNull(), F.col("speaker_id"))).drop("_gone")
     return kept, freed, prints.join(gone, F.col("speaker_id") == F.col("_gone"), "left_anti")
 
 
