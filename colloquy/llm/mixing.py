@@ -24,6 +24,8 @@ BLOCK_TOKENS = 256
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Documents per shuffle bucket of a source, and slots per chunk of the schedule: what one task orders.
 BUCKET_ROWS = 10_000
+#: Sources up to which the mixture's table is broadcast.
+BROADCAST_SOURCES = 10_000
 CHUNK_SLOTS = 20_000
 
 
@@ -101,7 +103,8 @@ def mix(df: DataFrame, size: str, weights: list[float], share: float, most: floa
         "_source string, _k int, source_size long, target double, _goal long, _blocks long, _buckets long",
     )
     # A stable number for each row on its source's token line: shuffled by hash, in buckets that tasks order alone.
-    named = rows.join(F.broadcast(info), F.col(source).eqNullSafe(F.col("_source"))) if len(names) <= 10_000 else rows.join(info, F.col(source).eqNullSafe(F.col("_source")))
+    small = F.broadcast(info) if len(names) <= BROADCAST_SOURCES else info
+    named = rows.join(small, F.col(source).eqNullSafe(F.col("_source")))
     shuffled = F.xxhash64(F.col(row_id), F.lit(seed))
     lined = named.withColumn("_hash", shuffled).withColumn("_bucket", F.pmod(F.xxhash64(F.col(row_id), F.lit(seed), F.lit("bucket")), F.col("_buckets")))
     order = Window.partitionBy("_k", "_bucket").orderBy("_hash", row_id, "_z")
@@ -111,7 +114,7 @@ def mix(df: DataFrame, size: str, weights: list[float], share: float, most: floa
     lined = lined.withColumn("_inside", F.sum("_z").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_z")).join(starts, ["_k", "_bucket"])
     lined = lined.withColumn("_from", F.col("_start") + F.col("_inside")).withColumn("_place", F.struct("_k", "_bucket", "_from", "_hash"))
 
-    plan = _rank_slots(spark, [targets[s] if totals[s] else 0.0 for s in names], quotas).join(F.broadcast(info.select(F.col("_k").alias("k"), "source_size", "_goal", "_blocks")), "k")
+    plan = _rank_slots(spark, [targets[s] if totals[s] else 0.0 for s in names], quotas).join(small.select(F.col("_k").alias("k"), "source_size", "_goal", "_blocks"), "k")
     turn, at = F.floor(F.col("rank") / F.col("_blocks")), F.pmod(F.col("rank"), F.col("_blocks"))
     # How far into its block the slot reads: to the block's end, or to where the target is met.
     end = F.least((at + 1) * block, F.col("source_size"), F.col("_goal") - turn * F.col("source_size"))
