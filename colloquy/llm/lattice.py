@@ -18,11 +18,12 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, documents, materialise
+from .common import crc_bucket, documents, materialise, mix64
 
 #: Words whose counts are broadcast: a bound of about 3 MB.
 FREQUENT = 50_000
@@ -87,6 +88,7 @@ class Lattice:
         self.first_byte = log_of("^", "\0", 256 * last) - math.log(256)
         self.inner_byte = log_of("+", "\0", 256 * last) - math.log(256) + go
         self.longest = max(map(len, weight), default=1)
+        self.tables = {"+": _Table(self.inner), "^": _Table(self.first)}
 
     def arcs(self, word: str, i: int) -> list[tuple[int, float, str]]:
         """(from, log probability, label) of the pieces that end at ``i``; -1 is before the word, with nothing written."""
@@ -135,6 +137,132 @@ class Lattice:
                     share[j] += use
 
 
+class _Table:
+    """Log probabilities of pieces by a 64-bit hash of their code points."""
+
+    def __init__(self, logs: dict[str, float]):
+        names, keys = list(logs), np.array([_hash_of(p) for p in logs], np.uint64)
+        order = np.argsort(keys)
+        self.names = [names[k] for k in order]
+        self.keys, self.logs = keys[order], np.append(np.array(list(logs.values()))[order] if logs else [], -np.inf)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes; that of -inf for those of no piece."""
+        if not len(self.keys):
+            return np.zeros(hashes.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, len(self.keys))
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash_of(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = h * int(_STEP) + ord(c) + 1
+    return int(mix64(np.array([(h + len(piece)) % (1 << 64)], np.uint64))[0])
+
+
+#: Words up to this length are handled many at once, longer ones alone.
+TOGETHER = 24
+
+
+class Batch:
+    """The forward recursion over many words at once, and their expected uses: what Lattice does for one."""
+
+    def __init__(self, lattice: Lattice, words: list[str]):
+        self.lattice, n = lattice, len(words)
+        self.lengths = np.array([len(w) for w in words])
+        size = self.size = int(self.lengths.max())
+        codes = np.zeros((n, size), np.uint64)
+        inside = np.arange(size) < self.lengths[:, None]
+        codes[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        self.inner: list[np.ndarray] = []
+        self.first: list[np.ndarray] = []
+        h = np.zeros((n, size), np.uint64)
+        for k in range(1, min(size, lattice.longest) + 1):
+            h = h[:, : size - k + 1] * _STEP + codes[:, k - 1 :] + np.uint64(1)
+            keys = mix64(h + np.uint64(k))
+            self.inner.append(lattice.tables["+"].find(keys))
+            self.first.append(lattice.tables["^"].find(keys[:, 0]))
+        self.reach = np.full((n, size + 1), -np.inf)
+        self.reach[:, 0] = lattice.bare
+        for i in range(1, size + 1):
+            terms = np.stack([t for _, _, t in self.terms(i)])
+            top = terms.max(0)
+            self.reach[:, i] = top + np.log(np.exp(terms - top).sum(0))
+        self.ends = self.reach[np.arange(n), self.lengths]
+
+    def terms(self, i: int) -> list[tuple[str, int, np.ndarray]]:
+        """(label, pieces' length, log probability) of the arcs that end at ``i``; lengths of 0 are bytes."""
+        lat, reach = self.lattice, self.reach
+        out = [("+", 0, reach[:, i - 1] + self.width[:, i - 1] * lat.inner_byte)]
+        if i == 1:
+            out.append(("^", 0, lat.first_byte + (self.width[:, 0] - 1) * lat.inner_byte))
+        if i <= lat.longest:
+            out.append(("^", i, lat.tables["^"].logs[self.first[i - 1]]))
+        for k in range(1, min(i, lat.longest) + 1):
+            out.append(("+", k, reach[:, i - k] + lat.tables["+"].logs[self.inner[k - 1][:, i - k]]))
+        return out
+
+    def log10(self) -> np.ndarray:
+        return (self.ends + self.lattice.stop) / math.log(10)
+
+    def expect(self, uses: dict[str, np.ndarray]) -> None:
+        """Add expected uses: by piece under + and ^, of bytes under +0 and ^0, of the bare mark and of ends."""
+        n = len(self.lengths)
+        share = np.zeros((n, self.size + 1))
+        share[np.arange(n), self.lengths] = 1.0
+        for i in range(self.size, 0, -1):
+            for label, k, term in self.terms(i):
+                use = share[:, i] * np.exp(term - self.reach[:, i])
+                if k == 0:
+                    uses[label + "0"] += use.sum()
+                else:
+                    uses[label] += np.bincount(self.inner[k - 1][:, i - k] if label == "+" else self.first[i - 1], use, len(uses[label]))
+                if label == "+":
+                    share[:, i - max(k, 1)] += use
+        uses["bare"] += share[:, 0].sum()
+        uses["end"] += n
+
+
+def _portions(words: list[bytes], size: int = 4096) -> Iterator[tuple[list[int], list[str]]]:
+    """Places and texts of short words, those of like length together."""
+    texts = [(k, w.decode("utf-8", "replace")) for k, w in enumerate(words)]
+    texts = sorted((x for x in texts if 0 < len(x[1]) <= TOGETHER), key=lambda x: len(x[1]))
+    for at in range(0, len(texts), size):
+        yield [k for k, _ in texts[at : at + size]], [t for _, t in texts[at : at + size]]
+
+
+def score_many(lattice: Lattice, words: list[bytes]) -> np.ndarray:
+    """Lattice.word of each."""
+    out = np.full(len(words), np.nan)
+    for places, texts in _portions(words):
+        out[places] = Batch(lattice, texts).log10()
+    for k in np.flatnonzero(np.isnan(out)):
+        out[k] = lattice.word(words[k])
+    return out
+
+
+def expect_many(lattice: Lattice, words: list[bytes], into: dict[str, float]) -> None:
+    """Lattice.expect of each."""
+    uses = {k: np.zeros(len(t.keys) + 1) for k, t in lattice.tables.items()} | {k: 0.0 for k in ("+0", "^0", "bare", "end")}
+    done = set()
+    for places, texts in _portions(words):
+        Batch(lattice, texts).expect(uses)
+        done.update(places)
+    for label, table in lattice.tables.items():
+        for k in np.flatnonzero(uses[label][:-1]):
+            into[label + table.names[k]] = into.get(label + table.names[k], 0.0) + float(uses[label][k])
+    for label, k in (("+\0", "+0"), ("^\0", "^0"), ("^", "bare"), (".", "end")):
+        into[label] = into.get(label, 0.0) + float(uses[k])
+    for k, w in enumerate(words):
+        if k not in done:
+            lattice.expect(w, into)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, tokens in training, tokens in all) of a task's texts, in portions."""
     train, held = Counter(), Counter()
@@ -157,8 +285,7 @@ def _expect(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, uses = Lattice(pieces.value), {}
         for batch in batches:
-            for w in batch.column(0):
-                lattice.expect(w.as_py(), uses)
+            expect_many(lattice, batch.column(0).to_pylist(), uses)
         yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())], names=["arc", "uses"])
 
     return run
@@ -168,7 +295,7 @@ def _score_words(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = model.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([lattice.word(w.as_py()) for w in batch.column(0)], pa.float64())], names=["word", "c", "lattice"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_many(lattice, batch.column(0).to_pylist()))], names=["word", "c", "lattice"])
 
     return run
 

@@ -87,3 +87,14 @@ def test_expectation_counts_every_character_once():
     written = sum(n * (len(x) - 1 if "\0" not in x else 1) for x, n in uses.items() if x != ".")
     assert written == pytest.approx(8) and uses["."] == 1
     assert sum(n for x, n in uses.items() if x[0] == "^") == pytest.approx(1)
+
+
+def test_many_words_at_once_equal_one_by_one():
+    words = [w.encode() for w in ("a", "the", "thing", "ещё", "größer", "漢字", "😀x", "x" * 24, "y" * 25, "ab" * 200, "the")] + [b"\xff\xfe", b""]
+    got = lattice.score_many(PRIOR_MODEL, words)
+    assert got == pytest.approx([PRIOR_MODEL.word(w) for w in words], rel=1e-9)
+    one, many = {}, {}
+    for w in words:
+        PRIOR_MODEL.expect(w, one)
+    lattice.expect_many(PRIOR_MODEL, words, many)
+    assert {k: v for k, v in many.items() if v > 1e-6} == pytest.approx({k: v for k, v in one.items() if v > 1e-6}, rel=1e-6, abs=1e-6)
