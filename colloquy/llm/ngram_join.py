@@ -32,8 +32,8 @@ BUCKET_DOCS = 4_000
 #: Sets compared with one set in a task; tiles of more members than PAIRED are compared with their least member first.
 CHUNK_SETS = 256
 PAIRED = 16
-#: Members of a large tile in a row.
-RUN_ROWS = 512
+#: Members of a block of a large tile, on average.
+BLOCK_SETS = 1_024
 #: A shingle comes last if this many classes of the counted quarter hold it; of those, the most frequent ones.
 FREQUENT, MOST_FREQUENT = 4, 400_000
 
@@ -93,9 +93,9 @@ def tile_keys(shingles: np.ndarray, bounds: np.ndarray, last: np.ndarray) -> tup
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of about two bits a shingle, a power of two of 64-bit words."""
+    """Hashed bitmap of four to eight bits a shingle, a power of two of 64-bit words."""
     bits = 64
-    while bits < 2 * len(shingles):
+    while bits < 4 * len(shingles):
         bits *= 2
     flags = np.zeros(bits, np.uint8)
     flags[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -211,25 +211,81 @@ def _tiles(table: pa.Table) -> pa.Table:
 
 
 def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (lead, rep_a, n_a, bits_a, member, rep_b, n_b, bits_b) whose bitmaps leave room for the overlap needed."""
+    """Pairs (lead, n_a, bits_a, member, n_b, bits_b) whose bitmaps leave room for the overlap needed."""
     for batch in batches:
-        n_a, n_b = batch.column(2).to_pylist(), batch.column(6).to_pylist()
-        bits_a, bits_b = batch.column(3), batch.column(7)
-        room = [
-            most_overlap(np.frombuffer(a.as_buffer(), np.uint64), n, np.frombuffer(b.as_buffer(), np.uint64), m) * 9 >= 4 * (n + m)
-            for a, n, b, m in zip(bits_a, n_a, bits_b, n_b)
-        ]
-        yield batch.select([0, 1, 4, 5]).filter(pa.array(room, pa.bool_()))
+        rows = zip(batch.column(1).to_pylist(), batch.column(2), batch.column(4).to_pylist(), batch.column(5))
+        room = [most_overlap(np.frombuffer(a.as_buffer(), np.uint64), n, np.frombuffer(b.as_buffer(), np.uint64), m) * 9 >= 4 * (n + m) for n, a, m, b in rows]
+        yield batch.select([0, 3]).filter(pa.array(room, pa.bool_()))
+
+
+def _plausible(n: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, partners) among sets in order of size: those whose sizes and bitmaps leave room for a link, each pair once."""
+    words_of = np.array([len(b) for b in bits])
+    for width in np.unique(words_of):
+        # Partners of the band have bitmaps of this width or, folded, of twice it.
+        at = np.flatnonzero((words_of == width) | (words_of == 2 * width))
+        table = np.stack([bits[k] if len(bits[k]) == width else bits[k][:width] | bits[k][width:] for k in at])
+        sizes = n[at]
+        for row in np.flatnonzero(words_of[at] == width):
+            end = int(np.searchsorted(sizes, sizes[row] * 5 // 4, "right"))
+            others = table[row + 1 : end]
+            if not len(others):
+                continue
+            here = sizes[row] - np.bitwise_count(table[row] & ~others).sum(1, dtype=np.int64)
+            there = sizes[row + 1 : end] - np.bitwise_count(others & ~table[row]).sum(1, dtype=np.int64)
+            yield at[row], at[row + 1 : end][np.minimum(here, there) * 9 >= 4 * (sizes[row] + sizes[row + 1 : end])]
+
+
+def _in_tile(least_only: bool):
+    """Plausible pairs of a block pair of a tile whose members' components differ: all, or each member's least partner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("n").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        ids, group, side = (table.column(c).to_numpy() for c in ("class", "component", "side"))
+        bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("bits")]
+        across = bool((side != side[0]).any())  # two blocks: only pairs between them, each block has a group of its own
+        leads, others = [], []
+        for i, partners in _plausible(table.column("n").to_numpy(), bits):
+            partners = partners[(group[partners] != group[i]) & ((side[partners] != side[i]) | (not across))]
+            leads.append(np.minimum(ids[i], ids[partners]))
+            others.append(np.maximum(ids[i], ids[partners]))
+        lead = np.concatenate(leads) if leads else np.zeros(0, np.int64)
+        other = np.concatenate(others) if others else np.zeros(0, np.int64)
+        if least_only and len(lead):
+            order = np.lexsort((lead, other))
+            lead, other = lead[order], other[order]
+            first = np.concatenate([[True], other[1:] != other[:-1]])
+            lead, other = lead[first], other[first]
+        return pa.table({"lead": lead, "member": other})
+
+    return run
+
+
+def _tile_pairs(large: DataFrame, part: DataFrame, least_only: bool) -> DataFrame:
+    """Distinct plausible pairs of classes inside large tiles, of different components by ``part``.
+
+    A tile of many members is cut into blocks by a hash; every pair of blocks is a group of bounded size, compared
+    inside a task, and only plausible pairs leave it.
+    """
+    members = large.select("tile", F.col("a").alias("short")).unionByName(large.select("tile", F.col("b").alias("short"))).distinct()
+    labelled = members.join(part.select("short", "class", "component"), "short")
+    sizes = labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.floor(F.count("*") / BLOCK_SETS) + 1).alias("blocks")).filter("lo <> hi").select("tile", "blocks")
+    blocked = labelled.join(sizes, "tile").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("tile", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "class", "component")
+    full = spread.join(part.select(F.col("class"), "n", "bits"), "class")
+    return full.groupBy("tile", "one", "two").applyInArrow(_in_tile(least_only), "lead long, member long").distinct()
 
 
 def _bounded(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of short class ids as classes, those that sizes and bitmaps allow; materialised."""
-    left = classes.select(F.col("short").alias("a"), F.col("class").alias("lead"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = classes.select(F.col("short").alias("b"), F.col("class").alias("member"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    """Candidate pairs (a, b) of short class ids as classes (lead, member), those that sizes and bitmaps allow."""
+    left = classes.select(F.col("short").alias("a"), F.col("class").alias("lead"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = classes.select(F.col("short").alias("b"), F.col("class").alias("member"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     # Sizes first: bitmaps travel for pairs of one band only.
     near = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").filter("4 * (n_a + n_b) <= 9 * least(n_a, n_b)").select("a", "b").distinct()
-    full = near.join(left, "a").join(right, "b").filter("lead <> member").select("lead", "rep_a", "n_a", "bits_a", "member", "rep_b", "n_b", "bits_b")
-    return materialise(full.mapInArrow(_within_bound, "lead long, rep_a long, member long, rep_b long"))
+    full = near.join(left, "a").join(right, "b").filter("lead <> member").select("lead", "n_a", "bits_a", "member", "n_b", "bits_b")
+    kept = full.mapInArrow(_within_bound, "lead long, member long")
+    return kept.select(F.least("lead", "member").alias("lead"), F.greatest("lead", "member").alias("member"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +310,9 @@ def _prove(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([lead] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
 
-def _proven(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The linked ones of bounded pairs, as class ids; materialised. A lead's partners are dealt out in chunks."""
+def _proven(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The linked ones of pairs (lead, member), as class ids; materialised. A lead's partners are dealt out in chunks."""
+    pairs = pairs.join(classes.select(F.col("class").alias("lead"), F.col("rep").alias("rep_a")), "lead").join(classes.select(F.col("class").alias("member"), F.col("rep").alias("rep_b")), "member")
     degree = pairs.groupBy("lead").agg((F.floor(F.count("*") / CHUNK_SETS) + 1).alias("chunks"))
     dealt = pairs.join(degree, "lead").withColumn("chunk", F.pmod(F.xxhash64("member"), "chunks"))
     wanted = dealt.select("lead", "chunk", F.col("lead").alias("member"), F.col("rep_a").alias("rep")).distinct().unionByName(dealt.select("lead", "chunk", "member", F.col("rep_b").alias("rep")))
@@ -285,27 +342,21 @@ def jaccard_components(df: DataFrame, text: str = "text", row_id: str = "doc_id"
     keys = docs.select("text").mapInArrow(_keys(n_buckets, last), "bucket long, packed binary")
     tiles = materialise(keys.groupBy("bucket").applyInArrow(_tiles, "tile long, a long, b long"))
 
-    pairs = _bounded(classes, tiles.select("a", "b").distinct())
-    first = pairs.groupBy("member", "rep_b").agg(F.min(F.struct("lead", "rep_a")).alias("x")).select("x.lead", "x.rep_a", "member", "rep_b")
-    links = _proven(docs, first)
-    part = materialise(_with_own(classes.select("class", "short"), components(links)))
-
-    # What these links leave apart: bounded pairs, and members of large tiles.
-    one, two = part.select(F.col("class").alias("lead"), F.col("component").alias("ca")), part.select(F.col("class").alias("member"), F.col("component").alias("cb"))
-    rest = pairs.join(first.select("lead", "member"), ["lead", "member"], "left_anti").join(one, "lead").join(two, "member").filter("ca <> cb").select("lead", "rep_a", "member", "rep_b")
     large = tiles.filter("tile >= 0")
-    inside = large.select("tile", F.col("a").alias("short")).unionByName(large.select("tile", F.col("b").alias("short"))).distinct()
-    labelled = inside.join(part.select("short", "component"), "short")
-    apart = labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("tile")
-    open_tiles = materialise(labelled.join(apart, "tile").distinct())
-    if not open_tiles.isEmpty():
-        across = open_tiles.select("tile", F.col("short").alias("a"), F.col("component").alias("ca")).join(open_tiles.select("tile", F.col("short").alias("b"), F.col("component").alias("cb")), "tile")
-        more = _bounded(classes, across.filter("ca <> cb and a < b").select("a", "b"))
-        rest = rest.unionByName(more.join(first.select("lead", "member"), ["lead", "member"], "left_anti").select("lead", "rep_a", "member", "rep_b"))
-    rest = materialise(rest.distinct())
+    pairs = materialise(_bounded(classes, tiles.filter("tile < 0").select("a", "b").distinct()))
+    alone = classes.withColumn("component", F.col("class"))
+    leads = pairs.unionByName(_tile_pairs(large, alone, True))
+    first = materialise(leads.groupBy("member").agg(F.min("lead").alias("lead")).select("lead", "member"))
+    links = _proven(docs, classes, first)
+    part = materialise(_with_own(classes, components(links)))
+
+    # What these links leave apart: bounded pairs, and plausible ones inside large tiles.
+    one, two = part.select(F.col("class").alias("lead"), F.col("component").alias("ca")), part.select(F.col("class").alias("member"), F.col("component").alias("cb"))
+    rest = pairs.join(one, "lead").join(two, "member").filter("ca <> cb").select("lead", "member").unionByName(_tile_pairs(large, part, False))
+    rest = materialise(rest.distinct().join(first, ["lead", "member"], "left_anti"))
     if not rest.isEmpty():
-        links = materialise(links.unionByName(_proven(docs, rest)).distinct())
-        part = materialise(_with_own(classes.select("class", "short"), components(links)))
+        links = materialise(links.unionByName(_proven(docs, classes, rest)).distinct())
+        part = materialise(_with_own(classes, components(links)))
 
     degree = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_class_links"))
     labels = part.select("class", "component")

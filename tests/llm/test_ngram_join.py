@@ -96,3 +96,20 @@ def test_near_dedup(spark):
     rows = [(1, "a b c d e f g h", 1), (2, "a b c d e f g h", 2), (3, "z y x w v u", 3), (4, None, 4), (5, "", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     assert sorted(r.doc_id for r in nj.near_dedup(df).collect()) == [1, 3, 4, 5]
+
+
+def test_large_tiles_in_blocks(spark, monkeypatch):
+    """Families of far more copies than a small tile holds, compared in several blocks; many pairs do not link."""
+    monkeypatch.setattr(nj, "BLOCK_SETS", 9)
+    rnd, rows = random.Random(8), []
+    for family, edits in enumerate((1, 3, 6)):
+        base = [f"f{family}w{k}" for k in range(90)]
+        for _ in range(45):
+            copy = list(base)
+            for _ in range(rnd.randint(0, edits)):
+                copy[rnd.randrange(len(copy))] = f"e{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    shared = " ".join(f"p{k}" for k in range(12))
+    rows += [(1000 + k, " ".join(f"r{k}x{i}" for i in range(8)) + " " + shared) for k in range(30)]
+    rnd.shuffle(rows)
+    check(nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect(), rows)
