@@ -2,7 +2,8 @@
 
 Three fixed patterns give the base spans. The method adds spans of kind ``owned``: long mixed tokens whose hash,
 over the whole corpus, belongs to one owner only. Each document counts as the place a candidate stands in and its
-source as the owner; a candidate that several owners hold is a copied example, not a live credential.
+source as the owner. The values of base spans are candidates too. A candidate that several owners hold, or many
+documents of one owner, is a copied example, not a live credential.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 VALUE_CHARS, HINT = 6, r"(?i)passw|secret|token|api_?key"
 #: A candidate for ownership: a run of token characters with a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
 #: Owners that may hold a candidate before it counts as a copied example.
 MOST_OWNERS = 1
+#: Documents that may hold it.
+MOST_PLACES = 10
+LIVE, COPIED = "live", "copied"
 
 
 def match_spans(text: Column, pattern: str, kind: str, rank: int) -> Column:
@@ -51,7 +55,9 @@ def _listed(spans: Column) -> Column:
 def scan(df: DataFrame, text: str = "text", owner: str = "source", row_id: str = "doc_id") -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, base and spans (arrays of span structs) and candidates with verdicts.
 
-    Null and empty texts have no spans. A null owner is an owner of its own. Rows repeated with the same id and
+    Candidates are structs of start, rank, kind, stop, hash, places, owners and verdict (live or copied), of all base
+    spans and long mixed tokens; the hash of an assignment is its value's. ``spans`` holds the base spans and the live
+    tokens. Null and empty texts have no spans. A null owner is an owner of its own. Rows repeated with the same id and
     text hold the same spans and count once as a place. Long texts are scanned whole.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -71,12 +77,18 @@ def scan(df: DataFrame, text: str = "text", owner: str = "source", row_id: str =
         owned.alias("c"),
     )
     found = materialise(found)
-    places = found.select("doc_id", "owner", "text_key", F.explode("c").alias("span")).select("doc_id", "owner", "text_key", "span", F.sha2(F.col("span.body").cast("binary"), 256).alias("hash"))
-    # Owners of a candidate first per owner, then over owners: both sums combine before they are shuffled.
-    owners = places.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("places"))
-    live = owners.filter(F.col("owners") <= MOST_OWNERS)
-    added = places.join(live, "hash").groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("added"))
-    added = added.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "added")
+    value = lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["body"], ASSIGN, 1)).otherwise(s["body"])
+    spans = found.select("doc_id", "owner", "text_key", F.explode(F.concat("a", "k", "h", "c")).alias("span"))
+    spans = spans.withColumn("hash", F.sha2(value(F.col("span")).cast("binary"), 256))
+    # Distinct places first, then per owner, then over owners: all three combine before they are shuffled.
+    places = spans.select("hash", "owner", "doc_id", "text_key").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    counts = places.groupBy("hash").agg(F.sum("n").alias("places"), F.count("*").alias("owners"))
+    live = (F.col("owners") <= MOST_OWNERS) & (F.col("places") <= MOST_PLACES)
+    counts = counts.withColumn("verdict", F.when(live, LIVE).otherwise(COPIED))
+    candidate = F.struct("span.start", "span.rank", "span.kind", "span.stop", "hash", "places", "owners", "verdict")
+    own = F.when((F.col("span.kind") == "owned") & (F.col("verdict") == LIVE), F.col("span"))
+    added = spans.join(counts, "hash").groupBy("doc_id", "text_key").agg(F.collect_set(own).alias("added"), F.collect_set(candidate).alias("candidates"))
+    added = added.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "added", F.array_sort("candidates").alias("candidates"))
     joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")), "left")
     base = F.concat("a", "k", "h")
     return joined.select(
@@ -86,9 +98,19 @@ def scan(df: DataFrame, text: str = "text", owner: str = "source", row_id: str =
         F.size("h").cast("long").alias("n_hex"),
         base.alias("base"),
         F.concat(base, F.coalesce("added", none)).alias("spans"),
+        F.coalesce("candidates", F.array().cast(added.schema["candidates"].dataType)).alias("candidates"),
     )
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan(documents(spark, sf_dir))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    verdict = lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["stop"].cast("string"), c["places"].cast("string"), c["owners"].cast("string"), c["verdict"])
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("candidates", verdict), ",").alias("candidates"),
+    )

@@ -42,3 +42,17 @@ def test_ownership(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(df).collect()}
     assert got == {1: ["owned"], 2: [], 3: [], 4: ["owned"]}
+
+
+def test_both_counts_decide_over_all_candidates(spark):
+    """A key in many documents of one owner is copied; rows repeated count once; base and very long values are counted."""
+    many, few, long = "Mm1" + "b2C" * 8, "Ff2" + "d3E" * 8, "Ll3" + "q4R" * 100
+    data = [(k, f"x {many}", "a") for k in range(secrets.MOST_PLACES + 1)]
+    data += [(100, f"y {few}", "a")] * (secrets.MOST_PLACES + 5) + [(101, long, "b"), (102, "password=hunter22", "a"), (103, "token: hunter22", "b")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = secrets.scan(df).collect()
+    assert len(rows) == len(data)
+    got = {r.doc_id: ([s.kind for s in r.spans], [(c.kind, c.places, c.owners, c.verdict) for c in r.candidates]) for r in rows}
+    assert got[0] == ([], [("owned", secrets.MOST_PLACES + 1, 1, "copied")])
+    assert got[100] == (["owned"], [("owned", 1, 1, "live")]) and got[101] == (["owned"], [("owned", 1, 1, "live")])
+    assert got[102] == got[103] == (["assign"], [("assign", 2, 2, "copied")])
