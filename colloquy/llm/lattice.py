@@ -5,7 +5,8 @@ rank among the vocabulary's scores, corrected by its expected uses in the distin
 forward recursion over the word's characters sums the products of all ways to cut it up. That gives every word, seen or
 not, its lattice probability L(w). The corpus also enters as a whole-word edge beside the lattice:
 P(w) = (c(w) + K * L(w)) / (N + K), where c and N count the training tokens, text ends included, and K is the number of
-words seen once. A text's score is the log10 of the product over its words and its end.
+words seen once. The lattice also tells whether a text ends: L is ``END`` for the end and sums to the rest over all
+words, so P is a distribution. A text's score is the log10 of the product over its words and its end.
 
 Counts cover all training documents. The most frequent words, a bounded number of them, are broadcast; all others
 meet their counts in a join, so the vocabulary may grow with the corpus. A frequent word is never shuffled per
@@ -29,6 +30,8 @@ from .common import crc_bucket, documents, materialise, mix64
 FREQUENT = 50_000
 #: Uses that the vocabulary's own weights count for beside the corpus.
 PRIOR = 1_000.0
+#: The lattice's probability of a text's end; all words share the rest.
+END = 0.5
 #: Smoothing of the base score (fixed values of the contract).
 ALPHA = 0.1
 _UPPER = bytes(range(65, 91))
@@ -56,7 +59,7 @@ def default_vocabulary() -> str:
 
 
 class Lattice:
-    """Marginal log10 probability of a word over all segmentations.
+    """Marginal log10 probability of a word over all segmentations; over all words the probabilities sum to 1 - ``END`` at most.
 
     ``pieces`` are (piece, score); ``seen`` are expected uses of arcs in the corpus, by label: ``^`` and a piece that
     begins a word, ``+`` and one inside, ``^0`` and ``+0`` for any byte, ``.`` for a word's end.
@@ -81,7 +84,8 @@ class Lattice:
         # A word goes on with the inner pieces' share of the uses, before any with their share of the vocabulary.
         share = prior["+"] / (prior["+"] + prior["^"])
         go = math.log((uses["+"] + PRIOR * share) / (uses["+"] + uses["."] + PRIOR))
-        self.stop = math.log((uses["."] + PRIOR * (1 - share)) / (uses["+"] + uses["."] + PRIOR))
+        # Every word passes the stop once: it also takes off what the text's end has.
+        self.stop = math.log((uses["."] + PRIOR * (1 - share)) / (uses["+"] + uses["."] + PRIOR)) + math.log(1 - END)
         self.first = {p: log_of("^", p, w) for p, w in first.items() if p}
         self.bare = log_of("^", "", first[""])  # the bare mark: the first piece holds none of the word's characters
         self.inner = {p: log_of("+", p, w) + go for p, w in inner.items()}
@@ -366,9 +370,9 @@ def score_texts(df: DataFrame, held_out, vocab_path: str, text: str = "text", ro
     base = F.log10((F.col("c") + ALPHA) / F.lit(n + ALPHA * (v + 1)))
     score = F.when(F.col("c") > 0, F.log10((F.col("c") + strength * F.pow(F.lit(10.0), F.col("lattice"))) / F.lit(n + strength))).otherwise(F.col("lattice") + math.log10(strength / (n + strength)))
     tails = rare.join(words, "word").groupBy("_row").agg(F.sum(F.col("k") * base).alias("b"), F.sum(F.col("k") * score).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("known"))
-    # The end of a text is a token as any other: seen in every training text, and no word's lattice reaches it.
+    # The end of a text is a token as any other: seen in every training text, and in the lattice beside all words.
     end_base = math.log10((ends + ALPHA) / (n + ALPHA * (v + 1)))
-    end_score = math.log10((ends + strength / 2) / (n + strength)) if n else math.log10(0.5)
+    end_score = math.log10((ends + strength * END) / (n + strength)) if n else math.log10(END)
     joined = parts.join(tails, "_row", "left")
     zero = F.lit(0.0)
     return joined.select(

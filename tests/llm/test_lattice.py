@@ -1,9 +1,11 @@
+import itertools
 import math
 import re
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import lattice
 
@@ -98,3 +100,25 @@ def test_many_words_at_once_equal_one_by_one():
         PRIOR_MODEL.expect(w, one)
     lattice.expect_many(PRIOR_MODEL, words, many)
     assert {k: v for k, v in many.items() if v > 1e-6} == pytest.approx({k: v for k, v in one.items() if v > 1e-6}, rel=1e-6, abs=1e-6)
+
+
+def test_words_and_end_share_one_mass():
+    """Over all words of up to four letters of a small alphabet, rarer ways left out, and the end: close to 1, never above."""
+    pieces = [("▁a", -0.0), ("b", -1.0), ("▁ab", -2.0), ("a", -4.0), ("▁b", -5.0)]
+    uses = {"^a": 1e7, "^b": 1e7, "+a": 1e6, "+b": 1e6, ".": 2e7}
+    model = lattice.Lattice(pieces, uses)
+    words = [w for n in range(1, 9) for w in map("".join, itertools.product("ab", repeat=n))]
+    c, ends, k = {"a": 7, "ab": 2, "b": 1}, 5, 30.0
+    n = sum(c.values()) + ends
+    mass = lambda end: (ends + k * end) / (n + k) + sum((c.get(w, 0) + k * 10 ** model.word(w.encode())) / (n + k) for w in words)
+    assert 0.99 < mass(0.5) <= 1 + 1e-9
+
+
+def test_query_scores_end_and_words_with_one_mass(spark):
+    """The score of an empty text is its end's; with all likely words' lattice shares it makes 1 at most."""
+    docs = spark.createDataFrame([(k, "a" if k % 2 else "b ab", None) for k in range(40)] + [(99, "", None)], "doc_id long, text string, source string")
+    got = lattice.score_texts(docs, F.col("doc_id") == 99, lattice.default_vocabulary()).filter("doc_id = 99").first()
+    n, ends, once = 40 + 60, 40, 1
+    assert 10**got.score == pytest.approx((ends + once * lattice.END) / (n + once))
+    shares = sum(10 ** PRIOR_MODEL.word(w.encode()) for w in [p for p in PRIOR_MODEL.first])
+    assert 0 < shares <= 1 - lattice.END
