@@ -3,7 +3,8 @@
 A text's words run through overlapping windows of ``WINDOW`` words, ``STRIDE`` apart. A word enters as the sum of an
 embedding of its own, where training knew it, and the mean embedding of its hashed character n-grams. Two gated
 recurrent layers read the window in both directions, attention weighs their states, and a logistic unit scores the
-pooled state. A text's score is that of its worst window; all windows of all texts are scored.
+pooled state. A text's score is that of its worst window; all windows of all texts are scored. A letter run of more than ``LONGEST`` letters, such as unspaced text, is cut into overlapping pieces of ``PIECE``
+letters, each a word of the windows: every letter reaches the network.
 
 The network is trained in numpy on a bounded sample of labelled texts (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``, of at most
 ``SAMPLE_WORDS`` words each, drawn by a hash of the id). A label holds for a text, not for its windows, so each toxic
@@ -27,6 +28,8 @@ from .common import crc_bucket, documents, mix64
 
 WINDOW, STRIDE = 16, 8
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 1_200, 1_800, 4_000
+#: Letters of a run that stays one word; length of the pieces of longer ones, and how far apart they begin.
+LONGEST, PIECE, PIECE_STEP = 48, 12, 4
 EMBED, HIDDEN, ATTEND = 12, 8, 8
 VOCABULARY, GRAMS = 20_000, 1 << 15
 EPOCHS, BATCH, RATE = 14, 256, 0.01
@@ -38,15 +41,16 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_runs(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """A text's words: its letter runs, long ones in overlapping pieces."""
+    runs = _LETTERS.findall((text or "").lower())
+    if max(map(len, runs), default=0) <= LONGEST:
+        return runs
+    return [w for r in runs for w in ([r] if len(r) <= LONGEST else [r[k : k + PIECE] for k in range(0, len(r) - PIECE + PIECE_STEP, PIECE_STEP)])]
 
 
 def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): word i's n-grams of 3 to 5 bytes, ends marked, are hashes[bounds[i]:bounds[i + 1]].
-
-    Of a word of more than 48 letters, the first and last 24 count.
-    """
-    raw = [f"<{w if len(w) <= 48 else w[:24] + w[-24:]}>".encode() for w in words]
+    """(hashes, bounds): word i's n-grams of 3 to 5 bytes, ends marked, are hashes[bounds[i]:bounds[i + 1]]."""
+    raw = [f"<{w}>".encode() for w in words]
     lengths = np.array([len(r) for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
     owner, ends = np.repeat(np.arange(len(raw)), lengths), np.repeat(np.cumsum(lengths), lengths)

@@ -68,3 +68,31 @@ def test_portions_of_a_long_text_hold_the_same_windows():
 
 def test_without_both_labels_there_is_no_network():
     assert tox.train(["a b", "c d"], [0, 0]) is None and tox.train(["", "1"], [0, 1]) is None
+
+
+def test_long_runs_reach_the_network_whole():
+    for n in (48, 49, 50, 51, 52, 53, 500):
+        run = "".join(random.Random(n).choice("abcdefghij") for _ in range(n))
+        pieces = tox.letter_runs(f"x {run} y")[1:-1]
+        assert (pieces == [run]) == (n <= 48)
+        assert {run[k : k + 5] for k in range(n - 4)} <= {w[k : k + 5] for w in pieces for k in range(len(w) - 4)}
+        assert pieces[0][0] == run[0] and run.endswith(pieces[-1])
+
+
+def test_a_stem_in_the_middle_of_unspaced_text():
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    vocab = [word() for _ in range(400)]
+
+    def words(toxic):
+        out = [rnd.choice(vocab) for _ in range(60)]
+        if toxic:
+            out[30] = "zork" + rnd.choice("abcd") + rnd.choice("abcd")
+        return out
+
+    labels = [k % 3 == 0 for k in range(400)]
+    net = tox.train([" ".join(words(y)) for y in labels], [int(y) for y in labels])
+    fresh = [k % 2 == 0 for k in range(100)]
+    logits = tox.Scorer(net).logits(["".join(words(y)) for y in fresh])
+    toxic, clean = logits[np.array(fresh)], logits[~np.array(fresh)]
+    assert np.mean(toxic[:, None] > clean[None, :]) >= 0.9
