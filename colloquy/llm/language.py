@@ -4,9 +4,9 @@ A word seen in training scores by its log frequency per language; an unseen one
 n-grams, from the longest length of which training knows one down to single letters. A text's score sums over its
 words, and the posterior of the best language is returned.
 
-The model is fitted on a bounded sample: about ``SAMPLE_DOCS`` labelled documents a language, drawn by a hash of their
-text, of which the ``MODEL_WORDS`` and ``MODEL_GRAMS`` most frequent entries are kept. These bounds fix the size of
-what is broadcast. Every document is scored whole.
+The model is fitted on a bounded sample: at most ``SAMPLE_DOCS`` distinct labelled texts a language, drawn by a hash.
+All words and n-grams of the sample are kept. What is broadcast grows with the languages and the sample's vocabulary,
+not with the input. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -17,14 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, documents
+from .common import crc_bucket, documents, materialise
 
 SAMPLE_DOCS = 1_500
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 60_000
 LONGEST_GRAM = 4
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 300_000
@@ -58,22 +56,23 @@ class Model:
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(langs)), np.float32)
 
-    def _logs(self, counts: dict[str, list[int]]) -> dict[str, np.ndarray]:
+    def _logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
+        """Rows by entry, and the rows."""
         if not counts:
-            return {}
+            return {}, np.zeros((0, len(self.langs)), np.float32)
         table = np.array(list(counts.values()), float) + 0.05
         logs = np.log(table / table.sum(0))
         # Only differences between languages decide; an entry's mean is taken off so that long texts stay in range.
-        return dict(zip(counts, (logs - logs.mean(1, keepdims=True)).astype(np.float32)))
+        return dict(zip(counts, range(len(counts)))), (logs - logs.mean(1, keepdims=True)).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+        rows, logs = self.words
+        if (found := rows.get(word)) is not None:
+            return logs[found]
         for n in range(LONGEST_GRAM, 0, -1):
-            table = self.pieces.get(n)
-            if table and (hits := [table[g] for g in grams(word, n) if g in table]):
-                return np.sum(hits, axis=0) / math.sqrt(len(hits))
+            rows, logs = self.pieces.get(n, ({}, None))
+            if rows and (hits := [rows[g] for g in grams(word, n) if g in rows]):
+                return np.sum(logs[hits], axis=0) / math.sqrt(len(hits))
         return np.zeros(len(self.langs), np.float32)
 
     def _row(self, word: str) -> int:
@@ -102,13 +101,19 @@ class Model:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the labelled rows of ``df``; rows without text or label teach nothing."""
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(counts)
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    keys = materialise(rows.groupBy("lang", "key").agg(F.count("*").alias("n")))
+    totals = {r.lang: r for r in keys.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
+    langs = sorted(totals)
     if not langs:
         return Model([], {}, {}, [])
-    # A share of each language's texts, by hash: the expected number of documents is bounded, and reruns agree.
-    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1_000_000, 1_000_000 * sample_docs // counts[k] + 1))]), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    per_lang = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("lang"))
+    # Some more than the sample by a share of the distinct texts; then the lowest keys of these, exactly as many as it takes.
+    likely = F.pmod(F.col("key"), F.lit(1_000_000)) < per_lang({k: min(1_000_000, (2 * sample_docs + 100) * 1_000_000 // totals[k].texts + 1) for k in langs})
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    last = {r.lang: r.key for r in keys.filter(likely).withColumn("rank", rank).filter(F.col("rank") == sample_docs).collect()}
+    drawn = likely & (F.col("key") <= per_lang({k: last.get(k, (1 << 63) - 1) for k in langs}))
+    sample = rows.filter(drawn).groupBy("lang", "key").agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[tuple[str, int, str], int] = {}
@@ -128,12 +133,13 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int
             yield pa.RecordBatch.from_arrays([pa.array(kinds[cut]), pa.array(whiches[cut]), pa.array(items[cut]), pa.array(list(out.values())[cut], pa.int64())], names=["kind", "lang", "item", "n"])
 
     seen = sample.mapInArrow(count, "kind string, lang string, item string, n long").groupBy("kind", "item").pivot("lang", langs).agg(F.sum("n")).na.fill(0)
-    total = sum((F.col(f"`{k}`") for k in langs[1:]), F.col(f"`{langs[0]}`"))
-    tables: dict[str, dict[str, list[int]]] = {}
-    for kind, most in (("w", MODEL_WORDS), ("g", MODEL_GRAMS)):
-        kept = seen.filter(F.col("kind") == kind).orderBy(total.desc(), "item").limit(most)
-        tables[kind] = {r[0]: list(r[1:]) for r in kept.select("item", *[f"`{k}`" for k in langs]).collect()}
-    return Model(langs, tables["w"], tables["g"], [counts[k] for k in langs])
+    found = seen.toArrow().sort_by([("kind", "ascending"), ("item", "ascending")])
+    tables: dict[str, dict[str, list[int]]] = {"w": {}, "g": {}}
+    for batch in found.to_batches(max_chunksize=50_000):
+        counts = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=1).tolist()
+        for kind, item, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), counts):
+            tables[kind][item] = n
+    return Model(langs, tables["w"], tables["g"], [totals[k].n for k in langs])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", row_id: str = "doc_id") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from colloquy.llm import language
@@ -26,3 +27,25 @@ def test_backoff_takes_the_longest_known_grams():
     assert model.predict("xabcx")[0] == "b"  # three letters decide before one does
     assert model.predict("aaa")[0] == "a"
     assert model.predict("!!!") == ("und", 0.0)
+
+
+def test_a_small_language_keeps_its_words(spark):
+    """Twenty labelled documents beside two large languages of the same letters."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(7))
+    rows, small = [], [" ".join(word() for _ in range(6)) for _ in range(20)]
+    for lang in ("aa", "bb"):
+        vocab = [word() for _ in range(40_000)]
+        rows += [(" ".join(vocab[k : k + 100] * 2), lang) for k in range(0, len(vocab), 100)]
+    model = language.fit(spark.createDataFrame(rows + [(t, "zz") for t in small], "text string, lang string"))
+    assert [model.predict(t)[0] for t in small] == ["zz"] * 20
+    assert all(model.predict(t)[0] == lang for t, lang in rows[::40])
+
+
+def test_sample_is_of_distinct_texts_and_limited(spark):
+    rows = [(f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}", "aa") for k in range(100)] + [("copy", "aa")] * 50 + [("other", "bb")]
+    rows = [(t.replace("w", "same w", 1), k) for t, k in rows]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample_docs=30)
+    assert len(model.words[0]) in (31, 32) and model.prior[0] > model.prior[1]
+    whole = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample_docs=1000)
+    assert len(whole.words[0]) == 103
