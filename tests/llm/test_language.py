@@ -38,6 +38,7 @@ def test_a_small_language_keeps_its_words(spark):
         vocab = [word() for _ in range(40_000)]
         rows += [(" ".join(vocab[k : k + 100] * 2), lang) for k in range(0, len(vocab), 100)]
     model = language.fit(spark.createDataFrame(rows + [(t, "zz") for t in small], "text string, lang string"))
+    assert {w for t in small for w in t.split()} <= set(model.words[0])
     assert [model.predict(t)[0] for t in small] == ["zz"] * 20
     assert all(model.predict(t)[0] == lang for t, lang in rows[::40])
 
