@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words in every contract of this subpackage.
@@ -36,6 +37,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_rows(df: DataFrame, keys: list[Column], stay: DataFrame, many: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are a row of ``stay``, with all their columns, whatever their names.
+
+    ``stay`` holds each key once, nulls equal to nulls. Keys that are also in ``many`` are those of several rows: of
+    them the row with the least hash of all columns stays.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[k.alias(n) for k, n in zip(keys, names)])
+
+    def on(other: DataFrame, how: str, these: DataFrame) -> DataFrame:
+        other = other.toDF(*[f"of_{n}" for n in names])
+        same = functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"of_{n}")) for n in names])
+        return these.join(other, same, how).select("row", *names)
+
+    kept = on(stay.select(*stay.columns[: len(keys)]), "left_semi", rows)
+    many = many.select(*many.columns[: len(keys)])
+    if many.isEmpty():
+        return kept.select("row.*")
+    one = on(many, "left_semi", kept).groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return on(many, "left_anti", kept).select("row").unionByName(one).select("row.*")
+
+
 def crc_bucket(id_col: str, n: int):
     """crc32 of the id as text, modulo ``n``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -4,14 +4,17 @@ A document is the set of its distinct five-word shingles. Documents with equal s
 joined at a Jaccard similarity of 0.8 or more:
 
 1. Tiles. In any one order of all shingles, two linked sets share one of their first n - ceil(0.8 n) + 1. Shingles that
-   many documents hold come last in that order, so that a shared passage brings few sets together; which ones those are
-   is counted on a quarter of the classes and decides the order only, never the result. A tile is what shares such a
-   shingle; its sets are compared within the size band that can link, that is 0.8 to 1.25 times each other's size.
-2. Bounds. Bitmap signatures of both sets, folded to one length, bound the overlap from above by bit counts.
-3. Proof. Pairs that pass are decided by intersecting the sorted arrays: for each class its least partner first, then
-   what proven links leave in different components. A pair that links already join is not compared again.
-
-Components come from the proven links. Sets are held as 64-bit hashes of shingles.
+   many documents hold come last in that order, so that a shared passage brings few sets together; how many hold one is
+   counted over all documents in a sketch of fixed size, and decides the order only, never the result. A tile is what
+   shares such a shingle and a size band wide enough for every pair that can link.
+2. Groups. Each tile names its least member, the anchor. All tiles of one anchor form one group, so that the hundreds of
+   nearly equal tiles of a family of copies become one, with one row a member.
+3. Proof. Groups are compared inside tasks: bitmap signatures bound the overlap from above by bit counts, and what
+   passes is decided by intersecting the sorted arrays. Pairs that links already join are not compared again, and a task
+   gives no more rows than members: each with the least one it is joined to. Groups beyond a task's size are dealt in
+   chunks first; what is then still apart is compared in pairs of blocks.
+
+Sets are held as 64-bit hashes of shingles, classes as 128-bit sums over their sets.
 """
 
 from __future__ import annotations
@@ -23,19 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, mix64, text_slices, window_hashes, words
+from .common import documents, keep_rows, materialise, mix64, text_slices, window_hashes, words
 from .components import components
 
 WIDTH = 5
 #: Documents per bucket of keys, on average; a bucket is sorted in one task.
 BUCKET_DOCS = 4_000
-#: Sets compared with one set in a task; tiles of more members than PAIRED are compared with their least member first.
-CHUNK_SETS = 256
-PAIRED = 16
-#: Members of a block of a large tile, on average.
-BLOCK_SETS = 1_024
-#: A shingle comes last if this many classes of the counted quarter hold it; of those, the most frequent ones.
-FREQUENT, MOST_FREQUENT = 4, 400_000
+#: Sets, and shingles of all its sets, that a task compares with each other, on average.
+CHUNK_SETS, CHUNK_SHINGLES = 512, 1 << 20
+#: log2 of the counters of the frequency sketch, and of the parts it is added up in.
+COUNTER_BITS, PART_BITS = 24, 9
+#: A shingle that more sets hold is dealt over several buckets; in a full sketch, one that stands out this many times.
+HOT_SETS, STANDS_OUT = 20_000, 8
+#: Size bands: BAND_STEPS of them make a ratio of 1.25; one more is allowed for rounding.
+BAND_STEPS = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,322 +70,366 @@ def _sequence(hashes: np.ndarray) -> np.uint64:
     return total[0]
 
 
-def _segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.uint64)
-
-
-def class_ids(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set; 0 for empty ones."""
+def class_ids(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of each set's 128-bit id; 0 for empty ones."""
     sizes = np.diff(bounds)
     full = np.flatnonzero(sizes)
-    out = np.zeros(len(sizes), np.uint64)
-    out[full] = mix64(_segment_sums(mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1][full]) + sizes[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    return out
+    halves = []
+    for key in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D):
+        out = np.zeros(len(sizes), np.uint64)
+        if len(full):
+            sums = np.add.reduceat(mix64(shingles ^ np.uint64(key)), bounds[:-1][full])
+            out[full] = mix64(sums + sizes[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        halves.append(out)
+    return halves[0], halves[1]
+
+
+def size_band(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) * (BAND_STEPS / np.log(1.25))).astype(np.uint64)
 
 
-def tile_keys(shingles: np.ndarray, bounds: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, shingle) of each set's first shingles, those in the sorted array ``last`` coming last."""
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts in quarters of a power of two, as bytes."""
+    return np.minimum(4 * np.log2(counts + 1.0), 255).astype(np.uint8)
+
+
+def tile_keys(shingles: np.ndarray, bounds: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, key) of each set's first shingles, in order of their counters' ``levels``, then of their keys."""
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    late = np.zeros(len(shingles), bool)
-    if len(last) and len(shingles):
-        late = last[np.minimum(np.searchsorted(last, shingles), len(last) - 1)] == shingles
-    order = np.lexsort((late, owner))  # stable: by hash within
+    keys = mix64(shingles)
+    order = np.lexsort((keys, levels[keys >> np.uint64(64 - COUNTER_BITS)], owner))
     rank = np.arange(len(shingles)) - np.repeat(bounds[:-1], sizes)
     first = rank < (sizes - -(-4 * sizes // 5) + 1)[owner]
-    return owner[first], mix64(shingles[order][first])
+    return owner[first], keys[order][first]
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of four to eight bits a shingle, a power of two of 64-bit words."""
+    """Hashed bitmap of eight to sixteen bits a shingle, a power of two of 64-bit words."""
     bits = 64
-    while bits < 4 * len(shingles):
+    while bits < 8 * len(shingles):
         bits *= 2
     flags = np.zeros(bits, np.uint8)
     flags[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
-def most_overlap(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> int:
-    """An upper bound of the overlap of two sets from their bitmaps: bits of one that the other lacks are elements it lacks."""
-    while len(a) > len(b):
-        a = a.reshape(2, -1)[0] | a.reshape(2, -1)[1]
-    while len(b) > len(a):
-        b = b.reshape(2, -1)[0] | b.reshape(2, -1)[1]
-    return min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+def most_overlap(a: np.ndarray, n_a: int, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of one set and others from bitmaps of one width: a bit that the other lacks is an element it lacks."""
+    here = n_a - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64)
+    there = n_b - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64)
+    return np.minimum(here, there)
 
 
-def linked(a: np.ndarray, bits_a: np.ndarray, b: np.ndarray, bits_b: np.ndarray) -> bool:
-    """Whether 100 * overlap >= 80 * union."""
-    need = -(-4 * (len(a) + len(b)) // 9)
-    if min(len(a), len(b)) < need or most_overlap(bits_a, len(a), bits_b, len(b)) < need:
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= need
+def least_overlap(n_a, n_b):
+    """The overlap that sets of these sizes need: 100 * overlap >= 80 * union."""
+    return -(-4 * (n_a + n_b) // 9)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start, end, data, offsets in text_slices(batch.column(1)):
-            shingles, bounds = shingle_sets(data, offsets)
-            bits = pa.array([bitmap(shingles[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(np.diff(bounds), pa.int64()), pa.array(class_ids(shingles, bounds).view(np.int64)), bits], names=["doc_id", "n_shingles", "class", "bits"])
+class _Once:
+    """Whether an id is met for the first time; forgets when full, so it saves work but proves nothing."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
 
+    def new(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), bool)
+        for k, i in enumerate(ids.tolist()):
+            if i not in self.seen:
+                out[k] = True
+                self.seen.add(i)
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        return out
 
-def _deal(values: np.ndarray, by: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """One row per bucket with its packed values."""
-    bucket = by % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    bucket, values = bucket[order], values[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(bucket))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array([values[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["bucket", "packed"])
 
+_MEMBERS = "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, part int, counts binary"
 
-def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(shingles, bounds, class ids, whether the task meets the class first) by slices of a text column."""
-    seen: set[int] = set()
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, text) to rows of size and class id, and at the task's end to the parts of its counters."""
+    names = [c.split()[0] for c in _MEMBERS.split(", ")]
+    counters, once = np.zeros(1 << COUNTER_BITS, np.uint32), _Once()
     for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column(0), 4 << 20):
+        for start, end, data, offsets in text_slices(batch.column(2)):
             shingles, bounds = shingle_sets(data, offsets)
-            ids = class_ids(shingles, bounds)
-            new = np.zeros(len(ids), bool)
-            for k, i in enumerate(ids.tolist()):
-                if i not in seen:
-                    new[k] = True
-                    seen.add(i)
-            seen = seen if len(seen) < 500_000 else set()
-            yield shingles, bounds, ids, new
+            c1, c2 = class_ids(shingles, bounds)
+            new = np.repeat(once.new(c1), np.diff(bounds))
+            np.add.at(counters, mix64(shingles[new]) >> np.uint64(64 - COUNTER_BITS), 1)
+            part = batch.slice(start, end - start)
+            none = [pa.nulls(end - start, pa.int32()), pa.nulls(end - start, pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), *none], names=names)
+    pieces = counters.reshape(1 << PART_BITS, -1)
+    for k in np.flatnonzero(pieces.any(1)).tolist():
+        packed = pa.compress(pieces[k].tobytes(), "zstd", asbytes=True)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names=names)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of counters added up and turned into levels, with their sum."""
+    width = 1 << (COUNTER_BITS - PART_BITS)
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts = np.frombuffer(pa.decompress(packed.as_buffer(), 4 * width, "zstd"), np.uint32)
+            sums[k] = sums.get(k, 0) + counts.astype(np.uint64)
+    for k, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level(total).tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["part", "levels", "total"])
 
 
-def _counted(n_buckets: int):
-    """Half of the shingles of a quarter of the classes, by bucket."""
+def _sketch(members: DataFrame) -> tuple[np.ndarray, int]:
+    """(level of each counter, level from which a shingle is hot): a fixed number of bytes, whatever the corpus."""
+    rows = members.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(_add_up, "part int, levels binary, total long").collect()
+    levels = np.zeros((1 << PART_BITS, 1 << (COUNTER_BITS - PART_BITS)), np.uint8)
+    for r in rows:
+        levels[r.part] = np.frombuffer(r.levels, np.uint8)
+    mean = sum(r.total for r in rows) >> COUNTER_BITS
+    return levels.ravel(), int(level(np.array([max(HOT_SETS, STANDS_OUT * mean)]))[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingles, bounds, ids, new in _new_sets(batches):
-            pick = np.repeat(new & ((ids >> np.uint64(40)) % np.uint64(4) == 0), np.diff(bounds)) & (shingles < np.uint64(1 << 63))
-            yield _deal(shingles[pick], mix64(shingles[pick]), n_buckets)
 
-    return run
+#: Sixteen bytes of a key record: high half of the key and size band, class id.
+def _keys(n_buckets: int, shared):
+    """Texts to packed records of their sets' keys, by bucket. A hot key's records are dealt over several buckets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (levels, hot), once = shared.value, _Once()
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0), 4 << 20):
+                shingles, bounds = shingle_sets(data, offsets)
+                c1, _ = class_ids(shingles, bounds)
+                docs, keys = tile_keys(shingles, bounds, levels)
+                fresh = once.new(c1)[docs]
+                docs, keys = docs[fresh], keys[fresh]
+                ids, bands = c1[docs], size_band(np.diff(bounds)[docs])
+                of = levels[keys >> np.uint64(64 - COUNTER_BITS)]
+                splits = np.where(of >= hot, np.exp2(of / 4.0) // HOT_SETS + 1, 1).astype(np.uint64)
+                bucket = ((keys & np.uint64(0xFFFFFFFF)) + mix64(ids) % splits) % np.uint64(n_buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                records = np.stack([(keys & ~np.uint64(0xFFFFFFFF)) | bands, ids], 1)[order]
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+                packed = [records[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(bucket)))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
-def _often(table: pa.Table) -> pa.Table:
-    values, n = np.unique(_unpacked(table), return_counts=True)
-    return pa.table({"shingle": values[n >= FREQUENT].view(np.int64), "n": n[n >= FREQUENT].astype(np.int64)})
+    return run
 
 
-def _unpacked(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("packed")])
+def _tiles(shared):
+    """Key records of a bucket to (anchor, member, hot): once each, the members of tiles of two classes or more.
 
+    A hot tile may go on in other buckets: ``hot`` names it, and its anchor here is one of several; else it is -1.
+    """
 
-def _keys(n_buckets: int, last):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingles, bounds, ids, new in _new_sets(batches):
-            docs, keys = tile_keys(shingles, bounds, last.value)
-            docs, keys = docs[new[docs]], keys[new[docs]]
-            # Half of the key beside the bucket, and half of the class: chance meetings do no harm, sets are compared in full.
-            yield _deal((keys & ~np.uint64(0xFFFFFFFF)) | (ids[docs] >> np.uint64(32)), keys & np.uint64(0xFFFFFFFF), n_buckets)
+    def run(table: pa.Table) -> pa.Table:
+        levels, hot_from = shared.value
+        records = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64).reshape(-1, 2) for b in table.column("packed")])
+        high, ids = records[:, 0], records[:, 1]
+        order = np.argsort(high, kind="stable")
+        high, ids = high[order], ids[order]
+        key = high >> np.uint64(32)
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(cuts, len(key)))
+        hot = levels[key[cuts] >> np.uint64(32 - COUNTER_BITS)] >= hot_from
+        met = np.repeat((sizes > 1) | hot, sizes)
+        high, ids, hot = high[met], ids[met], np.repeat(hot, sizes)[met]
+        # Bands step to step + 2 * (BAND_STEPS + 1): of two sets that can link, the smaller one's step holds both.
+        step = (high & np.uint64(0xFFFFFFFF)) // np.uint64(BAND_STEPS + 1) + np.uint64(1)
+        tile = np.concatenate([(high & ~np.uint64(0xFFFFFFFF)) | step, (high & ~np.uint64(0xFFFFFFFF)) | (step - np.uint64(1))])
+        ids, hot = np.concatenate([ids, ids]), np.concatenate([hot, hot])
+        order = np.lexsort((ids, tile))
+        tile, ids, hot = tile[order], ids[order], hot[order]
+        once = np.ones(len(tile), bool)
+        once[1:] = (tile[1:] != tile[:-1]) | (ids[1:] != ids[:-1])
+        tile, ids, hot = tile[once], ids[once], hot[once]
+        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(cuts, len(tile)))
+        anchor = np.repeat(ids[cuts], sizes)
+        told = hot | (anchor != ids)
+        rows = np.stack([anchor, ids, np.where(hot, tile, ~np.uint64(0))], 1)[told]
+        rows = np.unique(rows, axis=0).view(np.int64)
+        return pa.table({c: pa.array(rows[:, k].copy()) for k, c in enumerate(("anchor", "member", "hot"))})
 
     return run
 
 
-def _tiles(table: pa.Table) -> pa.Table:
-    """Pairs of small tiles (tile null), and of large ones (tile, least member, other) for each other member; each once."""
-    values = np.unique(_unpacked(table))
-    keys, members = values >> np.uint64(32), (values & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(cuts, len(values)))
-    pairs = []
-    for k in range(2, PAIRED + 1):
-        at = cuts[sizes == k]
-        if len(at):
-            i, j = np.triu_indices(k, 1)
-            pairs.append(members[at[:, None] + i].ravel() << 32 | members[at[:, None] + j].ravel())
-    pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    out = {"tile": [np.full(len(pairs), -1)], "a": [pairs >> 32 & 0xFFFFFFFF], "b": [pairs & 0xFFFFFFFF]}
-    seen: set[int] = set()
-    mixed = mix64(members.astype(np.uint64) + np.uint64(77))
-    for at, n in zip(cuts[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist()):
-        tile = (int(mixed[at : at + n].sum(dtype=np.uint64)) ^ n) >> 1
-        if tile not in seen:
-            seen.add(tile)
-            out["tile"].append(np.full(n - 1, tile))
-            out["a"].append(np.full(n - 1, members[at]))
-            out["b"].append(members[at + 1 : at + n])
-    return pa.table({c: np.concatenate(v).astype(np.int64) for c, v in out.items()})
-
-
-def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (lead, n_a, bits_a, member, n_b, bits_b) whose bitmaps leave room for the overlap needed."""
-    for batch in batches:
-        rows = zip(batch.column(1).to_pylist(), batch.column(2), batch.column(4).to_pylist(), batch.column(5))
-        room = [most_overlap(np.frombuffer(a.as_buffer(), np.uint64), n, np.frombuffer(b.as_buffer(), np.uint64), m) * 9 >= 4 * (n + m) for n, a, m, b in rows]
-        yield batch.select([0, 3]).filter(pa.array(room, pa.bool_()))
+def _groups(tiles: DataFrame) -> DataFrame:
+    """Distinct (anchor, member); the parts of a hot tile get the least of their anchors."""
+    plain = tiles.filter("hot = -1").select("anchor", "member")
+    hot = tiles.filter("hot <> -1")
+    if hot.isEmpty():
+        return plain.distinct()
+    tops = hot.groupBy("hot").agg(F.min("anchor").alias("top"))
+    return plain.unionByName(hot.join(tops, "hot").select(F.col("top").alias("anchor"), "member")).filter("anchor <> member").distinct()
 
 
-def _plausible(n: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, partners) among sets in order of size: those whose sizes and bitmaps leave room for a link, each pair once."""
-    words_of = np.array([len(b) for b in bits])
-    for width in np.unique(words_of):
+def _first_of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    once = _Once()
+    for batch in batches:
+        yield batch.filter(pa.array(once.new(batch.column(0).to_numpy()), pa.bool_()))
+
+
+def joined(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """Components (as indices) of sets that start in ``component``, after all links between them; with ``side``, between sides only."""
+    n = np.array([len(s) for s in sets])
+    order = np.argsort(n, kind="stable")
+    bits = [bitmap(sets[k]) for k in order]
+    width = np.array([len(b) for b in bits])
+    n, label = n[order], np.unique(component, return_inverse=True)[1][order]
+    side = None if side is None else side[order]
+    for w in np.unique(width):
         # Partners of the band have bitmaps of this width or, folded, of twice it.
-        at = np.flatnonzero((words_of == width) | (words_of == 2 * width))
-        table = np.stack([bits[k] if len(bits[k]) == width else bits[k][:width] | bits[k][width:] for k in at])
-        sizes = n[at]
-        for row in np.flatnonzero(words_of[at] == width):
-            end = int(np.searchsorted(sizes, sizes[row] * 5 // 4, "right"))
-            others = table[row + 1 : end]
-            if not len(others):
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        table = np.stack([bits[k] if len(bits[k]) == w else bits[k][:w] | bits[k][w:] for k in at])
+        for row in np.flatnonzero(width[at] == w).tolist():
+            i = at[row]
+            end = int(np.searchsorted(n[at], n[i] * 5 // 4, "right"))
+            apart = label[at[row + 1 : end]] != label[i]
+            if side is not None:
+                apart &= side[at[row + 1 : end]] != side[i]
+            rows = row + 1 + np.flatnonzero(apart)
+            if not len(rows):
                 continue
-            here = sizes[row] - np.bitwise_count(table[row] & ~others).sum(1, dtype=np.int64)
-            there = sizes[row + 1 : end] - np.bitwise_count(others & ~table[row]).sum(1, dtype=np.int64)
-            yield at[row], at[row + 1 : end][np.minimum(here, there) * 9 >= 4 * (sizes[row] + sizes[row + 1 : end])]
+            room = most_overlap(table[row], n[i], table[rows], n[at[rows]]) >= least_overlap(n[i], n[at[rows]])
+            for j in at[rows[room]].tolist():
+                if label[j] != label[i] and len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True)) >= least_overlap(n[i], n[j]):
+                    label[label == label[j]] = label[i]
+    out = np.empty_like(label)
+    out[order] = label
+    return out
 
 
-def _in_tile(least_only: bool):
-    """Plausible pairs of a block pair of a tile whose members' components differ: all, or each member's least partner."""
+def _compare(table: pa.Table) -> pa.Table:
+    """The classes of a chunk or of a pair of blocks, each (a) with the least one (b) it is newly joined to."""
+    ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+    table = table.take(pa.array(first))
+    sets = []
+    for chunk in table.column("text").chunks:
+        for _, _, data, offsets in text_slices(chunk):
+            shingles, bounds = shingle_sets(data, offsets)
+            sets += [shingles[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    before, side = table.column("component").to_numpy(), table.column("side").to_numpy()
+    label = joined(sets, before, side if (side != side[0]).any() else None)
+    least = np.full(label.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    # A component that was whole before and has gained none tells nothing.
+    kinds = np.unique(np.stack([label, np.unique(before, return_inverse=True)[1]], 1), axis=0)[:, 0]
+    grown = np.bincount(kinds, minlength=len(least))[label] > 1
+    told = grown & (least[label] != ids)
+    return pa.table({"a": ids[told], "b": least[label][told]})
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("n").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        ids, group, side = (table.column(c).to_numpy() for c in ("class", "component", "side"))
-        bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("bits")]
-        across = bool((side != side[0]).any())  # two blocks: only pairs between them, each block has a group of its own
-        leads, others = [], []
-        for i, partners in _plausible(table.column("n").to_numpy(), bits):
-            partners = partners[(group[partners] != group[i]) & ((side[partners] != side[i]) | (not across))]
-            leads.append(np.minimum(ids[i], ids[partners]))
-            others.append(np.maximum(ids[i], ids[partners]))
-        lead = np.concatenate(leads) if leads else np.zeros(0, np.int64)
-        other = np.concatenate(others) if others else np.zeros(0, np.int64)
-        if least_only and len(lead):
-            order = np.lexsort((lead, other))
-            lead, other = lead[order], other[order]
-            first = np.concatenate([[True], other[1:] != other[:-1]])
-            lead, other = lead[first], other[first]
-        return pa.table({"lead": lead, "member": other})
 
-    return run
+def _shares(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (n and more) by ``by``: the chunks that their number and size ask for."""
+    return rows.groupBy(*by).agg((F.floor(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)) + 1).alias("chunks"))
 
 
-def _tile_pairs(large: DataFrame, part: DataFrame, least_only: bool) -> DataFrame:
-    """Distinct plausible pairs of classes inside large tiles, of different components by ``part``.
+def _compared(placed: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
+    """New connections (a, b) among ``placed`` rows (id, component, side and ``by``), compared by ``by``; materialised."""
+    return materialise(placed.join(texts.select("id", "text"), "id").groupBy(*by).applyInArrow(_compare, "a long, b long").distinct())
 
-    A tile of many members is cut into blocks by a hash; every pair of blocks is a group of bounded size, compared
-    inside a task, and only plausible pairs leave it.
-    """
-    members = large.select("tile", F.col("a").alias("short")).unionByName(large.select("tile", F.col("b").alias("short"))).distinct()
-    labelled = members.join(part.select("short", "class", "component"), "short")
-    sizes = labelled.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.floor(F.count("*") / BLOCK_SETS) + 1).alias("blocks")).filter("lo <> hi").select("tile", "blocks")
-    blocked = labelled.join(sizes, "tile").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("tile", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "class", "component")
-    full = spread.join(part.select(F.col("class"), "n", "bits"), "class")
-    return full.groupBy("tile", "one", "two").applyInArrow(_in_tile(least_only), "lead long, member long").distinct()
-
-
-def _bounded(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of short class ids as classes (lead, member), those that sizes and bitmaps allow."""
-    left = classes.select(F.col("short").alias("a"), F.col("class").alias("lead"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = classes.select(F.col("short").alias("b"), F.col("class").alias("member"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    # Sizes first: bitmaps travel for pairs of one band only.
-    near = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").filter("4 * (n_a + n_b) <= 9 * least(n_a, n_b)").select("a", "b").distinct()
-    full = near.join(left, "a").join(right, "b").filter("lead <> member").select("lead", "n_a", "bits_a", "member", "n_b", "bits_b")
-    kept = full.mapInArrow(_within_bound, "lead long, member long")
-    return kept.select(F.least("lead", "member").alias("lead"), F.greatest("lead", "member").alias("member"))
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lead class, chunk, member class and text to the same with the member's shingles; rows of another text go."""
-    for batch in batches:
-        for start, end, data, offsets in text_slices(batch.column(3)):
-            shingles, bounds = shingle_sets(data, offsets)
-            part = batch.slice(start, end - start)
-            right = pa.array(class_ids(shingles, bounds).view(np.int64) == part.column(2).to_numpy())
-            packed = pa.array([shingles[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], packed], names=["lead", "chunk", "member", "shingles"]).filter(right)
 
+def _every(n) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
-def _prove(table: pa.Table) -> pa.Table:
-    """Links of a lead's set with the other sets of its chunk."""
-    lead, members = table.column("lead")[0].as_py(), table.column("member").to_pylist()
-    sets = {m: np.frombuffer(s.as_buffer(), np.uint64) for m, s in zip(members, table.column("shingles"))}
-    found = []
-    if lead in sets:
-        bits = bitmap(sets[lead])
-        found = [m for m, s in sets.items() if m != lead and linked(sets[lead], bits, s, bitmap(s))]
-    return pa.table({"a": pa.array([lead] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
+def _between_blocks(group: DataFrame) -> DataFrame:
+    """Rows (anchor, id, n, component) of large groups placed into pairs of blocks.
 
-def _proven(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The linked ones of pairs (lead, member), as class ids; materialised. A lead's partners are dealt out in chunks."""
-    pairs = pairs.join(classes.select(F.col("class").alias("lead"), F.col("rep").alias("rep_a")), "lead").join(classes.select(F.col("class").alias("member"), F.col("rep").alias("rep_b")), "member")
-    degree = pairs.groupBy("lead").agg((F.floor(F.count("*") / CHUNK_SETS) + 1).alias("chunks"))
-    dealt = pairs.join(degree, "lead").withColumn("chunk", F.pmod(F.xxhash64("member"), "chunks"))
-    wanted = dealt.select("lead", "chunk", F.col("lead").alias("member"), F.col("rep_a").alias("rep")).distinct().unionByName(dealt.select("lead", "chunk", "member", F.col("rep_b").alias("rep")))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("lead", "chunk", "member", "text")
-    sets = texts.mapInArrow(_sets, "lead long, chunk long, member long, shingles binary")
-    return materialise(sets.groupBy("lead", "chunk").applyInArrow(_prove, "a long, b long").distinct())
+    A group's most frequent component, its hub, is not compared with itself: its blocks meet those of the other
+    components, which also meet each other.
+    """
+    counts = group.groupBy("anchor", "component").agg(F.count("*").alias("k"))
+    hubs = counts.groupBy("anchor").agg(F.max_by("component", "k").alias("hub"), F.count("*").alias("kinds")).filter("kinds > 1").select("anchor", "hub")
+    dealt = group.join(hubs, "anchor").withColumn("in_hub", F.col("component") == F.col("hub")).drop("hub")
+    shares = _shares(dealt, ["anchor", "in_hub"])
+    shares = shares.groupBy("anchor").agg(F.max(F.when(F.col("in_hub"), F.col("chunks"))).alias("hubs"), F.max(F.when(~F.col("in_hub"), F.col("chunks"))).alias("others"))
+    dealt = dealt.join(shares, "anchor").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("in_hub"), F.col("hubs")).otherwise(F.col("others"))))
+    base = ["anchor", "id", "component"]
+    hub = dealt.filter("in_hub").select(*base, _every(F.col("others")).alias("one"), (-1 - F.col("block")).alias("two"), F.lit(-1).cast("long").alias("side"))
+    meet = dealt.filter("not in_hub").select(*base, "block", _every(F.col("hubs")).alias("with"))
+    meet = meet.select(*base, F.col("block").alias("one"), (-1 - F.col("with")).alias("two"), F.lit(0).cast("long").alias("side"))
+    rest = dealt.filter("not in_hub").select(*base, "block", _every(F.col("others")).alias("with"))
+    rest = rest.select(*base, F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), F.col("block").alias("side"))
+    return hub.unionByName(meet).unionByName(rest)
+
+
+def _components(df: DataFrame, text: str, row_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: a row per document; classes; (id, component) of the linked classes)."""
+    spark = df.sparkSession
+    docs = df.select(F.col(f"`{row_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    members = materialise(docs.mapInArrow(_members, _MEMBERS))
+    shared = spark.sparkContext.broadcast(_sketch(members))
+    members = members.filter("part is null").drop("part", "counts")
+    classes = members.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("of_rep"), F.max("text_hash").alias("of_any"), F.max("n_shingles").alias("n"))
+    classes = materialise(classes.select("c1", "c2", "rep", F.coalesce("of_rep", "of_any").alias("text_hash"), "n", F.monotonically_increasing_id().alias("id")))
+
+    n_buckets = max(64, members.count() // BUCKET_DOCS)
+    keys = docs.select("text").mapInArrow(_keys(n_buckets, shared), "bucket long, packed binary")
+    tiles = materialise(keys.groupBy("bucket").applyInArrow(_tiles(shared), "anchor long, member long, hot long"))
+    groups = materialise(_groups(tiles))
+
+    # The texts that groups need, once each.
+    wanted = groups.select(F.col("anchor").alias("c1")).unionByName(groups.select(F.col("member").alias("c1"))).distinct()
+    wanted = classes.join(wanted, "c1").select("id", "c1", "n", F.col("rep").alias("doc_id"), "text_hash")
+    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])
+    texts = docs.join(wanted, same).select(wanted["id"], wanted["c1"], wanted["n"], docs["text"])
+    texts = materialise(texts.mapInArrow(_first_of_class, "id long, c1 long, n long, text string"))
+
+    named = texts.select(F.col("c1").alias("member"), "id", "n").dropDuplicates(["id"])
+    held = groups.unionByName(groups.select("anchor", F.col("anchor").alias("member")).distinct()).join(named, "member")
+    shares = _shares(held, ["anchor"])
+    held = materialise(held.join(shares, "anchor").withColumn("is_anchor", F.col("anchor") == F.col("member")).drop("member"))
+    one = held.select("anchor", "id", F.when(F.col("is_anchor"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("chunks")))).alias("in"))
+    one = one.select("anchor", "id", F.explode("in").alias("chunk"), F.col("id").alias("component"), F.lit(0).cast("long").alias("side"))
+    links = _compared(one, texts, ["anchor", "chunk"])
+    linked = components(links)
+
+    large = held.filter("chunks > 1").select("anchor", "id", "n")
+    if not large.isEmpty():
+        large = materialise(large.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        more = _compared(_between_blocks(large), texts, ["anchor", "one", "two"])
+        if not more.isEmpty():
+            linked = components(links.unionByName(more))
+    return members, classes, linked
 
 
 def jaccard_components(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id and n_class_links (proven links of its class with other classes).
+    """Per row: doc_id, n_shingles and component_id.
 
     Null, empty and white-space texts have no shingles and link with nothing, not even each other. Rows with equal
     sets, repeats included, link. A null id is nobody's component id while its component has another; a component
-    of null ids only has a null one. An empty table gives an empty one; other columns are not read.
+    of null ids only has a null one. An empty table gives an empty one; other columns, whatever their names, are not
+    read. Very long texts are read whole.
     """
-    spark = df.sparkSession
-    docs = df.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    members = materialise(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class long, bits binary"))
-    classes = materialise(
-        members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")).withColumn("short", F.shiftrightunsigned("class", 32))
-    )
-    members = members.drop("bits")
-    n_buckets = max(64, members.count() // BUCKET_DOCS)
-    often = docs.select("text").mapInArrow(_counted(n_buckets), "bucket long, packed binary").groupBy("bucket").applyInArrow(_often, "shingle long, n long")
-    last = [r.shingle for r in often.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()]
-    last = spark.sparkContext.broadcast(np.sort(np.array(last, np.int64).view(np.uint64)))
-    keys = docs.select("text").mapInArrow(_keys(n_buckets, last), "bucket long, packed binary")
-    tiles = materialise(keys.groupBy("bucket").applyInArrow(_tiles, "tile long, a long, b long"))
-
-    large = tiles.filter("tile >= 0")
-    pairs = materialise(_bounded(classes, tiles.filter("tile < 0").select("a", "b").distinct()))
-    alone = classes.withColumn("component", F.col("class"))
-    leads = pairs.unionByName(_tile_pairs(large, alone, True))
-    first = materialise(leads.groupBy("member").agg(F.min("lead").alias("lead")).select("lead", "member"))
-    links = _proven(docs, classes, first)
-    part = materialise(_with_own(classes, components(links)))
-
-    # What these links leave apart: bounded pairs, and plausible ones inside large tiles.
-    one, two = part.select(F.col("class").alias("lead"), F.col("component").alias("ca")), part.select(F.col("class").alias("member"), F.col("component").alias("cb"))
-    rest = pairs.join(one, "lead").join(two, "member").filter("ca <> cb").select("lead", "member").unionByName(_tile_pairs(large, part, False))
-    rest = materialise(rest.distinct().join(first, ["lead", "member"], "left_anti"))
-    if not rest.isEmpty():
-        links = materialise(links.unionByName(_proven(docs, classes, rest)).distinct())
-        part = materialise(_with_own(classes, components(links)))
-
-    degree = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_class_links"))
-    labels = part.select("class", "component")
-    reached = labels.join(classes.select("class", "rep"), "class").groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = labels.join(reached, "component").join(degree, "class", "left").select("class", "component_id", "n_class_links")
-    joined = members.join(answer, "class", "left")
-    return joined.select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links")
-    )
-
-
-def _with_own(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """classes with their component: their own id where no link reaches them."""
-    return classes.join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    members, classes, linked = _components(df, text, row_id)
+    reached = linked.join(classes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    named = classes.join(linked.join(reached, "component").select("id", "least", F.lit(True).alias("is_linked")), "id", "left")
+    named = named.select("c1", "c2", F.when(F.col("is_linked"), F.col("least")).otherwise(F.col("rep")).alias("least"))
+    found = members.join(named, ["c1", "c2"], "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """The rows that stay when one of each component does: the one with the component's id, with all its columns."""
-    columns = df.columns
-    stay = jaccard_components(df, text, row_id).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return df.join(stay, F.col(row_id).eqNullSafe(F.col("_stay"))).select(*[F.col(f"`{c}`") for c in columns])
+    """One row of each component, with all its columns; rows without shingles are nobody's copies and all stay.
+
+    The row with the component's least id stays, null ids last; where that row is itself repeated (same id and text),
+    one of the repeats, the least by a hash of all columns. An empty table gives an empty one. Columns may have any
+    names.
+    """
+    members, classes, linked = _components(df, text, row_id)
+    alone = classes.join(linked, "id", "left_anti").select("rep", "text_hash")
+    first = F.struct(F.col("rep").isNull().alias("none"), "rep", "text_hash")
+    of_linked = linked.join(classes.select("id", "rep", "text_hash"), "id").groupBy("component").agg(F.min(first).alias("first")).select("first.rep", "first.text_hash")
+    stay = alone.unionByName(of_linked)
+    many = members.filter("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1")
+    empty = members.filter("n_shingles = 0").select(F.col("doc_id").alias("rep"), "text_hash").distinct()
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return keep_rows(df, [F.col(f"`{row_id}`").cast("long"), F.xxhash64(whole)], stay.unionByName(empty), many)
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(documents(spark, sf_dir))
 
 
 OP1_SQL = r"""

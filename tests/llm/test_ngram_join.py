@@ -73,9 +73,10 @@ def test_linked_sets_share_a_key():
             b = np.sort(np.concatenate([base[drop:n], base[n : n + rnd.integers(0, max(1, n // 9) + 1)]]))
             if not len(b) or 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
                 continue
-            last = np.sort(rnd.choice(base, n // 3, replace=False))
-            docs, keys = nj.tile_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), last)
+            levels = rnd.integers(0, 5, 1 << nj.COUNTER_BITS).astype(np.uint8)
+            docs, keys = nj.tile_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), levels)
             assert set(keys[docs == 0].tolist()) & set(keys[docs == 1].tolist())
+            assert abs(int(nj.size_band(len(a))) - int(nj.size_band(len(b)))) <= nj.BAND_STEPS + 1
 
 
 def test_bound_is_above_overlap():
@@ -83,7 +84,10 @@ def test_bound_is_above_overlap():
     for _ in range(200):
         base = np.unique(rnd.integers(0, 1 << 63, 300, dtype=np.uint64))
         a, b = (np.sort(rnd.choice(base, rnd.integers(1, 250), replace=False)) for _ in range(2))
-        assert nj.most_overlap(nj.bitmap(a), len(a), nj.bitmap(b), len(b)) >= len(np.intersect1d(a, b))
+        bits = [nj.bitmap(a), nj.bitmap(b)]
+        width = min(len(x) for x in bits)
+        bits = [np.bitwise_or.reduce(x.reshape(-1, width), axis=0) for x in bits]
+        assert nj.most_overlap(bits[0], len(a), bits[1], len(b)) >= len(np.intersect1d(a, b))
 
 
 def test_components(spark):
@@ -98,9 +102,26 @@ def test_near_dedup(spark):
     assert sorted(r.doc_id for r in nj.near_dedup(df).collect()) == [1, 3, 4, 5]
 
 
+def hot(monkeypatch):
+    """Every shingle that two sets hold is hot and dealt over several buckets."""
+    monkeypatch.setattr(nj, "HOT_SETS", 2)
+
+
+def test_repeats_nulls_and_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text)] * 4 + [(None, text + " x"), (None, text.upper()), (7, text + " y"), (7, "p q r s t u v w"), (None, "m n o p q r s"), (None, "m n o p q r s"), (9, ""), (9, ""), (None, None)]
+    names = ["doc_id", "text", "row", "k0", "of_k0", "k1", "component", "rep", "anchor", "id", "n_shingles"]
+    df = spark.createDataFrame([(*r, *range(k, k + 9)) for k, r in enumerate(rows)], ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names)).repartition(3)
+    got = nj.near_dedup(df)
+    assert got.columns == names
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("1", text), ("7", "p q r s t u v w"), ("None", "m n o p q r s"), ("9", ""), ("9", ""), ("None", "None")])
+    check(nj.jaccard_components(df).collect(), rows)
+
+
 def test_large_tiles_in_blocks(spark, monkeypatch):
     """Families of far more copies than a small tile holds, compared in several blocks; many pairs do not link."""
-    monkeypatch.setattr(nj, "BLOCK_SETS", 9)
+    monkeypatch.setattr(nj, "CHUNK_SETS", 9)
+    hot(monkeypatch)
     rnd, rows = random.Random(8), []
     for family, edits in enumerate((1, 3, 6)):
         base = [f"f{family}w{k}" for k in range(90)]
