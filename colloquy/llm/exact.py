@@ -16,10 +16,10 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, documents, materialise
+from .common import SPACE_CHARS, documents, keep_rows, materialise
 
 #: Content bytes that one open-addressing table may hold before its bucket is split into spill files.
 TABLE_BYTES = 48 << 20
@@ -136,60 +136,57 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return grace_merge(pa.RecordBatch.from_arrays(b.columns, names=_SCHEMA.names) for b in batches)
 
 
-def content_groups(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows with their digest, one row per distinct content).
+def _content(text: str) -> Column:
+    """The text without white space; null counts as empty."""
+    return F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACE_CHARS, "")
+
+
+def _keys(text: str, row_id: str) -> list[Column]:
+    """What names a row of a group: the content's digest, the id and the code points of the original text."""
+    return [F.unhex(F.sha2(_content(text).cast("binary"), 256)), F.col(f"`{row_id}`").cast("long"), F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("long")]
+
+
+def content_groups(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """One row per distinct content: digest, best_id and n_points of the row that stays, group_size and n_best.
 
     Contents are equal when identical without white space. Of a group's rows the one with the most code points
-    stays, then the smallest id. ``n_best`` counts rows that tie in both, which only repeated rows can.
+    stays, then the smallest id. ``n_best`` counts rows that tie in both, which only repeated ids can.
     """
-    content = F.translate(F.coalesce(F.col(text), F.lit("")), SPACE_CHARS, "")
-    marked = df.withColumn("_digest", F.unhex(F.sha2(content.cast("binary"), 256)))
-    records = df.select(
-        F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest"),
-        content.alias("content"),
-        F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_points"),
-        F.col(row_id).cast("long").alias("best_id"),
-        F.lit(1).cast("long").alias("group_size"),
-        F.lit(1).cast("long").alias("n_best"),
-    )
+    digest, best, points = _keys(text, row_id)
+    one = F.lit(1).cast("long")
+    records = df.select(digest.alias("digest"), _content(text).alias("content"), points.alias("n_points"), best.alias("best_id"), one.alias("group_size"), one.alias("n_best"))
     merged = records.mapInArrow(_merge, _SQL_SCHEMA).repartition("digest").mapInArrow(_merge, _SQL_SCHEMA)
-    groups = materialise(merged.select(F.col("digest").alias("_digest"), "best_id", "group_size", "n_best"))
-    return marked, groups
+    return materialise(merged.drop("content"))
 
 
 def exact_groups(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Per row: keep_id, group_size, kept, text_sha256, beside the id.
 
     Null text counts as empty; all empty texts are one group. A null id is kept only where no row of its group
-    has one. Rows repeated with the same id and text are one document: each says the same. An empty table gives
-    an empty one. Other columns, whatever their names, are not read.
+    with as many code points has one. Rows of one id that tie in code points too are one document: each says the same.
+    Of rows of one id with other white space, those with the most code points are kept. An empty table gives an empty
+    one. Other columns, whatever their names, are not read.
     """
-    marked, groups = content_groups(df.select(F.col(text).alias("text"), F.col(row_id).alias("doc_id")))
-    joined = marked.select("doc_id", "_digest").join(groups, "_digest")
+    digest, row, points = _keys(text, row_id)
+    rows = df.select(digest.alias("of"), row.alias("doc_id"), points.alias("points"))
+    joined = rows.join(content_groups(df, text, row_id), F.col("of") == F.col("digest"))
     return joined.select(
         "doc_id",
         F.col("best_id").alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("best_id")).alias("kept"),
-        F.lower(F.hex("_digest")).alias("text_sha256"),
+        (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("points") == F.col("n_points"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def exact_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """The rows that stay, one per content, with all their columns.
+    """The rows that stay, exactly one per content, with all their columns, whatever their names.
 
-    The groups' survivors are joined back by id and digest; where a survivor's row is itself repeated, one
-    of the repeats stays.
+    Nulls, empty texts and repeats as in ``exact_groups``; where a survivor's row is itself repeated, one of the
+    repeats stays, the least by a hash of all columns.
     """
-    columns = df.columns
-    marked, groups = content_groups(df, text, row_id)
-    survivors = groups.select(F.col("_digest").alias("_g"), F.col("best_id").alias("_b"), F.col("n_best").alias("_n"))
-    stay = marked.join(survivors, (F.col("_digest") == F.col("_g")) & F.col(row_id).eqNullSafe(F.col("_b")))
-    once = stay.filter("_n = 1")
-    if groups.filter("n_best > 1").isEmpty():
-        return once.select(*[F.col(f"`{c}`") for c in columns])
-    repeated = stay.filter("_n > 1").dropDuplicates(["_digest"])
-    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in columns])
+    groups = content_groups(df, text, row_id).select("digest", "best_id", "n_points", "n_best")
+    return keep_rows(df, _keys(text, row_id), groups, groups.filter("n_best > 1"))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ def brute(rows):
     out = []
     for doc_id, text, *_ in rows:
         body = re.sub(r"[\x20\x09-\x0D]", "", text or "")
-        keep = min(groups[body])[2]
-        out.append((doc_id, keep, len(groups[body]), doc_id == keep, hashlib.sha256(body.encode()).hexdigest()))
+        best = min(groups[body])
+        out.append((doc_id, best[2], len(groups[body]), (-len(text or ""), doc_id is None, doc_id) == best, hashlib.sha256(body.encode()).hexdigest()))
     return Counter(out)
 
 
@@ -31,6 +31,20 @@ def test_dedup_keeps_one_row_a_content(spark, rows):
     assert exact.exact_dedup(df).columns == df.columns
 
 
+def test_repeated_ids_and_clashing_names(spark):
+    """One id with other white space, equal rows, null ids; every name the operator uses is also the caller's."""
+    texts = [(1, "a b"), (1, "ab"), (2, "q r"), (2, "q r"), (2, "q r"), (2, "q r"), (None, "n"), (None, "n"), (3, "x y"), (3, " xy"), (None, None), (4, " ")]
+    names = ["doc_id", "text", "digest", "of", "k0", "k1", "of_k0", "row", "n_best", "best_id", "content", "points", "_digest", "_g", "_b", "_n"]
+    df = spark.createDataFrame([(*t, *[f"{c}{k}" for c in names[2:]]) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names[2:])).repartition(3)
+    assert Counter(map(tuple, exact.exact_groups(df).collect())) == brute(texts)
+    got = exact.exact_dedup(df)
+    assert got.columns == names
+    rows = sorted(map(tuple, got.collect()), key=str)
+    assert Counter(r[0] for r in rows) == Counter([1, 2, None, 3, 4]) and ("a b" in [r[1] for r in rows]) and ("ab" not in [r[1] for r in rows])
+    assert all(len({c[len(n) :] for c, n in zip(r[2:], names[2:])}) == 1 for r in rows)
+    assert sorted(map(tuple, exact.exact_dedup(df.repartition(5)).collect()), key=str) == rows
+
+
 def test_spill_recursion(tmp_path):
     """A table of a few bytes goes through many levels and gives the same groups; nothing is left behind."""
     rows = [(hashlib.sha256(str(k % 300).encode()).digest(), str(k % 300) * 20, k % 7, k, 1, 1) for k in range(3000)]
