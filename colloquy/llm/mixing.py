@@ -12,6 +12,7 @@ blocks and slots stay distributed.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -45,24 +46,28 @@ def water_fill(totals: dict, weights: dict, want: float, most: float = 2.0) -> d
 
 
 def _rank_slots(spark, targets: list[float], quotas: list[int]) -> DataFrame:
-    """(k, rank): source number and 0-based rank of every slot of the schedule, quotas met exactly."""
+    """(k, rank): source number and 0-based rank of every slot of the schedule, quotas met exactly.
+
+    The sources' shares of [0, 1) are cut at the edges of a grid, so that a point finds its source by an equal join
+    with its grid cell, whatever the number of sources.
+    """
     n, total = sum(quotas), sum(targets) or 1.0
-    edges, seen = [], 0.0
-    for t in targets:
-        seen += t
-        edges.append(seen / total)
-    edges[-1] = 2.0
+    edges = [0.0, *itertools.accumulate(t / total for t in targets)]
+    edges[-1] = 1.0
+    cells = 4 * len(targets)
+    shares = [(c, k, lo, hi) for k, (lo, hi) in enumerate(itertools.pairwise(edges)) if hi > lo for c in range(int(lo * cells), min(int(hi * cells), cells - 1) + 1)]
+    shares = spark.createDataFrame(shares, "cell int, k int, lo double, hi double")
     point = F.col("slot") * F.lit(GOLDEN) % 1.0
-    slots = spark.range(n).withColumnRenamed("id", "slot")
-    source = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= point)).cast("int")
-    slots = slots.select("slot", source.alias("k"), F.floor(F.col("slot") / CHUNK_SLOTS).alias("chunk"))
+    slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("point"), F.floor(point * cells).cast("int").alias("cell"))
+    small = F.broadcast if len(targets) <= BROADCAST_SOURCES else lambda table: table
+    slots = slots.join(small(shares), "cell").filter("lo <= point and point < hi").select("slot", "k", F.floor(F.col("slot") / CHUNK_SLOTS).alias("chunk"))
     counts = slots.groupBy("k", "chunk").agg(F.count("*").alias("c"))
     before = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("k", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("k", "chunk").orderBy("slot")
     ranked = slots.withColumn("i", F.row_number().over(inside) - 1).join(starts, ["k", "chunk"]).select("k", (F.col("start") + F.col("i")).alias("rank"))
-    quota = F.element_at(F.array(*[F.lit(int(q)).cast("long") for q in quotas]), F.col("k") + 1)
-    met = ranked.filter(F.col("rank") < quota)
+    asked = small(spark.createDataFrame(list(enumerate(quotas)), "k int, quota long"))
+    met = ranked.join(asked, "k").filter(F.col("rank") < F.col("quota")).select("k", "rank")
     # What the points left short of a quota, a few slots per source, comes at the end.
     have = {r["k"]: r["c"] for r in counts.groupBy("k").agg(F.sum("c").alias("c")).collect()}
     short = [(k, have.get(k, 0), q) for k, q in enumerate(quotas) if have.get(k, 0) < q]
@@ -77,17 +82,19 @@ def mix(df: DataFrame, size: str, weights: list[float], share: float, most: floa
 
     ``weights`` go in turn to the sources in code-point order, null last. ``share`` times all tokens is asked for;
     no source gives more than ``most`` times its tokens, and no row more than ceil(``most``) times its own. A row
-    without tokens gives none; a table without tokens asks for none. Repeated rows each have their own tokens.
-    Reruns agree, and do so for any partitioning.
+    without tokens, or with a null size, gives none; a table without tokens asks for none, an empty one gives an empty
+    one. Repeated rows, null ids too, each have their own tokens; which of fully equal rows gives more is left open.
+    Reruns agree, and do so for any partitioning. Columns of ``df`` may have any names but those three.
     """
     spark = df.sparkSession
-    rows = df.withColumn("_z", F.coalesce(F.col(size).cast("long"), F.lit(0)))
-    found = {r["s"]: (r["z"], r["n"]) for r in rows.groupBy(F.col(source).alias("s")).agg(F.sum("_z").alias("z"), F.count("*").alias("n")).collect()}
+    order, whole = F.xxhash64(F.col(f"`{row_id}`"), F.lit(seed)), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("z"), order.alias("hash"), whole.alias("tie"))
+    found = {r["source"]: (r["z"], r["n"]) for r in rows.groupBy("source").agg(F.sum("z").alias("z"), F.count("*").alias("n")).collect()}
     names = sorted((s for s in found if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in found)
     totals = {s: found[s][0] for s in names}
     targets = water_fill(totals, {s: weights[k % len(weights)] for k, s in enumerate(names)}, share * sum(totals.values()), most)
     if not names:
-        return rows.drop("_z").withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long")})
+        return df.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long")})
 
     goal = {s: round(targets[s]) for s in names}
 
@@ -100,34 +107,33 @@ def mix(df: DataFrame, size: str, weights: list[float], share: float, most: floa
     quotas = [slots_for(s) for s in names]
     info = spark.createDataFrame(
         [(s, k, totals[s], float(targets[s]), goal[s], math.ceil(totals[s] / block), max(1, math.ceil(found[s][1] / BUCKET_ROWS))) for k, s in enumerate(names)],
-        "_source string, _k int, source_size long, target double, _goal long, _blocks long, _buckets long",
+        "named string, k int, source_size long, target double, goal long, blocks long, buckets long",
     )
     # A stable number for each row on its source's token line: shuffled by hash, in buckets that tasks order alone.
     small = F.broadcast(info) if len(names) <= BROADCAST_SOURCES else info
-    named = rows.join(small, F.col(source).eqNullSafe(F.col("_source")))
-    shuffled = F.xxhash64(F.col(row_id), F.lit(seed))
-    lined = named.withColumn("_hash", shuffled).withColumn("_bucket", F.pmod(F.xxhash64(F.col(row_id), F.lit(seed), F.lit("bucket")), F.col("_buckets")))
-    order = Window.partitionBy("_k", "_bucket").orderBy("_hash", row_id, "_z")
-    sums = lined.groupBy("_k", "_bucket").agg(F.sum("_z").alias("_bucket_z"))
-    earlier = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_k", "_bucket", F.coalesce(F.sum("_bucket_z").over(earlier), F.lit(0)).alias("_start"))
-    lined = lined.withColumn("_inside", F.sum("_z").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_z")).join(starts, ["_k", "_bucket"])
-    lined = lined.withColumn("_from", F.col("_start") + F.col("_inside")).withColumn("_place", F.struct("_k", "_bucket", "_from", "_hash"))
-
-    plan = _rank_slots(spark, [targets[s] if totals[s] else 0.0 for s in names], quotas).join(small.select(F.col("_k").alias("k"), "source_size", "_goal", "_blocks"), "k")
-    turn, at = F.floor(F.col("rank") / F.col("_blocks")), F.pmod(F.col("rank"), F.col("_blocks"))
+    lined = rows.join(small, F.col("source").eqNullSafe(F.col("named"))).withColumn("bucket", F.pmod(F.xxhash64("tie"), F.col("buckets")))
+    inner = Window.partitionBy("k", "bucket").orderBy("hash", "tie")
+    sums = lined.groupBy("k", "bucket").agg(F.sum("z").alias("bucket_z"))
+    earlier = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("k", "bucket", F.coalesce(F.sum("bucket_z").over(earlier), F.lit(0)).alias("start"))
+    lined = lined.withColumn("inside", F.sum("z").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("z")).join(starts, ["k", "bucket"])
+    lined = lined.withColumn("begins", F.col("start") + F.col("inside"))
+
+    plan = _rank_slots(spark, [targets[s] if totals[s] else 0.0 for s in names], quotas).join(small.select("k", "source_size", "goal", "blocks"), "k")
+    turn, at = F.floor(F.col("rank") / F.col("blocks")), F.pmod(F.col("rank"), F.col("blocks"))
     # How far into its block the slot reads: to the block's end, or to where the target is met.
-    end = F.least((at + 1) * block, F.col("source_size"), F.col("_goal") - turn * F.col("source_size"))
-    slots = plan.select(F.col("k").alias("_k"), at.alias("_block"), end.alias("_end")).groupBy("_k", "_block").agg(F.sort_array(F.collect_list("_end")).alias("_ends"))
-
-    pieces = lined.filter("_z > 0").select("_k", "_from", "_z", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("_z") - 1) / block))).alias("_block"))
-    begin = F.greatest(F.col("_from"), F.col("_block") * block)
-    stop = F.least(F.col("_from") + F.col("_z"), (F.col("_block") + 1) * block)
-    got = F.aggregate("_ends", F.lit(0).cast("long"), lambda acc, e: acc + F.greatest(F.lit(0).cast("long"), F.least(e, stop) - begin))
-    taken = pieces.join(slots, ["_k", "_block"]).groupBy("_k", "_from").agg(F.sum(got).alias("_taken"))
+    end = F.least((at + 1) * block, F.col("source_size"), F.col("goal") - turn * F.col("source_size"))
+    slots = plan.select("k", at.alias("block"), end.alias("end")).groupBy("k", "block").agg(F.sort_array(F.collect_list("end")).alias("ends"))
+
+    pieces = lined.filter("z > 0").select("k", "begins", "z", F.explode(F.sequence(F.floor(F.col("begins") / block), F.floor((F.col("begins") + F.col("z") - 1) / block))).alias("block"))
+    begin = F.greatest(F.col("begins"), F.col("block") * block)
+    stop = F.least(F.col("begins") + F.col("z"), (F.col("block") + 1) * block)
+    got = F.aggregate("ends", F.lit(0).cast("long"), lambda acc, e: acc + F.greatest(F.lit(0).cast("long"), F.least(e, stop) - begin))
+    taken = pieces.join(slots, ["k", "block"]).groupBy("k", "begins").agg(F.sum(got).alias("taken"))
     # Rows with tokens start at places of their own on their source's line.
-    joined = lined.join(taken.withColumnRenamed("_k", "_tk").withColumnRenamed("_from", "_tf"), (F.col("_k") == F.col("_tk")) & (F.col("_from") == F.col("_tf")) & (F.col("_z") > 0), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    taken = taken.select(F.col("k").alias("of_k"), F.col("begins").alias("at"), "taken")
+    joined = lined.join(taken, (F.col("k") == F.col("of_k")) & (F.col("begins") == F.col("at")) & (F.col("z") > 0), "left")
+    return joined.select("row.*", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def word_count(text: str = "text"):

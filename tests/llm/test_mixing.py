@@ -48,6 +48,29 @@ def test_on_the_synthetic_corpus(spark, real):
     check(rows, mixing.op3_mix(spark, real).collect())
 
 
+def test_repeats_nulls_and_clashing_names(spark):
+    """Every name that the mix uses is also a column of the caller's; rows of one id each have their own tokens."""
+    names = ["k", "z", "hash", "bucket", "row", "named", "goal", "blocks", "begins", "at", "ends", "_k", "_from", "_place"]
+    rows = [(1, 10, "a")] * 4 + [(None, 7, None), (None, 9, None), (2, None, "a"), (3, 0, "b"), (4, 1000, "b")]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, size long, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mix(df, "size", [3.0, 1.0, 2.0], 1.5)
+    assert out.columns == [*df.columns, "source_size", "target", "taken"]
+    got = out.collect()
+    assert Counter(tuple(r)[: 3 + len(names)] for r in got) == Counter(map(tuple, df.collect()))
+    assert all(0 <= r.taken <= 2 * (r["size"] or 0) for r in got)
+    for s in ("a", "b", None):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+    assert sorted(map(str, mixing.mix(df.repartition(7), "size", [3.0, 1.0, 2.0], 1.5).collect())) == sorted(map(str, got))
+
+
+def test_many_sources(spark):
+    """Far more sources than a literal table could name meet their targets."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "1 + id % 7 AS size", "concat('s', id % 1000) AS source")
+    got = mixing.mix(df, "size", [3.0, 1.0, 2.0], 1.5, block=2).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert len(got) == 1000 and all(abs(r["sum(taken)"] - r["max(target)"]) <= 1 for r in got)
+
+
 def test_schedule_interleaves(spark):
     """Any run of slots holds each source near its share: the points are evenly spread."""
     slots = mixing._rank_slots(spark, [600.0, 300.0, 100.0], [600, 300, 100])
