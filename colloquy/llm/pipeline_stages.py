@@ -24,13 +24,27 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Documents as often as the mix takes them: 0, 1 or 2 times."""
-    columns = docs.columns
-    sized = materialise(docs.select("doc_id", "source", mixing.word_count().alias("size")))
+    """Documents as often as the mix takes them: 0, 1 or 2 times, to the nearest.
+
+    Rows are told apart by their id and a hash of all columns; rows equal in all of them come as often as all of them
+    are taken together. A null source is a source, null and empty texts have no words and are not taken, and an empty
+    table gives an empty one. Other columns may have any names.
+    """
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = materialise(docs.select("doc_id", "source", key.alias("key"), mixing.word_count().alias("size")))
     taken = mixing.mix(sized, "size", [3.0, 1.0, 2.0], 1.5)
     times = F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    chosen = taken.select(F.col("doc_id").alias("_id"), F.explode(F.when(times > 0, F.sequence(F.lit(1), times))).alias("_copy"))
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*[F.col(f"`{c}`") for c in columns])
+    chosen = taken.select("doc_id", "key", times.alias("times")).groupBy("doc_id", "key").agg(F.sum("times").cast("int").alias("times"), F.count("*").alias("rows"))
+    chosen = materialise(chosen.filter("times > 0").select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "times", "rows"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").alias("id"), key.alias("key"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
+    once = rows.join(chosen.filter("rows = 1"), same).select("whole", copies.alias("copy")).select("whole.*")
+    many = chosen.filter("rows > 1")
+    if many.isEmpty():
+        return once
+    one = rows.join(many, same, "left_semi").groupBy("id", "key").agg(F.first("whole").alias("whole"))
+    return once.unionByName(one.join(many, same).select("whole", copies.alias("copy")).select("whole.*"))
 
 
 def encode(spark, docs, sf_dir):
