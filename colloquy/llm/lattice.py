@@ -1,12 +1,14 @@
 """Language-model scoring by subword lattice likelihood (operator 6).
 
 The pieces of an existing public vocabulary weigh all segmentations of a word: a piece's probability falls with its
-rank among the vocabulary's scores, corrected by its expected uses in the distinct training words, and a log-space
-forward recursion over the word's characters sums the products of all ways to cut it up. That gives every word, seen or
-not, its lattice probability L(w). The corpus also enters as a whole-word edge beside the lattice:
-P(w) = (c(w) + K * L(w)) / (N + K), where c and N count the training tokens, text ends included, and K is the number of
-words seen once. The lattice also tells whether a text ends: L is ``END`` for the end and sums to the rest over all
-words, so P is a distribution. A text's score is the log10 of the product over its words and its end.
+rank among the vocabulary's scores, corrected by its expected uses in the training words (each as often as it stands
+there), and a log-space forward recursion over the word's characters sums the products of all ways to cut it up. That
+gives every word, seen or not, its marginal probability L(w); over all words they sum to 1 at most. With E, the share of
+text ends among the training tokens, a text's score is the log10 of the product of (1 - E) L(w) over its words, and of E
+for its end: a distribution over texts. The corpus acts through the pieces' weights and E only.
+
+Beside it, ``mixed_score`` lets whole words' counts in: P(w) = (c(w) + K (1 - E) L(w)) / (N + K), where c and N count
+training tokens, ends included, and K is the number of words seen once; words and end sum to 1 there too.
 
 Counts cover all training documents. The most frequent words, a bounded number of them, are broadcast; all others
 meet their counts in a join, so the vocabulary may grow with the corpus. A frequent word is never shuffled per
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from .common import crc_bucket, documents, materialise, mix64
 FREQUENT = 50_000
 #: Uses that the vocabulary's own weights count for beside the corpus.
 PRIOR = 1_000.0
-#: The lattice's probability of a text's end; all words share the rest.
-END = 0.5
+#: Steps of expectation that fit the pieces' weights.
+STEPS = 2
 #: Smoothing of the base score (fixed values of the contract).
 ALPHA = 0.1
 _UPPER = bytes(range(65, 91))
@@ -59,7 +62,7 @@ def default_vocabulary() -> str:
 
 
 class Lattice:
-    """Marginal log10 probability of a word over all segmentations; over all words the probabilities sum to 1 - ``END`` at most.
+    """Marginal log10 probability of a word over all segmentations; over all words the probabilities sum to 1 at most.
 
     ``pieces`` are (piece, score); ``seen`` are expected uses of arcs in the corpus, by label: ``^`` and a piece that
     begins a word, ``+`` and one inside, ``^0`` and ``+0`` for any byte, ``.`` for a word's end.
@@ -84,8 +87,7 @@ class Lattice:
         # A word goes on with the inner pieces' share of the uses, before any with their share of the vocabulary.
         share = prior["+"] / (prior["+"] + prior["^"])
         go = math.log((uses["+"] + PRIOR * share) / (uses["+"] + uses["."] + PRIOR))
-        # Every word passes the stop once: it also takes off what the text's end has.
-        self.stop = math.log((uses["."] + PRIOR * (1 - share)) / (uses["+"] + uses["."] + PRIOR)) + math.log(1 - END)
+        self.stop = math.log((uses["."] + PRIOR * (1 - share)) / (uses["+"] + uses["."] + PRIOR))
         self.first = {p: log_of("^", p, w) for p, w in first.items() if p}
         self.bare = log_of("^", "", first[""])  # the bare mark: the first piece holds none of the word's characters
         self.inner = {p: log_of("+", p, w) + go for p, w in inner.items()}
@@ -124,11 +126,11 @@ class Lattice:
         """log10 of the summed probability of all segmentations; linear in the word's length."""
         return (self.forward(raw.decode("utf-8", "replace"))[0][-1] + self.stop) / math.log(10)
 
-    def expect(self, raw: bytes, into: dict[str, float]) -> None:
-        """Add the expected uses of each arc in the word, given all its segmentations."""
+    def expect(self, raw: bytes, into: dict[str, float], times: float = 1.0) -> None:
+        """Add the expected uses of each arc in the word, given all its segmentations, ``times`` over."""
         word = raw.decode("utf-8", "replace")
         reach, ending = self.forward(word)
-        into["."] = into.get(".", 0.0) + 1.0
+        into["."] = into.get(".", 0.0) + times
         # share[i]: probability that the segmentation has a cut at i.
         share = [0.0] * len(word) + [1.0]
         for i in range(len(word), -1, -1):
@@ -136,7 +138,7 @@ class Lattice:
                 continue
             for j, p, label in ending[i]:
                 use = share[i] * math.exp((reach[j] if j >= 0 else 0.0) + p - reach[i])
-                into[label] = into.get(label, 0.0) + use
+                into[label] = into.get(label, 0.0) + use * times
                 if j >= 0:
                     share[j] += use
 
@@ -214,11 +216,11 @@ class Batch:
     def log10(self) -> np.ndarray:
         return (self.ends + self.lattice.stop) / math.log(10)
 
-    def expect(self, uses: dict[str, np.ndarray]) -> None:
-        """Add expected uses: by piece under + and ^, of bytes under +0 and ^0, of the bare mark and of ends."""
+    def expect(self, uses: dict[str, np.ndarray], times: np.ndarray) -> None:
+        """Add expected uses, each word's ``times`` over: by piece under + and ^, of bytes under +0 and ^0, of the bare mark and of ends."""
         n = len(self.lengths)
         share = np.zeros((n, self.size + 1))
-        share[np.arange(n), self.lengths] = 1.0
+        share[np.arange(n), self.lengths] = times
         for i in range(self.size, 0, -1):
             for label, k, term in self.terms(i):
                 use = share[:, i] * np.exp(term - self.reach[:, i])
@@ -229,7 +231,7 @@ class Batch:
                 if label == "+":
                     share[:, i - max(k, 1)] += use
         uses["bare"] += share[:, 0].sum()
-        uses["end"] += n
+        uses["end"] += times.sum()
 
 
 def _portions(words: list[bytes], size: int = 4096) -> Iterator[tuple[list[int], list[str]]]:
@@ -250,12 +252,13 @@ def score_many(lattice: Lattice, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def expect_many(lattice: Lattice, words: list[bytes], into: dict[str, float]) -> None:
+def expect_many(lattice: Lattice, words: list[bytes], into: dict[str, float], times: np.ndarray | None = None) -> None:
     """Lattice.expect of each."""
+    times = np.ones(len(words)) if times is None else times
     uses = {k: np.zeros(len(t.keys) + 1) for k, t in lattice.tables.items()} | {k: 0.0 for k in ("+0", "^0", "bare", "end")}
     done = set()
     for places, texts in _portions(words):
-        Batch(lattice, texts).expect(uses)
+        Batch(lattice, texts).expect(uses, times[places])
         done.update(places)
     for label, table in lattice.tables.items():
         for k in np.flatnonzero(uses[label][:-1]):
@@ -264,7 +267,7 @@ def expect_many(lattice: Lattice, words: list[bytes], into: dict[str, float]) ->
         into[label] = into.get(label, 0.0) + float(uses[k])
     for k, w in enumerate(words):
         if k not in done:
-            lattice.expect(w, into)
+            lattice.expect(w, into, float(times[k]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,11 +288,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield portion()
 
 
-def _expect(pieces):
+def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, uses = Lattice(pieces.value), {}
+        lattice, uses = model.value, {}
         for batch in batches:
-            expect_many(lattice, batch.column(0).to_pylist(), uses)
+            expect_many(lattice, batch.column(0).to_pylist(), uses, batch.column(1).to_numpy().astype(float))
         yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.float64())], names=["arc", "uses"])
 
     return run
@@ -304,15 +307,42 @@ def _score_words(model):
     return run
 
 
-def _sum_frequent(frequent, n_train: int, n_distinct: int, strength: float):
+class Tokens(NamedTuple):
+    """Training tokens of all kinds: n in all, v distinct, ends among them, and words seen once."""
+
+    n: int
+    v: int
+    ends: int
+    once: int
+
+    @property
+    def end(self) -> float:
+        """The probability that a text ends here."""
+        return (self.ends + 0.5) / (self.n + 1)
+
+    @property
+    def strength(self) -> float:
+        """How many tokens of unseen words to expect: the lattice's weight against the counts, in the mixture."""
+        return float(max(1, self.once))
+
+    def base(self, c: int) -> float:
+        return math.log10((c + ALPHA) / (self.n + ALPHA * (self.v + 1)))
+
+    def mixed(self, c: int, log: float) -> float:
+        """Of a token with ``c`` uses and the log10 probability ``log`` without its count."""
+        return math.log10((c + self.strength * 10.0**log) / (self.n + self.strength)) if c else log + math.log10(self.strength / (self.n + self.strength))
+
+
+def _sum_frequent(frequent, of: Tokens):
     """Per text: sums over its frequent words, and the others as lists of words and of how often each stands there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: (*_logs(c, lattice, n_train, n_distinct, strength), c > 0) for w, c, lattice in frequent.value}
+        goes_on = math.log10(1 - of.end)
+        known = {w: (of.base(c), log + goes_on, of.mixed(c, log + goes_on), c > 0) for w, c, log in frequent.value}
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for text in batch.column(2):
-                base = score = 0.0
+                base = score = mixed = 0.0
                 n = n_known = 0
                 rare: dict[bytes, int] = {}
                 for w, k in Counter(tokens(text.as_py())).items():
@@ -323,66 +353,70 @@ def _sum_frequent(frequent, n_train: int, n_distinct: int, strength: float):
                     else:
                         base += k * found[0]
                         score += k * found[1]
-                        n_known += k * found[2]
-                for column, value in zip(out, (n, n_known, base, score, list(rare), list(rare.values()))):
+                        mixed += k * found[2]
+                        n_known += k * found[3]
+                for column, value in zip(out, (n, n_known, base, score, mixed, list(rare), list(rare.values()))):
                     column.append(value)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "held_out", "n", "n_known", "base", "score", "rare", "times"])
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types))], names=["doc_id", "held_out", "n", "n_known", "base", "score", "mixed", "rare", "times"])
 
     return run
 
 
-def _logs(c: int, lattice: float, n: int, v: int, k: float) -> tuple[float, float]:
-    base = math.log10((c + ALPHA) / (n + ALPHA * (v + 1)))
-    return base, math.log10((c + k * 10.0**lattice) / (n + k)) if c else lattice + math.log10(k / (n + k))
+def fit(counted: DataFrame, pieces: list[tuple[str, float]], steps: int = STEPS) -> Lattice:
+    """The lattice of ``pieces`` after ``steps`` steps of expectation over all distinct words (word, c).
+
+    As many rows come back as the vocabulary has arcs, summed in exact decimals: the order in which parts arrive
+    leaves no trace.
+    """
+    model = Lattice(pieces)
+    for _ in range(steps):
+        shared = counted.sparkSession.sparkContext.broadcast(model)
+        uses = counted.filter("c > 0").mapInArrow(_expect(shared), "arc string, uses double")
+        seen = {r.arc: float(r.uses) for r in uses.groupBy("arc").agg(F.sum(F.col("uses").cast("decimal(38,9)")).alias("uses")).collect()}
+        model = Lattice(pieces, seen)
+    return model
 
 
 def score_texts(df: DataFrame, held_out, vocab_path: str, text: str = "text", row_id: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and mixed_score.
 
     Null texts count as empty: one token, the end. Ends are counted as tokens of one kind. Without any training text
-    every token has count 0. Repeated rows count each. An empty table gives an empty one.
+    every token has count 0. Repeated rows count each. Long texts are scored whole. An empty table gives an empty one;
+    other columns, whatever their names, are not read.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(row_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pieces = spark.sparkContext.broadcast(vocabulary(vocab_path))
-    counted = rows.select("text", "held_out").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    counted = materialise(counted)
-    # One step of expectation over every distinct training word; as many rows come back as the vocabulary has arcs.
-    # Summed in exact decimals: the order in which parts arrive leaves no trace.
-    uses = counted.filter("c > 0").select("word").mapInArrow(_expect(pieces), "arc string, uses double")
-    seen = {r.arc: float(r.uses) for r in uses.groupBy("arc").agg(F.sum(F.col("uses").cast("decimal(30,9)")).alias("uses")).collect()}
-    model = spark.sparkContext.broadcast(Lattice(pieces.value, seen))
+    rows = df.select(F.col(f"`{row_id}`").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    counted = materialise(rows.select("text", "held_out").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    model = spark.sparkContext.broadcast(fit(counted, vocabulary(vocab_path)))
     words = materialise(counted.mapInArrow(_score_words(model), "word binary, c long, lattice double"))
     sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     ends = rows.filter(~F.col("held_out")).count()
-    n, v = (sums.n or 0) + ends, sums.v + (ends > 0)
-    # Words seen once tell how many tokens of unseen words to expect: the lattice's weight against the counts.
-    strength = float(max(1, sums.once))
+    of = Tokens((sums.n or 0) + ends, sums.v + (ends > 0), ends, sums.once)
     often = [tuple(r) for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()]
-    often = [(bytes(w), c, lattice) for w, c, lattice in often]
-    shared = spark.sparkContext.broadcast(often)
+    shared = spark.sparkContext.broadcast([(bytes(w), c, log) for w, c, log in often])
 
-    parts = rows.mapInArrow(_sum_frequent(shared, n, v, strength), "doc_id long, held_out boolean, n long, n_known long, base double, score double, rare array<binary>, times array<long>")
+    parts = rows.mapInArrow(_sum_frequent(shared, of), "doc_id long, held_out boolean, n long, n_known long, base double, score double, mixed double, rare array<binary>, times array<long>")
     # Written, so that a row's number stays with it when an executor is lost.
-    parts = materialise(parts).withColumn("_row", F.monotonically_increasing_id())
-    rare = parts.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
-    base = F.log10((F.col("c") + ALPHA) / F.lit(n + ALPHA * (v + 1)))
-    score = F.when(F.col("c") > 0, F.log10((F.col("c") + strength * F.pow(F.lit(10.0), F.col("lattice"))) / F.lit(n + strength))).otherwise(F.col("lattice") + math.log10(strength / (n + strength)))
-    tails = rare.join(words, "word").groupBy("_row").agg(F.sum(F.col("k") * base).alias("b"), F.sum(F.col("k") * score).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("known"))
-    # The end of a text is a token as any other: seen in every training text, and in the lattice beside all words.
-    end_base = math.log10((ends + ALPHA) / (n + ALPHA * (v + 1)))
-    end_score = math.log10((ends + strength * END) / (n + strength)) if n else math.log10(END)
-    joined = parts.join(tails, "_row", "left")
-    zero = F.lit(0.0)
+    parts = materialise(parts).withColumn("row", F.monotonically_increasing_id())
+    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
+    base = F.log10((F.col("c") + ALPHA) / F.lit(of.n + ALPHA * (of.v + 1)))
+    score = F.col("lattice") + math.log10(1 - of.end)
+    mixed = F.when(F.col("c") > 0, F.log10((F.col("c") + of.strength * F.pow(F.lit(10.0), score)) / F.lit(of.n + of.strength))).otherwise(score + math.log10(of.strength / (of.n + of.strength)))
+    sum_of = lambda x, to: F.sum(F.col("k") * x).alias(to)
+    tails = rare.join(words, "word").groupBy(F.col("row").alias("of_row")).agg(sum_of(base, "b"), sum_of(score, "s"), sum_of(mixed, "m"), F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("known"))
+    joined = parts.join(tails, F.col("row") == F.col("of_row"), "left")
+    whole = lambda seen, tail, end: (F.col(seen) + F.coalesce(tail, F.lit(0.0)) + end)
+    end = math.log10(of.end)
     return joined.select(
         "doc_id",
         "held_out",
         (F.col("n") + 1).alias("n_tokens"),
         (F.col("n_known") + F.coalesce("known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero) + end_base).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero) + end_score).alias("score"),
+        F.lit(of.n).cast("long").alias("train_tokens"),
+        whole("base", "b", of.base(ends)).alias("base_score"),
+        whole("score", "s", end).alias("score"),
+        whole("mixed", "m", of.mixed(ends, end)).alias("mixed_score"),
     )
 
 

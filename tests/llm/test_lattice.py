@@ -18,19 +18,20 @@ def brute(rows):
     docs = [(r[0], zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0, [*re.findall(r"[^\x20\x09-\x0D]+", low(r[1])), None]) for r in rows]
     c = Counter(w for _, held, ws in docs if not held for w in ws)
     n, v = sum(c.values()), len(c)
-    pieces, uses = lattice.vocabulary(lattice.default_vocabulary()), {}
-    for w in c:
-        if w is not None:
-            lattice.Lattice.expect(PRIOR_MODEL, w.encode(), uses)
-    model, k = lattice.Lattice(pieces, uses), max(1, sum(x == 1 for w, x in c.items() if w is not None))
+    pieces, model = lattice.vocabulary(lattice.default_vocabulary()), PRIOR_MODEL
+    for _ in range(lattice.STEPS):
+        uses = {}
+        for w, times in c.items():
+            if w is not None:
+                model.expect(w.encode(), uses, times)
+        model = lattice.Lattice(pieces, uses)
+    k, end = max(1, sum(x == 1 for w, x in c.items() if w is not None)), (c[None] + 0.5) / (n + 1)
     out = []
     for d, held, ws in docs:
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        score = 0.0
-        for w in ws:
-            log = math.log10(0.5) if w is None else model.word(w.encode())
-            score += math.log10((c[w] + k * 10**log) / (n + k)) if c[w] else log + math.log10(k / (n + k))
-        out.append((str(d), held, len(ws), sum(c[w] > 0 for w in ws), n, base, score))
+        logs = [math.log10(end) if w is None else model.word(w.encode()) + math.log10(1 - end) for w in ws]
+        mixed = sum(math.log10((c[w] + k * 10**log) / (n + k)) if c[w] else log + math.log10(k / (n + k)) for w, log in zip(ws, logs))
+        out.append((str(d), held, len(ws), sum(c[w] > 0 for w in ws), n, base, sum(logs), mixed))
     return sorted(out)
 
 
@@ -38,7 +39,7 @@ def brute(rows):
 def test_against_brute_force(spark, corpus, rows, frequent):
     docs = spark.read.parquet(f"{corpus}/full/documents.parquet")
     got = lattice.score_texts(docs, lattice.crc_bucket("doc_id", 10) == 0, lattice.default_vocabulary(), frequent=frequent).collect()
-    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.mixed_score) for r in got)
     for a, b in zip(got, brute(rows), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-6)
 
@@ -48,12 +49,13 @@ def test_empty(spark, corpus):
 
 
 def test_held_out_likelihood(spark, real):
-    """On held-out texts: above a uniform code by far, and above the base where all words are known."""
+    """On held-out texts: above a uniform code by far; the mixture near the base where all words are known, above the lattice in all."""
     got = [r for r in lattice.op6_lattice_score(spark, real).collect() if r.held_out]
     size = {r.doc_id: len(r.text.encode()) for r in spark.read.parquet(f"{real}/documents.parquet").select("doc_id", "text").collect()}
     assert sum(r.score for r in got) > -math.log10(256) * 0.5 * sum(size[r.doc_id] for r in got)
     known = [r for r in got if r.n_known == r.n_tokens]
-    assert sum(r.score for r in known) >= 1.05 * sum(r.base_score for r in known)
+    assert sum(r.mixed_score for r in known) >= 1.05 * sum(r.base_score for r in known)
+    assert sum(r.mixed_score for r in got) > sum(r.score for r in got)
 
 
 def test_forward_sums_all_segmentations():
@@ -103,22 +105,24 @@ def test_many_words_at_once_equal_one_by_one():
 
 
 def test_words_and_end_share_one_mass():
-    """Over all words of up to four letters of a small alphabet, rarer ways left out, and the end: close to 1, never above."""
+    """Over all words of up to eight letters of a small alphabet, rarer ways left out, and the end: close to 1, never above."""
     pieces = [("▁a", -0.0), ("b", -1.0), ("▁ab", -2.0), ("a", -4.0), ("▁b", -5.0)]
     uses = {"^a": 1e7, "^b": 1e7, "+a": 1e6, "+b": 1e6, ".": 2e7}
     model = lattice.Lattice(pieces, uses)
     words = [w for n in range(1, 9) for w in map("".join, itertools.product("ab", repeat=n))]
-    c, ends, k = {"a": 7, "ab": 2, "b": 1}, 5, 30.0
-    n = sum(c.values()) + ends
-    mass = lambda end: (ends + k * end) / (n + k) + sum((c.get(w, 0) + k * 10 ** model.word(w.encode())) / (n + k) for w in words)
-    assert 0.99 < mass(0.5) <= 1 + 1e-9
+    c = {"a": 7, "ab": 2, "b": 1}
+    of = lattice.Tokens(sum(c.values()) + 5, len(c) + 1, 5, 30)
+    goes_on = [model.word(w.encode()) + math.log10(1 - of.end) for w in words]
+    assert 0.99 < of.end + sum(10**x for x in goes_on) <= 1 + 1e-9
+    mixed = 10 ** of.mixed(of.ends, math.log10(of.end)) + sum(10 ** of.mixed(c.get(w, 0), x) for w, x in zip(words, goes_on))
+    assert 0.99 < mixed <= 1 + 1e-9
 
 
 def test_query_scores_end_and_words_with_one_mass(spark):
     """The score of an empty text is its end's; with all likely words' lattice shares it makes 1 at most."""
-    docs = spark.createDataFrame([(k, "a" if k % 2 else "b ab", None) for k in range(40)] + [(99, "", None)], "doc_id long, text string, source string")
-    got = lattice.score_texts(docs, F.col("doc_id") == 99, lattice.default_vocabulary()).filter("doc_id = 99").first()
-    n, ends, once = 40 + 60, 40, 1
-    assert 10**got.score == pytest.approx((ends + once * lattice.END) / (n + once))
-    shares = sum(10 ** PRIOR_MODEL.word(w.encode()) for w in [p for p in PRIOR_MODEL.first])
-    assert 0 < shares <= 1 - lattice.END
+    docs = spark.createDataFrame([(k, "a" if k % 2 else "b ab", None) for k in range(40)] + [(99, "", None), (98, "a", None)], "doc_id long, text string, n string")
+    got = {r.doc_id: r for r in lattice.score_texts(docs, F.col("doc_id") > 90, lattice.default_vocabulary()).collect()}
+    of = lattice.Tokens(40 + 60, 4, 40, 0)
+    assert 10 ** got[99].score == pytest.approx(of.end) and 10 ** got[99].mixed_score == pytest.approx((40 + of.end) / 101)
+    assert 10 ** got[98].score < (1 - of.end) * of.end
+    assert 0 < sum(10 ** PRIOR_MODEL.word(w.encode()) for w in PRIOR_MODEL.first) <= 1
