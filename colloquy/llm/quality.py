@@ -1,14 +1,17 @@
 """Quality rules with adaptive thresholds (operator 8).
 
-Each document's measures are integers. Per language and source a mergeable quantile sketch holds how many documents
-fall into each bucket of a measure: exact below 128, then in steps of one part in 64. Sketches add up, bucket by bucket,
-so partial ones combine before the shuffle and small groups fall back on their language's sum, or on all. A group's
-threshold stands ``SPREADS`` times the distance from median to upper quartile above the upper quartile, and a slack for
-groups without any spread; the measures are then joined with their group's thresholds and filtered.
+Each document's measures are rates, in integers. Per language and source a mergeable quantile sketch holds how many of
+the documents that pass the fixed base rules fall into each bucket of a measure: exact below 128, then in steps of one
+part in 64. Sketches add up, bucket by bucket, so partial ones combine before the shuffle. A group's limit is its ninth
+decile and ``SPREADS`` times the distance from its median to there; both quantiles are weighted means of the group's,
+its language's and all documents', by their numbers of documents, so that a small group leans on its language without
+any step. The measures are then joined with their group's limits and filtered: a document goes when a count exceeds what
+the limit allows a text of its length by more than ``NOISE`` times the chance scatter of such a count.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import _IS_SPACE, documents, materialise, text_slices, window_hashes, words
 
-#: Measure and slack: what an outlier exceeds its group's spread by, at least.
-MEASURES = {"symbols": 150, "repeats": 300, "lines": 300, "upper": 200, "length": 300}
-SPREADS = 4
-#: Documents that a group needs for a threshold of its own.
-LEAST_DOCS = 100
+#: Measure: what is counted, of how many, in what unit, and how many of a kind come together by chance.
+MEASURES = {
+    "symbols": ("n_symbols", "n_words", 1000, 1),
+    "repeats": ("n_repeat_words", "n_words", 1000, 6),
+    "lines": ("n_dup_lines", "n_lines", 1000, 1),
+    "upper": ("n_upper", "word_chars", 1000, 1),
+    "length": ("word_chars", "n_words", 100, 2),
+}
+SPREADS, NOISE = 2, 4
+#: Documents that the wider group counts for in a group's quantiles.
+PRIOR_DOCS = 100
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -79,16 +88,8 @@ def measures(df: DataFrame, carry: dict[str, str], text: str = "text") -> DataFr
     picked = df.select(*[F.col(f"`{c}`").alias(to) for c, to in carry.items()], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     types = [f"`{c}` {t}" for c, t in picked.dtypes[:-1]]
     counted = picked.mapInArrow(_measure, ", ".join([*types, *(f"{c} long" for c in _COUNTS)]))
-    ratio = lambda top, by, below: F.expr(f"CASE WHEN {below} > 0 THEN {by} * {top} DIV {below} ELSE 0 END")
-    return counted.withColumns(
-        {
-            "symbols": ratio("n_symbols", 1000, "n_words"),
-            "repeats": ratio("n_repeat_words", 1000, "n_words"),
-            "lines": ratio("greatest(n_dup_lines - 1, 0)", 1000, "n_lines"),
-            "upper": ratio("n_upper", 1000, "word_chars"),
-            "length": ratio("word_chars", 100, "n_words"),
-        }
-    )
+    rate = lambda count, of, unit: F.expr(f"CASE WHEN {of} > 0 THEN {unit} * {count} DIV {of} ELSE 0 END")
+    return counted.withColumns({m: rate(*how[:3]) for m, how in MEASURES.items()} | {"base_failed": F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")})
 
 
 def bucket(value: Column) -> Column:
@@ -98,52 +99,66 @@ def bucket(value: Column) -> Column:
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, one column t_<measure> each) for every group that occurs."""
+    """(of_lang, of_source, one limit t_<measure> each) for every group with a document that passes the base rules."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES]))
-    sketch = materialise(measured.select("lang", "source", each.alias("x")).select("lang", "source", "x.measure", "x.bucket").groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n")))
+    passed = measured.filter("not base_failed").select("lang", "source", each.alias("x")).select("lang", "source", "x.measure", "x.bucket")
+    sketch = materialise(passed.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n")))
 
     def cut(scope: list[str]) -> DataFrame:
         merged = sketch.groupBy(*scope, "measure", "bucket").agg(F.sum("n").alias("n"))
         group = Window.partitionBy(*scope, "measure")
-        ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-        quartiles = ranked.groupBy(*scope, "measure").agg(
-            F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bucket"))).alias("median"),
-            F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("upper"),
-            F.max("total").alias("docs"),
+        ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
+        return ranked.groupBy(*scope, "measure").agg(
+            F.min(F.when(F.col("upto") * 2 >= F.col("docs"), F.col("bucket"))).alias("middle"),
+            F.min(F.when(F.col("upto") * 10 >= F.col("docs") * 9, F.col("bucket"))).alias("high"),
+            F.max("docs").alias("docs"),
         )
-        slack = F.element_at(F.create_map(*[F.lit(v) for kv in MEASURES.items() for v in kv]), F.col("measure"))
-        limit = F.col("upper") + SPREADS * (F.col("upper") - F.col("median")) + slack
-        return quartiles.groupBy(*scope).agg(*[F.max(F.when(F.col("measure") == m, limit)).alias(f"t_{m}") for m in MEASURES], F.max("docs").alias("docs"))
 
-    own, by_lang, over_all = cut(["lang", "source"]), cut(["lang"]), cut([])
-    rename = lambda d, p: d.select(*[F.col(c).alias(f"{p}{c}") for c in d.columns])
-    joined = own.join(rename(by_lang, "l_"), F.col("lang").eqNullSafe(F.col("l_lang"))).join(rename(over_all, "a_"), F.lit(True))
-    best = [F.when(F.col("docs") >= LEAST_DOCS, F.col(f"t_{m}")).when(F.col("l_docs") >= LEAST_DOCS, F.col(f"l_t_{m}")).otherwise(F.col(f"a_t_{m}")).alias(f"t_{m}") for m in MEASURES]
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *best)
+    def leaning(own: DataFrame, wider: DataFrame, scope: list[str]) -> DataFrame:
+        """``own`` quantiles drawn towards those of ``wider``, which has fewer key columns."""
+        wider = wider.select(*[F.col(c).alias(f"w_{c}") for c in wider.columns])
+        same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in scope])
+        drawn = [F.expr(f"(docs * {q} + {PRIOR_DOCS} * w_{q}) DIV (docs + {PRIOR_DOCS})").alias(q) for q in ("middle", "high")]
+        return own.join(wider, same).select(*[c for c in own.columns if c not in ("middle", "high")], *drawn)
+
+    by_lang = leaning(cut(["lang"]), cut([]), ["measure"])
+    own = leaning(cut(["lang", "source"]), by_lang, ["lang", "measure"])
+    limit = F.col("high") + SPREADS * (F.col("high") - F.col("middle"))
+    wide = own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, limit)).alias(f"t_{m}") for m in MEASURES])
+    return wide.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+
+
+def _exceeds(measure: str) -> Column:
+    """Whether a count is above its limit by more than chance: its excess squared against NOISE squared times what is expected."""
+    count, of, unit, together = MEASURES[measure]
+    allowed = F.col(of) * F.col(f"t_{measure}")
+    excess = unit * F.col(count) - allowed
+    return (excess > 0) & (excess.cast("double") * excess.cast("double") > F.lit(float(NOISE**2 * unit * together)) * (allowed.cast("double") + F.lit(float(unit * together))))
 
 
 def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """``measured`` (with its lang and source) and base_failed and kept. ``limits`` is a written table: Spark knows its size."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    odd = F.lit(False)
-    for m in MEASURES:
-        odd = odd | (F.col(m) > F.col(f"t_{m}"))
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd)
+    """``measured`` (with its lang and source) and kept. ``limits`` is a written table: Spark knows its size."""
+    odd = functools.reduce(lambda a, b: a | b, [_exceeds(m) for m in MEASURES])
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
 
 
 def judge(df: DataFrame, text: str = "text", row_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per row: doc_id, counts, base_failed and kept.
 
     Null text has no words and fails. Null languages and sources are groups of their own. Repeated rows count and are
-    judged alike. An empty table gives an empty one.
+    judged alike, ids are not looked at. Long texts are measured whole. An empty table gives an empty one; other
+    columns, whatever their names, are not read.
     """
     measured = materialise(measures(df, {row_id: "doc_id", lang: "lang", source: "source"}, text))
     return _judged(measured, materialise(thresholds(measured))).select("doc_id", *_COUNTS[:5], "base_failed", "kept")
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows that pass, with all their columns. Rows are measured twice and never shuffled."""
+    """The rows that pass, with all their columns, whatever their names; otherwise as ``judge``.
+
+    Rows are measured twice and never shuffled: measuring again costs less than writing all texts.
+    """
     limits = materialise(thresholds(measures(df, {lang: "lang", source: "source"}, text)))
     names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     measured = measures(df, names, text).withColumns({"lang": F.col(names[lang]), "source": F.col(names[source])})
@@ -154,24 +169,24 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
 
-_SQL_RATIOS = """
-  CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbols,
-  CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats,
-  CASE WHEN n_lines > 0 THEN 1000 * greatest(n_dup_lines - 1, 0) // n_lines ELSE 0 END AS lines,
-  CASE WHEN word_chars > 0 THEN 1000 * n_upper // word_chars ELSE 0 END AS upper,
-  CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS length"""
+def _sql_cut(name: str, scope: str) -> str:
+    over = f"PARTITION BY {scope}measure"
+    return f"""
+{name} AS (SELECT {scope}measure, min(CASE WHEN upto * 2 >= docs THEN bucket END) AS middle, min(CASE WHEN upto * 10 >= docs * 9 THEN bucket END) AS high, max(docs) AS docs
+  FROM (SELECT {scope}measure, bucket, sum(n) OVER ({over} ORDER BY bucket) AS upto, sum(n) OVER ({over}) AS docs
+    FROM (SELECT {scope}measure, bucket, count(*) AS n FROM sketch GROUP BY {scope}measure, bucket)) GROUP BY {scope}measure)"""
 
 
-def _sql_cut(name: str, scope: str) -> str:
-    keys = f"{scope}, " if scope else ""
-    over = f"PARTITION BY {keys}measure"
-    limits = ", ".join(f"max(CASE WHEN measure = '{m}' THEN q3 + {SPREADS} * (q3 - q2) + {s} END) AS t_{m}" for m, s in MEASURES.items())
+def _sql_leaning(name: str, own: str, wider: str, keys: str, same: str) -> str:
+    drawn = ", ".join(f"(o.docs * o.{q} + {PRIOR_DOCS} * w.{q}) // (o.docs + {PRIOR_DOCS}) AS {q}" for q in ("middle", "high"))
     return f"""
-{name}_r AS (SELECT {keys}measure, bucket, sum(n) OVER ({over} ORDER BY bucket) AS upto, sum(n) OVER ({over}) AS total
-  FROM (SELECT {keys}measure, bucket, count(*) AS n FROM sketch GROUP BY {keys}measure, bucket)),
-{name}_q AS (SELECT {keys}measure, min(CASE WHEN upto * 2 >= total THEN bucket END) AS q2, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q3, max(total) AS docs
-  FROM {name}_r GROUP BY {keys}measure),
-{name} AS (SELECT {keys}{limits}, max(docs) AS docs FROM {name}_q {'GROUP BY ' + scope if scope else ''})"""
+{name} AS (SELECT {keys}o.measure, {drawn} FROM {own} o JOIN {wider} w ON o.measure = w.measure{same})"""
+
+
+def _sql_exceeds(measure: str) -> str:
+    count, of, unit, together = MEASURES[measure]
+    allowed, excess = f"({of} * t_{measure})", f"({unit} * {count} - {of} * t_{measure})"
+    return f"({excess} > 0 AND {excess}::DOUBLE * {excess}::DOUBLE > {NOISE**2 * unit * together}::DOUBLE * ({allowed}::DOUBLE + {unit * together}::DOUBLE))"
 
 
 OP8_SQL = (
@@ -188,17 +203,20 @@ counted AS (SELECT l.doc_id, lang, source, len(ws) AS n_words, length(array_to_s
   len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
   coalesce(c.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
   FROM l LEFT JOIN c ON l.doc_id = c.doc_id),
-m AS (SELECT *, """
-    + _SQL_RATIOS
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, """
+    + ", ".join(f"CASE WHEN {of} > 0 THEN {unit} * {count} // {of} ELSE 0 END AS {m}" for m, (count, of, unit, _) in MEASURES.items())
     + """ FROM counted),
-u AS (UNPIVOT (SELECT doc_id, lang, source, symbols, repeats, lines, upper, length FROM m) ON symbols, repeats, lines, upper, length INTO NAME measure VALUE v),
+u AS (UNPIVOT (SELECT doc_id, lang, source, symbols, repeats, lines, upper, length FROM m WHERE NOT base_failed) ON symbols, repeats, lines, upper, length INTO NAME measure VALUE v),
 sketch AS (SELECT lang, source, measure, CASE WHEN v < 128 THEN v ELSE v - v % (1::BIGINT << (length(bin(v)) - 7)::BIGINT) END AS bucket FROM u),"""
-    + ",".join([_sql_cut("own", "lang, source"), _sql_cut("bylang", "lang"), _sql_cut("overall", "")])
+    + ",".join([_sql_cut("over_own", "lang, source, "), _sql_cut("over_lang", "lang, "), _sql_cut("over_all", "")])
+    + ","
+    + _sql_leaning("by_lang", "over_lang", "over_all", "o.lang, ", "")
+    + ","
+    + _sql_leaning("by_own", "over_own", "by_lang", "o.lang, o.source, ", " AND o.lang IS NOT DISTINCT FROM w.lang")
     + f""",
-best AS (SELECT own.lang, own.source, {", ".join(f"CASE WHEN own.docs >= {LEAST_DOCS} THEN own.t_{m} WHEN bylang.docs >= {LEAST_DOCS} THEN bylang.t_{m} ELSE overall.t_{m} END AS t_{m}" for m in MEASURES)}
-  FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang CROSS JOIN overall),
-j AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {" OR ".join(f"m.{m} > best.t_{m}" for m in MEASURES)} AS odd
-  FROM m JOIN best ON m.lang IS NOT DISTINCT FROM best.lang AND m.source IS NOT DISTINCT FROM best.source)
+best AS (SELECT lang, source, {", ".join(f"max(CASE WHEN measure = '{m}' THEN high + {SPREADS} * (high - middle) END) AS t_{m}" for m in MEASURES)} FROM by_own GROUP BY lang, source),
+j AS (SELECT m.*, coalesce({" OR ".join(map(_sql_exceeds, MEASURES))}, false) AS odd
+  FROM m LEFT JOIN best ON m.lang IS NOT DISTINCT FROM best.lang AND m.source IS NOT DISTINCT FROM best.source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT odd AS kept FROM j
 """
 )
