@@ -56,3 +56,31 @@ def test_both_counts_decide_over_all_candidates(spark):
     assert got[0] == ([], [("owned", secrets.MOST_PLACES + 1, 1, "copied")])
     assert got[100] == (["owned"], [("owned", 1, 1, "live")]) and got[101] == (["owned"], [("owned", 1, 1, "live")])
     assert got[102] == got[103] == (["assign"], [("assign", 2, 2, "copied")])
+
+
+def test_very_long_tokens_and_very_many_matches(spark):
+    token = "Aa1" + "xY7zQ" * 2000
+    many = "é ".join(f"token=abc{k:04d}{'' if k % 3 else '!'} {'AKIA' + 'Z' * (14 + k % 5)} {'0af' * (7 + k % 3)}" for k in range(3 * secrets.RUN + 5))
+    rows = [(1, f"x {token} y", "a", 0), (2, many, "b", 0), (3, token[:-1], "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, hash int")
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    assert [(s.kind, s.start, s.stop) for s in got[1].spans] == [("owned", 2, 2 + len(token))] and [s.kind for s in got[3].spans] == ["owned"]
+    found = sorted((s.start, s.rank, f"{s.kind}:{s.start}:{s.stop}") for s in got[2].base)
+    assert [f[2] for f in found] == base(many) and len(found) > 3 * secrets.RUN
+
+
+def test_copied_by_owners_or_by_places(spark, corpus):
+    """A brute count of places and owners over all candidates of the fixture gives the same verdicts."""
+    rows = secrets.scan(spark.read.parquet(f"{corpus}/full/documents.parquet")).collect()
+    text = {(r.doc_id): r for r in spark.read.parquet(f"{corpus}/full/documents.parquet").collect()}
+    places = {}
+    for r in rows:
+        for c in r.candidates:
+            places.setdefault(c["hash"], set()).add((text[r.doc_id].source, r.doc_id, text[r.doc_id].text))
+    for r in rows:
+        for c in r.candidates:
+            at = places[c["hash"]]
+            owners = {p[0] for p in at}
+            assert (c.places, c.owners) == (len(at), len(owners))
+            assert (c.verdict == "live") == (len(owners) <= secrets.MOST_OWNERS and len(at) <= secrets.MOST_PLACES)
+    assert any(r.candidates for r in rows)
