@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import text
-from .operators import mutations, recency, relational, signal, transcripts, vectors
+from .operators import lifecycle, mutations, recency, relational, signal, transcripts, vectors, views
 from .plans import evaluation
 from .streaming import folds
 
-_PARTS = [relational, transcripts, signal, vectors, recency, mutations, text, evaluation, folds]
+_PARTS = [relational, views, lifecycle, transcripts, signal, vectors, recency, mutations, text, evaluation, folds]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.lens import PRINTS, TIMED, table, timed_segments, voice_prints
+from ..sources.lens import PRINTS, SPEAKERS, TIMED, speakers, table, timed_segments, voice_prints
 
 
 def custom_name(name: Column, speaker_id: Column) -> Column:
@@ -92,50 +92,46 @@ def split_column(rows: DataFrame, key: str, column: str) -> tuple[DataFrame, Dat
     return rows.drop(column), rows.filter(F.col(column).isNotNull()).select(key, column)
 
 
-def _speakers(spark, d):
-    return table(spark, d, "supplier").filter("s_suppkey <= 12").select((F.col("s_suppkey") - 1).alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Speaker "), (F.col("s_suppkey") - 1).cast("string"))).otherwise(F.col("s_name")).alias("name"), (F.col("s_suppkey") == 3).alias("is_self"))
-
-
-_SPEAKERS = "(SELECT s_suppkey - 1 AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'Speaker ' || (s_suppkey - 1) ELSE s_name END AS name, s_suppkey = 3 AS is_self FROM supplier WHERE s_suppkey <= 12)"
-
-
 def _merged(spark, d):
-    speakers, segments, prints = merge_speakers(_speakers(spark, d), timed_segments(spark, d), voice_prints(spark, d), 0, 1)
+    people, segments, prints = merge_speakers(speakers(spark, d), timed_segments(spark, d), voice_prints(spark, d), 0, 1)
     held = prints.groupBy("speaker_id").agg(F.count("*").alias("prints"))
     said = segments.groupBy("speaker_id").agg(F.count("*").alias("segments"))
-    return speakers.join(held.withColumnRenamed("speaker_id", "id"), "id", "left").join(said.withColumnRenamed("speaker_id", "id"), "id", "left").select("id", "name", F.coalesce("prints", F.lit(0)).cast("long").alias("prints"), F.coalesce("segments", F.lit(0)).cast("long").alias("segments"))
+    return people.join(held.withColumnRenamed("speaker_id", "id"), "id", "left").join(said.withColumnRenamed("speaker_id", "id"), "id", "left").select("id", "name", F.coalesce("prints", F.lit(0)).cast("long").alias("prints"), F.coalesce("segments", F.lit(0)).cast("long").alias("segments"))
 
 
 def _deleted(spark, d):
-    _, segments, prints = delete_speaker(_speakers(spark, d), timed_segments(spark, d), voice_prints(spark, d), 1)
+    _, segments, prints = delete_speaker(speakers(spark, d), timed_segments(spark, d), voice_prints(spark, d), 1)
     return segments.groupBy("speaker_id").agg(F.count("*").alias("segments")).join(prints.groupBy("speaker_id").agg(F.count("*").alias("prints")), "speaker_id", "full")
 
 
 _NOW = "2025-01-01 00:00:00"
 QUERIES = {
-    "merge_plan": lambda s, d: merge_plan(_speakers(s, d), timed_segments(s, d), 0, 1),
+    "merge_plan": lambda s, d: merge_plan(speakers(s, d), timed_segments(s, d), 0, 1),
     "merge_apply": _merged,
-    "rename_apply": lambda s, d: rename(_speakers(s, d), 4, "  Ann  "),
+    "rename_apply": lambda s, d: rename(speakers(s, d), 4, "  Ann  "),
     "delete_speaker": _deleted,
-    "create_speaker": lambda s, d: create_speakers(ensure_self(_speakers(s, d)), 40, 2),
+    "create_speaker": lambda s, d: create_speakers(ensure_self(speakers(s, d)), 1_000_000, 2),
     "stale_repair": lambda s, d: repair_stale(
         table(s, d, "orders").select(F.col("o_orderkey").alias("meeting_id"), F.when(F.col("o_orderstatus") == "O", "live").when(F.col("o_orderstatus") == "P", "summarizing").otherwise("done").alias("status"), F.col("o_orderdate").alias("ended_at")),
         F.lit(_NOW).cast("timestamp_ntz"),
     ),
-    "sample_pairing": lambda s, d: pair_by_rank(timed_segments(s, d).filter("speaker_id IS NOT NULL AND id % 50 = 7").select("speaker_id", "id"), voice_prints(s, d)),
+    "sample_pairing": lambda s, d: pair_by_rank(timed_segments(s, d).filter("speaker_id IS NOT NULL").select("speaker_id", "id"), voice_prints(s, d)),
     "round_robin": lambda s, d: interleave(voice_prints(s, d).select("id", "speaker_id"), "speaker_id", "id"),
 }
 
+_PLAN = f"""(WITH b AS (SELECT s.*, name <> '' AND name <> 'Speaker ' || id AS custom, (SELECT count(*) FROM {TIMED} t WHERE t.speaker_id = s.id) AS n FROM {SPEAKERS} s WHERE id IN (0, 1)),
+  r AS (SELECT *, row_number() OVER (ORDER BY is_self DESC, custom DESC, n DESC, id) AS k FROM b)
+  SELECT max(id) FILTER (k = 2) AS source, max(id) FILTER (k = 1) AS target, CASE WHEN NOT bool_or(custom) FILTER (k = 1) AND bool_or(custom) FILTER (k = 2) THEN max(name) FILTER (k = 2) ELSE max(name) FILTER (k = 1) END AS name FROM r)"""
 SQL = {
-    "merge_plan": f"SELECT CASE WHEN a.n >= b.n THEN 1 ELSE 0 END AS source, 0 AS target, (SELECT name FROM {_SPEAKERS} WHERE id = 0) AS name FROM (SELECT count(*) AS n FROM {TIMED} WHERE speaker_id = 0) a, (SELECT count(*) AS n FROM {TIMED} WHERE speaker_id = 1) b".replace("CASE WHEN a.n >= b.n THEN 1 ELSE 0 END", "1::BIGINT").replace("0 AS target", "0::BIGINT AS target"),
-    "merge_apply": f"""SELECT s.id, s.name, (SELECT count(*) FROM {PRINTS} p WHERE CASE WHEN p.speaker_id = 1 THEN 0 ELSE p.speaker_id END = s.id) AS prints,
-      (SELECT count(*) FROM {TIMED} t WHERE CASE WHEN t.speaker_id = 1 THEN 0 ELSE t.speaker_id END = s.id) AS segments FROM {_SPEAKERS} s WHERE s.id <> 1""",
-    "rename_apply": f"SELECT id, CASE WHEN id = 4 THEN 'Ann' ELSE name END AS name, is_self FROM {_SPEAKERS}",
+    "merge_plan": f"SELECT * FROM {_PLAN}",
+    "merge_apply": f"""SELECT s.id, CASE WHEN s.id = p.target THEN p.name ELSE s.name END AS name, (SELECT count(*) FROM {PRINTS} x WHERE CASE WHEN x.speaker_id = p.source THEN p.target ELSE x.speaker_id END = s.id) AS prints,
+      (SELECT count(*) FROM {TIMED} t WHERE CASE WHEN t.speaker_id = p.source THEN p.target ELSE t.speaker_id END = s.id) AS segments FROM {SPEAKERS} s, {_PLAN} p WHERE s.id <> p.source""",
+    "rename_apply": f"SELECT id, CASE WHEN id = 4 THEN 'Ann' ELSE name END AS name, is_self FROM {SPEAKERS}",
     "delete_speaker": f"""SELECT coalesce(a.speaker_id, b.speaker_id) AS speaker_id, segments, prints FROM (SELECT CASE WHEN speaker_id <> 1 THEN speaker_id END AS speaker_id, count(*) AS segments FROM {TIMED} GROUP BY 1) a
       FULL JOIN (SELECT speaker_id, count(*) AS prints FROM {PRINTS} WHERE speaker_id <> 1 GROUP BY 1) b ON a.speaker_id = b.speaker_id""",
-    "create_speaker": f"SELECT * FROM {_SPEAKERS} UNION ALL SELECT i, 'Speaker ' || i, false FROM range(41, 43) r(i)",
+    "create_speaker": f"SELECT * FROM {SPEAKERS} UNION ALL SELECT i, 'Speaker ' || i, false FROM range(1000001, 1000003) r(i)",
     "stale_repair": f"SELECT o_orderkey AS meeting_id, 'done' AS status, CASE WHEN o_orderstatus = 'O' THEN TIMESTAMP '{_NOW}' ELSE o_orderdate END AS ended_at, CASE WHEN o_orderstatus = 'P' THEN 'interrupted' END AS summary_error FROM orders",
-    "sample_pairing": f"""SELECT speaker_id, rank::INTEGER AS rank, sample_id, print_id FROM (SELECT speaker_id, id AS sample_id, row_number() OVER (PARTITION BY speaker_id ORDER BY id) AS rank FROM {TIMED} WHERE speaker_id IS NOT NULL AND id % 50 = 7)
+    "sample_pairing": f"""SELECT speaker_id, rank::INTEGER AS rank, sample_id, print_id FROM (SELECT speaker_id, id AS sample_id, row_number() OVER (PARTITION BY speaker_id ORDER BY id) AS rank FROM {TIMED} WHERE speaker_id IS NOT NULL)
       JOIN (SELECT speaker_id, id AS print_id, row_number() OVER (PARTITION BY speaker_id ORDER BY id) AS rank FROM {PRINTS}) USING (speaker_id, rank)""",
     "round_robin": f"SELECT id, speaker_id, row_number() OVER (PARTITION BY speaker_id ORDER BY id)::INTEGER AS round FROM {PRINTS}",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.lens import SPOKEN, TIMED, table, timed_segments, transcript
+from ..sources.lens import SPEAKERS, SPOKEN, TIMED, speakers, table, timed_segments, transcript
 
 UNKNOWN = "unknown"
 
@@ -66,15 +66,13 @@ def _directory(spark, d):
 
 
 def _in_order(spark, d):
-    rows = timed_segments(spark, d)
-    return rows.select(
-        "meeting_id", "id", or_unknown(F.concat(F.lit("speaker "), F.col("speaker_id").cast("string"))).alias("speaker"), "channel", (F.round(F.col("dur_us") / 1e4) / 100).alias("duration_s"), F.round(F.col("energy"), 1).alias("energy")
-    ).orderBy("meeting_id", "id")
+    rows = timed_segments(spark, d).join(speakers(spark, d).select(F.col("id").alias("speaker_id"), "name"), "speaker_id", "left")
+    return rows.select("meeting_id", "id", or_unknown(F.col("name")).alias("speaker"), "channel", (F.round(F.col("dur_us") / 1e4) / 100).alias("duration_s"), F.round(F.col("energy"), 1).alias("energy")).orderBy("meeting_id", "id")
 
 
 def _participants_by_id(spark, d):
     rows = timed_segments(spark, d).filter(F.col("speaker_id").isNotNull())
-    return rows.groupBy("meeting_id", "speaker_id").agg(F.count("*").alias("utterances")).join(spark.range(3).select(F.col("id").alias("speaker_id"), F.concat(F.lit("speaker "), F.col("id").cast("string")).alias("name")), "speaker_id", "left")
+    return rows.groupBy("meeting_id", "speaker_id").agg(F.count("*").alias("utterances")).join(speakers(spark, d).select(F.col("id").alias("speaker_id"), "name"), "speaker_id", "left")
 
 
 QUERIES = {
@@ -85,7 +83,6 @@ QUERIES = {
     "segments_by_ids": lambda s, d: segments_by_ids(transcript(s, d), 3, [0, 2, 5, 999]),
     "participants_line": lambda s, d: participants(transcript(s, d), "speaker", ["start_s", "id"]),
     "participants_by_id": _participants_by_id,
-    "live_probe": lambda s, d: table(s, d, "orders").agg(F.coalesce(F.max(F.col("o_orderstatus") == "P"), F.lit(False)).alias("any_live")),
 }
 
 SQL = {
@@ -94,10 +91,9 @@ SQL = {
     "speaker_directory": f"""SELECT s AS speaker_id, s = 2 AS is_self, (SELECT count(DISTINCT meeting_id) FROM {TIMED} t WHERE t.speaker_id = s) AS meetings,
       (SELECT count(*) FROM {TIMED} t WHERE t.speaker_id = s) AS segments, (SELECT count(*) FROM embeddings WHERE label % 3 = s) AS prints,
       (SELECT min(vec_id) FROM embeddings WHERE label % 3 = s) AS first_print FROM range(4) r(s)""",
-    "segments_in_order": f"SELECT meeting_id, id, coalesce('speaker ' || speaker_id, '{UNKNOWN}') AS speaker, channel, round(dur_us / 1e4) / 100 AS duration_s, round(energy, 1) AS energy FROM {TIMED}",
+    "segments_in_order": f"SELECT meeting_id, t.id, coalesce(name, '{UNKNOWN}') AS speaker, channel, round(dur_us / 1e4) / 100 AS duration_s, round(energy, 1) AS energy FROM {TIMED} t LEFT JOIN {SPEAKERS} s ON t.speaker_id = s.id",
     "segments_by_ids": f"SELECT * FROM {SPOKEN} WHERE meeting_id = 3 AND id IN (0, 2, 5, 999)",
     "participants_line": f"""SELECT meeting_id, string_agg(speaker || ' (' || n || ')', ', ' ORDER BY n DESC, first) AS participants
       FROM (SELECT meeting_id, coalesce(speaker, '{UNKNOWN}') AS speaker, count(*) AS n, min(start_s) AS first FROM {SPOKEN} GROUP BY ALL) GROUP BY meeting_id""",
-    "participants_by_id": f"SELECT speaker_id, meeting_id, count(*) AS utterances, 'speaker ' || speaker_id AS name FROM {TIMED} WHERE speaker_id IS NOT NULL GROUP BY ALL",
-    "live_probe": "SELECT coalesce(bool_or(o_orderstatus = 'P'), false) AS any_live FROM orders",
+    "participants_by_id": f"SELECT speaker_id, meeting_id, utterances, name FROM (SELECT speaker_id, meeting_id, count(*) AS utterances FROM {TIMED} WHERE speaker_id IS NOT NULL GROUP BY ALL) t LEFT JOIN {SPEAKERS} s ON t.speaker_id = s.id",
 }

@@ -50,3 +50,12 @@ def voice_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRINTS = "(SELECT vec_id AS id, CAST(label AS BIGINT) AS speaker_id, CAST(embedding AS DOUBLE[]) AS centroid FROM embeddings)"
+
+
+def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name (every other one by default from the id), is_self."""
+    default = F.concat(F.lit("Speaker "), F.col("s_suppkey").cast("string"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, default).otherwise(F.col("s_name")).alias("name"), (F.col("s_suppkey") == 3).alias("is_self"))
+
+
+SPEAKERS = "(SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'Speaker ' || s_suppkey ELSE s_name END AS name, s_suppkey = 3 AS is_self FROM supplier)"
