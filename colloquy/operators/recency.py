@@ -46,14 +46,17 @@ def donor_chained(segments: DataFrame, tolerance_us: int) -> DataFrame:
 def recent_speakers(segments: DataFrame, tolerance_us: int) -> DataFrame:
     """Per segment how many speakers were heard within the tolerance before its start, both ends included.
 
-    Segments and ends fall into buckets as wide as the tolerance, so that an end meets its own bucket's segments and
-    the next one's: an equality join instead of a comparison of all with all.
+    A speaker is recent from the end of each of their segments to their next end, or until the tolerance has passed:
+    these spans of a speaker don't overlap, so a running sum of beginnings less endings counts speakers. No segment
+    meets another one.
     """
-    ends = segments.filter("speaker_id IS NOT NULL").select("meeting_id", "speaker_id", "end_us", F.explode(F.array(F.floor(F.col("end_us") / tolerance_us), F.floor(F.col("end_us") / tolerance_us) + 1)).alias("bucket"))
-    starts = segments.select("id", "meeting_id", "start_us", F.floor(F.col("start_us") / tolerance_us).alias("bucket"))
-    met = starts.join(ends, ["meeting_id", "bucket"]).filter((F.col("end_us") <= F.col("start_us")) & (F.col("start_us") - F.col("end_us") <= tolerance_us))
-    counts = met.groupBy("id").agg(F.count_distinct("speaker_id").alias("recent"))
-    return segments.select("id").join(counts, "id", "left").select("id", F.coalesce("recent", F.lit(0)).cast("long").alias("recent"))
+    later = F.lead("end_us").over(Window.partitionBy("meeting_id", "speaker_id").orderBy("end_us"))
+    spans = segments.filter("speaker_id IS NOT NULL").select("meeting_id", F.col("end_us").alias("begin"), F.least(F.coalesce(later, F.col("end_us") + tolerance_us + 1), F.col("end_us") + tolerance_us + 1).alias("stop"))
+    none = F.lit(None).cast("long")
+    marks = spans.select("meeting_id", F.col("begin").alias("at"), F.lit(1).alias("change"), none.alias("id")).unionByName(spans.select("meeting_id", F.col("stop").alias("at"), F.lit(-1).alias("change"), none.alias("id")))
+    marks = marks.unionByName(segments.select("meeting_id", F.col("start_us").alias("at"), F.lit(0).alias("change"), "id"))
+    heard = F.sum("change").over(Window.partitionBy("meeting_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    return marks.withColumn("recent", heard).filter("id IS NOT NULL").select("id", F.col("recent").cast("long").alias("recent"))
 
 
 _TOL = 600_000_000
@@ -62,7 +65,15 @@ QUERIES = {
     "donor_chained": lambda s, d: donor_chained(timed_segments(s, d), _TOL),
     "recent_speakers": lambda s, d: recent_speakers(timed_segments(s, d), _TOL),
 }
+_LAST = ", ".join(f"CASE WHEN channel = '{c}' AND who IS NOT NULL THEN {{'e': end_us, 's': who}} ELSE {c}_ END AS {c}_" for c in COMPATIBLE)
+_OFFER = " , ".join(f"CASE WHEN r.channel = '{c}' OR r.channel = 'mixed' OR '{c}' = 'mixed' THEN {c}_ END" for c in COMPATIBLE)
 SQL = {
+    "donor_chained": f"""WITH RECURSIVE t AS (SELECT meeting_id, id, channel, start_us, end_us, speaker_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_us, id) AS i FROM {TIMED}),
+      f AS (SELECT meeting_id, i, id, speaker_id AS own, speaker_id AS who, CASE WHEN channel = 'mic' AND speaker_id IS NOT NULL THEN {{'e': end_us, 's': speaker_id}} END AS mic_, CASE WHEN channel = 'system' AND speaker_id IS NOT NULL THEN {{'e': end_us, 's': speaker_id}} END AS system_,
+          CASE WHEN channel = 'mixed' AND speaker_id IS NOT NULL THEN {{'e': end_us, 's': speaker_id}} END AS mixed_ FROM t WHERE i = 1
+        UNION ALL SELECT meeting_id, i, id, own, who, {_LAST} FROM (SELECT r.meeting_id, r.i, r.id, r.channel, r.end_us, r.speaker_id AS own, mic_, system_, mixed_,
+          coalesce(r.speaker_id, list_max(list_filter([{_OFFER}], lambda o: o IS NOT NULL AND r.start_us - o.e < {_TOL})).s) AS who FROM f JOIN t r ON r.meeting_id = f.meeting_id AND r.i = f.i + 1))
+      SELECT id, meeting_id, who AS speaker_id, own IS NULL AND who IS NOT NULL AS inherited FROM f""",
     "donor_asof": f"""WITH t AS (SELECT * FROM {TIMED}), c AS (SELECT a.id, arg_max(b.speaker_id, (b.end_us, b.speaker_id)) AS who, max(b.end_us) AS e FROM t a JOIN t b ON a.meeting_id = b.meeting_id AND (b.start_us, b.id) < (a.start_us, a.id)
       AND b.speaker_id IS NOT NULL AND (a.channel = b.channel OR a.channel = 'mixed' OR b.channel = 'mixed') WHERE a.speaker_id IS NULL GROUP BY a.id)
       SELECT t.id, t.meeting_id, CASE WHEN t.start_us - c.e < {_TOL} THEN who END AS donor FROM t LEFT JOIN c USING (id) WHERE t.speaker_id IS NULL""",

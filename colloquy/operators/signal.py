@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.steps import absorb_short_runs
-from ..sources.lens import TIMED, timed_segments
+from ..sources.lens import PRINTS, TIMED, timed_segments, voice_prints
 
 RATIO = 2.0
 
@@ -39,15 +39,93 @@ def label_runs(slots: DataFrame, keys: list[str], order: str, label: str) -> Dat
     return marked.groupBy(*keys, "run").agg(F.first(label).alias("label"), F.count("*").alias("n"), F.min(order).alias("first_slot"), F.max(order).alias("last_slot"))
 
 
-def absorb(runs: DataFrame, key: str, least: int) -> DataFrame:
-    """Short runs merged into longer neighbours until none is shorter than ``least``; a key's runs are one small group."""
+def absorb(runs: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Short runs merged into longer neighbours until none is shorter than ``least``; the runs of ``keys`` are one small group."""
+    kinds = dict(runs.dtypes)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("run")
         merged = absorb_short_runs(list(zip(rows["label"], rows["n"])), least)
-        return pd.DataFrame({key: rows[key].iloc[0], "run": range(1, len(merged) + 1), "label": [m[0] for m in merged], "n": [m[1] for m in merged]})
+        held = {k: [rows[k].iloc[0]] * len(merged) for k in keys}
+        return pd.DataFrame(held | {"run": range(1, len(merged) + 1), "label": [m[0] for m in merged], "n": [m[1] for m in merged]})
 
-    return runs.groupBy(key).applyInPandas(fold, f"{key} long, run long, label string, n long")
+    return runs.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", run long, label string, n long")
+
+
+def sub_windows(spans: DataFrame, window_us: int) -> DataFrame:
+    """Spans (start_us, end_us) cut into windows (slot, from_us, to_us); the last one takes the rest, a short span is one."""
+    last = F.greatest(F.floor((F.col("end_us") - F.col("start_us")) / window_us), F.lit(1)).cast("long") - 1
+    cut = spans.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    begin = F.col("start_us") + F.col("slot") * window_us
+    return cut.withColumns({"from_us": begin, "to_us": F.when(F.col("slot") == last, F.col("end_us")).otherwise(begin + window_us)})
+
+
+def within_spans(spans: DataFrame, frames: DataFrame) -> DataFrame:
+    """Frames (meeting_id, at_us and more) with the span (start_us, end_us and more) of their meeting that they lie in.
+
+    Spans of a meeting don't overlap: each frame takes the latest one begun, in one ordered pass, and none else.
+    """
+    own = [c for c in spans.columns if c != "meeting_id"]
+    rest = [c for c in frames.columns if c != "meeting_id"]
+    starts = spans.select("meeting_id", F.col("start_us").alias("at"), F.lit(0).alias("kind"), F.struct(*own).alias("of"), F.lit(None).cast(frames.select(F.struct(*rest)).dtypes[0][1]).alias("frame"))
+    marks = frames.select("meeting_id", F.col("at_us").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["of"].dataType).alias("of"), F.struct(*rest).alias("frame"))
+    latest = F.last("of", True).over(Window.partitionBy("meeting_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = starts.unionByName(marks).withColumn("of", latest).filter((F.col("kind") == 1) & (F.col("at") <= F.col("of.end_us")))
+    return found.select("meeting_id", "of.*", "frame.*")
+
+
+def split_by_dominance(spans: DataFrame, frames: DataFrame, window_us: int, least_us: int, ratio: float = RATIO) -> DataFrame:
+    """Spans (meeting_id, span, start_us, end_us) cut where the dominant channel changes for good: part, label, start_us, end_us.
+
+    Windows of ``window_us`` get the louder channel of their frames (meeting_id, at_us, channel, energy); mixed ones take
+    their neighbour's, and runs under ``least_us`` go into the longer neighbour. A span of less than two windows, or of
+    one channel, stays whole.
+    """
+    last = F.greatest(F.floor((F.col("end_us") - F.col("start_us")) / window_us), F.lit(1)).cast("long") - 1
+    placed = within_spans(spans, frames).withColumn("slot", F.least(F.floor((F.col("at_us") - F.col("start_us")) / window_us).cast("long"), last))
+    levels = channel_levels(placed, ["meeting_id", "span", "slot"])
+    none = F.lit(0.0)
+    slots = sub_windows(spans, window_us).join(levels, ["meeting_id", "span", "slot"], "left")
+    slots = slots.withColumn("label", dominance(F.coalesce("mic", none), F.coalesce("system", none), ratio))
+    keys = ["meeting_id", "span"]
+    runs = absorb(label_runs(fill_labels(slots, keys, "slot"), keys, "slot", "filled"), keys, max(1, round(least_us / window_us)))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("run"))
+    whole = F.sum("n").over(Window.partitionBy(*keys))
+    cut = runs.withColumns({"upto": upto, "of": whole}).join(spans, keys)
+    stop = F.when(F.col("upto") == F.col("of"), F.col("end_us")).otherwise(F.col("start_us") + F.col("upto") * window_us)
+    return cut.select(*keys, F.col("run").alias("part"), "label", (F.col("start_us") + (F.col("upto") - F.col("n")) * window_us).alias("start_us"), stop.alias("end_us"))
+
+
+def speech_segments(marks: DataFrame, frame_us: int, gap_us: int, longest_us: int, pad_us: int, least_us: int) -> DataFrame:
+    """Utterances from flagged frames: sessions of them, cut at the greatest length, without the short ones, padded on both sides.
+
+    ``speech_us`` is the length without padding; a padded start stays at 0 or above.
+    """
+    held = sessions(marks, gap_us, longest_us).withColumn("speech_us", F.col("end_us") + frame_us - F.col("start_us")).filter(F.col("speech_us") >= least_us)
+    return held.select("meeting_id", "session", "part", F.greatest(F.col("start_us") - pad_us, F.lit(0)).alias("start_us"), (F.col("end_us") + frame_us + pad_us).alias("end_us"), "speech_us")
+
+
+def reblock(chunks: DataFrame, key: str, order: str, values: str, size: int) -> DataFrame:
+    """Chunks of any length, in order, as blocks of ``size`` values (key, block, values, full); the last one may lack some.
+
+    A chunk knows where it begins by a running sum of lengths; its values then find their block alone.
+    """
+    ends = F.sum(F.size(values)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    begun = chunks.withColumn("from", ends - F.size(values)).select(key, "from", F.posexplode(values).alias("at", "x"))
+    placed = begun.select(key, F.floor((F.col("from") + F.col("at")) / size).cast("long").alias("block"), (F.col("from") + F.col("at")).alias("place"), "x")
+    blocks = placed.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("held"))
+    return blocks.select(key, "block", F.transform("held", lambda v: v["x"]).alias(values), (F.size("held") == size).alias("full"))
+
+
+def retained(frames: DataFrame, keep_us: int) -> DataFrame:
+    """The frames that end within ``keep_us`` of their meeting's last end."""
+    last = F.max("end_us").over(Window.partitionBy("meeting_id"))
+    return frames.withColumn("last_us", last).filter(F.col("end_us") > F.col("last_us") - keep_us).drop("last_us")
+
+
+def buffer_from(processed: Column, speech_start: Column, pad: int, block: int, idle: int) -> Column:
+    """The first sample to keep: some before the phrase that goes on, else the last ``idle`` ones; 0 at least."""
+    return F.greatest(F.coalesce(speech_start - pad - block, processed - idle), F.lit(0))
 
 
 def sessions(marks: DataFrame, gap_us: int, longest_us: int) -> DataFrame:
@@ -82,6 +160,20 @@ def _filled(spark, d):
     return fill_labels(_slots(spark, d), ["meeting_id"], "slot")
 
 
+_ZERO = 1_704_067_200_000_000
+
+
+def _from_zero(spark, d):
+    """Times from the first day on."""
+    return timed_segments(spark, d).withColumns({"start_us": F.col("start_us") - _ZERO, "end_us": F.col("end_us") - _ZERO})
+
+
+def _split(spark, d):
+    rows = timed_segments(spark, d)
+    spans = sessions(rows, 900_000_000, 1 << 60).select("meeting_id", F.col("session").alias("span"), "start_us", "end_us")
+    return split_by_dominance(spans, rows.select("meeting_id", F.col("start_us").alias("at_us"), "channel", "energy"), 300_000_000, 600_000_000, 1.2)
+
+
 _DOM = "CASE WHEN mic > 0 AND sys <= 0 THEN 'mic' WHEN sys > 0 AND mic <= 0 THEN 'system' WHEN mic > sys * {r} THEN 'mic' WHEN sys > mic * {r} THEN 'system' ELSE 'mixed' END"
 _LEVELS = "coalesce(sqrt(avg(CASE WHEN channel = 'mic' THEN energy * energy END)), 0) AS mic, coalesce(sqrt(avg(CASE WHEN channel = 'system' THEN energy * energy END)), 0) AS sys"
 _SLOTS = f"(SELECT meeting_id, slot, {_DOM.format(r=1.2)} AS label FROM (SELECT meeting_id, start_us // {HOUR} AS slot, {_LEVELS} FROM {TIMED} GROUP BY ALL))"
@@ -96,12 +188,26 @@ QUERIES = {
     "channel_dominance": lambda s, d: channel_levels(timed_segments(s, d), ["meeting_id"]).select("meeting_id", F.round("mic", 6).alias("mic"), F.round("system", 6).alias("system"), dominance(F.col("mic"), F.col("system"), 1.05).alias("label")),
     "dominance_fill": _filled,
     "dominance_runs": lambda s, d: label_runs(_filled(s, d), ["meeting_id"], "slot", "filled"),
-    "dominance_absorb": lambda s, d: absorb(label_runs(_filled(s, d), ["meeting_id"], "slot", "filled"), "meeting_id", 2),
+    "dominance_absorb": lambda s, d: absorb(label_runs(_filled(s, d), ["meeting_id"], "slot", "filled"), ["meeting_id"], 2),
     "speech_sessions": lambda s, d: sessions(timed_segments(s, d), 600_000_000, 1_800_000_000),
+    "sub_windows": lambda s, d: sub_windows(timed_segments(s, d).select("id", "start_us", "end_us"), 250_000),
+    "dominance_split": _split,
+    "speech_segments": lambda s, d: speech_segments(_from_zero(s, d), 20_000_000, 600_000_000, 1_800_000_000, 150_000_000, 60_000_000),
+    "frame_blocks": lambda s, d: reblock(voice_prints(s, d), "speaker_id", "id", "centroid", 48).select("speaker_id", "block", "full", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.size("centroid").cast("long").alias("n")),
+    "frames_retained": lambda s, d: retained(timed_segments(s, d).select("meeting_id", "id", "end_us"), 7_200_000_000),
+    "buffer_start": lambda s, d: _from_zero(s, d).select("id", buffer_from(F.col("end_us"), F.when(F.col("channel") == "mic", F.col("start_us")), 2_400, 512, 32_000).alias("keep_from")),
     "frame_align": lambda s, d: align(timed_segments(s, d), 60_000_000).withColumn("value", F.round("value", 6)),
 }
 
+_ZEROED = f"(SELECT * REPLACE (start_us - {_ZERO} AS start_us, end_us - {_ZERO} AS end_us) FROM {TIMED})"
 SQL = {
+    "sub_windows": f"""WITH t AS (SELECT id, start_us, end_us, greatest((end_us - start_us) // 250000, 1) - 1 AS last FROM {TIMED}), s AS (SELECT *, unnest(range(last + 1)) AS slot FROM t)
+      SELECT id, start_us, end_us, slot, start_us + slot * 250000 AS from_us, CASE WHEN slot = last THEN end_us ELSE start_us + (slot + 1) * 250000 END AS to_us FROM s""",
+    "speech_segments": f"""WITH x AS ({_SESSIONS.replace(TIMED, _ZEROED)}) SELECT meeting_id, session, part, greatest(start_us - 150000000, 0) AS start_us, end_us + 20000000 + 150000000 AS end_us, end_us + 20000000 - start_us AS speech_us FROM x WHERE end_us + 20000000 - start_us >= 60000000""",
+    "frame_blocks": f"""WITH v AS (SELECT speaker_id, id, unnest(centroid) AS x, generate_subscripts(centroid, 1) AS i FROM {PRINTS}), n AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY id, i) - 1 AS p FROM v)
+      SELECT speaker_id, p // 48 AS block, count(*) = 48 AS "full", round(arg_min(x, p), 6) AS first, count(*) AS n FROM n GROUP BY ALL""",
+    "frames_retained": f"SELECT meeting_id, id, end_us FROM (SELECT *, max(end_us) OVER (PARTITION BY meeting_id) AS last FROM {TIMED}) WHERE end_us > last - 7200000000",
+    "buffer_start": f"SELECT id, greatest(CASE WHEN channel = 'mic' THEN start_us - 2912 ELSE end_us - 32000 END, 0) AS keep_from FROM {_ZEROED}",
     "channel_dominance": f"SELECT meeting_id, round(mic, 6) AS mic, round(sys, 6) AS system, {_DOM.format(r=1.05)} AS label FROM (SELECT meeting_id, {_LEVELS} FROM {TIMED} GROUP BY meeting_id)",
     "dominance_fill": f"SELECT * FROM {_FILLED}",
     "dominance_runs": f"""WITH m AS (SELECT *, coalesce(filled <> lag(filled) OVER w, true)::BIGINT AS fresh FROM {_FILLED} WINDOW w AS (PARTITION BY meeting_id ORDER BY slot)),

@@ -31,7 +31,7 @@ def lines(segments: DataFrame) -> DataFrame:
 
 def render(segments: DataFrame) -> DataFrame:
     """Per meeting its lines, in order, one below the other."""
-    return lines(segments).groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "id", "line"))), lambda x: x["line"]), "\n").alias("transcript"))
+    return lines(segments).groupBy("meeting_id").agg(_joined().alias("transcript"))
 
 
 def truncate_middle(text: Column, most: int) -> Column:
@@ -41,24 +41,39 @@ def truncate_middle(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most // 4)), F.lit(CUT_MARK), F.right(text, F.lit(most - most // 4)))).otherwise(text)
 
 
+def _joined(cond: Column | None = None) -> Column:
+    """Lines of a group in order, one below the other."""
+    row = F.struct("start_s", "id", "line")
+    return F.array_join(F.transform(F.array_sort(F.collect_list(row if cond is None else F.when(cond, row))), lambda x: x["line"]), "\n")
+
+
 def pack_lines(segments: DataFrame, most: int) -> DataFrame:
     """Chunks of whole lines of at most ``most`` characters, line ends counted; a longer line stands alone.
 
-    Per meeting: a greedy fold over its ordered lines. A limit of 0 or less makes one chunk.
+    A greedy fold over a meeting's ordered lines, which reach a task in batches; it holds a number and a size. A limit
+    of 0 or less makes one chunk.
     """
-    ordered = lines(segments).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "id", "line"))).alias("all"))
+    told = lines(segments).select("meeting_id", "start_s", "id", "line", F.length("line").cast("long").alias("chars"))
     if most <= 0:
-        return ordered.select("meeting_id", F.lit(0).cast("long").alias("chunk"), F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body"))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<chunk:long,line:string>>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        length = F.length(row["line"]).cast("long")
-        full = (acc["size"] > 0) & (acc["size"] + length + 1 > most)
-        chunk = acc["chunk"] + full.cast("long")
-        return F.struct(chunk.alias("chunk"), F.when(full, length + 1).otherwise(acc["size"] + length + 1).alias("size"), F.concat(acc["out"], F.array(F.struct(chunk.alias("chunk"), row["line"].alias("line")))).alias("out"))
-
-    placed = ordered.select("meeting_id", F.posexplode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("pos", "x"))
-    return placed.groupBy("meeting_id", F.col("x.chunk").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.line"))), lambda x: x["line"]), "\n").alias("body"))
+        return told.groupBy("meeting_id").agg(F.lit(0).cast("long").alias("chunk"), _joined().alias("body"))
+    dealt = told.repartition("meeting_id").sortWithinPartitions("meeting_id", "start_s", "id")
+
+    def fold(batches):
+        now, chunk, size = object(), 0, 0
+        for rows in batches:
+            out = []
+            for meeting, chars in zip(rows["meeting_id"], rows["chars"]):
+                if meeting != now:
+                    now, chunk, size = meeting, 0, 0
+                if size and size + chars + 1 > most:
+                    chunk, size = chunk + 1, 0
+                size += chars + 1
+                out.append(chunk)
+            yield rows.drop(columns="chars").assign(chunk=out)
+
+    kinds = dict(told.dtypes)
+    placed = dealt.mapInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in ("meeting_id", "start_s", "id", "line")) + ", chunk long")
+    return placed.groupBy("meeting_id", "chunk").agg(_joined().alias("body"))
 
 
 def group_utterances(segments: DataFrame, gap_us: int) -> DataFrame:
@@ -70,27 +85,55 @@ def group_utterances(segments: DataFrame, gap_us: int) -> DataFrame:
     return marked.groupBy("meeting_id", "run").agg(F.max("speaker_id").alias("speaker_id"), F.count("*").alias("utterances"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
 
 
-def new_and_context(segments: DataFrame, boundary: int, keep: int, budget: int) -> DataFrame:
-    """Per meeting, of its last ``keep`` lines: those from row ``boundary`` on as new text, the earlier ones as context.
+def woven(segments: DataFrame, hints: DataFrame, keep: int) -> DataFrame:
+    """Per meeting its last ``keep`` lines and the hints (meeting_id, no, hint) among them: (meeting_id, no, kind, line).
 
-    New text keeps its last ``budget`` characters; context gets what is left of the budget.
+    Hint n goes before line n, lines counted from 0, and after the last line if there is none; hints up to the first
+    retained line's number are gone with what they followed.
     """
     order = Window.partitionBy("meeting_id").orderBy("start_s", "id")
-    back = Window.partitionBy("meeting_id").orderBy(F.desc("start_s"), F.desc("id"))
-    rows = lines(segments).withColumn("_row", F.row_number().over(order) - 1).withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= keep)
+    told = lines(segments).select("meeting_id", "line", (F.row_number().over(order) - 1).cast("long").alias("no"), F.count("*").over(Window.partitionBy("meeting_id")).alias("of"))
+    held = told.filter(F.col("no") >= F.col("of") - keep)
+    firsts = held.groupBy(F.col("meeting_id").alias("of_meeting")).agg(F.min("no").alias("first"))
+    kept = hints.join(firsts, F.col("meeting_id") == F.col("of_meeting")).filter(F.col("no") > F.col("first"))
+    asides = kept.select("meeting_id", "no", F.lit(0).alias("kind"), F.concat(F.lit("  [hint: "), F.col("hint"), F.lit("]")).alias("line"))
+    return held.select("meeting_id", "no", F.lit(1).alias("kind"), "line").unionByName(asides)
+
 
-    def part(cond: Column) -> Column:
-        held = F.array_sort(F.collect_list(F.when(cond, F.struct("_row", "line"))))
-        return F.array_join(F.transform(held, lambda x: x["line"]), "\n")
+def new_and_context(segments: DataFrame, boundary: int, keep: int, budget: int, hints: DataFrame | None = None) -> DataFrame:
+    """Per meeting, of its last ``keep`` lines and their hints: from line ``boundary`` on as new text, what comes before as context.
 
-    both = rows.groupBy("meeting_id").agg(part(F.col("_row") >= boundary).alias("n"), part(F.col("_row") < boundary).alias("c"))
+    New text keeps its last ``budget`` characters; context gets what is left of the budget. Without a line from the
+    boundary on, or with nothing before it, all is new.
+    """
+    none = segments.sparkSession.createDataFrame([], "meeting_id long, no long, hint string")
+    rows = woven(segments, none if hints is None else hints, keep)
+    fresh = rows.groupBy(F.col("meeting_id").alias("of_meeting")).agg(F.min(F.when((F.col("kind") == 1) & (F.col("no") >= boundary), F.col("no"))).alias("edge"))
+    split = rows.join(fresh, F.col("meeting_id") == F.col("of_meeting")).withColumn("is_old", F.coalesce(F.struct("no", "kind") < F.struct("edge", F.lit(1)), F.lit(False)))
+    part = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("no", "kind", "line")))), lambda x: x["line"]), "\n")
+    both = split.groupBy("meeting_id").agg(part(~F.col("is_old")).alias("n"), part(F.col("is_old")).alias("c"))
     new = F.right("n", F.lit(budget))
     left = F.greatest(F.lit(budget) - F.length(new), F.lit(0))
     return both.select("meeting_id", new.alias("new_text"), F.when(left > 0, F.right(F.col("c"), left)).otherwise("").alias("context"))
 
 
-_LINE = f"printf('[%02d:%02d] %s: %s', (start_s // 60)::BIGINT, start_s::BIGINT % 60, coalesce(speaker, '{UNKNOWN}'), text)"
-_TEXT = f"(SELECT meeting_id, string_agg({_LINE}, chr(10) ORDER BY start_s, id) AS transcript FROM {SPOKEN} GROUP BY meeting_id)"
+def accumulated(deltas: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Each piece of an answer with the answer so far."""
+    so_far = F.collect_list(text).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return deltas.select(key, order, F.array_join(so_far, "").alias("so_far"))
+
+
+LINE_SQL = f"printf('[%02d:%02d] %s: %s', (start_s // 60)::BIGINT, start_s::BIGINT % 60, coalesce(speaker, '{UNKNOWN}'), text)"
+_TEXT = f"(SELECT meeting_id, string_agg({LINE_SQL}, chr(10) ORDER BY start_s, id) AS transcript FROM {SPOKEN} GROUP BY meeting_id)"
+
+_WOVEN = f"""(WITH l AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_s, id) - 1 AS no, count(*) OVER (PARTITION BY meeting_id) AS n, {LINE_SQL} AS line FROM {SPOKEN}), k AS (SELECT * FROM l WHERE no >= n - KEEP),
+  h AS (SELECT meeting_id, id + 1 AS no, 'hint ' || id AS hint FROM {SPOKEN} WHERE speaker IS NOT NULL AND length(text) % 3 = 0)
+  SELECT meeting_id, no, 1::BIGINT AS kind, line FROM k UNION ALL SELECT h.meeting_id, h.no, 0, '  [hint: ' || hint || ']' FROM h JOIN (SELECT meeting_id, min(no) AS f FROM k GROUP BY 1) f ON h.meeting_id = f.meeting_id WHERE h.no > f)"""
+
+
+def _hints(spark, d):
+    return transcript(spark, d).filter("length(text) % 3 = 0").select("meeting_id", (F.col("id") + 1).alias("no"), F.concat(F.lit("hint "), F.col("id").cast("string")).alias("hint"))
+
 
 QUERIES = {
     "transcript_text": lambda s, d: render(transcript(s, d)),
@@ -98,6 +141,9 @@ QUERIES = {
     "utterance_groups": lambda s, d: group_utterances(timed_segments(s, d), 300_000_000),
     "line_packing": lambda s, d: pack_lines(transcript(s, d), 2000),
     "new_vs_context": lambda s, d: new_and_context(transcript(s, d), 3, 6, 800),
+    "hints_woven": lambda s, d: woven(transcript(s, d), _hints(s, d), 4).withColumn("kind", F.col("kind").cast("long")),
+    "hints_in_context": lambda s, d: new_and_context(transcript(s, d), 4, 5, 900, _hints(s, d)),
+    "answer_so_far": lambda s, d: accumulated(transcript(s, d), "meeting_id", "id", "text"),
     "clock_formats": lambda s, d: timed_segments(s, d).select("id", mmss(F.col("dur_us") / 1e3).alias("mmss"), clock(F.col("dur_us") / 1e2).alias("clock")),
 }
 
@@ -107,14 +153,20 @@ SQL = {
     "utterance_groups": f"""WITH m AS (SELECT *, coalesce(coalesce(speaker_id, -1) <> lag(coalesce(speaker_id, -1)) OVER w OR start_us - lag(end_us) OVER w > 300000000, true) AS fresh FROM {TIMED} WINDOW w AS (PARTITION BY meeting_id ORDER BY start_us, id)),
       r AS (SELECT *, sum(fresh::BIGINT) OVER (PARTITION BY meeting_id ORDER BY start_us, id) AS run FROM m)
       SELECT meeting_id, run::BIGINT AS run, max(speaker_id) AS speaker_id, count(*) AS utterances, min(start_us) AS start_us, max(end_us) AS end_us FROM r GROUP BY meeting_id, run""",
-    "line_packing": f"""WITH RECURSIVE l AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_s, id) AS i, {_LINE} AS line FROM {SPOKEN}),
+    "line_packing": f"""WITH RECURSIVE l AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_s, id) AS i, {LINE_SQL} AS line FROM {SPOKEN}),
       p AS (SELECT meeting_id, i, line, 0::BIGINT AS chunk, (length(line) + 1)::BIGINT AS size FROM l WHERE i = 1 UNION ALL
         SELECT l.meeting_id, l.i, l.line, CASE WHEN p.size + length(l.line) + 1 > 2000 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.size + length(l.line) + 1 > 2000 THEN length(l.line) + 1 ELSE p.size + length(l.line) + 1 END
         FROM p JOIN l ON l.meeting_id = p.meeting_id AND l.i = p.i + 1)
       SELECT meeting_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body FROM p GROUP BY meeting_id, chunk""",
-    "new_vs_context": f"""WITH l AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_s, id) - 1 AS i, row_number() OVER (PARTITION BY meeting_id ORDER BY start_s DESC, id DESC) AS back, {_LINE} AS line FROM {SPOKEN}),
-      b AS (SELECT meeting_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i >= 3), '') AS n, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i < 3), '') AS c FROM l WHERE back <= 6 GROUP BY meeting_id)
+    "new_vs_context": f"""WITH l AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY start_s, id) - 1 AS i, row_number() OVER (PARTITION BY meeting_id ORDER BY start_s DESC, id DESC) AS back, {LINE_SQL} AS line FROM {SPOKEN}),
+      k AS (SELECT *, max(i) OVER (PARTITION BY meeting_id) < 3 AS whole FROM l WHERE back <= 6),
+      b AS (SELECT meeting_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i >= 3 OR whole), '') AS n, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i < 3 AND NOT whole), '') AS c FROM k GROUP BY meeting_id)
       SELECT meeting_id, right(n, 800) AS new_text, CASE WHEN 800 - length(right(n, 800)) > 0 THEN right(c, 800 - length(right(n, 800))) ELSE '' END AS context FROM b""",
+    "hints_woven": f"SELECT * FROM {_WOVEN.replace('KEEP', '4')}",
+    "hints_in_context": f"""WITH w AS (SELECT *, min(CASE WHEN kind = 1 AND no >= 4 THEN no END) OVER (PARTITION BY meeting_id) AS edge FROM {_WOVEN.replace('KEEP', '5')}), o AS (SELECT *, coalesce(no < edge OR (no = edge AND kind = 0), false) AS old FROM w),
+      b AS (SELECT meeting_id, coalesce(string_agg(line, chr(10) ORDER BY no, kind) FILTER (NOT old), '') AS n, coalesce(string_agg(line, chr(10) ORDER BY no, kind) FILTER (old), '') AS c FROM o GROUP BY meeting_id)
+      SELECT meeting_id, right(n, 900) AS new_text, CASE WHEN 900 - length(right(n, 900)) > 0 THEN right(c, 900 - length(right(n, 900))) ELSE '' END AS context FROM b""",
+    "answer_so_far": f"SELECT meeting_id, id, string_agg(text, '') OVER (PARTITION BY meeting_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM {SPOKEN}",
     "clock_formats": f"""SELECT id, printf('%02d:%02d', (dur_us // 60000)::BIGINT, (dur_us // 1000) % 60) AS mmss,
       CASE WHEN dur_us // 360000 > 0 THEN (dur_us // 360000) || ':' ELSE '' END || printf('%02d:%02d', (dur_us // 100) % 3600 // 60, (dur_us // 100) % 60) AS clock FROM {TIMED}""",
 }

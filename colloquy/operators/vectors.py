@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..sources.lens import PRINTS, voice_prints
 
 THRESHOLD, RECENT_BONUS = 0.35, 0.10
-#: Prints of the library that one pass holds: the bound of what is broadcast.
-BLOCK_PRINTS = 20_000
+#: Bytes of vectors up to which a library is broadcast; prints and probes that one task compares beyond that.
+BROADCAST_BYTES, BLOCK_PRINTS, BLOCK_PROBES = 32 << 20, 20_000, 20_000
+#: Prints of a block whose pairs with another block one task forms.
+PAIR_BLOCK = 1_024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,68 +28,112 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def match_frozen(probes: DataFrame, library: DataFrame, threshold: float = THRESHOLD, favoured: int | None = None, bonus: float = 0.0) -> DataFrame:
+_ANSWER = "probe long, print long, speaker_id long, sim double, best_sim double"
+
+
+def _answers(probes: np.ndarray, vectors: np.ndarray, ids: np.ndarray, speakers: np.ndarray, matrix: np.ndarray, rule: tuple) -> pa.Table:
+    """Each probe's best able print, the first on ties, and its best similarity of all, by one matrix product."""
+    threshold, favoured, bonus, others_only = rule
+    kinds = [("probe", pa.int64()), ("print", pa.int64()), ("speaker_id", pa.int64()), ("sim", pa.float64()), ("best_sim", pa.float64())]
+    if not len(ids):
+        return pa.table({name: pa.array(probes, kind) if name == "probe" else pa.nulls(len(probes), kind) for name, kind in kinds})
+    sims = vectors @ matrix.T
+    if others_only:
+        sims = np.where(probes[:, None] == ids[None, :], -np.inf, sims)
+    able = np.where(sims >= threshold - np.where(speakers == (-1 if favoured is None else favoured), bonus, 0.0), sims, -np.inf)
+    best, top = able.argmax(1), sims.max(1)
+    sim = able[np.arange(len(best)), best]
+    hit = np.isfinite(sim)
+    found = (probes, ids[best], speakers[best], sim, top)
+    masks = (np.zeros(len(hit), bool), ~hit, ~hit, ~hit, ~np.isfinite(top))
+    return pa.table({name: pa.array(np.where(m, 0, x), kind, mask=m) for (name, kind), x, m in zip(kinds, found, masks)})
+
+
+def _library(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, speakers, vectors) in order of id."""
+    table = table.sort_by("id")
+    return table.column("id").to_numpy(), table.column("speaker_id").to_numpy(), _matrix(table.column("centroid"))
+
+
+def _matrix(vectors) -> np.ndarray:
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
+def match_frozen(probes: DataFrame, library: DataFrame, threshold: float = THRESHOLD, favoured: int | None = None, bonus: float = 0.0, others_only: bool = False) -> DataFrame:
     """Per probe its best print among those that reach their own speaker's threshold, the first on ties, and the best of all.
 
-    ``favoured`` is the speaker whose threshold is lower by ``bonus``. The library is read in blocks of BLOCK_PRINTS
-    that are broadcast one after the other; a larger library takes more passes over the probes, and their best answers
-    are combined. Within a block the products are one matrix multiplication per batch.
+    ``favoured`` is the speaker whose threshold is lower by ``bonus``; with ``others_only`` a probe doesn't meet the
+    print of its own id. A library of up to BROADCAST_BYTES is broadcast; a larger one is dealt into blocks, probes
+    meet every block in chunks, and their best answers are combined: nothing of it passes the driver.
     """
-    spark = probes.sparkSession
-    n = library.count()
-    parts = []
-    for block in range(max(1, -(-n // BLOCK_PRINTS))):
-        held = library if n <= BLOCK_PRINTS else library.filter(F.pmod(F.xxhash64("id"), F.lit(-(-n // BLOCK_PRINTS))) == block)
-        rows = held.orderBy("id").collect()
-        ids, speakers = np.array([r.id for r in rows], np.int64), np.array([r.speaker_id for r in rows], np.int64)
-        shared = spark.sparkContext.broadcast((ids, speakers, np.array([r.centroid for r in rows], np.float64)))
-        parts.append(probes.select("id", "centroid").mapInArrow(_matcher(shared, threshold, favoured, bonus), "probe long, print long, speaker_id long, sim double, best_sim double"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    if len(parts) == 1:
-        return every
+    rule = (threshold, favoured, bonus, others_only)
+    held = library.select("id", "speaker_id", F.col("centroid").cast("array<double>").alias("centroid"))
+    asked = probes.select("id", F.col("centroid").cast("array<double>").alias("centroid"))
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("centroid")), F.lit(0)).alias("dims")).first()
+    if size.n * size.dims * 8 <= BROADCAST_BYTES:
+        shared = probes.sparkSession.sparkContext.broadcast(_library(held.toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    yield from _answers(part.column(0).to_numpy(), _matrix(part.column(1)), *shared.value, rule).to_batches()
+
+        return asked.mapInArrow(run, _ANSWER)
+
+    blocks, chunks = -(-size.n // BLOCK_PRINTS), max(1, -(-asked.count() // BLOCK_PROBES))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("chunk", every(chunks))
+    meet = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumn("block", every(blocks))
+    compare = lambda l, r: _answers(l.column("id").to_numpy(), _matrix(l.column("centroid")), *_library(r), rule)
+    found = meet.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInArrow(compare, _ANSWER)
     best = F.max_by(F.struct("print", "speaker_id", "sim"), F.when(F.col("sim").isNotNull(), F.struct("sim", -F.col("print"))))
-    return every.groupBy("probe").agg(best.alias("b"), F.max("best_sim").alias("best_sim")).select("probe", "b.print", "b.speaker_id", "b.sim", "best_sim")
-
-
-def _matcher(shared, threshold: float, favoured: int | None, bonus: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, speakers, matrix = shared.value
-        need = threshold - np.where(speakers == (-1 if favoured is None else favoured), bonus, 0.0)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                if not len(ids):
-                    none = pa.nulls(part.num_rows)
-                    yield pa.RecordBatch.from_arrays([part.column(0), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())], names=["probe", "print", "speaker_id", "sim", "best_sim"])
-                    continue
-                vectors = np.array(part.column(1).to_pylist(), np.float64)
-                sims = vectors @ matrix.T
-                able = np.where(sims >= need, sims, -np.inf)
-                best = able.argmax(1)
-                hit = np.isfinite(able[np.arange(len(best)), best])
-                where = lambda x, kind: pa.array(np.where(hit, x, 0), kind, mask=~hit)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), where(ids[best], pa.int64()), where(speakers[best], pa.int64()), where(able[np.arange(len(best)), best], pa.float64()), pa.array(sims.max(1))],
-                    names=["probe", "print", "speaker_id", "sim", "best_sim"],
-                )
-
-    return run
-
-
-def within(prints: DataFrame) -> DataFrame:
-    """Least, mean and greatest similarity of the pairs inside each speaker."""
-    a, b = prints.select("speaker_id", F.col("id").alias("i"), F.col("centroid").alias("u")), prints.select("speaker_id", F.col("id").alias("j"), F.col("centroid").alias("v"))
-    sims = a.join(b, "speaker_id").filter("i < j").select("speaker_id", dot(F.col("u"), F.col("v")).alias("sim"))
-    return sims.groupBy("speaker_id").agg(F.count("*").alias("pairs"), F.round(F.min("sim"), 6).alias("low"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.max("sim"), 6).alias("high"))
-
-
-def between(prints: DataFrame) -> DataFrame:
-    """Mean similarity of all pairs of two speakers: the product of their summed vectors, so no pair is formed."""
-    sums = vector_sums(prints)
-    a, b = sums.select(F.col("speaker_id").alias("a"), F.col("total").alias("u"), F.col("n").alias("n_a")), sums.select(F.col("speaker_id").alias("b"), F.col("total").alias("v"), F.col("n").alias("n_b"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", (F.col("n_a") * F.col("n_b")).alias("pairs"), F.round(dot(F.col("u"), F.col("v")) / (F.col("n_a") * F.col("n_b")), 6).alias("mean"))
+    return found.groupBy("probe").agg(best.alias("b"), F.max("best_sim").alias("best_sim")).select("probe", "b.print", "b.speaker_id", "b.sim", "best_sim")
+
+
+def _pairs_of_blocks(table: pa.Table) -> pa.Table:
+    """Count, least, sum and greatest of the similarities of all pairs of prints, by their speakers (a <= b)."""
+    table = table.sort_by([("speaker_id", "ascending"), ("id", "ascending")])
+    side, one, two = table.column("side").to_numpy(), table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    parts = [table.filter(pa.array(side == k)) for k in (one, two)]
+    speakers = [p.column("speaker_id").to_numpy() for p in parts]
+    out: dict[tuple[int, int], list] = {}
+    if all(len(x) for x in speakers):
+        sims = _matrix(parts[0].column("centroid")) @ _matrix(parts[1].column("centroid")).T
+        counted = np.ones(sims.shape, bool) if one != two else np.triu(np.ones(sims.shape, bool), 1)
+        cuts = [np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) for x in speakers]
+        by = lambda f, x: f.reduceat(f.reduceat(x, cuts[0], axis=0), cuts[1], axis=1)
+        n, low = by(np.add, counted.astype(np.int64)), by(np.minimum, np.where(counted, sims, np.inf))
+        total, high = by(np.add, np.where(counted, sims, 0.0)), by(np.maximum, np.where(counted, sims, -np.inf))
+        for i, j in zip(*np.nonzero(n)):
+            a, b = sorted((int(speakers[0][cuts[0][i]]), int(speakers[1][cuts[1][j]])))
+            old = out.get((a, b), [0, np.inf, 0.0, -np.inf])
+            out[a, b] = [old[0] + int(n[i, j]), min(old[1], low[i, j]), old[2] + total[i, j], max(old[3], high[i, j])]
+    keys, values = list(out), list(out.values())
+    kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    return pa.table({"a": pa.array([k[0] for k in keys], pa.int64()), "b": pa.array([k[1] for k in keys], pa.int64())} | {c: pa.array([v[i] for v in values], kind) for i, (c, kind) in enumerate(zip(("pairs", "low", "total", "high"), kinds))})
+
+
+def pair_similarity(prints: DataFrame) -> DataFrame:
+    """(a, b, pairs, low, mean, high): similarities of all pairs of prints by their two speakers, a = b inside one.
+
+    Prints are dealt into blocks; each pair of blocks is one matrix product in a task, of which only a row per pair of
+    speakers leaves.
+    """
+    held = prints.filter("speaker_id IS NOT NULL").select("id", "speaker_id", F.col("centroid").cast("array<double>").alias("centroid"))
+    blocks = max(1, -(-held.count() // PAIR_BLOCK))
+    dealt = held.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    placed = dealt.select("id", "speaker_id", "centroid", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
+    found = placed.groupBy("one", "two").applyInArrow(_pairs_of_blocks, "a long, b long, pairs long, low double, total double, high double")
+    return found.groupBy("a", "b").agg(F.sum("pairs").alias("pairs"), F.min("low").alias("low"), (F.sum("total") / F.sum("pairs")).alias("mean"), F.max("high").alias("high"))
+
+
+def separability(pairs: DataFrame) -> DataFrame:
+    """(worst_inside, best_between, separable, threshold): whether one threshold tells all voices apart, and the middle one."""
+    both = pairs.agg(F.coalesce(F.min(F.when(F.col("a") == F.col("b"), F.col("low"))), F.lit(1.0)).alias("worst_inside"), F.coalesce(F.max(F.when(F.col("a") != F.col("b"), F.col("high"))), F.lit(-1.0)).alias("best_between"))
+    apart = F.col("worst_inside") > F.col("best_between")
+    return both.select("*", apart.alias("separable"), F.when(apart, F.round((F.col("worst_inside") + F.col("best_between")) / 2, 2)).alias("threshold"))
 
 
 def vector_sums(prints: DataFrame) -> DataFrame:
@@ -95,12 +141,17 @@ def vector_sums(prints: DataFrame) -> DataFrame:
     return cells.groupBy("speaker_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("total"), F.max("n").alias("n"))
 
 
-def assignment_errors(truth: DataFrame) -> DataFrame:
-    """profiles, splits (people with several profiles) and merges (pairs of people that share one) of (person, profile)."""
-    held = truth.filter("profile IS NOT NULL").select("person", "profile").distinct()
-    splits = held.groupBy("person").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("splits"))
-    shared = held.select("profile", F.col("person").alias("a")).join(held.select("profile", F.col("person").alias("b")), "profile").filter("a < b").select("a", "b").distinct()
-    return held.agg(F.count_distinct("profile").alias("profiles")).join(splits).join(shared.agg(F.count("*").alias("merges")))
+def assignment_errors(truth: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """profiles, splits (people with several profiles) and merges (pairs of people that share one) of (person, profile), per ``by``."""
+    by = by or []
+    held = truth.filter("profile IS NOT NULL").select(*by, "person", "profile").distinct()
+    splits = held.groupBy(*by, "person").agg(F.count("*").alias("n")).groupBy(*by).agg(F.count_if(F.col("n") > 1).alias("splits"))
+    one, two = held.withColumnRenamed("person", "a"), held.withColumnRenamed("person", "b")
+    merges = one.join(two, [*by, "profile"]).filter("a < b").select(*by, "a", "b").distinct().groupBy(*by).agg(F.count("*").alias("merges"))
+    profiles = held.groupBy(*by).agg(F.count_distinct("profile").alias("profiles"))
+    if not by:
+        return profiles.join(splits).join(merges)  # one row each
+    return profiles.join(splits, by, "left").join(merges, by, "left").select(*by, "profiles", "splits", F.coalesce("merges", F.lit(0)).cast("long").alias("merges"))
 
 
 def threshold_sweep(matches: DataFrame, steps: list[float]) -> DataFrame:
@@ -113,22 +164,31 @@ STEPS = [k / 100 for k in range(20, 65, 5)]
 
 
 def _frozen(spark, d):
+    """Every print against all others."""
     prints = voice_prints(spark, d)
-    return match_frozen(prints.filter("id >= 60"), prints.filter("id < 60"), 0.25, 3, RECENT_BONUS).select("probe", "print", "speaker_id", F.round("sim", 6).alias("sim"), F.round("best_sim", 6).alias("best_sim"))
+    return match_frozen(prints, prints, 0.25, 3, RECENT_BONUS, others_only=True).select("probe", "print", "speaker_id", F.round("sim", 6).alias("sim"), F.round("best_sim", 6).alias("best_sim"))
+
+
+def _rounded(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b", "pairs", *[F.round(c, 6).alias(c) for c in ("low", "mean", "high")])
 
 
 def _errors(spark, d):
     return assignment_errors(_frozen(spark, d).join(voice_prints(spark, d).select(F.col("id").alias("probe"), F.col("speaker_id").alias("person")), "probe").select("person", F.col("speaker_id").alias("profile")))
 
 
-_SIMS = f"""(SELECT p.id AS probe, l.id AS print, l.speaker_id, p.speaker_id AS person, list_dot_product(p.centroid, l.centroid) AS sim FROM {PRINTS} p, {PRINTS} l WHERE p.id >= 60 AND l.id < 60)"""
+_SIMS = f"""(SELECT p.id AS probe, l.id AS print, l.speaker_id, p.speaker_id AS person, list_dot_product(p.centroid, l.centroid) AS sim FROM {PRINTS} p, {PRINTS} l WHERE p.id <> l.id)"""
 _MATCH = f"""(SELECT probe, any_value(person) AS person, arg_max(print, sim) FILTER (sim >= 0.25 - CASE WHEN speaker_id = 3 THEN 0.1 ELSE 0 END) AS print, arg_max(speaker_id, sim) FILTER (sim >= 0.25 - CASE WHEN speaker_id = 3 THEN 0.1 ELSE 0 END) AS speaker_id,
   round(max(sim) FILTER (sim >= 0.25 - CASE WHEN speaker_id = 3 THEN 0.1 ELSE 0 END), 6) AS sim, round(max(sim), 6) AS best_sim FROM {_SIMS} GROUP BY probe)"""
 
+_PAIRS = f"""(SELECT least(x.speaker_id, y.speaker_id) AS a, greatest(x.speaker_id, y.speaker_id) AS b, count(*) AS pairs, round(min(list_dot_product(x.centroid, y.centroid)), 6) AS low, round(avg(list_dot_product(x.centroid, y.centroid)), 6) AS mean,
+  round(max(list_dot_product(x.centroid, y.centroid)), 6) AS high FROM {PRINTS} x JOIN {PRINTS} y ON x.id < y.id GROUP BY ALL)"""
+
 QUERIES = {
     "voice_match_frozen": _frozen,
-    "similarity_within": lambda s, d: within(voice_prints(s, d)),
-    "similarity_between": lambda s, d: between(voice_prints(s, d)),
+    "similarity_within": lambda s, d: _rounded(pair_similarity(voice_prints(s, d)).filter("a = b")),
+    "similarity_between": lambda s, d: _rounded(pair_similarity(voice_prints(s, d)).filter("a < b")),
+    "voice_separability": lambda s, d: separability(_rounded(pair_similarity(voice_prints(s, d)))),
     "assignment_errors": _errors,
     "threshold_sweep": lambda s, d: threshold_sweep(_frozen(s, d), STEPS),
     "centroid_mean": lambda s, d: vector_sums(voice_prints(s, d)).select("speaker_id", F.col("n"), F.round(F.get(unit(F.col("total")), F.lit(0)), 6).alias("first"), F.round(F.get(unit(F.col("total")), F.lit(63)), 6).alias("last")),
@@ -136,8 +196,10 @@ QUERIES = {
 
 SQL = {
     "voice_match_frozen": f"SELECT probe, print, speaker_id, sim, best_sim FROM {_MATCH}",
-    "similarity_within": f"SELECT a.speaker_id, count(*) AS pairs, round(min(list_dot_product(a.centroid, b.centroid)), 6) AS low, round(avg(list_dot_product(a.centroid, b.centroid)), 6) AS mean, round(max(list_dot_product(a.centroid, b.centroid)), 6) AS high FROM {PRINTS} a JOIN {PRINTS} b ON a.speaker_id = b.speaker_id AND a.id < b.id GROUP BY a.speaker_id",
-    "similarity_between": f"SELECT a.speaker_id AS a, b.speaker_id AS b, count(*) AS pairs, round(avg(list_dot_product(a.centroid, b.centroid)), 6) AS mean FROM {PRINTS} a JOIN {PRINTS} b ON a.speaker_id < b.speaker_id GROUP BY ALL",
+    "similarity_within": f"SELECT * FROM {_PAIRS} WHERE a = b",
+    "similarity_between": f"SELECT * FROM {_PAIRS} WHERE a < b",
+    "voice_separability": f"""SELECT *, worst_inside > best_between AS separable, CASE WHEN worst_inside > best_between THEN round((worst_inside + best_between) / 2, 2) END AS threshold
+      FROM (SELECT coalesce(min(low) FILTER (a = b), 1.0) AS worst_inside, coalesce(max(high) FILTER (a <> b), -1.0) AS best_between FROM {_PAIRS})""",
     "assignment_errors": f"""WITH h AS (SELECT DISTINCT person, speaker_id AS profile FROM {_MATCH} WHERE speaker_id IS NOT NULL)
       SELECT (SELECT count(DISTINCT profile) FROM h) AS profiles, (SELECT count(*) FROM (SELECT person FROM h GROUP BY person HAVING count(*) > 1)) AS splits,
       (SELECT count(*) FROM (SELECT DISTINCT a.person, b.person FROM h a JOIN h b ON a.profile = b.profile AND a.person < b.person)) AS merges""",

@@ -8,16 +8,41 @@ from pyspark.sql import functions as F
 from ..sources.lens import TIMED, table, timed_segments
 
 
+#: Ranges of values that a key's values are counted in.
+RANGES = 1_024
+
+
+def values_at_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Per key its number of values ``n``, and those at ``ranks`` (1-based, from ``n``) in their order.
+
+    Equal values are counted first; ranges of values are counted next, and only the range that holds a rank is put in
+    order: no key's values meet in one task.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    whole = counts.groupBy(F.col("key").alias("of")).agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / RANGES
+    ranged = counts.join(whole, F.col("key").eqNullSafe(F.col("of"))).withColumn("range", F.when(width > 0, F.floor((F.col("x") - F.col("lo")) / width)).otherwise(0).cast("long"))
+    sums = ranged.groupBy("key", "range").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy("key").orderBy("range"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])).alias("a")
+    holding = sums.withColumn("before", upto - F.col("c")).select(F.col("key").alias("of_key"), F.col("range").alias("of_range"), "before", "c", asked)
+    holding = holding.filter((F.col("a.rank") > F.col("before")) & (F.col("a.rank") <= F.col("before") + F.col("c"))).drop("c")
+    inside = F.sum("c").over(Window.partitionBy("key", "range", "a.name").orderBy("x"))
+    near = ranged.join(holding, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("range") == F.col("of_range"))).withColumn("end", F.col("before") + inside)
+    hit = near.filter((F.col("end") >= F.col("a.rank")) & (F.col("end") - F.col("c") < F.col("a.rank")))
+    return hit.groupBy(F.col("key").alias(key)).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("a.name") == name, F.col("x"))).alias(name) for name in ranks])
+
+
 def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Median and nearest-rank 95th percentile per key."""
-    return rows.groupBy(key).agg(F.round(F.median(value), 6).alias("p50"), F.round(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})"), 6).alias("p95"), F.count(value).alias("n"))
+    """Median, the mean of the two middle values, and nearest-rank 95th percentile per key."""
+    n = F.col("n")
+    found = values_at_ranks(rows, key, value, {"lower": F.floor((n + 1) / 2), "higher": F.floor((n + 2) / 2), "p95": F.ceil(n * 95 / 100)})
+    return found.select(key, F.round((F.col("lower") + F.col("higher")) / 2, 6).alias("p50"), F.round("p95", 6).alias("p95"), "n")
 
 
 def naive_p95(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The value at place floor(0.95 n), at least 1, of the sorted ones: kept to compare with old numbers."""
-    by = Window.partitionBy(key)
-    ranked = rows.withColumn("_i", F.row_number().over(by.orderBy(value))).withColumn("_n", F.count(value).over(by))
-    return ranked.filter(F.col("_i") == F.greatest(F.floor(F.col("_n") * 95 / 100), F.lit(1))).select(key, F.round(value, 6).alias("p95"))
+    return values_at_ranks(rows, key, value, {"p95": F.greatest(F.floor(F.col("n") * 95 / 100), F.lit(1))}).select(key, F.round("p95", 6).alias("p95"))
 
 
 def late_slope(samples: DataFrame, key: str, at: str, value: str) -> DataFrame:
@@ -51,6 +76,69 @@ def load_verdict(limit: float) -> Column:
     )
 
 
+def rest_steps(requests: DataFrame, key: str) -> DataFrame:
+    """Per key what became of its requests (status, ms): counts by kind and, as text, by status; 0 is no answer at all."""
+    by_code = requests.groupBy(key, "status").agg(F.count("*").alias("n"), F.sum("ms").alias("ms"))
+    code = F.col("status")
+    count = lambda cond, to: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long").alias(to)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda c: F.concat_ws(":", c["status"].cast("string"), c["n"].cast("string"))), ",")
+    return by_code.groupBy(key).agg(
+        F.sum("n").cast("long").alias("total"), count(code.between(200, 299), "ok"), count(~code.between(200, 299), "failed"), count(code == 429, "rate_limited"), count(code >= 500, "server_errors"), count(code == 0, "network_errors"), listed.alias("codes")
+    )
+
+
+def rest_verdict(limit_ms: float) -> Column:
+    """The first sign that a step of requests went badly, or null."""
+    c = F.col
+    return (
+        F.when(c("network_errors") > 0, F.concat(F.lit("no answer: "), c("network_errors").cast("string")))
+        .when(c("server_errors") > 0, F.concat(F.lit("5xx: "), c("server_errors").cast("string")))
+        .when(c("rate_limited") > 0, F.concat(F.lit("429: "), c("rate_limited").cast("string")))
+        .when(c("p95") > limit_ms, "slow")
+    )
+
+
+def running_peak(samples: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """Samples with the greatest value of their key so far."""
+    return samples.withColumn("peak", F.max(value).over(Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)))
+
+
+def load_ratios(steps: DataFrame) -> DataFrame:
+    """``steps`` (meetings, seconds, segments, wall_s) with how many times faster than speech they ran and segments per second."""
+    per_wall = lambda x, places: F.when(F.col("wall_s") > 0, F.round(x / F.col("wall_s"), places)).otherwise(0.0)
+    return steps.withColumns({"speedup": per_wall(F.col("meetings") * F.col("seconds"), 2), "rate": per_wall(F.col("segments"), 1)})
+
+
+def growth(sizes: DataFrame, size: str, cost: str) -> DataFrame:
+    """How many times the largest size and its cost are those of the smallest one; a cost of 0 gives 0."""
+    ends = sizes.agg(F.max(size).alias("big"), F.min(size).alias("small"), F.max_by(cost, size).alias("late"), F.min_by(cost, size).alias("early"))
+    return ends.select(F.round(F.col("big") / F.col("small"), 6).alias("grew_size"), F.round(F.when(F.col("early") != 0, F.col("late") / F.col("early")).otherwise(0.0), 6).alias("grew_cost"))
+
+
+def worst_last(rows: DataFrame, measure: str, tie: str) -> DataFrame:
+    """Rows by rising measure, the unknown first, with their place."""
+    return rows.orderBy(F.asc_nulls_first(measure), tie)
+
+
+def test_totals(cases: DataFrame) -> DataFrame:
+    """Per suite, and for all (suite null): tests, passed, failed, skipped, the share passed and its bar."""
+    of = lambda *names: F.count_if(F.col("status").isin(*names)).alias(names[0])
+    totals = cases.rollup("suite").agg(F.count("*").alias("tests"), of("passed"), of("failed", "error"), of("skipped"))
+    share = F.round(F.col("passed") / F.col("tests") * 100, 1)
+    return totals.withColumns({"share": share, "bar": progress_bar(share)})
+
+
+def offered_models(models: DataFrame, least_context: int = 32_768) -> DataFrame:
+    """(offered, rejected): how many models a catalogue has that fit, and how many not."""
+    return models.agg(F.count_if(fits(least_context)).alias("offered"), F.count_if(~fits(least_context)).alias("rejected"))
+
+
+def window_chars(hint_tokens: Column, overhead_chars: Column, most: Column, least: int = 80, chars_per_token: float = 2.5) -> Column:
+    """Characters of talk that fit a request for a hint: what the budget leaves beside the prompt, between ``least`` and ``most``; no budget is ``most``."""
+    free = ((hint_tokens - overhead_chars / chars_per_token) * chars_per_token).cast("long")
+    return F.when(hint_tokens == 0, most).otherwise(F.greatest(F.lit(least).cast("long"), F.least(most, free)))
+
+
 def soak_verdict(slope: Column, early: Column, late: Column, minutes: Column) -> Column:
     return F.when(minutes < 10, "too short").when(slope > 50, "leak").when(slope > 15, "growing").when((late < early * 0.7) & (early > 0), "slowing").otherwise("stable")
 
@@ -115,10 +203,14 @@ def _rollup(spark, d):
 _CATALOGUE = [("a", 131072, ["text"]), ("b", 8192, ["text"]), ("c", None, ["text"]), ("d", 65536, ["audio"]), ("e", 200000, None), ("f", 0, ["text", "image"])]
 
 
+def fits(least_context: int) -> Column:
+    """Takes text and enough context, where that is known."""
+    return F.coalesce(F.array_contains("modalities", "text"), F.lit(True)) & (F.coalesce(F.nullif(F.col("context"), F.lit(0)), F.lit(least_context)) >= least_context)
+
+
 def model_catalogue(models: DataFrame, least_context: int = 32_768) -> DataFrame:
-    """Models that take text and enough context, where known, widest first; unknown properties pass, unknown context comes last."""
-    fit = F.coalesce(F.array_contains("modalities", "text"), F.lit(True)) & (F.coalesce(F.nullif(F.col("context"), F.lit(0)), F.lit(least_context)) >= least_context)
-    return models.filter(fit).select("id", F.coalesce("context", F.lit(0)).cast("long").alias("context")).orderBy(F.desc("context"), "id")
+    """Models that fit, widest first; unknown properties pass, unknown context comes last."""
+    return models.filter(fits(least_context)).select("id", F.coalesce("context", F.lit(0)).cast("long").alias("context")).orderBy(F.desc("context"), "id")
 
 
 def budgets(limits: DataFrame, reserve: float = 0.25, gap_s: float = 15.0) -> DataFrame:
@@ -143,7 +235,40 @@ def _histogram(spark, d):
     return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_if(F.col("code") == 200).alias("ok"), F.count_if(F.col("code") == 400).alias("limited"), F.count_if(F.col("code") >= 500).alias("server"), F.count("*").alias("total"))
 
 
+def _requests(spark, d):
+    """Events as requests: the status from the user and the day, most of them fine."""
+    code = F.when(F.col("user_id") % 50 == 7, 0).when(F.col("user_id") % 40 == 3, 503).when(F.col("user_id") % 11 == 1, 429).when(F.col("user_id") % 13 == 2, 404).otherwise(200)
+    bad = F.dayofmonth("ts") % 2 == 0
+    return table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.when(bad, code).otherwise(F.when(F.dayofmonth("ts") % 3 == 0, F.when(code == 429, 429).otherwise(200)).otherwise(200)).alias("status"), F.col("value").alias("ms"))
+
+
+_REQUESTS = """(SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN day(ts) % 2 = 0 THEN c WHEN day(ts) % 3 = 0 AND c = 429 THEN 429 ELSE 200 END AS status, value AS ms
+  FROM (SELECT *, CASE WHEN user_id % 50 = 7 THEN 0 WHEN user_id % 40 = 3 THEN 503 WHEN user_id % 11 = 1 THEN 429 WHEN user_id % 13 = 2 THEN 404 ELSE 200 END AS c FROM events))"""
+
+
+def _rest(spark, d):
+    rows = _requests(spark, d)
+    return rest_steps(rows, "day").join(naive_p95(rows, "day", "ms"), "day").withColumn("verdict", rest_verdict(130.0)).drop("p95")
+
+
+def _ratios(spark, d):
+    steps = timed_segments(spark, d).groupBy("meeting_id").agg(F.count_distinct("speaker_id").alias("meetings"), F.count("*").alias("segments"), F.round(F.max("energy")).alias("wall_s")).withColumn("seconds", F.col("meeting_id") % 100 + 1)
+    return load_ratios(steps.withColumn("wall_s", F.when(F.col("meeting_id") % 7 == 0, 0.0).otherwise(F.col("wall_s"))))
+
+
+def _cases(spark, d):
+    return table(spark, d, "part").select(F.col("p_type").alias("suite"), F.when(F.col("p_size") % 10 == 0, "failed").when(F.col("p_size") % 10 == 1, "error").when(F.col("p_size") % 10 == 2, "skipped").otherwise("passed").alias("status"))
+
+
 QUERIES = {
+    "rest_steps": _rest,
+    "memory_peak": lambda s, d: running_peak(_timed_s(s, d).select("meeting_id", "id", "start_us", "energy"), "meeting_id", "start_us", "energy"),
+    "load_ratios": _ratios,
+    "library_growth": lambda s, d: growth(table(s, d, "part").groupBy("p_size").agg(F.round(F.sum("p_retailprice"), 4).alias("cost")).withColumn("p_size", F.col("p_size").cast("long")), "p_size", "cost"),
+    "kinds_by_rate": lambda s, d: worst_last(table(s, d, "part").groupBy("p_type").agg(F.round(F.avg("p_size"), 6).alias("rate")), "rate", "p_type"),
+    "test_totals": lambda s, d: test_totals(_cases(s, d)),
+    "model_counts": lambda s, d: offered_models(s.createDataFrame(_CATALOGUE, "id string, context long, modalities array<string>")),
+    "window_budget": lambda s, d: table(s, d, "part").select("p_partkey", window_chars((F.col("p_size") % 40 * 100).cast("long"), (F.col("p_partkey") % 3000).cast("long"), F.lit(6000).cast("long")).alias("chars")),
     "latency_percentiles": lambda s, d: percentiles(timed_segments(s, d), "channel", "energy"),
     "latency_p95_naive": lambda s, d: naive_p95(timed_segments(s, d), "channel", "energy"),
     "memory_slope": lambda s, d: late_slope(_timed_s(s, d), "meeting_id", "t", "energy"),
@@ -160,7 +285,22 @@ QUERIES = {
     "budget_table": lambda s, d: budgets(s.createDataFrame(_LIMITS, "id long, tpm long")),
     "chunk_plan": lambda s, d: chunk_plan(table(s, d, "conversations").groupBy(F.col("conv_id").alias("meeting_id")).agg(F.sum(F.length("text") + 1).alias("chars")), 3000, 1500),
 }
+_SHARE = "round(count(*) FILTER (status = 'passed') / count(*) * 100, 1)"
 SQL = {
+    "rest_steps": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ms) AS i, count(*) OVER (PARTITION BY day) AS k FROM {_REQUESTS}), c AS (SELECT day, string_agg(status || ':' || n, ',' ORDER BY status) AS codes FROM (SELECT day, status, count(*) AS n FROM r GROUP BY ALL) GROUP BY day),
+      s AS (SELECT day, count(*) AS total, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, count(*) FILTER (status NOT BETWEEN 200 AND 299) AS failed, count(*) FILTER (status = 429) AS rate_limited, count(*) FILTER (status >= 500) AS server_errors, count(*) FILTER (status = 0) AS network_errors,
+        max(ms) FILTER (i = greatest(k * 95 // 100, 1)) AS p95 FROM r GROUP BY day)
+      SELECT s.* EXCLUDE (p95), codes, CASE WHEN network_errors > 0 THEN 'no answer: ' || network_errors WHEN server_errors > 0 THEN '5xx: ' || server_errors WHEN rate_limited > 0 THEN '429: ' || rate_limited WHEN p95 > 130 THEN 'slow' END AS verdict FROM s JOIN c USING (day)""",
+    "memory_peak": f"SELECT meeting_id, id, start_us, energy, max(energy) OVER (PARTITION BY meeting_id ORDER BY start_us) AS peak FROM {TIMED}",
+    "load_ratios": f"""SELECT *, CASE WHEN wall_s > 0 THEN round(meetings * seconds / wall_s, 2) ELSE 0 END AS speedup, CASE WHEN wall_s > 0 THEN round(segments / wall_s, 1) ELSE 0 END AS rate
+      FROM (SELECT meeting_id, count(DISTINCT speaker_id) AS meetings, count(*) AS segments, CASE WHEN meeting_id % 7 = 0 THEN 0 ELSE round(max(energy)) END AS wall_s, meeting_id % 100 + 1 AS seconds FROM {TIMED} GROUP BY meeting_id)""",
+    "library_growth": "WITH s AS (SELECT p_size::BIGINT AS size, round(sum(p_retailprice), 4) AS cost FROM part GROUP BY 1) SELECT round(max(size) / min(size), 6) AS grew_size, round(CASE WHEN arg_min(cost, size) <> 0 THEN arg_max(cost, size) / arg_min(cost, size) ELSE 0 END, 6) AS grew_cost FROM s",
+    "kinds_by_rate": "SELECT p_type, round(avg(p_size), 6) AS rate FROM part GROUP BY 1",
+    "test_totals": f"""SELECT p_type AS suite, count(*) AS tests, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status IN ('failed', 'error')) AS failed, count(*) FILTER (status = 'skipped') AS skipped, {_SHARE} AS share,
+      repeat('█', round({_SHARE} / 100 * 22)::BIGINT) || repeat('░', 22 - round({_SHARE} / 100 * 22)::BIGINT) AS bar
+      FROM (SELECT p_type, CASE p_size % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' ELSE 'passed' END AS status FROM part) GROUP BY ROLLUP (p_type)""",
+    "model_counts": "SELECT count(*) FILTER (fit) AS offered, count(*) FILTER (NOT fit) AS rejected FROM (SELECT coalesce(list_contains(m, 'text'), true) AND coalesce(nullif(c, 0), 32768) >= 32768 AS fit FROM (VALUES (131072, ['text']), (8192, ['text']), (NULL, ['text']), (65536, ['audio']), (200000, NULL), (0, ['text', 'image'])) AS v(c, m))",
+    "window_budget": "SELECT p_partkey, CASE WHEN p_size % 40 = 0 THEN 6000 ELSE greatest(80, least(6000, trunc((p_size % 40 * 100 - (p_partkey % 3000) / 2.5::DOUBLE) * 2.5)::BIGINT)) END::BIGINT AS chars FROM part",
     "latency_percentiles": f"SELECT channel, round(median(energy), 6) AS p50, round(quantile_disc(energy, 0.95), 6) AS p95, count(energy) AS n FROM {TIMED} GROUP BY channel",
     "latency_p95_naive": f"SELECT channel, round(energy, 6) AS p95 FROM (SELECT channel, energy, row_number() OVER (PARTITION BY channel ORDER BY energy) AS i, count(*) OVER (PARTITION BY channel) AS n FROM {TIMED}) WHERE i = greatest(n * 95 // 100, 1)",
     "memory_slope": f"SELECT * FROM {_SLOPE}",

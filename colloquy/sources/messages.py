@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import humanised, one_line
+
 #: Commands of a live session (fixed values).
 COMMANDS = ["start", "stop", "hints", "hint_now", "ask"]
 _COMMAND = "type string, title string, record_audio boolean, mode string, enabled boolean, question string, segment_ids array<string>"
@@ -20,8 +25,8 @@ def commands(messages: DataFrame, body: str = "body") -> tuple[DataFrame, DataFr
 
 
 def segment_ids(ids: Column) -> Column:
-    """The whole numbers among what a client sent; what is none is left out."""
-    return F.filter(F.transform(ids, lambda x: x.try_cast("long")), lambda x: x.isNotNull())
+    """The whole numbers among what a client sent, as numbers or digits; anything else, 1.5 and 5.0 too, is left out."""
+    return F.filter(F.transform(ids, lambda x: F.when(x.rlike("^-*[0-9]+$"), x.try_cast("long"))), lambda x: x.isNotNull())
 
 
 def events(rows: DataFrame, kind: str, *fields: str) -> DataFrame:
@@ -46,11 +51,36 @@ def junit_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def test_names(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name) of the test functions in Python sources below a folder."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "test_*.py").text(folder)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "test_*.py").text(folder, wholetext=True)
     names = F.regexp_extract_all("value", F.lit(r"(?m)^\s*(?:async\s+)?def\s+(test_\w+)"), F.lit(1))
     return text.select(F.col("_metadata.file_path").alias("path"), F.explode(names).alias("name"))
 
 
+def test_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, title, parameters) of test functions: their docstring on one line or else their name's words, and how
+    many cases their parameter lists name. A file that is no Python has none."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "test_*.py").text(folder, wholetext=True)
+
+    @F.pandas_udf("array<struct<name:string,doc:string,parameters:long>>")
+    def tests(sources: pd.Series) -> pd.Series:
+        return pd.Series([_test_functions(s) for s in sources])
+
+    found = text.select(F.col("_metadata.file_path").alias("path"), F.explode(tests("value")).alias("t"))
+    doc = one_line(F.col("t.doc"))
+    return found.select("path", "t.name", F.when(doc != "", doc).otherwise(humanised(F.col("t.name"))).alias("title"), "t.parameters")
+
+
+def _test_functions(source: str) -> list[dict]:
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError):
+        return []
+    found = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name.startswith("test_")]
+    listed = lambda d: sum(len(a.elts) for a in d.args if isinstance(a, (ast.List, ast.Tuple)))
+    marks = lambda n: [d for d in n.decorator_list if isinstance(d, ast.Call) and getattr(d.func, "attr", "") == "parametrize"]
+    return [{"name": n.name, "doc": ast.get_docstring(n) or "", "parameters": sum(map(listed, marks(n)))} for n in found]
+
+
 def usable_url(url: Column, hosts: list[str] | None = None) -> Column:
     """Web addresses with a host, of an allowed one where ``hosts`` are given."""
     host = F.try_parse_url(url, F.lit("HOST"))

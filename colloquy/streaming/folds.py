@@ -3,34 +3,88 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.steps import Library, Trigger, match_step, trigger_step
+from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, GAP_S, LEAST_CHARS, MOST_ERRORS, SKIP_MOST_S, SKIP_STEP_S, Library, Live, MatchRules, Trigger, attribute_step, match_step, trigger_step
 from ..operators.signal import SQL as SIGNAL_SQL
 from ..operators.signal import sessions
-from ..sources.lens import table, timed_segments, voice_prints
+from ..operators.vectors import STEPS, assignment_errors
+from ..sources.lens import SPOKEN, table, timed_segments, transcript, voice_prints
 
 
 def match_online(utterances: DataFrame, key: str = "stream") -> DataFrame:
     """Identity matching that learns as it goes: one library per ``key``, its rows in order of id.
 
     The state is a total order's: rows of a key go through one task, sorted, in batches, and only the library is held.
-    Independent streams run in parallel; a corpus that needs no learning takes ``match_frozen`` instead.
+    Independent streams run in parallel; a corpus that needs no learning takes ``match_frozen`` instead. A column
+    ``threshold`` sets a stream's own.
     """
-    dealt = utterances.select(key, "id", "centroid", "mic", "seconds").repartition(key).sortWithinPartitions(key, "id")
+    own = F.col("threshold") if "threshold" in utterances.columns else F.lit(MatchRules().threshold)
+    dealt = utterances.select(key, "id", "centroid", "mic", "seconds", own.alias("threshold")).repartition(key).sortWithinPartitions(key, "id")
+    kind = dict(dealt.dtypes)[key]
 
     def fold(batches):
         now, lib = object(), Library()
         for rows in batches:
             out = []
-            for k, _, vector, mic, seconds in rows.itertuples(index=False):
+            for k, _, vector, mic, seconds, threshold in rows.itertuples(index=False):
                 if k != now:
                     now, lib = k, Library()
-                out.append(match_step(lib, list(vector), bool(mic), float(seconds)))
-            yield pd.DataFrame({"id": rows["id"], "speaker": [o[0] for o in out], "similarity": pd.array([o[1] for o in out], dtype="Float64").round(6), "is_new": [o[2] for o in out]})
+                out.append(match_step(lib, list(vector), bool(mic), float(seconds), rules=MatchRules(threshold=float(threshold))))
+            yield pd.DataFrame({key: rows[key], "id": rows["id"], "speaker": [o[0] for o in out], "similarity": pd.array([o[1] for o in out], dtype="Float64").round(6), "is_new": [o[2] for o in out]})
 
-    return dealt.mapInPandas(fold, "id long, speaker long, similarity double, is_new boolean")
+    return dealt.mapInPandas(fold, f"{key} {kind}, id long, speaker long, similarity double, is_new boolean")
+
+
+def threshold_simulation(prints: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, profiles, splits, merges): prints of all speakers by turns through the learning match, once per threshold.
+
+    Every threshold is a stream of its own, so they run beside each other.
+    """
+    turn = F.row_number().over(Window.partitionBy("speaker_id").orderBy("id"))
+    order = F.row_number().over(Window.partitionBy("threshold").orderBy("turn", "speaker_id")).cast("long")
+    steps = prints.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    mixed = prints.withColumn("turn", turn).join(F.broadcast(steps))  # a few given thresholds
+    mixed = mixed.select("threshold", order.alias("id"), "centroid", "speaker_id", F.lit(False).alias("mic"), F.lit(0.0).alias("seconds"))
+    found = match_online(mixed.withColumn("stream", F.col("threshold")))
+    truth = found.select(F.col("stream").alias("threshold"), "id", F.col("speaker").alias("profile")).join(mixed.select("threshold", "id", F.col("speaker_id").alias("person")), ["threshold", "id"])
+    return assignment_errors(truth, ["threshold"])
+
+
+def attribute(utterances: DataFrame) -> DataFrame:
+    """Who speaks, per meeting in order of time: too little speech takes a donor, the rest is matched with recent speakers favoured.
+
+    Rows (meeting_id, id, channel, start_us, end_us, speech_us, centroid) of a meeting go through one task, sorted, in
+    batches; the fold holds what a running meeting remembers.
+    """
+    dealt = utterances.select("meeting_id", "id", "channel", "start_us", "end_us", "speech_us", "centroid").repartition("meeting_id").sortWithinPartitions("meeting_id", "start_us", "id")
+
+    def fold(batches):
+        now, live = object(), Live()
+        for rows in batches:
+            out = []
+            for meeting, _, channel, start, end, speech, vector in rows.itertuples(index=False):
+                if meeting != now:
+                    now, live = meeting, Live()
+                out.append(attribute_step(live, None if vector is None else list(vector), channel, int(start), int(end), int(speech)))
+            yield pd.DataFrame({"meeting_id": rows["meeting_id"], "id": rows["id"], "speaker": pd.array([o[0] for o in out], dtype="Int64"), "similarity": pd.array([o[1] for o in out], dtype="Float64").round(6), "is_new": [o[2] for o in out]})
+
+    return dealt.mapInPandas(fold, "meeting_id long, id long, speaker long, similarity double, is_new boolean")
+
+
+def assemble(utterances: DataFrame, texts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments, events): utterances with a text and their speaker, and what clients are told of them, in order.
+
+    Utterances without text go before anybody is matched to them. A new speaker is told before the segment that brought
+    it; events are (meeting_id, start_us, id, no, value).
+    """
+    said = utterances.join(texts.filter(F.length("text") > 0), ["meeting_id", "id"])
+    segments = said.join(found, ["meeting_id", "id"], "left").select("meeting_id", "id", "channel", "start_us", "end_us", "text", "speaker", "similarity", F.coalesce("is_new", F.lit(False)).alias("is_new"))
+    place = ["meeting_id", "start_us", "id"]
+    people = segments.filter("is_new").select(*place, F.lit(0).alias("no"), F.to_json(F.struct(F.lit("speaker_new").alias("type"), "speaker")).alias("value"))
+    told = segments.select(*place, F.lit(1).alias("no"), F.to_json(F.struct(F.lit("segment").alias("type"), "id", "channel", "text", "speaker")).alias("value"))
+    return segments, people.unionByName(told)
 
 
 def hint_trigger(lines: DataFrame) -> DataFrame:
@@ -68,7 +122,7 @@ def stream_sessions(spark, folder: str, gap: str, delay: str, out: str, checkpoi
 
 def _online(spark, d):
     prints = voice_prints(spark, d)
-    return match_online(prints.select((F.col("id") % 4).alias("stream"), "id", "centroid", (F.col("id") % 3 == 0).alias("mic"), F.lit(2.5).alias("seconds")))
+    return match_online(prints.select((F.col("id") % 4).alias("stream"), "id", "centroid", (F.col("id") % 3 == 0).alias("mic"), F.lit(2.5).alias("seconds"))).drop("stream")
 
 
 def _triggers(spark, d):
@@ -77,9 +131,36 @@ def _triggers(spark, d):
     return hint_trigger(rows.select(F.col("conv_id").alias("meeting_id"), F.col("turn").alias("id"), (F.col("turn") * 9.0).alias("now"), F.length("text").alias("chars"), outcome.alias("outcome")))
 
 
+def _attributed(spark, d):
+    """Every segment; those that have a print of their id bring its vector."""
+    rows = timed_segments(spark, d).withColumn("speech_us", F.when(F.col("id") % 3 == 0, 300_000).otherwise(2_500_000))
+    return attribute(rows.join(voice_prints(spark, d).select("id", "centroid"), "id", "left"))
+
+
+def _events(spark, d):
+    texts = transcript(spark, d).select("meeting_id", "id", F.when(F.col("id") % 4 != 3, F.col("text")).otherwise("").alias("text"))
+    rows = transcript(spark, d).select("meeting_id", "id", F.lit("mic").alias("channel"), (F.col("start_s") * 1e6).cast("long").alias("start_us"), (F.col("start_s") * 1e6 + 900_000).cast("long").alias("end_us"))
+    found = rows.select("meeting_id", "id", (F.col("id") % 2).alias("speaker"), F.lit(None).cast("double").alias("similarity"), (F.col("id") < 2).alias("is_new"))
+    return assemble(rows, texts, found)[1].select("meeting_id", "id", F.col("no").cast("long").alias("no"), F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.speaker").cast("long").alias("speaker"), F.length(F.get_json_object("value", "$.text")).cast("long").alias("chars"))
+
+
 QUERIES = {
     "voice_match_online": _online,
+    "threshold_simulation": lambda s, d: threshold_simulation(voice_prints(s, d), STEPS),
+    "attribution": _attributed,
+    "segment_events": _events,
     "hint_trigger": _triggers,
     "session_windows": lambda s, d: sessions(timed_segments(s, d), 900_000_000, 1 << 60).drop("part"),
 }
-SQL = {"session_windows": SIGNAL_SQL["speech_sessions"].replace("600000000", "900000000").replace("1800000000", str(1 << 60)).replace(" part, count", " count").replace(", session, part", ", session")}
+_FIRES = f"NOT f.off AND l.now >= f.until AND f.chars + l.n >= {LEAST_CHARS} AND l.now - f.last >= f.gap"
+SQL = {
+    "session_windows": SIGNAL_SQL["speech_sessions"].replace("600000000", "900000000").replace("1800000000", str(1 << 60)).replace(" part, count", " count").replace(", session, part", ", session"),
+    "segment_events": f"""SELECT meeting_id, id, no, CASE no WHEN 0 THEN 'speaker_new' ELSE 'segment' END AS type, id % 2 AS speaker, CASE no WHEN 1 THEN length(text) END AS chars FROM {SPOKEN}, (VALUES (0::BIGINT), (1)) AS v(no) WHERE id % 4 <> 3 AND length(text) > 0 AND (no = 1 OR id < 2)""",
+    "hint_trigger": f"""WITH RECURSIVE l AS (SELECT conv_id AS m, turn AS id, turn * 9.0::DOUBLE AS now, length(text) AS n, CASE WHEN turn % 3 = 0 THEN 'skip' WHEN turn % 5 = 1 THEN 'error' ELSE 'ok' END AS o, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+      f AS (SELECT m, -1::BIGINT AS id, 0::BIGINT AS i, 0::BIGINT AS chars, -1e18::DOUBLE AS last, {GAP_S}::DOUBLE AS gap, 0::BIGINT AS skips, 0::BIGINT AS errors, -1e18::DOUBLE AS until, false AS off, false AS fired FROM (SELECT DISTINCT m FROM l)
+        UNION ALL SELECT l.m, l.id, l.i, CASE WHEN {_FIRES} AND o <> 'error' THEN 0 ELSE f.chars + l.n END, CASE WHEN {_FIRES} THEN l.now ELSE f.last END,
+          CASE WHEN {_FIRES} AND o = 'ok' THEN {GAP_S} WHEN {_FIRES} AND o = 'skip' THEN least({SKIP_STEP_S} * (f.skips + 1), {SKIP_MOST_S}) ELSE f.gap END, CASE WHEN {_FIRES} AND o = 'ok' THEN 0 WHEN {_FIRES} AND o = 'skip' THEN f.skips + 1 ELSE f.skips END,
+          CASE WHEN {_FIRES} AND o = 'error' THEN f.errors + 1 WHEN {_FIRES} THEN 0 ELSE f.errors END, CASE WHEN {_FIRES} AND o = 'error' THEN l.now + least({BACKOFF_S} * 2 ** (f.errors + 1), {BACKOFF_MOST_S}) WHEN {_FIRES} AND o = 'ok' THEN -1e18 ELSE f.until END,
+          f.off OR ({_FIRES} AND o = 'error' AND f.errors + 1 >= {MOST_ERRORS}), {_FIRES} FROM f JOIN l ON l.m = f.m AND l.i = f.i + 1)
+      SELECT m AS meeting_id, id, fired, gap FROM f WHERE i > 0""",
+}

@@ -1,7 +1,10 @@
+import collections
 import io
 import struct
+import uuid
 import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +48,57 @@ def _segments(spark, n, size):
     return spark.createDataFrame([(1, k, "s", float(k), "x" * size) for k in range(n)] + [(2, 0, "s", 0.0, "short")], "meeting_id long, id long, speaker string, start_s double, text string")
 
 
+def test_each_chunk_is_asked_once(spark, tmp_path):
+    """One call a chunk and level, however many levels read the notes."""
+
+    def model(system, prompt):
+        (tmp_path / uuid.uuid4().hex).write_text(system)
+        return "n " * 40 if system == summary.NOTES else "protocol"
+
+    got = summary.summarize(_segments(spark, 40, 50), model, 300, model_name="m")
+    rows = {r.meeting_id: r for r in got.collect()}
+    got.count()
+    asked = collections.Counter(p.read_text() for p in tmp_path.iterdir())
+    chunks = summary.pack_lines(_segments(spark, 40, 50).filter("meeting_id = 1"), 300).count()
+    notes = "\n".join(["n " * 40] * chunks)
+    second = -(-len(notes) // 300)
+    assert asked[summary.PROTOCOL] == 2 and chunks < asked[summary.NOTES] <= chunks + 3 * second + 3
+    assert rows[1].summary == "protocol" and rows[1].summary_model == "m" and rows[1].status == "done"
+
+
+def test_client_frames_and_recordings(spark, tmp_path):
+    rnd = np.random.default_rng(2)
+    x = rnd.uniform(-1.2, 1.2, 3_500)
+    sent = audio.encode_frames(spark.createDataFrame([(5, "mic", x.tolist()), (6, "tape", [0.1] * 2_000)], "k long, channel string, samples array<double>"), ["k"])
+    rows = sent.orderBy("no").collect()
+    assert [(r.k, r.channel, r.no, len(r.frame)) for r in rows] == [(5, "mic", 0, 3_201), (5, "mic", 1, 3_201)]
+    clamped = np.clip(x[:1_600], -1, 1)
+    assert np.frombuffer(bytes(rows[0].frame[1:]), "<i2").tolist() == [int(v * (32768 if v < 0 else 32767)) for v in clamped] and rows[0].level == pytest.approx(np.sqrt(np.mean(clamped**2)))
+    wavs = audio.recordings(audio.read_frames(sent.withColumn("seq", F.col("no"))).select("k", "seq", "channel", "samples"), "k", "seq").collect()
+    with wave.open(io.BytesIO(bytes(wavs[0].wav))) as w:
+        assert len(wavs) == 1 and w.getnframes() == 3_200
+    told = spark.createDataFrame([([0.5] * 16_000 * 9,)], "x array<float>").select(audio.print_recording(F.col("x")).alias("r")).first().r
+    assert told.seconds == 8.0 and len(told.name) == 12 and len(told.wav) == 44 + 2 * 128_000
+    (tmp_path / "bob").mkdir()
+    with wave.open(str(tmp_path / "bob" / "s.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(1)
+        w.setframerate(8_000)
+        w.writeframes(bytes([192, 64]) * 800)
+    read = audio.read_wavs(spark, str(tmp_path)).first()
+    assert read.problem is None and len(read.samples) == 1_600 and read.samples[5] == pytest.approx(0.0)
+
+
+def test_inventory_of_tests(spark, tmp_path):
+    (tmp_path / "test_a.py").write_text('import pytest\n@pytest.mark.parametrize("x", [1, 2, 3])\ndef test_one_thing(x):\n    """Does  one\n    thing."""\nasync def test_other():\n    pass\ndef helper():\n    pass\n')
+    (tmp_path / "test_b.py").write_text("def broken(:\n")
+    got = sorted((r.name, r.title, r.parameters) for r in messages.test_inventory(spark, str(tmp_path)).collect())
+    assert got == [("test_one_thing", "Does one thing.", 3), ("test_other", "other", 0)]
+    assert sorted(r.name for r in messages.test_names(spark, str(tmp_path)).collect()) == ["test_one_thing", "test_other"]
+    ids = spark.createDataFrame([(["1", "1.5", "5.0", "-7", "x", None, ""],)], "i array<string>")
+    assert ids.select(messages.segment_ids(F.col("i"))).first()[0] == [1, -7]
+
+
 def test_summaries(spark):
     def model(system, prompt):
         if len(prompt) > 400:
@@ -64,7 +118,8 @@ def test_questions_and_export(spark):
     r = summary.question_context(rows, 1, [2, 0, 99], 1000).first()
     assert r.quoted == "[00:00] s: xxxx\n[00:02] s: xxxx" and r.earlier == "[00:01] s: xxxx"
     meetings = spark.sql("SELECT 2L AS meeting_id, 'T' AS title, timestamp '2024-05-06 07:08:09' AS started_at, '' AS summary")
-    assert summary.export(meetings, rows).first().text == "# T\n06.05.2024 07:08\n\n[00:00] s: short"
+    assert summary.export(meetings, rows).first().text == "# T\n*06.05.2024 07:08*\n**Participants:** s (1)\n\n## Transcript\n\n[00:00] s: short\n"
+    assert summary.export(meetings.withColumn("summary", F.lit("S")), rows, "pdf").first().text == f"T\n06.05.2024 07:08\nParticipants: s (1)\n\nS\n\n{'-' * 40}\n\n[00:00] s: short\n"
 
 
 def test_streams_equal_the_folds(spark, tmp_path):
