@@ -3,8 +3,9 @@
 A text's words run through overlapping windows of ``WINDOW`` words, ``STRIDE`` apart. A word enters as the sum of an
 embedding of its own, where training knew it, and the mean embedding of its hashed character n-grams. Two gated
 recurrent layers read the window in both directions, attention weighs their states, and a logistic unit scores the
-pooled state. A text's score is that of its worst window; all windows of all texts are scored. A letter run of more than ``LONGEST`` letters, such as unspaced text, is cut into overlapping pieces of ``PIECE``
-letters, each a word of the windows: every letter reaches the network.
+pooled state. A text's score is that of its worst window; all windows of all texts are scored. A letter run of
+more than ``LONGEST`` letters, such as unspaced text, is cut into overlapping pieces of ``PIECE`` letters, each a word of
+the windows: every letter reaches the network.
 
 The network is trained in numpy on a bounded sample of labelled texts (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``, of at most
 ``SAMPLE_WORDS`` words each, drawn by a hash of the id). A label holds for a text, not for its windows, so each toxic
@@ -35,6 +36,8 @@ VOCABULARY, GRAMS = 20_000, 1 << 15
 EPOCHS, BATCH, RATE = 14, 256, 0.01
 #: Distinct words whose inputs a worker remembers.
 REMEMBERED = 200_000
+#: Windows of a very long text that are laid out at once.
+PORTION = 40_000
 #: Windows that run through the network at once.
 WINDOWS_AT_ONCE = 4_096
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -304,8 +307,8 @@ class Scorer:
         for k, text in enumerate(texts):
             words = letter_runs(text)
             # Long texts come in portions that overlap by a window's rest; the same windows result.
-            for at in range(0, len(words), 40_000 * STRIDE):
-                part = words[at : at + 40_000 * STRIDE + WINDOW - STRIDE]
+            for at in range(0, len(words), PORTION * STRIDE):
+                part = words[at : at + PORTION * STRIDE + WINDOW - STRIDE]
                 if at and len(part) <= STRIDE:
                     continue
                 if len(self.known) + len(part) > REMEMBERED:
@@ -350,26 +353,31 @@ class _Shared:
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id") -> Network | None:
     """A network from the rows of ``df`` with a label (doc_id, toxic); None without both labels.
 
-    Of rows that repeat an id, or labels that do, any may be drawn. Null texts, ids and labels teach nothing.
+    An id with both labels counts as toxic; every row of a repeated id is a text of its own, and ties are drawn in order
+    of the text. Null texts, ids and labels teach nothing. Other columns, whatever their names, are not read.
     """
-    rows = df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")).filter("_id IS NOT NULL AND _text IS NOT NULL")
-    rows = rows.filter(F.regexp_count("_text", F.lit(r"\s+")) < SAMPLE_WORDS)
-    marks = labels.filter("toxic IN (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).distinct()
+    rows = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    rows = rows.filter(F.regexp_count("text", F.lit(r"\s+")) < SAMPLE_WORDS)
+    marks = labels.filter("toxic IN (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("y"))
     texts, ys = [], []
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        drawn = marks.filter(F.col("_y") == label)
+        drawn = marks.filter(F.col("y") == label)
         n = drawn.count()
         if n > most:  # a share by hash of the id, so that few texts are joined
-            drawn = drawn.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_500_000 * most / n))
-        picked = rows.join(drawn, "_id").orderBy(F.xxhash64("_id"), "_text").limit(most).collect()
-        texts += [r["_text"] for r in picked]
+            drawn = drawn.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_500_000 * most / n))
+        picked = rows.join(drawn, "id").orderBy(F.xxhash64("id"), "text").limit(most).collect()
+        texts += [r["text"] for r in picked]
         ys += [label] * len(picked)
     return train(texts, ys)
 
 
 def score(df: DataFrame, net: Network | None, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id and score. Texts without a word score 0, as all do without a network. Row by row, whole texts."""
-    picked = df.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """Per row: doc_id and score. Null and empty texts, and those without a word, score 0, as all do without a network.
+
+    Row by row: repeated rows score alike, an empty table gives an empty one, very long texts are scored whole, in
+    portions of the same windows. Other columns, whatever their names, are not read.
+    """
+    picked = df.select(F.col(f"`{row_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     if net is None:
         return picked.select("doc_id", F.lit(0.0).alias("score"))
     shared = _Shared(df.sparkSession, net)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -96,3 +97,59 @@ def test_a_stem_in_the_middle_of_unspaced_text():
     logits = tox.Scorer(net).logits(["".join(words(y)) for y in fresh])
     toxic, clean = logits[np.array(fresh)], logits[~np.array(fresh)]
     assert np.mean(toxic[:, None] > clean[None, :]) >= 0.9
+
+
+def plain_score(net, text):
+    """The worst window's logit, word by word and gate by gate, in plain Python."""
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, tox.HIDDEN
+    sig = lambda v: 1 / (1 + math.exp(-max(-30.0, min(30.0, v))))
+    words = tox.letter_runs(text)
+    vectors = [net.inputs([w])[0][0].astype(float) for w in words]
+    worst = -math.inf
+    for start in tox.window_starts(len(words)) if words else []:
+        xs, states = vectors[start : start + tox.WINDOW], []
+        for d, order in (("f", range(len(xs))), ("b", reversed(range(len(xs))))):
+            state, out = np.zeros(h), {}
+            for t in order:
+                w, u = xs[t] @ p[f"W{d}"] + p[f"c{d}"], p[f"U{d}"]
+                z = np.array([sig(w[i] + state @ u[:, i]) for i in range(h)])
+                r = np.array([sig(w[h + i] + state @ u[:, h + i]) for i in range(h)])
+                n = np.array([math.tanh(w[2 * h + i] + (r * state) @ u[:, 2 * h + i]) for i in range(h)])
+                state = out[t] = state + z * (n - state)
+            states.append(out)
+        both = [np.concatenate([states[0][t], states[1][t]]) for t in range(len(xs))]
+        energy = [np.tanh(s @ p["A"]) @ p["v"] for s in both]
+        weights = [math.exp(e - max(energy)) for e in energy]
+        pooled = sum(w * s for w, s in zip(weights, both)) / sum(weights)
+        worst = max(worst, float(pooled @ p["o"] + p["b"][0]))
+    return worst
+
+
+def test_scores_equal_a_plain_loop(spark, monkeypatch):
+    """Whole texts against a word-by-word reading of the same network; portions and what is remembered change nothing."""
+    rnd = random.Random(3)
+    vocab = ["".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    net = tox.Network({w: k for k, w in enumerate(vocab[:30])})
+    net.p["b"] += 0.3
+    texts = [" ".join(rnd.choice(vocab) for _ in range(n)) for n in (1, 7, 8, 9, 16, 17, 24, 25, 90)] + ["x" * 130, None, "", "1 2 3"]
+    want = [plain_score(net, t) for t in texts]
+    for portion, remembered, at_once in ((40_000, 200_000, 4_096), (1, 200_000, 3), (2, 20, 5)):
+        monkeypatch.setattr(tox, "PORTION", portion)
+        monkeypatch.setattr(tox, "REMEMBERED", remembered)
+        monkeypatch.setattr(tox, "WINDOWS_AT_ONCE", at_once)
+        assert tox.Scorer(net).logits(texts) == pytest.approx(want, abs=1e-4)
+    rows = [(k, t, 5) for k, t in enumerate(texts)] + [(None, texts[3], 6)]
+    got = tox.score(spark.createDataFrame(rows, "doc_id long, text string, score int"), net).collect()
+    by = {r.doc_id: r.score for r in got}
+    assert len(got) == len(rows) and by[None] == by[3]
+    assert [by[k] for k in range(len(texts))] == pytest.approx([0.0 if w == -math.inf else 1 / (1 + math.exp(-w)) for w in want], abs=1e-4)
+
+
+def test_labels_that_differ_and_repeat(spark, monkeypatch):
+    """An id with both labels is toxic; repeats of a label change nothing; ids and texts that are null teach nothing."""
+    seen = {}
+    monkeypatch.setattr(tox, "train", lambda texts, ys: seen.update(zip(texts, ys)))
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b2"), (3, None), (None, "n"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    tox.fit(docs, labels)
+    assert seen == {"a": 1, "b": 0, "b2": 0}
