@@ -26,6 +26,8 @@ SAMPLE_DOCS = 1_500
 LONGEST_GRAM = 4
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 300_000
+#: Words of a very long text that are looked up at once.
+PART = 50_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -87,8 +89,8 @@ class Model:
         if not self.langs or not any(c.isalpha() for w in found for c in w):
             return UNDETERMINED, 0.0
         total, get = self.prior - self.prior.max(), self.known.get
-        for at in range(0, len(found), 50_000):
-            part = found[at : at + 50_000]
+        for at in range(0, len(found), PART):
+            part = found[at : at + PART]
             if len(self.known) + len(part) > REMEMBERED:
                 self.known.clear()
             rows = [r if (r := get(w)) is not None else self._row(w) for w in part]
@@ -143,7 +145,11 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, lang_pred and score. Null texts, and those without a letter, are ``und`` with score 0. Row by row."""
+    """Per row: doc_id, lang_pred and score. Null texts, and those without a letter, are ``und`` with score 0.
+
+    Row by row: repeated rows get the same answer, an empty table gives an empty one, very long texts are read whole, in
+    parts. Of languages that tie, the first by name wins. Other columns, whatever their names, are not read.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +158,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", row_id: str = "doc
             found = [own.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return df.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return df.select(F.col(f"`{row_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

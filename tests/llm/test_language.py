@@ -1,6 +1,10 @@
+import math
 import random
+import re
 import zlib
 
+import pytest
+
 from colloquy.llm import language
 
 
@@ -50,3 +54,48 @@ def test_sample_is_of_distinct_texts_and_limited(spark):
     assert len(model.words[0]) in (31, 32) and model.prior[0] > model.prior[1]
     whole = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample_docs=1000)
     assert len(whole.words[0]) == 103
+
+
+def plain_predict(langs, words, pieces, docs, text):
+    """The same backoff from the counts, in plain Python."""
+    def logs(table, item):
+        sums = [sum(n[k] + 0.05 for n in table.values()) for k in range(len(langs))]
+        raw = [math.log((table[item][k] + 0.05) / sums[k]) for k in range(len(langs))]
+        return [x - sum(raw) / len(raw) for x in raw]
+
+    total = [math.log(d + 1.0) for d in docs]
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        add = logs(words, word) if word in words else [0.0] * len(langs)
+        for n in (4, 3, 2, 1):
+            if word in words:
+                break
+            marked = f"\x02{word}\x03" if n > 1 else word
+            known = {g: c for g, c in pieces.items() if len(g) == n}
+            hits = [g for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in known]
+            if hits:
+                rows = [logs(known, g) for g in hits]
+                add = [sum(r[k] for r in rows) / math.sqrt(len(hits)) for k in range(len(langs))]
+                break
+        total = [t + a for t, a in zip(total, add)]
+    weights = [math.exp(t - max(total)) for t in total]
+    return langs[weights.index(max(weights))], max(weights) / sum(weights)
+
+
+def test_predictions_equal_a_plain_reading(spark, monkeypatch):
+    """Words first, then ever shorter n-grams, from given counts; very long texts in parts, and little memory, change nothing."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6)))
+    langs, texts = ["aa", "bb", "cc"], [" ".join(word() for _ in range(rnd.randint(1, 40))) for _ in range(40)] + ["zzz qqq", "a1b2 C-d"]
+    words = {word(): [rnd.randint(0, 9) for _ in langs] for _ in range(25)}
+    pieces = {g: [rnd.randint(0, 9) for _ in langs] for w in (word() for _ in range(30)) for n in range(1, 5) for g in language.grams(w, n)}
+    want = [plain_predict(langs, words, pieces, [3, 5, 1], t) for t in texts]
+    for part, remembered in ((50_000, 300_000), (3, 8)):
+        monkeypatch.setattr(language, "PART", part)
+        monkeypatch.setattr(language, "REMEMBERED", remembered)
+        model = language.Model(langs, words, pieces, [3, 5, 1])
+        got = [model.predict(t) for t in texts]
+        assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-4)
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(None, None, "y"), (7, texts[7], "z"), (8, "", "z")]
+    found = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string"), language.Model(langs, words, pieces, [3, 5, 1])).collect()
+    assert len(found) == len(rows) and {r.lang_pred for r in found if r.doc_id == 7} == {want[7][0]}
+    assert [(r.lang_pred, r.score) for r in found if r.doc_id is None] == [("und", 0.0)]
