@@ -1,6 +1,12 @@
+import bisect
+import itertools
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from colloquy.llm import mixing
 
 
@@ -76,3 +82,41 @@ def test_schedule_interleaves(spark):
     slots = mixing._rank_slots(spark, [600.0, 300.0, 100.0], [600, 300, 100])
     assert Counter(r.k for r in slots.collect()) == {0: 600, 1: 300, 2: 100}
     assert all(sorted(r.rank for r in slots.filter(f"k = {k}").collect()) == list(range(n)) for k, n in enumerate([600, 300, 100]))
+
+
+def plain_mix(rows, weights, share, block):
+    """(tie, taken) of rows (source, size, hash, tie) by walking the schedule slot by slot over each source's line of tokens."""
+    names = sorted({r[0] for r in rows if r[0] is not None}) + [None] * any(r[0] is None for r in rows)
+    totals = {s: sum(r[1] for r in rows if r[0] == s) for s in names}
+    targets = fill(totals, {s: weights[k % 3] for k, s in enumerate(names)}, share * sum(totals.values()))
+    taken, lines = defaultdict(int), {}
+    for s in names:
+        line, at = [], 0
+        for _, size, _, tie in sorted((r for r in rows if r[0] == s), key=lambda r: r[2:]):
+            line.append((at, at + size, tie))
+            at += size
+        lines[s] = line
+    goal = {s: round(targets[s]) for s in names}
+    quota = {s: goal[s] // totals[s] * math.ceil(totals[s] / block) + math.ceil(goal[s] % totals[s] / block) if totals[s] else 0 for s in names}
+    edges = list(itertools.accumulate((targets[s] if totals[s] else 0.0) / sum(targets.values()) for s in names))
+    done = dict.fromkeys(names, 0)
+    slots = [names[min(bisect.bisect_right(edges[:-1], k * mixing.GOLDEN % 1.0), len(names) - 1)] for k in range(sum(quota.values()))]
+    for s in slots + [s for s in names for _ in range(quota[s])]:
+        if done[s] == quota[s]:
+            continue
+        turn, at = divmod(done[s], math.ceil(totals[s] / block))
+        done[s] += 1
+        begin, end = at * block, min((at + 1) * block, totals[s], goal[s] - turn * totals[s])
+        for a, b, tie in lines[s]:
+            taken[tie] += max(0, min(b, end) - max(a, begin))
+    return {r[3]: taken[r[3]] for r in rows}
+
+
+def test_taken_words_of_every_document(spark):
+    rnd = random.Random(9)
+    rows = [(k, rnd.choice([0, 1, 5, 40, 300]), rnd.choice(["a", "b", "c", "d", None])) for k in range(150)] + [(3, 7, "a"), (None, 9, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, size long, source string")
+    keyed = df.select("source", "size", F.xxhash64("doc_id", F.lit(0)).alias("hash"), F.xxhash64("doc_id", "size", "source", F.lit(0)).alias("tie")).collect()
+    want = plain_mix([tuple(r) for r in keyed], [3, 1, 2], 1.5, 32)
+    got = mixing.mix(df, "size", [3.0, 1.0, 2.0], 1.5, block=32).select(F.xxhash64("doc_id", "size", "source", F.lit(0)).alias("tie"), "taken").collect()
+    assert {r.tie: r.taken for r in got} == want and sum(want.values()) > 0
