@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_names
 
 LONG_WORD = 96
 #: Words whose encoding a Python worker remembers in each of two generations.
@@ -170,11 +170,14 @@ def pack(ids: list[int]) -> bytes:
 def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns plus n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded (the ids' decoding).
 
-    Null and empty texts have no ids and decode to the empty string. Texts are never cut. Row by row: no shuffle.
+    Null and empty texts have no ids and decode to the empty string. Texts are never cut. Row by row: no shuffle, repeated
+    rows are coded alike, an empty table gives an empty one. Where the caller has a column of one of those three names,
+    the new one has an underscore after it. ``decoded`` is put together from the decodings of a text's pieces, which are
+    remembered with their ids: what ``bpe_decode`` makes of all ids at once.
     """
     keep = df.columns if keep is None else keep
     inner, out = [f"_k{i}" for i in range(len(keep))], ("n_tokens long", "ids binary", "decoded string")
-    source = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner)], F.col(text).alias("_text"))
+    source = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner)], F.col(f"`{text}`").alias("_text"))
     spec = df.sparkSession.sparkContext.broadcast(open(vocab_path, encoding="utf-8").read())
     types = dict(source.dtypes)
 
@@ -198,7 +201,8 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", keep: list[st
                 )
 
     done = source.mapInArrow(encode, ", ".join([*(f"{k} {types[k]}" for k in inner), *out]))
-    return done.select(*[F.col(k).alias(c) for c, k in zip(keep, inner)], "n_tokens", "ids", "decoded")
+    new = zip(("n_tokens", "ids", "decoded"), free_names(keep, "n_tokens", "ids", "decoded"))
+    return done.select(*[F.col(k).alias(c) for c, k in zip(keep, inner)], *[F.col(c).alias(to) for c, to in new])
 
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

@@ -37,6 +37,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted`` names for new columns, each with underscores after it where the caller's columns have it, in any case."""
+    held, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(df: DataFrame, keys: list[Column], stay: DataFrame, many: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``keys`` are a row of ``stay``, with all their columns, whatever their names.
 

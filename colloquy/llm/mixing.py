@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, free_names, materialise
 
 #: Tokens in a block.
 BLOCK_TOKENS = 256
@@ -84,9 +84,9 @@ def mix(df: DataFrame, size: str, weights: list[float], share: float, most: floa
     no source gives more than ``most`` times its tokens, and no row more than ceil(``most``) times its own. A row
     without tokens, or with a null size, gives none; a table without tokens asks for none, an empty one gives an empty
     one. Repeated rows, null ids too, each have their own tokens; which of fully equal rows gives more is left open.
-    Reruns agree, and do so for any partitioning. Columns of ``df`` may have any names but those three.
+    Reruns agree, and do so for any partitioning. Where ``df`` has a column of one of those three names, the new one has an underscore after it.
     """
-    spark = df.sparkSession
+    spark, new = df.sparkSession, free_names(df.columns, "source_size", "target", "taken")
     order, whole = F.xxhash64(F.col(f"`{row_id}`"), F.lit(seed)), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("z"), order.alias("hash"), whole.alias("tie"))
     found = {r["source"]: (r["z"], r["n"]) for r in rows.groupBy("source").agg(F.sum("z").alias("z"), F.count("*").alias("n")).collect()}
@@ -94,7 +94,7 @@ def mix(df: DataFrame, size: str, weights: list[float], share: float, most: floa
     totals = {s: found[s][0] for s in names}
     targets = water_fill(totals, {s: weights[k % len(weights)] for k, s in enumerate(names)}, share * sum(totals.values()), most)
     if not names:
-        return df.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long")})
+        return df.withColumns(dict(zip(new, (F.lit(0).cast("long"), F.lit(0.0), F.lit(0).cast("long")))))
 
     goal = {s: round(targets[s]) for s in names}
 
@@ -133,7 +133,8 @@ def mix(df: DataFrame, size: str, weights: list[float], share: float, most: floa
     # Rows with tokens start at places of their own on their source's line.
     taken = taken.select(F.col("k").alias("of_k"), F.col("begins").alias("at"), "taken")
     joined = lined.join(taken, (F.col("k") == F.col("of_k")) & (F.col("begins") == F.col("at")) & (F.col("z") > 0), "left")
-    return joined.select("row.*", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = (F.col("source_size"), F.col("target"), F.coalesce("taken", F.lit(0)).cast("long"))
+    return joined.select("row.*", *[c.alias(to) for c, to in zip(out, new)])
 
 
 def word_count(text: str = "text"):

@@ -41,3 +41,12 @@ def test_clashing_columns_and_decoding(spark):
     assert got.columns == ["_k1", "text", "n.tokens", "n_tokens", "ids", "decoded"]
     again = bpe.bpe_decode(got.select("ids", "decoded"), bpe.default_vocabulary(), to="again").collect()
     assert all(r.again == r.decoded for r in again)
+
+
+def test_own_names_and_whole_decodings(spark, rows):
+    """Columns of the operator's own names stay the caller's; one decoding of all ids is the glued one, repeats and all."""
+    df = spark.createDataFrame([(d, t, 7, "mine", "k") for d, t, *_ in rows], "doc_id long, text string, N_tokens int, ids string, decoded string")
+    got = bpe.bpe_encode(df, bpe.default_vocabulary())
+    assert got.columns == [*df.columns, "n_tokens_", "ids_", "decoded_"]
+    again = bpe.bpe_decode(got, bpe.default_vocabulary(), ids="ids_", to="again").collect()
+    assert len(again) == len(rows) and all((r.N_tokens, r.ids, r.decoded) == (7, "mine", "k") and r.again == r.decoded_ and r.n_tokens_ == len(r.ids_) // 4 for r in again)

@@ -35,7 +35,7 @@ def test_stages_on_repeats_nulls_and_clashing_names(spark):
     """Nulls in any column, repeated ids and rows, ties, and columns named as the stages' own."""
     body = " ".join(f"word{k % 61} tail{k % 7}" for k in range(90))
     rows = [(1, body, "en", "a")] * 4 + [(1, body.replace(" ", "  "), "en", "a"), (None, body + " extra", None, None), (None, None, "en", "b"), (2, "", None, "a"), (3, body[::-1], "en", None), (4, " ".join(f"u{k}" for k in range(400)), "en", "b")]
-    names = ["key", "times", "rows", "whole", "id", "of_id", "row", "k0", "digest", "n", "_id", "_copy", "_stay", "t_lines"]
+    names = ["key", "times", "rows", "whole", "id", "of_id", "row", "k0", "digest", "n", "_id", "_copy", "_stay", "t_lines", "ids", "Decoded"]
     df = spark.createDataFrame([(*r, len(r[1] or ""), *[7] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
     kept = [Counter(tuple(r) for r in df.collect())]
     docs = df
@@ -49,4 +49,4 @@ def test_stages_on_repeats_nulls_and_clashing_names(spark):
     repeated = corpus_pipeline.common.materialise(corpus_pipeline.STAGES[3][1](spark, df, ""))
     assert all(n <= 2 * kept[0][r] for r, n in Counter(tuple(r) for r in repeated.collect()).items())
     coded = corpus_pipeline.STAGES[4][1](spark, docs, "")
-    assert coded.columns[: len(df.columns)] == df.columns and coded.count() == sum(kept[4].values())
+    assert coded.columns == [*df.columns, "n_tokens", "ids_", "decoded_"] and coded.count() == sum(kept[4].values())
