@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, GAP_S, LEAST_CHARS, MOST_ERRORS, SKIP_MOST_S, SKIP_STEP_S, Library, Live, MatchRules, Trigger, attribute_step, match_step, trigger_step
+from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, GAP_S, LEAST_CHARS, MOST_ERRORS, SKIP_MOST_S, SKIP_STEP_S, Library, Live, MatchRules, Trigger, attribute_step, match_step, merge_live, trigger_step
 from ..operators.signal import SQL as SIGNAL_SQL
 from ..operators.signal import sessions
 from ..operators.vectors import STEPS, assignment_errors
@@ -52,23 +52,32 @@ def threshold_simulation(prints: DataFrame, thresholds: list[float]) -> DataFram
     return assignment_errors(truth, ["threshold"])
 
 
-def attribute(utterances: DataFrame) -> DataFrame:
+def attribute(utterances: DataFrame, merges: DataFrame | None = None) -> DataFrame:
     """Who speaks, per meeting in order of time: too little speech takes a donor, the rest is matched with recent speakers favoured.
 
     Rows (meeting_id, id, channel, start_us, end_us, speech_us, centroid) of a meeting go through one task, sorted, in
-    batches; the fold holds what a running meeting remembers.
+    batches; the fold holds what a running meeting remembers. ``merges`` (meeting_id, start_us, source, target) reach it
+    in their place, before utterances of the same time: from then on the two speakers are one.
     """
-    dealt = utterances.select("meeting_id", "id", "channel", "start_us", "end_us", "speech_us", "centroid").repartition("meeting_id").sortWithinPartitions("meeting_id", "start_us", "id")
+    none = F.lit(None).cast("long")
+    rows = utterances.select("meeting_id", "id", "channel", "start_us", "end_us", "speech_us", "centroid", none.alias("source"), none.alias("target"))
+    if merges is not None:
+        rows = rows.unionByName(merges.select("meeting_id", "start_us", "source", "target"), allowMissingColumns=True)
+    dealt = rows.repartition("meeting_id").sortWithinPartitions("meeting_id", "start_us", F.asc_nulls_first("id"))
 
     def fold(batches):
         now, live = object(), Live()
         for rows in batches:
-            out = []
-            for meeting, _, channel, start, end, speech, vector in rows.itertuples(index=False):
+            ids, out = [], []
+            for meeting, i, channel, start, end, speech, vector, source, target in rows.itertuples(index=False):
                 if meeting != now:
                     now, live = meeting, Live()
+                if not pd.isna(source):
+                    merge_live(live, int(source), int(target), "", [])
+                    continue
+                ids.append((meeting, int(i)))
                 out.append(attribute_step(live, None if vector is None else list(vector), channel, int(start), int(end), int(speech)))
-            yield pd.DataFrame({"meeting_id": rows["meeting_id"], "id": rows["id"], "speaker": pd.array([o[0] for o in out], dtype="Int64"), "similarity": pd.array([o[1] for o in out], dtype="Float64").round(6), "is_new": [o[2] for o in out]})
+            yield pd.DataFrame({"meeting_id": [m for m, _ in ids], "id": [i for _, i in ids], "speaker": pd.array([o[0] for o in out], dtype="Int64"), "similarity": pd.array([o[1] for o in out], dtype="Float64").round(6), "is_new": pd.array([o[2] for o in out], dtype="boolean")})
 
     return dealt.mapInPandas(fold, "meeting_id long, id long, speaker long, similarity double, is_new boolean")
 
@@ -132,9 +141,10 @@ def _triggers(spark, d):
 
 
 def _attributed(spark, d):
-    """Every segment; those that have a print of their id bring its vector."""
+    """Every segment; those that have a print of their id bring its vector. Half-way through each meeting two speakers are merged."""
     rows = timed_segments(spark, d).withColumn("speech_us", F.when(F.col("id") % 3 == 0, 300_000).otherwise(2_500_000))
-    return attribute(rows.join(voice_prints(spark, d).select("id", "centroid"), "id", "left"))
+    half = rows.groupBy("meeting_id").agg(((F.min("start_us") + F.max("start_us")) / 2).cast("long").alias("start_us")).select("meeting_id", "start_us", F.lit(2).cast("long").alias("source"), F.lit(1).cast("long").alias("target"))
+    return attribute(rows.join(voice_prints(spark, d).select("id", "centroid"), "id", "left"), half)
 
 
 def _events(spark, d):

@@ -2,62 +2,77 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.steps import Aligner, Library, match_step
 
-_STATE = StructType([StructField("state", StringType())])
+_PRINTS = "place long, prints array<struct<vector:array<double>,n:long>>"
+_CHANNELS = "mic array<double>, system array<double>, mic_debt long, system_debt long"
 
 
-class _Json(StatefulProcessor):
-    """A processor whose state is one JSON text."""
+class MatchProcessor(StatefulProcessor):
+    """Rows (stream, id, centroid, mic, seconds) of a batch in order of id; out go id, speaker and is_new.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("state", _STATE)
+    The library is a map by speaker: a batch writes back only the speakers that have learned something.
+    """
 
-    def load(self):
-        return json.loads(self.held.get()[0]) if self.held.exists() else None
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.prints = handle.getMapState("prints", "speaker long", _PRINTS)
+        self.next_id = handle.getValueState("next_id", "id long")
+
+    def _library(self) -> tuple[Library, dict[int, int]]:
+        """The library in order of entry, and each speaker's place in it."""
+        held = sorted((int(value[0]), int(key[0]), value[1]) for key, value in self.prints.iterator())
+        prints = {speaker: [[list(p[0]), int(p[1])] for p in rows] for _, speaker, rows in held}
+        lib = Library(prints=prints)
+        if self.next_id.exists():
+            lib.next_id = int(self.next_id.get()[0])
+        return lib, {speaker: place for place, speaker, _ in held}
 
-    def store(self, value) -> None:
-        self.held.update((json.dumps(value),))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        lib, places = self._library()
+        batch = pd.concat(list(rows)).sort_values("id")
+        out = [match_step(lib, list(r.centroid), bool(r.mic), float(r.seconds)) for r in batch.itertuples(index=False)]
+        for speaker in dict.fromkeys(o[0] for o in out):
+            places.setdefault(speaker, len(places))
+            self.prints.updateValue((speaker,), (places[speaker], [([float(x) for x in vector], n) for vector, n in lib.prints[speaker]]))
+        self.next_id.update((lib.next_id,))
+        yield pd.DataFrame({"stream": key[0], "id": batch["id"].to_numpy(), "speaker": [o[0] for o in out], "is_new": [o[2] for o in out]})
 
     def close(self) -> None:
         pass
 
 
-class MatchProcessor(_Json):
-    """Rows (stream, id, centroid, mic, seconds) of a batch in order of id; out go id, speaker and is_new."""
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.load()
-        lib = Library() if old is None else Library(old["self_id"], {int(k): v for k, v in old["prints"].items()}, old["next_id"])
-        for pdf in [pd.concat(list(rows)).sort_values("id")]:
-            out = [match_step(lib, list(r.centroid), bool(r.mic), float(r.seconds)) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame({"stream": key[0], "id": pdf["id"].to_numpy(), "speaker": [o[0] for o in out], "is_new": [o[2] for o in out]})
-        self.store({"self_id": lib.self_id, "prints": lib.prints, "next_id": lib.next_id})
-
+class AlignProcessor(StatefulProcessor):
+    """Rows (stream, seq, channel, samples) of a batch in order of seq; out go mixed samples. A row with the channel "end" flushes.
 
-class AlignProcessor(_Json):
-    """Rows (stream, seq, channel, samples) of a batch in order of seq; out go mixed samples. A row with the channel "end" flushes."""
+    What is held is bounded by the greatest lag.
+    """
 
     def __init__(self, most_lag: int):
         self.most_lag = most_lag
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.channels = handle.getValueState("channels", _CHANNELS)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.load()
-        aligner = Aligner(self.most_lag) if old is None else Aligner(self.most_lag, old["held"], old["debt"])
+        aligner = Aligner(self.most_lag)
+        if self.channels.exists():
+            mic, system, mic_debt, system_debt = self.channels.get()
+            aligner = Aligner(self.most_lag, {"mic": list(mic), "system": list(system)}, {"mic": int(mic_debt), "system": int(system_debt)})
         out: list[float] = []
         for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
             out += aligner.flush() if r.channel == "end" else aligner.feed(r.channel, [float(x) for x in r.samples])
-        self.store({"held": aligner.held, "debt": aligner.debt})
+        self.channels.update((aligner.held["mic"], aligner.held["system"], aligner.debt["mic"], aligner.debt["system"]))
         yield pd.DataFrame({"stream": [key[0]], "samples": [out]})
 
+    def close(self) -> None:
+        pass
+
 
 def match_stream(utterances: DataFrame) -> DataFrame:
     return utterances.groupBy("stream").transformWithStateInPandas(MatchProcessor(), "stream long, id long, speaker long, is_new boolean", "Append", "None")

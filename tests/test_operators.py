@@ -236,6 +236,15 @@ def test_attribution_and_simulation_equal_the_steps(spark):
             meeting, live = r.meeting_id, steps.Live()
         want[r.id] = steps.attribute_step(live, r.centroid and list(r.centroid), r.channel, r.start_us, r.end_us, r.speech_us)[0]
     assert {r.id: r.speaker for r in folds.attribute(rows).collect()} == want
+    merge = spark.createDataFrame([(0, 1_704_067_200_000_000 + 43_200_000_000, 1, 0)], "meeting_id long, start_us long, source long, target long")
+    live, done, after = steps.Live(), False, {}
+    for r in rows.filter("meeting_id = 0").orderBy("start_us", "id").collect():
+        if not done and r.start_us >= 1_704_067_200_000_000 + 43_200_000_000:
+            steps.merge_live(live, 1, 0, "", [])
+            done = True
+        after[r.id] = steps.attribute_step(live, r.centroid and list(r.centroid), r.channel, r.start_us, r.end_us, r.speech_us)[0]
+    merged = {r.id: r.speaker for r in folds.attribute(rows, merge).collect()}
+    assert {i: merged[i] for i in after} == after and done and len(merged) == len(want)
     prints = [tuple(r) for r in folds.voice_prints(spark, SF).limit(60).collect()]
     got = {r.threshold: (r.profiles, r.splits, r.merges) for r in folds.threshold_simulation(spark.createDataFrame(prints, "id long, speaker_id long, centroid array<double>"), [0.2, 0.5]).collect()}
     by = {}
