@@ -5,8 +5,9 @@ from __future__ import annotations
 from .functions import text
 from .operators import lifecycle, mutations, recency, relational, signal, transcripts, vectors, views
 from .plans import evaluation, summary
+from .sources import queries as sources
 from .streaming import folds
 
-_PARTS = [relational, views, lifecycle, transcripts, signal, vectors, recency, mutations, text, evaluation, summary, folds]
+_PARTS = [relational, views, lifecycle, transcripts, signal, vectors, recency, mutations, text, evaluation, summary, sources, folds]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import steps
 from colloquy.plans import summary
 from colloquy.sources import audio, messages
 from colloquy.streaming import folds, stateful
@@ -135,3 +136,21 @@ def test_streams_equal_the_folds(spark, tmp_path):
     query = stateful.match_stream(stream).writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(300)
     assert {(r.id, r.speaker) for r in out} == {(r.id, r.speaker) for r in folds.match_online(df).collect()} and len(out) == 24
+
+
+def test_aligned_stream_equals_the_steps(spark, tmp_path):
+    """Two channels in frames of uneven lengths, late ones among them, over several batches, and a flush at the end."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    frames = [(1, k, ("mic", "system")[k % 3 == 1], [float(k)] * (k % 5)) for k in range(30)] + [(1, 30, "end", [])]
+    schema = "stream long, seq long, channel string, samples array<double>"
+    df = spark.createDataFrame(frames, schema)
+    for part in range(3):
+        df.filter(f"seq >= {part * 11} AND seq < {part * 11 + 11}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = []
+    query = stateful.align_stream(stream, 7).writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    aligner, want = steps.Aligner(7), []
+    for _, _, channel, samples in frames:
+        want += aligner.flush() if channel == "end" else aligner.feed(channel, list(samples))
+    assert [x for r in out for x in r.samples] == want and want
