@@ -200,6 +200,11 @@ QUERIES = {
 }
 
 _ZEROED = f"(SELECT * REPLACE (start_us - {_ZERO} AS start_us, end_us - {_ZERO} AS end_us) FROM {TIMED})"
+_RUN = "{{'l': x[{at}].l, 'n': {n}}}"
+_N = "x[k {0}].n + x[k].n"
+_ABSORBED = f"""CASE WHEN k = 1 THEN [{_RUN.format(at=2, n="x[1].n + x[2].n")}] || x[3:] WHEN k = len(x) THEN x[1:k - 2] || [{_RUN.format(at="k - 1", n=_N.format("- 1"))}]
+  WHEN x[k - 1].l = x[k + 1].l THEN x[1:k - 2] || [{_RUN.format(at="k - 1", n="x[k - 1].n + x[k].n + x[k + 1].n")}] || x[k + 2:]
+  WHEN x[k - 1].n >= x[k + 1].n THEN x[1:k - 2] || [{_RUN.format(at="k - 1", n=_N.format("- 1"))}] || x[k + 1:] ELSE x[1:k - 1] || [{_RUN.format(at="k + 1", n=_N.format("+ 1"))}] || x[k + 2:] END"""
 SQL = {
     "sub_windows": f"""WITH t AS (SELECT id, start_us, end_us, greatest((end_us - start_us) // 250000, 1) - 1 AS last FROM {TIMED}), s AS (SELECT *, unnest(range(last + 1)) AS slot FROM t)
       SELECT id, start_us, end_us, slot, start_us + slot * 250000 AS from_us, CASE WHEN slot = last THEN end_us ELSE start_us + (slot + 1) * 250000 END AS to_us FROM s""",
@@ -213,6 +218,12 @@ SQL = {
     "dominance_runs": f"""WITH m AS (SELECT *, coalesce(filled <> lag(filled) OVER w, true)::BIGINT AS fresh FROM {_FILLED} WINDOW w AS (PARTITION BY meeting_id ORDER BY slot)),
       r AS (SELECT *, sum(fresh) OVER (PARTITION BY meeting_id ORDER BY slot) AS run FROM m)
       SELECT meeting_id, run::BIGINT AS run, min(filled) AS label, count(*) AS n, min(slot) AS first_slot, max(slot) AS last_slot FROM r GROUP BY meeting_id, run""",
+    "dominance_absorb": f"""WITH RECURSIVE m AS (SELECT *, coalesce(filled <> lag(filled) OVER w, true)::BIGINT AS fresh FROM {_FILLED} WINDOW w AS (PARTITION BY meeting_id ORDER BY slot)),
+      r AS (SELECT *, sum(fresh) OVER (PARTITION BY meeting_id ORDER BY slot) AS run FROM m), u AS (SELECT meeting_id, run, min(filled) AS l, count(*) AS n FROM r GROUP BY meeting_id, run),
+      a AS (SELECT meeting_id, 0 AS step, list({{'l': l, 'n': n}} ORDER BY run) AS x FROM u GROUP BY meeting_id UNION ALL
+        SELECT meeting_id, step + 1, {_ABSORBED} FROM (SELECT *, list_position(list_transform(x, lambda e: e.n), list_min(list_transform(x, lambda e: e.n))) AS k FROM a) WHERE len(x) > 1 AND x[k].n < 2),
+      z AS (SELECT meeting_id, unnest(x) AS e, generate_subscripts(x, 1) AS run FROM (SELECT meeting_id, arg_max(x, step) AS x FROM a GROUP BY meeting_id))
+      SELECT meeting_id, run::BIGINT AS run, e.l AS label, e.n AS n FROM z""",
     "speech_sessions": _SESSIONS,
     "frame_align": f"""WITH s AS (SELECT start_us // 60000000 AS slot, channel, max(energy / 100) AS x FROM {TIMED} WHERE channel <> 'mixed' GROUP BY ALL)
       SELECT slot, round(greatest(least(coalesce(m.x, 0) + coalesce(y.x, 0), 1.0), -1.0), 6) AS value FROM (SELECT * FROM s WHERE channel = 'mic') m FULL JOIN (SELECT * FROM s WHERE channel = 'system') y USING (slot)""",
