@@ -9,10 +9,12 @@ joined at a Jaccard similarity of 0.8 or more:
    shares such a shingle and a size band wide enough for every pair that can link.
 2. Groups. Each tile names its least member, the anchor. All tiles of one anchor form one group, so that the hundreds of
    nearly equal tiles of a family of copies become one, with one row a member.
-3. Proof. Groups are compared inside tasks: bitmap signatures bound the overlap from above by bit counts, and what
-   passes is decided by intersecting the sorted arrays. Pairs that links already join are not compared again, and a task
-   gives no more rows than members: each with the least one it is joined to. Groups beyond a task's size are dealt in
-   chunks first; what is then still apart is compared in pairs of blocks.
+3. Bounds. Hashed bitmap signatures of a group's sets bound every overlap from above by bit counts; a set that could
+   link with none of its group leaves it. Only the texts of those that stay are shuffled.
+4. Proof. Groups are compared inside tasks: larger bitmaps bound once more, and what passes is decided by intersecting
+   the sorted arrays. Pairs that links already join are not compared again, and a task gives no more rows than members:
+   each with the least one it is joined to. Groups beyond a task's size are dealt in chunks first; what is then still
+   apart is compared in pairs of blocks.
 
 Sets are held as 64-bit hashes of shingles, classes as 128-bit sums over their sets.
 """
@@ -20,11 +22,12 @@ Sets are held as 64-bit hashes of shingles, classes as 128-bit sums over their s
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, keep_rows, materialise, mix64, text_slices, window_hashes, words
@@ -35,8 +38,12 @@ WIDTH = 5
 BUCKET_DOCS = 4_000
 #: Sets, and shingles of all its sets, that a task compares with each other, on average.
 CHUNK_SETS, CHUNK_SHINGLES = 512, 1 << 20
+#: Bits a shingle, at least, of the signatures that travel to groups.
+SIGNATURE_BITS = 2
 #: log2 of the counters of the frequency sketch, and of the parts it is added up in.
 COUNTER_BITS, PART_BITS = 24, 9
+#: log2 of the bits of the filter that spares texts of no group.
+FILTER_BITS = 24
 #: A shingle that more sets hold is dealt over several buckets; in a full sketch, one that stands out this many times.
 HOT_SETS, STANDS_OUT = 20_000, 8
 #: Size bands: BAND_STEPS of them make a ratio of 1.25; one more is allowed for rounding.
@@ -106,10 +113,10 @@ def tile_keys(shingles: np.ndarray, bounds: np.ndarray, levels: np.ndarray) -> t
     return owner[first], keys[order][first]
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of eight to sixteen bits a shingle, a power of two of 64-bit words."""
+def bitmap(shingles: np.ndarray, least_bits: int = 8) -> np.ndarray:
+    """Hashed bitmap of ``least_bits`` to twice as many bits a shingle, a power of two of 64-bit words."""
     bits = 64
-    while bits < 8 * len(shingles):
+    while bits < least_bits * len(shingles):
         bits *= 2
     flags = np.zeros(bits, np.uint8)
     flags[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -145,11 +152,11 @@ class _Once:
         return out
 
 
-_MEMBERS = "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, part int, counts binary"
+_MEMBERS = "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, signature binary, part int, counts binary"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, text) to rows of size and class id, and at the task's end to the parts of its counters."""
+    """(doc_id, text_hash, text) to rows of size, class id and signature, and at the task's end to the parts of its counters."""
     names = [c.split()[0] for c in _MEMBERS.split(", ")]
     counters, once = np.zeros(1 << COUNTER_BITS, np.uint32), _Once()
     for batch in batches:
@@ -160,11 +167,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(counters, mix64(shingles[new]) >> np.uint64(64 - COUNTER_BITS), 1)
             part = batch.slice(start, end - start)
             none = [pa.nulls(end - start, pa.int32()), pa.nulls(end - start, pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), *none], names=names)
+            signs = pa.array([bitmap(shingles[a:b], SIGNATURE_BITS).tobytes() for a, b in itertools.pairwise(bounds.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), signs, *none], names=names)
     pieces = counters.reshape(1 << PART_BITS, -1)
     for k in np.flatnonzero(pieces.any(1)).tolist():
         packed = pa.compress(pieces[k].tobytes(), "zstd", asbytes=True)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names=names)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,37 +272,69 @@ def _groups(tiles: DataFrame) -> DataFrame:
     return plain.unionByName(hot.join(tops, "hot").select(F.col("top").alias("anchor"), "member")).filter("anchor <> member").distinct()
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows whose text_hash ``wanted`` hasn't: a filter of fixed size that spares shuffling their texts."""
+    at = F.pmod("text_hash", F.lit(1 << FILTER_BITS))
+    ones = wanted.select(at.alias("at")).select(F.floor(F.col("at") / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int")).alias("bit"))
+    found = ones.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words_of = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    words_of[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(words_of)
+
+    @F.pandas_udf("boolean")
+    def is_likely(hashes: pd.Series) -> pd.Series:
+        place = hashes.to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+        return pd.Series((shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1)
+
+    return docs.filter(is_likely("text_hash"))
+
+
 def _first_of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once = _Once()
     for batch in batches:
         yield batch.filter(pa.array(once.new(batch.column(0).to_numpy()), pa.bool_()))
 
 
-def joined(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
-    """Components (as indices) of sets that start in ``component``, after all links between them; with ``side``, between sides only."""
-    n = np.array([len(s) for s in sets])
-    order = np.argsort(n, kind="stable")
-    bits = [bitmap(sets[k]) for k in order]
+def plausible(n: np.ndarray, bits: list[np.ndarray], apart: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, partners) of sets in order of size: those ``apart`` from i whose sizes and bitmaps leave room for a link, each pair once."""
     width = np.array([len(b) for b in bits])
-    n, label = n[order], np.unique(component, return_inverse=True)[1][order]
-    side = None if side is None else side[order]
     for w in np.unique(width):
         # Partners of the band have bitmaps of this width or, folded, of twice it.
         at = np.flatnonzero((width == w) | (width == 2 * w))
         table = np.stack([bits[k] if len(bits[k]) == w else bits[k][:w] | bits[k][w:] for k in at])
         for row in np.flatnonzero(width[at] == w).tolist():
             i = at[row]
-            end = int(np.searchsorted(n[at], n[i] * 5 // 4, "right"))
-            apart = label[at[row + 1 : end]] != label[i]
-            if side is not None:
-                apart &= side[at[row + 1 : end]] != side[i]
-            rows = row + 1 + np.flatnonzero(apart)
-            if not len(rows):
-                continue
-            room = most_overlap(table[row], n[i], table[rows], n[at[rows]]) >= least_overlap(n[i], n[at[rows]])
-            for j in at[rows[room]].tolist():
-                if label[j] != label[i] and len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True)) >= least_overlap(n[i], n[j]):
-                    label[label == label[j]] = label[i]
+            others = at[row + 1 : int(np.searchsorted(n[at], n[i] * 5 // 4, "right"))]
+            rows = row + 1 + np.flatnonzero(apart(i, others))
+            if len(rows):
+                yield i, at[rows[most_overlap(table[row], n[i], table[rows], n[at[rows]]) >= least_overlap(n[i], n[at[rows]])]]
+
+
+def _with_partner(table: pa.Table) -> pa.Table:
+    """The members of a group whose signatures leave room for a link with another one."""
+    ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+    table = table.take(pa.array(first))
+    n = table.column("n").to_numpy()
+    order = np.argsort(n, kind="stable")
+    signs = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("signature")]
+    kept = np.zeros(len(ids), bool)
+    for i, partners in plausible(n[order], [signs[k] for k in order], lambda i, others: np.ones(len(others), bool)):
+        if len(partners):
+            kept[order[i]] = kept[order[partners]] = True
+    return pa.table({"anchor": table.column("anchor").filter(pa.array(kept)), "id": ids[kept]})
+
+
+def joined(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """Components (as indices) of sets that start in ``component``, after all links between them; with ``side``, between sides only."""
+    n = np.array([len(s) for s in sets])
+    order = np.argsort(n, kind="stable")
+    n, label = n[order], np.unique(component, return_inverse=True)[1][order]
+    side = None if side is None else side[order]
+    apart = lambda i, others: (label[others] != label[i]) & (True if side is None else side[others] != side[i])
+    for i, partners in plausible(n, [bitmap(sets[k]) for k in order], apart):
+        for j in partners.tolist():
+            if label[j] != label[i] and len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True)) >= least_overlap(n[i], n[j]):
+                label[label == label[j]] = label[i]
     out = np.empty_like(label)
     out[order] = label
     return out
@@ -320,6 +360,10 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": ids[told], "b": least[label][told]})
 
 
+def _same_row(rows: DataFrame, wanted: DataFrame) -> Column:
+    return rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])
+
+
 def _shares(rows: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` (n and more) by ``by``: the chunks that their number and size ask for."""
     return rows.groupBy(*by).agg((F.floor(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)) + 1).alias("chunks"))
@@ -327,10 +371,10 @@ def _shares(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def _compared(placed: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
     """New connections (a, b) among ``placed`` rows (id, component, side and ``by``), compared by ``by``; materialised."""
-    return materialise(placed.join(texts.select("id", "text"), "id").groupBy(*by).applyInArrow(_compare, "a long, b long").distinct())
+    return materialise(placed.join(texts, "id").groupBy(*by).applyInArrow(_compare, "a long, b long").distinct())
 
 
-def _every(n) -> F.Column:
+def _every(n) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
@@ -371,17 +415,22 @@ def _components(df: DataFrame, text: str, row_id: str) -> tuple[DataFrame, DataF
     tiles = materialise(keys.groupBy("bucket").applyInArrow(_tiles(shared), "anchor long, member long, hot long"))
     groups = materialise(_groups(tiles))
 
-    # The texts that groups need, once each.
-    wanted = groups.select(F.col("anchor").alias("c1")).unionByName(groups.select(F.col("member").alias("c1"))).distinct()
-    wanted = classes.join(wanted, "c1").select("id", "c1", "n", F.col("rep").alias("doc_id"), "text_hash")
-    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])
-    texts = docs.join(wanted, same).select(wanted["id"], wanted["c1"], wanted["n"], docs["text"])
-    texts = materialise(texts.mapInArrow(_first_of_class, "id long, c1 long, n long, text string"))
-
-    named = texts.select(F.col("c1").alias("member"), "id", "n").dropDuplicates(["id"])
-    held = groups.unionByName(groups.select("anchor", F.col("anchor").alias("member")).distinct()).join(named, "member")
-    shares = _shares(held, ["anchor"])
-    held = materialise(held.join(shares, "anchor").withColumn("is_anchor", F.col("anchor") == F.col("member")).drop("member"))
+    # The classes of groups, and their groups with the chunks that they are compared in.
+    met = groups.select(F.col("anchor").alias("c1")).unionByName(groups.select(F.col("member").alias("c1"))).distinct()
+    wanted = materialise(classes.join(met, "c1").select("id", "c1", "n", F.col("rep").alias("doc_id"), "text_hash"))
+    held = groups.unionByName(groups.select("anchor", F.col("anchor").alias("member")).distinct()).join(wanted.select(F.col("c1").alias("member"), "id", "n"), "member")
+    held = materialise(held.join(_shares(held, ["anchor"]), "anchor").withColumn("is_anchor", F.col("anchor") == F.col("member")).drop("member"))
+
+    # Signatures first: what can link with nobody of its group needs no text. Groups of several chunks stay whole.
+    signed = members.join(wanted, _same_row(members, wanted)).select(wanted["id"], members["signature"]).mapInArrow(_first_of_class, "id long, signature binary")
+    thinned = held.filter("chunks = 1").select("anchor", "id", "n").join(signed, "id").groupBy("anchor").applyInArrow(_with_partner, "anchor long, id long")
+    kept = materialise(thinned.unionByName(held.filter("chunks > 1").select("anchor", "id")))
+    wanted = materialise(wanted.join(kept.select("id").distinct(), "id"))
+    likely = _likely(docs, wanted)
+    texts = likely.join(wanted, _same_row(likely, wanted)).select(wanted["id"], likely["text"])
+    texts = materialise(texts.mapInArrow(_first_of_class, "id long, text string"))
+
+    held = held.join(kept, ["anchor", "id"])
     one = held.select("anchor", "id", F.when(F.col("is_anchor"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("chunks")))).alias("in"))
     one = one.select("anchor", "id", F.explode("in").alias("chunk"), F.col("id").alias("component"), F.lit(0).cast("long").alias("side"))
     links = _compared(one, texts, ["anchor", "chunk"])
