@@ -16,7 +16,7 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: The same, as Spark's translate() takes it.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Bytes of text handled at once inside a task; bounds the numpy temporaries. A longer text is handled alone, whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = (1 << 18) - 1
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,6 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +35,14 @@ from .components import components
 WIDTH = 5
 #: Documents per bucket of keys, on average; a bucket is sorted in one task.
 BUCKET_DOCS = 4_000
+#: Key records that a task gathers before it deals them into buckets.
+HELD_KEYS = 100_000
 #: Sets, and shingles of all its sets, that a task compares with each other, on average.
 CHUNK_SETS, CHUNK_SHINGLES = 512, 1 << 20
 #: Bits a shingle, at least, of the signatures that travel to groups.
 SIGNATURE_BITS = 2
 #: log2 of the counters of the frequency sketch, and of the parts it is added up in.
-COUNTER_BITS, PART_BITS = 24, 9
+COUNTER_BITS, PART_BITS = 22, 9
 #: log2 of the bits of the filter that spares texts of no group.
 FILTER_BITS = 24
 #: A shingle that more sets hold is dealt over several buckets; in a full sketch, one that stands out this many times.
@@ -197,14 +198,26 @@ def _sketch(members: DataFrame) -> tuple[np.ndarray, int]:
     return levels.ravel(), int(level(np.array([max(HOT_SETS, STANDS_OUT * mean)]))[0])
 
 
-#: Sixteen bytes of a key record: high half of the key and size band, class id.
+def _dealt(records: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket with its packed records."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, records = bucket[order], records[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    packed = [records[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(bucket)))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+
 def _keys(n_buckets: int, shared):
-    """Texts to packed records of their sets' keys, by bucket. A hot key's records are dealt over several buckets."""
+    """Texts to records of their sets' keys (high half of the key and size band, class id), packed by bucket.
+
+    A hot key's records are dealt over several buckets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (levels, hot), once = shared.value, _Once()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0), 4 << 20):
+            for _, _, data, offsets in text_slices(batch.column(0)):
                 shingles, bounds = shingle_sets(data, offsets)
                 c1, _ = class_ids(shingles, bounds)
                 docs, keys = tile_keys(shingles, bounds, levels)
@@ -214,12 +227,12 @@ def _keys(n_buckets: int, shared):
                 of = levels[keys >> np.uint64(64 - COUNTER_BITS)]
                 splits = np.where(of >= hot, np.exp2(of / 4.0) // HOT_SETS + 1, 1).astype(np.uint64)
                 bucket = ((keys & np.uint64(0xFFFFFFFF)) + mix64(ids) % splits) % np.uint64(n_buckets)
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
-                records = np.stack([(keys & ~np.uint64(0xFFFFFFFF)) | bands, ids], 1)[order]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                packed = [records[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(bucket)))]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+                held.append((np.stack([(keys & ~np.uint64(0xFFFFFFFF)) | bands, ids], 1), bucket))
+                if sum(len(b) for _, b in held) > HELD_KEYS:
+                    yield _dealt(*map(np.concatenate, zip(*held)))
+                    held.clear()
+        if held:
+            yield _dealt(*map(np.concatenate, zip(*held)))
 
     return run
 
@@ -281,10 +294,10 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     words_of[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(words_of)
 
-    @F.pandas_udf("boolean")
-    def is_likely(hashes: pd.Series) -> pd.Series:
-        place = hashes.to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-        return pd.Series((shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1)
+    @F.arrow_udf("boolean")
+    def is_likely(hashes: pa.Array) -> pa.Array:
+        place = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+        return pa.array((shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1)
 
     return docs.filter(is_likely("text_hash"))
 
