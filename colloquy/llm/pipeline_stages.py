@@ -9,17 +9,29 @@ from .common import materialise
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that the fixed and the adaptive quality rules keep."""
+    """Documents that the fixed and the adaptive quality rules keep.
+
+    Null and empty texts have no words and go; null languages and sources are groups of their own; repeated rows are judged
+    alike and all stay or go; an empty table gives an empty one. Other columns may have any names. Texts are read whole.
+    """
     return quality.keep_good(docs)
 
 
 def exact_dedup(spark, docs, sf_dir):
-    """One document of each group that is equal without white space."""
+    """One document of each group that is equal without white space: most code points, then least id, null ids last.
+
+    Null and empty texts are one group; of rows that tie in both, one stays, the least by a hash of all columns; an empty
+    table gives an empty one. Other columns may have any names. Texts are read whole.
+    """
     return exact.exact_dedup(docs)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each component of five-word shingle sets at a similarity of 0.8 or more."""
+    """One document of each component of five-word shingle sets at a similarity of 0.8 or more: that of the least id, null ids last.
+
+    Null and empty texts link with nothing and all stay; of a repeated row one stays; an empty table gives an empty one.
+    Other columns may have any names. Texts are read whole.
+    """
     return ngram_join.near_dedup(docs)
 
 
@@ -48,7 +60,11 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def encode(spark, docs, sf_dir):
-    """The columns of documents with n_tokens, ids (packed) and their decoding."""
+    """The columns of documents with n_tokens, ids (packed) and their decoding, with an underscore where documents has that name.
+
+    Null and empty texts have no ids and decode to nothing; repeated rows are coded alike; an empty table gives an empty
+    one. Texts are read whole.
+    """
     return bpe.bpe_encode(docs, bpe.default_vocabulary())
 
 
