@@ -26,7 +26,7 @@ from .common import documents, free_names
 
 LONG_WORD = 96
 #: Words whose encoding a Python worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 _NEVER = 1 << 60
 #: Characters with Unicode's White_Space property (fixed values).
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
