@@ -35,11 +35,12 @@ EMBED, HIDDEN, ATTEND = 12, 8, 8
 VOCABULARY, GRAMS = 20_000, 1 << 15
 EPOCHS, BATCH, RATE = 14, 256, 0.01
 #: Distinct words whose inputs a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Windows of a very long text that are laid out at once.
 PORTION = 40_000
-#: Windows that run through the network at once.
-WINDOWS_AT_ONCE = 4_096
+#: Texts and windows that run through the network at once.
+TEXTS_AT_ONCE = 64
+WINDOWS_AT_ONCE = 1_024
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -385,8 +386,8 @@ def score(df: DataFrame, net: Network | None, text: str = "text", row_id: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
                 logits = scorer.logits(part.column(1).to_pylist())
                 scores = np.where(np.isfinite(logits), _sigmoid(np.nan_to_num(logits, neginf=-30)), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores.astype(np.float64))], names=["doc_id", "score"])
