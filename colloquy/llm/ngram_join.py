@@ -43,8 +43,6 @@ CHUNK_SETS, CHUNK_SHINGLES = 512, 1 << 20
 SIGNATURE_BITS = 2
 #: log2 of the counters of the frequency sketch, and of the parts it is added up in.
 COUNTER_BITS, PART_BITS = 22, 9
-#: log2 of the bits of the filter that spares texts of no group.
-FILTER_BITS = 24
 #: A shingle that more sets hold is dealt over several buckets; in a full sketch, one that stands out this many times.
 HOT_SETS, STANDS_OUT = 20_000, 8
 #: Size bands: BAND_STEPS of them make a ratio of 1.25; one more is allowed for rounding.
@@ -285,23 +283,6 @@ def _groups(tiles: DataFrame) -> DataFrame:
     return plain.unionByName(hot.join(tops, "hot").select(F.col("top").alias("anchor"), "member")).filter("anchor <> member").distinct()
 
 
-def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most of the rows whose text_hash ``wanted`` hasn't: a filter of fixed size that spares shuffling their texts."""
-    at = F.pmod("text_hash", F.lit(1 << FILTER_BITS))
-    ones = wanted.select(at.alias("at")).select(F.floor(F.col("at") / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int")).alias("bit"))
-    found = ones.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words_of = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    words_of[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(words_of)
-
-    @F.arrow_udf("boolean")
-    def is_likely(hashes: pa.Array) -> pa.Array:
-        place = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-        return pa.array((shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1)
-
-    return docs.filter(is_likely("text_hash"))
-
-
 def _first_of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once = _Once()
     for batch in batches:
@@ -439,8 +420,7 @@ def _components(df: DataFrame, text: str, row_id: str) -> tuple[DataFrame, DataF
     thinned = held.filter("chunks = 1").select("anchor", "id", "n").join(signed, "id").groupBy("anchor").applyInArrow(_with_partner, "anchor long, id long")
     kept = materialise(thinned.unionByName(held.filter("chunks > 1").select("anchor", "id")))
     wanted = materialise(wanted.join(kept.select("id").distinct(), "id"))
-    likely = _likely(docs, wanted)
-    texts = likely.join(wanted, _same_row(likely, wanted)).select(wanted["id"], likely["text"])
+    texts = docs.join(wanted, _same_row(docs, wanted)).select(wanted["id"], docs["text"])
     texts = materialise(texts.mapInArrow(_first_of_class, "id long, text string"))
 
     held = held.join(kept, ["anchor", "id"])
