@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, language, lattice, merkle, mixing, ngram_join, quality, secrets, sharding, toxicity
+from . import bpe, divergence, exact, language, lattice, merkle, mixing, ngram_join, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": language.op9_language_id,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
@@ -22,5 +23,6 @@ SQL = {
     "op1_ngram_jaccard": ngram_join.OP1_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
 }
