@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, divergence, exact, language, lattice, merkle, mixing, ngram_join, quality, secrets, sharding, toxicity
+from . import bpe, divergence, exact, language, lattice, merkle, mixing, ngram_join, quality, secrets, sharding, substring, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_substring_dedup": substring.op13_substring_dedup,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op10_exact_dedup": exact.OP10_SQL,
     "op11_source_divergence": divergence.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_substring_dedup": substring.OP13_SQL,
 }
