@@ -10,6 +10,7 @@ The vocabulary file is a parameter; it is read on the driver and broadcast, its
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import struct
@@ -35,6 +36,28 @@ _WHITE_SPLIT = regex.compile(f"[{_WHITE}]+")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
+@functools.cache
+def character_tables() -> tuple[dict[str, str], dict[int, str]]:
+    """(insides of the classes of letters and of numbers, lower cases that differ from Python's), as the library has them.
+
+    The library, ``regex`` and Python each follow a Unicode version of their own, so the library is asked about every
+    code point. Where it is not installed, the other two's tables serve.
+    """
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    try:
+        from tokenizers import Regex, normalizers, pre_tokenizers
+    except ImportError:
+        return {kind: rf"\p{{{kind}}}" for kind in "LN"}, {}
+    whole, classes = "".join(chars), {}
+    for kind in "LN":
+        runs = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(whole)
+        classes[kind] = "".join(f"{regex.escape(run[0])}-{regex.escape(run[-1])}" for run, _ in runs)
+    lower = normalizers.Lowercase().normalize_str(" ".join(chars).replace("\n", "")).split(" ")
+    kept = [c for c in chars if c not in " \n"]
+    lower = [x for x in lower if x]
+    return classes, {ord(c): x for c, x in zip(kept, lower, strict=True) if x != c.replace("Σ", "σ").lower()}
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable Latin-1, else the next from U+0100."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -53,7 +76,13 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in loaded["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pattern = regex.compile(loaded["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _WHITE))
+        spelled = loaded["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _WHITE)
+        classes, self.lower = character_tables()
+        for kind, inside in classes.items():
+            # Inside of a set the ranges alone stand for the class.
+            spelled = regex.sub(r"\[[^\]]*\]", lambda m: m[0].replace(rf"\p{{{kind}}}", inside), spelled).replace(rf"\p{{{kind}}}", f"[{inside}]")
+        self.pattern = regex.compile(spelled)
+        self.lowered = regex.compile(f"[{''.join(map(chr, self.lower))}]") if self.lower else None
         #: Rank of a pair of ids, and the id that each rank's merge gives.
         self.ranks = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in enumerate(model["merges"])}
         self.merged = [vocab[a + b] for a, b in model["merges"]]
@@ -110,7 +139,7 @@ class WordBpe:
         found = self.aged.get(chunk)
         if found is None:
             head = chunk[:-1]
-            if head.isalpha() and not chunk.isalpha():
+            if head.isalpha() and not chunk.isalpha() and chunk[-1].isascii():
                 pieces = [head, chunk[-1]]  # a word and one mark: most such words were met before
             elif chunk.isalpha():
                 return self._remember(chunk, self.word(chunk))
@@ -130,7 +159,10 @@ class WordBpe:
         return found
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each capital on its own: no final sigma
+        text = unicodedata.normalize("NFC", text)
+        if self.lowered and not text.isascii() and self.lowered.search(text):
+            text = text.translate(self.lower)
+        text = text.replace("Σ", "σ").lower()  # each capital on its own: no final sigma
         pieces = _WHITE_SPLIT.split(text) if _SEPARATORS.search(text) else text.split()
         new = self._chunk
         return [self.young.get(p) or new(p) for p in pieces if p]

@@ -25,6 +25,16 @@ def test_encoder_matches_the_library(theirs):
         assert decoded == theirs.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point(theirs):
+    """Letters, numbers, marks and unassigned code points are split as the library splits them, inside words and alone."""
+    ours = bpe.WordBpe(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"ab{c}c {c}9 ab{c}" for c in chars[k : k + 16]) for k in range(0, len(chars), 16)]
+    for text, want in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)):
+        packed, _ = ours.encode(text)
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == want.ids, text
+
+
 def test_query(spark, corpus, rows, theirs):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op2_bpe(spark, f"{corpus}/full").collect()}
     want = set()
