@@ -3,9 +3,9 @@
 A text's words run through overlapping windows of ``WINDOW`` words, ``STRIDE`` apart. A word enters as the sum of an
 embedding of its own, where training knew it, and the mean embedding of its hashed character n-grams. Two gated
 recurrent layers read the window in both directions, attention weighs their states, and a logistic unit scores the
-pooled state. A text's score is that of its worst window; all windows of all texts are scored. A letter run of
-more than ``LONGEST`` letters, such as unspaced text, is cut into overlapping pieces of ``PIECE`` letters, each a word of
-the windows: every letter reaches the network.
+pooled state. A text's score is that of its worst window; all windows of all texts are scored. A word is read in
+pieces of ``PIECE`` letters, ``PIECE_STEP`` apart, and most words are one piece: a piece enters with the embedding of its
+whole word and the n-grams of its own letters, so that of unspaced text too every letter reaches the network.
 
 The network is trained in numpy on a bounded sample of labelled texts (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``, of at most
 ``SAMPLE_WORDS`` words each, drawn by a hash of the id). A label holds for a text, not for its windows, so each toxic
@@ -29,8 +29,8 @@ from .common import crc_bucket, documents, mix64
 
 WINDOW, STRIDE = 16, 8
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 1_200, 1_800, 4_000
-#: Letters of a run that stays one word; length of the pieces of longer ones, and how far apart they begin.
-LONGEST, PIECE, PIECE_STEP = 48, 12, 4
+#: Letters of a piece, and how far apart the pieces of a word begin.
+PIECE, PIECE_STEP = 12, 4
 EMBED, HIDDEN, ATTEND = 12, 8, 8
 VOCABULARY, GRAMS = 20_000, 1 << 15
 EPOCHS, BATCH, RATE = 14, 256, 0.01
@@ -45,16 +45,28 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_runs(text: str | None) -> list[str]:
-    """A text's words: its letter runs, long ones in overlapping pieces."""
+    """The pieces of a text's letter runs; those of a run of several carry, after a zero, the digest of the whole run."""
     runs = _LETTERS.findall((text or "").lower())
-    if max(map(len, runs), default=0) <= LONGEST:
+    if max(map(len, runs), default=0) <= PIECE:
         return runs
-    return [w for r in runs for w in ([r] if len(r) <= LONGEST else [r[k : k + PIECE] for k in range(0, len(r) - PIECE + PIECE_STEP, PIECE_STEP)])]
+    out = []
+    for r in runs:
+        if len(r) <= PIECE:
+            out.append(r)
+        else:
+            whole = f"\0{zlib.crc32(r.encode()):08x}"
+            out += [r[k : k + PIECE] + whole for k in range(0, len(r) - PIECE + PIECE_STEP, PIECE_STEP)]
+    return out
+
+
+def whole_word(piece: str) -> str:
+    """What tells the word of a piece from others: itself, or its digest."""
+    return piece[piece.find("\0") :] if "\0" in piece else piece
 
 
 def gram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): word i's n-grams of 3 to 5 bytes, ends marked, are hashes[bounds[i]:bounds[i + 1]]."""
-    raw = [f"<{w}>".encode() for w in words]
+    """(hashes, bounds): piece i's n-grams of 3 to 5 bytes, ends marked, are hashes[bounds[i]:bounds[i + 1]]."""
+    raw = [f"<{w.partition('\0')[0]}>".encode() for w in words]
     lengths = np.array([len(r) for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
     owner, ends = np.repeat(np.arange(len(raw)), lengths), np.repeat(np.cumsum(lengths), lengths)
@@ -94,7 +106,7 @@ class Network:
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Vectors of words, and what they were made of: word rows, flat n-grams and where each word's begin."""
-        rows = np.array([self.words.get(w, -1) + 1 for w in words], np.int64)
+        rows = np.array([self.words.get(whole_word(w), -1) + 1 for w in words], np.int64)
         flat, starts = gram_ids(words)
         mean = np.add.reduceat(self.p["gram"][flat], starts[:-1]) / np.diff(starts)[:, None]
         return (np.where(rows[:, None] > 0, self.p["word"][rows], 0) + mean).astype(np.float32), rows, flat, starts
@@ -199,13 +211,14 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
         return None
     flat, bounds = gram_ids(spelled)
     odds, gram_odds = _odds(ids, y, flat, bounds)
-    counts = Counter(w for r in runs for w in set(r))
+    counts = Counter(w for r in runs for w in set(map(whole_word, r)))
     vocabulary = {w: k for k, (w, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n > 2}
     net = Network(vocabulary)
     # The first input starts as the log ratio; training goes on from there.
     net.p["gram"][:, 0] = np.clip(gram_odds, -3, 6) / 3
-    for w, k in vocabulary.items():
-        net.p["word"][k + 1, 0] = np.clip(odds[index[w]], -3, 6) / 3
+    for piece, at in index.items():  # the pieces of one word stand in the same texts
+        if (k := vocabulary.get(whole_word(piece))) is not None:
+            net.p["word"][k + 1, 0] = np.clip(odds[at], -3, 6) / 3
     suspect = np.maximum(odds, np.maximum.reduceat(gram_odds[flat], bounds[:-1]))
     windows, marks = [], []
     for r, label in zip(ids, y):

@@ -71,13 +71,34 @@ def test_without_both_labels_there_is_no_network():
     assert tox.train(["a b", "c d"], [0, 0]) is None and tox.train(["", "1"], [0, 1]) is None
 
 
-def test_long_runs_reach_the_network_whole():
-    for n in (48, 49, 50, 51, 52, 53, 500):
-        run = "".join(random.Random(n).choice("abcdefghij") for _ in range(n))
+def test_words_of_all_lengths_are_read_by_one_rule():
+    """Pieces of 12 letters, 4 apart; nothing changes at 48 letters, and a word of several pieces still is one word."""
+    made = lambda n: "".join(random.Random(1).choice("abcdefghij") for _ in range(n))
+    for n in (1, 11, 12, 13, 16, 17, 47, 48, 49, 50, 53, 500):
+        run = made(n)
         pieces = tox.letter_runs(f"x {run} y")[1:-1]
-        assert (pieces == [run]) == (n <= 48)
-        assert {run[k : k + 5] for k in range(n - 4)} <= {w[k : k + 5] for w in pieces for k in range(len(w) - 4)}
-        assert pieces[0][0] == run[0] and run.endswith(pieces[-1])
+        spelled = [w.partition("\0")[0] for w in pieces]
+        assert spelled == [run[k : k + 12] for k in range(0, max(1, n - 8), 4)]
+        assert {run[k : k + 5] for k in range(n - 4)} <= {w[k : k + 5] for w in spelled for k in range(len(w) - 4)}
+        assert run.startswith(spelled[0]) and run.endswith(spelled[-1])
+        assert len({tox.whole_word(w) for w in pieces}) == 1 and tox.whole_word(pieces[0]) != tox.whole_word(tox.letter_runs(made(n + 1))[0])
+    net = tox.Network({tox.whole_word(tox.letter_runs(made(n))[0]): k for k, n in enumerate((48, 49))})
+    for n in (47, 48, 49):
+        rows = net.inputs(tox.letter_runs(made(n)))[1]
+        assert set(rows) == {n - 47}
+
+
+def test_a_long_word_teaches_at_any_length():
+    """A word of 47 to 50 letters that marks toxic texts is told by its own embedding on both sides of 48."""
+    rnd = random.Random(6)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(200)]
+    marks = ["".join(rnd.choice("klmnopqrst") for _ in range(n)) for n in (47, 48, 49, 50)]
+    text = lambda y: " ".join([*rnd.choices(vocab, k=20), *([rnd.choice(marks)] if y else []), *rnd.choices(vocab, k=20)])
+    labels = [int(k % 3 == 0) for k in range(240)]
+    net = tox.train([text(y) for y in labels], labels)
+    fresh = [f"{vocab[0]} {m} {vocab[1]}" for m in marks] + [f"{vocab[0]} {v} {vocab[1]}" for v in vocab[2:40]]
+    hits = tox.Scorer(net).logits(fresh) >= 0
+    assert hits[:4].all() and hits[4:].mean() < 0.1
 
 
 def test_a_stem_in_the_middle_of_unspaced_text():
