@@ -18,6 +18,7 @@ document, and a rare one has few rows: no key is hot.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, documents, materialise, mix64
 
-#: Words whose counts are broadcast: a bound of about 3 MB.
-FREQUENT = 50_000
+#: Words whose counts are broadcast, and the bytes that such a word has at most: 3.2 MB of words. Others meet theirs in a join.
+FREQUENT, FREQUENT_BYTES = 50_000, 64
 #: Uses that the vocabulary's own weights count for beside the corpus.
 PRIOR = 1_000.0
 #: Steps of expectation that fit the pieces' weights.
@@ -111,32 +112,31 @@ class Lattice:
             found.append((-1, self.first_byte + (width - 1) * self.inner_byte, "^\0"))
         return found
 
-    def forward(self, word: str) -> tuple[list[float], list[list[tuple[int, float, str]]]]:
-        """Log probability of all ways to have written word[:i], for each i; and the arcs by their ends."""
-        reach, ending = [self.bare], [[(-1, self.bare, "^")]]
+    def forward(self, word: str) -> array:
+        """Log probability of all ways to have written word[:i], for each i: 8 bytes a character, arcs are not kept."""
+        reach = array("d", [self.bare])
         for i in range(1, len(word) + 1):
-            arcs = self.arcs(word, i)
-            terms = [p + reach[j] if j >= 0 else p for j, p, _ in arcs]
+            terms = [p + reach[j] if j >= 0 else p for j, p, _ in self.arcs(word, i)]
             top = max(terms)
             reach.append(top + math.log(sum([math.exp(t - top) for t in terms])) if len(terms) > 1 else top)
-            ending.append(arcs)
-        return reach, ending
+        return reach
 
     def word(self, raw: bytes) -> float:
         """log10 of the summed probability of all segmentations; linear in the word's length."""
-        return (self.forward(raw.decode("utf-8", "replace"))[0][-1] + self.stop) / math.log(10)
+        return (self.forward(raw.decode("utf-8", "replace"))[-1] + self.stop) / math.log(10)
 
     def expect(self, raw: bytes, into: dict[str, float], times: float = 1.0) -> None:
         """Add the expected uses of each arc in the word, given all its segmentations, ``times`` over."""
         word = raw.decode("utf-8", "replace")
-        reach, ending = self.forward(word)
+        reach = self.forward(word)
         into["."] = into.get(".", 0.0) + times
         # share[i]: probability that the segmentation has a cut at i.
-        share = [0.0] * len(word) + [1.0]
+        share = array("d", bytes(8 * len(word)))
+        share.append(1.0)
         for i in range(len(word), -1, -1):
             if share[i] < 1e-9:
                 continue
-            for j, p, label in ending[i]:
+            for j, p, label in self.arcs(word, i) if i else [(-1, self.bare, "^")]:
                 use = share[i] * math.exp((reach[j] if j >= 0 else 0.0) + p - reach[i])
                 into[label] = into.get(label, 0.0) + use * times
                 if j >= 0:
@@ -393,7 +393,7 @@ def score_texts(df: DataFrame, held_out, vocab_path: str, text: str = "text", ro
     sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     ends = rows.filter(~F.col("held_out")).count()
     of = Tokens((sums.n or 0) + ends, sums.v + (ends > 0), ends, sums.once)
-    often = [tuple(r) for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    often = [tuple(r) for r in words.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("c"), "word").limit(frequent).collect()]
     shared = spark.sparkContext.broadcast([(bytes(w), c, log) for w, c, log in often])
 
     parts = rows.mapInArrow(_sum_frequent(shared, of), "doc_id long, held_out boolean, n long, n_known long, base double, score double, mixed double, rare array<binary>, times array<long>")

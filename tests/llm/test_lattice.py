@@ -126,3 +126,19 @@ def test_query_scores_end_and_words_with_one_mass(spark):
     assert 10 ** got[99].score == pytest.approx(of.end) and 10 ** got[99].mixed_score == pytest.approx((40 + of.end) / 101)
     assert 10 ** got[98].score < (1 - of.end) * of.end
     assert 0 < sum(10 ** PRIOR_MODEL.word(w.encode()) for w in PRIOR_MODEL.first) <= 1
+
+
+def test_long_unspaced_words_in_bounded_memory(spark):
+    """A word of two million letters scores in some bytes a letter; giant words never reach the driver."""
+    import tracemalloc
+
+    word = ("abcdefghij" * 200_000)[:2_000_000]
+    tracemalloc.start()
+    long = PRIOR_MODEL.word(word[:200_000].encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 200_000 and long < 0
+    rows = [(k, f"a b {chr(97 + k) * 100_000}", None, None, None) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = lattice.score_texts(df, F.lit(False), lattice.default_vocabulary()).collect()
+    assert len(got) == 20 and all(r.n_tokens == 4 and r.score < -1000 for r in got)
