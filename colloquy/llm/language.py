@@ -4,7 +4,8 @@ A word seen in training scores by its log frequency per language; an unseen one
 n-grams, from the longest length of which training knows one down to single letters. A text's score sums over its
 words, and the posterior of the best language is returned.
 
-The model is fitted on a bounded sample: at most ``SAMPLE_DOCS`` distinct labelled texts a language, drawn by a hash.
+The model is fitted on a bounded sample: at most ``SAMPLE_DOCS`` distinct labelled texts a language, drawn by a hash,
+of at most ``SAMPLE_TEXT_BYTES`` each and ``SAMPLE_BYTES`` together.
 All words and n-grams of the sample are kept. What is broadcast grows with the languages and the sample's vocabulary,
 not with the input. Every document is scored whole.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, documents, materialise
 
 SAMPLE_DOCS = 1_500
+#: Bytes that a text of the sample has at most, and all texts of a language together: longer texts teach nothing.
+SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 1 << 15, 1 << 23
 LONGEST_GRAM = 4
 #: Distinct words whose scores a worker remembers.
 REMEMBERED = 300_000
@@ -104,17 +107,19 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int
     """A model of the labelled rows of ``df``; rows without text or label teach nothing."""
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.withColumn("key", F.xxhash64("text"))
-    keys = materialise(rows.groupBy("lang", "key").agg(F.count("*").alias("n")))
-    totals = {r.lang: r for r in keys.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
+    keys = materialise(rows.groupBy("lang", "key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("bytes")))
+    short = F.col("bytes") <= SAMPLE_TEXT_BYTES
+    totals = {r.lang: r for r in keys.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if(short).alias("texts")).collect()}
     langs = sorted(totals)
     if not langs:
         return Model([], {}, {}, [])
     per_lang = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("lang"))
     # Some more than the sample by a share of the distinct texts; then the lowest keys of these, exactly as many as it takes.
-    likely = F.pmod(F.col("key"), F.lit(1_000_000)) < per_lang({k: min(1_000_000, (2 * sample_docs + 100) * 1_000_000 // totals[k].texts + 1) for k in langs})
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    last = {r.lang: r.key for r in keys.filter(likely).withColumn("rank", rank).filter(F.col("rank") == sample_docs).collect()}
-    drawn = likely & (F.col("key") <= per_lang({k: last.get(k, (1 << 63) - 1) for k in langs}))
+    likely = F.pmod(F.col("key"), F.lit(1_000_000)) < per_lang({k: min(1_000_000, (2 * sample_docs + 100) * 1_000_000 // max(1, totals[k].texts) + 1) for k in langs})
+    by_key = Window.partitionBy("lang").orderBy("key")
+    ranked = keys.filter(likely & short).select("lang", "key", F.row_number().over(by_key).alias("rank"), F.sum("bytes").over(by_key).alias("upto"))
+    last = {r.lang: r.key for r in ranked.filter((F.col("rank") <= sample_docs) & (F.col("upto") <= SAMPLE_BYTES)).groupBy("lang").agg(F.max("key").alias("key")).collect()}
+    drawn = likely & (F.octet_length("text") <= SAMPLE_TEXT_BYTES) & (F.col("key") <= per_lang({k: last.get(k, -(1 << 63)) for k in langs}))
     sample = rows.filter(drawn).groupBy("lang", "key").agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,3 +99,17 @@ def test_predictions_equal_a_plain_reading(spark, monkeypatch):
     found = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string"), language.Model(langs, words, pieces, [3, 5, 1])).collect()
     assert len(found) == len(rows) and {r.lang_pred for r in found if r.doc_id == 7} == {want[7][0]}
     assert [(r.lang_pred, r.score) for r in found if r.doc_id is None] == [("und", 0.0)]
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Texts too long to teach are left out, the others are taken by key until their bytes are spent; all are predicted."""
+    monkeypatch.setattr(language, "SAMPLE_TEXT_BYTES", 2_000)
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 3_000)
+    tail = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    rows = [(k, f"wort{tail(k)} " * 20, "de") for k in range(100)] + [(200 + k, f"word{tail(k)} " * 20, "en") for k in range(100)] + [(900, "riese" * 100_000, "de"), (901, "giant " * 100_000, "only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert model.langs == ["de", "en", "only"] and "giant" not in model.words[0]
+    taught = {lang: sum(w.startswith(stem) for w in model.words[0]) for lang, stem in (("de", "wort"), ("en", "word"))}
+    assert all(15 <= n <= 25 for n in taught.values())
+    assert language.identify(df, model).count() == len(rows)
