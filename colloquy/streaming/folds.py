@@ -6,50 +6,57 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, GAP_S, LEAST_CHARS, MOST_ERRORS, SKIP_MOST_S, SKIP_STEP_S, Library, Live, MatchRules, Trigger, attribute_step, match_step, merge_live, trigger_step
+from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, GAP_S, LEAST_CHARS, MOST_ERRORS, SKIP_MOST_S, SKIP_STEP_S, Library, Live, MatchRules, Trigger, match_step, trigger_step
 from ..operators.signal import SQL as SIGNAL_SQL
 from ..operators.signal import sessions
 from ..operators.vectors import STEPS, assignment_errors
 from ..sources.lens import SPOKEN, table, timed_segments, transcript, voice_prints
+from .live import ATTRIBUTED, attributed_frame, in_order, live_step, told, told_of
 
 
 def match_online(utterances: DataFrame, key: str = "stream") -> DataFrame:
     """Identity matching that learns as it goes: one library per ``key``, its rows in order of id.
 
     The state is a total order's: rows of a key go through one task, sorted, in batches, and only the library is held.
-    Independent streams run in parallel; a corpus that needs no learning takes ``match_frozen`` instead. A column
-    ``threshold`` sets a stream's own.
+    Independent streams run in parallel; a corpus that needs no learning takes ``match_frozen`` instead. A vector that
+    cannot be compared (null, not finite, of another length) costs its row only: ``error`` says why, nothing is learned.
     """
-    own = F.col("threshold") if "threshold" in utterances.columns else F.lit(MatchRules().threshold)
-    dealt = utterances.select(key, "id", "centroid", "mic", "seconds", own.alias("threshold")).repartition(key).sortWithinPartitions(key, "id")
+    dealt = utterances.select(key, "id", "centroid", "mic", "seconds").repartition(key).sortWithinPartitions(key, "id")
     kind = dict(dealt.dtypes)[key]
 
     def fold(batches):
         now, lib = object(), Library()
         for rows in batches:
             out = []
-            for k, _, vector, mic, seconds, threshold in rows.itertuples(index=False):
+            for k, vector, mic, seconds in zip(rows[key], rows["centroid"], rows["mic"], rows["seconds"]):
                 if k != now:
                     now, lib = k, Library()
-                out.append(match_step(lib, list(vector), bool(mic), float(seconds), rules=MatchRules(threshold=float(threshold))))
-            yield pd.DataFrame({key: rows[key], "id": rows["id"], "speaker": [o[0] for o in out], "similarity": pd.array([o[1] for o in out], dtype="Float64").round(6), "is_new": [o[2] for o in out]})
+                out.append(told(match_step, lib, vector, bool(mic), float(seconds)))
+            yield pd.DataFrame({key: rows[key], "id": rows["id"], "speaker": pd.array([o[0] for o in out], dtype="Int64"), "similarity": pd.array([o[1] for o in out], dtype="Float64").round(6), "is_new": pd.array([o[2] for o in out], dtype="boolean"), "error": [o[3] for o in out]})
 
-    return dealt.mapInPandas(fold, f"{key} {kind}, id long, speaker long, similarity double, is_new boolean")
+    return dealt.mapInPandas(fold, f"{key} {kind}, id long, speaker long, similarity double, is_new boolean, error string")
 
 
 def threshold_simulation(prints: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, profiles, splits, merges): prints of all speakers by turns through the learning match, once per threshold.
 
-    Every threshold is a stream of its own, so they run beside each other.
+    The prints are sorted once; the thresholds' libraries stand side by side, as what they learn parts them. The order is
+    total, so one task walks the prints, and holds what the libraries keep.
     """
     turn = F.row_number().over(Window.partitionBy("speaker_id").orderBy("id"))
-    order = F.row_number().over(Window.partitionBy("threshold").orderBy("turn", "speaker_id")).cast("long")
-    steps = prints.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    mixed = prints.withColumn("turn", turn).join(F.broadcast(steps))  # a few given thresholds
-    mixed = mixed.select("threshold", order.alias("id"), "centroid", "speaker_id", F.lit(False).alias("mic"), F.lit(0.0).alias("seconds"))
-    found = match_online(mixed.withColumn("stream", F.col("threshold")))
-    truth = found.select(F.col("stream").alias("threshold"), "id", F.col("speaker").alias("profile")).join(mixed.select("threshold", "id", F.col("speaker_id").alias("person")), ["threshold", "id"])
-    return assignment_errors(truth, ["threshold"])
+    mixed = prints.withColumn("turn", turn).select(F.lit(0).alias("all"), "turn", "speaker_id", "id", "centroid").repartition("all").sortWithinPartitions("all", "turn", "speaker_id")
+    rules = [MatchRules(threshold=float(t)) for t in thresholds]
+
+    def fold(batches):
+        libs = [Library() for _ in rules]
+        for rows in batches:
+            found = [[match_step(lib, v, False, 0.0, rules=r)[0] for lib, r in zip(libs, rules)] for v in rows["centroid"]]
+            yield pd.DataFrame({"person": rows["speaker_id"], "profiles": found})
+
+    told_apart = mixed.mapInPandas(fold, "person long, profiles array<long>")
+    steps = F.array(*[F.lit(float(t)) for t in thresholds])
+    pairs = told_apart.select("person", F.explode(F.arrays_zip(steps.alias("threshold"), F.col("profiles").alias("profile"))).alias("x"))
+    return assignment_errors(pairs.select("x.threshold", "person", "x.profile"), ["threshold"])
 
 
 def attribute(utterances: DataFrame, merges: DataFrame | None = None) -> DataFrame:
@@ -57,29 +64,24 @@ def attribute(utterances: DataFrame, merges: DataFrame | None = None) -> DataFra
 
     Rows (meeting_id, id, channel, start_us, end_us, speech_us, centroid) of a meeting go through one task, sorted, in
     batches; the fold holds what a running meeting remembers. ``merges`` (meeting_id, start_us, source, target) reach it
-    in their place, before utterances of the same time: from then on the two speakers are one.
+    in their place, before utterances of the same time: from then on the two speakers are one. A row that cannot be
+    attributed (a vector that is none, a null time) costs itself only: ``error`` says why, and the meeting goes on as if
+    it had not been; rows of a null time come first in their meeting.
     """
-    none = F.lit(None).cast("long")
-    rows = utterances.select("meeting_id", "id", "channel", "start_us", "end_us", "speech_us", "centroid", none.alias("source"), none.alias("target"))
-    if merges is not None:
-        rows = rows.unionByName(merges.select("meeting_id", "start_us", "source", "target"), allowMissingColumns=True)
-    dealt = rows.repartition("meeting_id").sortWithinPartitions("meeting_id", "start_us", F.asc_nulls_first("id"))
+    dealt = in_order(utterances, merges).repartition("meeting_id").sortWithinPartitions("meeting_id", "start_us", F.asc_nulls_first("id"))
 
     def fold(batches):
         now, live = object(), Live()
         for rows in batches:
-            ids, out = [], []
-            for meeting, i, channel, start, end, speech, vector, source, target in rows.itertuples(index=False):
-                if meeting != now:
-                    now, live = meeting, Live()
-                if not pd.isna(source):
-                    merge_live(live, int(source), int(target), "", [])
-                    continue
-                ids.append((meeting, int(i)))
-                out.append(attribute_step(live, None if vector is None else list(vector), channel, int(start), int(end), int(speech)))
-            yield pd.DataFrame({"meeting_id": [m for m, _ in ids], "id": [i for _, i in ids], "speaker": pd.array([o[0] for o in out], dtype="Int64"), "similarity": pd.array([o[1] for o in out], dtype="Float64").round(6), "is_new": pd.array([o[2] for o in out], dtype="boolean")})
+            out = []
+            for row in rows.itertuples(index=False):
+                if row.meeting_id != now:
+                    now, live = row.meeting_id, Live()
+                if (found := live_step(live, row)) is not None:
+                    out.append((row.meeting_id, row.id, *found))
+            yield attributed_frame(out)
 
-    return dealt.mapInPandas(fold, "meeting_id long, id long, speaker long, similarity double, is_new boolean")
+    return dealt.mapInPandas(fold, ATTRIBUTED)
 
 
 def assemble(utterances: DataFrame, texts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,10 +92,7 @@ def assemble(utterances: DataFrame, texts: DataFrame, found: DataFrame) -> tuple
     """
     said = utterances.join(texts.filter(F.length("text") > 0), ["meeting_id", "id"])
     segments = said.join(found, ["meeting_id", "id"], "left").select("meeting_id", "id", "channel", "start_us", "end_us", "text", "speaker", "similarity", F.coalesce("is_new", F.lit(False)).alias("is_new"))
-    place = ["meeting_id", "start_us", "id"]
-    people = segments.filter("is_new").select(*place, F.lit(0).alias("no"), F.to_json(F.struct(F.lit("speaker_new").alias("type"), "speaker")).alias("value"))
-    told = segments.select(*place, F.lit(1).alias("no"), F.to_json(F.struct(F.lit("segment").alias("type"), "id", "channel", "text", "speaker")).alias("value"))
-    return segments, people.unionByName(told)
+    return segments, told_of(segments)
 
 
 def hint_trigger(lines: DataFrame) -> DataFrame:
@@ -131,7 +130,7 @@ def stream_sessions(spark, folder: str, gap: str, delay: str, out: str, checkpoi
 
 def _online(spark, d):
     prints = voice_prints(spark, d)
-    return match_online(prints.select((F.col("id") % 4).alias("stream"), "id", "centroid", (F.col("id") % 3 == 0).alias("mic"), F.lit(2.5).alias("seconds"))).drop("stream")
+    return match_online(prints.select((F.col("id") % 4).alias("stream"), "id", "centroid", (F.col("id") % 3 == 0).alias("mic"), F.lit(2.5).alias("seconds"))).drop("stream", "error")
 
 
 def _triggers(spark, d):
@@ -144,7 +143,7 @@ def _attributed(spark, d):
     """Every segment; those that have a print of their id bring its vector. Half-way through each meeting two speakers are merged."""
     rows = timed_segments(spark, d).withColumn("speech_us", F.when(F.col("id") % 3 == 0, 300_000).otherwise(2_500_000))
     half = rows.groupBy("meeting_id").agg(((F.min("start_us") + F.max("start_us")) / 2).cast("long").alias("start_us")).select("meeting_id", "start_us", F.lit(2).cast("long").alias("source"), F.lit(1).cast("long").alias("target"))
-    return attribute(rows.join(voice_prints(spark, d).select("id", "centroid"), "id", "left"), half)
+    return attribute(rows.join(voice_prints(spark, d).select("id", "centroid"), "id", "left"), half).drop("error")
 
 
 def _events(spark, d):
