@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import math
 from dataclasses import dataclass, field, replace
 
@@ -235,20 +236,92 @@ LEAST_CHARS, GAP_S, SKIP_STEP_S, SKIP_MOST_S, BACKOFF_S, BACKOFF_MOST_S, MOST_ER
 def trigger_step(state: Trigger, now: float, chars: int, outcome: str) -> tuple[Trigger, bool]:
     """(state, fired) after new text at ``now``; ``outcome`` is what a request would bring: ok, skip or error.
 
-    Answers and skips use the text up, errors leave it; a skip widens the gap, errors back off and at last switch off.
+    A request uses the text up, whatever it brings; a skip widens the gap, errors back off and at last switch off.
     """
     state = replace(state, chars=state.chars + chars)
     if state.off or now < state.until or state.chars < LEAST_CHARS or now - state.last < state.gap:
         return state, False
     if outcome == "error":
         errors = state.errors + 1
-        return replace(state, last=now, errors=errors, until=now + min(BACKOFF_S * 2**errors, BACKOFF_MOST_S), off=errors >= MOST_ERRORS), True
+        return replace(state, chars=0, last=now, errors=errors, until=now + min(BACKOFF_S * 2**errors, BACKOFF_MOST_S), off=errors >= MOST_ERRORS), True
     if outcome == "skip":
         skips = state.skips + 1
         return replace(state, chars=0, last=now, skips=skips, gap=min(SKIP_STEP_S * skips, SKIP_MOST_S), errors=0), True
     return Trigger(last=now), True
 
 
+#: Hints that a new one is compared with, and the likeness that makes it a repeat (fixed values).
+LAST_HINTS, ALIKE = 3, 0.85
+PAUSED = "hints are paused after several errors"
+
+
+def alike(a: str, b: str, least: float = ALIKE) -> bool:
+    """Whether two texts match to a Ratcliff-Obershelp ratio of ``least``, case folded; the cheap upper bounds come first."""
+    pair = difflib.SequenceMatcher(None, a.casefold(), b.casefold())
+    return pair.real_quick_ratio() >= least and pair.quick_ratio() >= least and pair.ratio() >= least
+
+
+@dataclass
+class Assistant:
+    """When a running meeting asks for a hint, and what comes of the answer; times in seconds on any one clock.
+
+    One request is under way at a time. It is due when enough was said, the gap since the last one has passed and no
+    back-off is on; the time at which that is so is known beforehand, so that a timer can wait for it.
+    """
+
+    state: Trigger = Trigger()
+    waiting: bool = False
+    hints: list[str] = field(default_factory=list)
+
+    def due(self) -> float | None:
+        """The first time at which a request may go; None while nothing but new rows can bring it about."""
+        s = self.state
+        return None if s.off or self.waiting or s.chars < LEAST_CHARS else max(s.until, s.last + s.gap)
+
+    def said(self, chars: int) -> None:
+        self.state = replace(self.state, chars=self.state.chars + chars)
+
+    def ask(self, now: float) -> bool:
+        """Whether a request goes now; its text is used up, whatever it brings."""
+        due = self.due()
+        if due is None or now < due:
+            return False
+        self.state, self.waiting = replace(self.state, chars=0, last=now), True
+        return True
+
+    def answered(self, now: float, hint: str | None, error: str | None) -> tuple[str, str] | None:
+        """(kind, text) of what the client is told of an answer: a hint, null for silence, or an error.
+
+        Silence widens the gap; an error backs off, is told the first time, and the last one of a row switches off.
+        """
+        self.waiting, s = False, self.state
+        if error is not None:
+            errors = s.errors + 1
+            self.state = replace(s, errors=errors, until=now + min(BACKOFF_S * 2**errors, BACKOFF_MOST_S), off=errors >= MOST_ERRORS)
+            return ("hint_error", PAUSED) if self.state.off else ("hint_error", error) if errors == 1 else None
+        if hint is None:
+            self.state = replace(s, errors=0, skips=s.skips + 1, gap=min(SKIP_STEP_S * (s.skips + 1), SKIP_MOST_S))
+            return None
+        self.state = replace(s, errors=0, skips=0, gap=GAP_S)
+        if any(alike(hint, held) for held in self.hints):
+            return None
+        self.hints = [*self.hints, hint][-LAST_HINTS:]
+        return "hint", hint
+
+    def row(self, now: float, kind: str, chars: int, hint: str | None, error: str | None) -> list[tuple[float, str, str | None]]:
+        """(time, kind, text) that a row brings: a request that fell due before it comes first. Kinds: line, answer; others only tell the time."""
+        due, out = self.due(), []
+        if due is not None and due <= now and self.ask(due):
+            out.append((self.state.last, "ask", None))
+        if kind == "line":
+            self.said(chars)
+        elif kind == "answer" and self.waiting and (told := self.answered(now, hint, error)) is not None:
+            out.append((now, *told))
+        if kind in ("line", "answer") and self.ask(now):
+            out.append((now, "ask", None))
+        return out
+
+
 @dataclass
 class Aligner:
     """Two channels on one axis of samples; what one lacks too long is silence, and comes too late then."""

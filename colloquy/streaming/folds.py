@@ -167,7 +167,7 @@ SQL = {
     "segment_events": f"""SELECT meeting_id, id, no, CASE no WHEN 0 THEN 'speaker_new' ELSE 'segment' END AS type, id % 2 AS speaker, CASE no WHEN 1 THEN length(text) END AS chars FROM {SPOKEN}, (VALUES (0::BIGINT), (1)) AS v(no) WHERE id % 4 <> 3 AND length(text) > 0 AND (no = 1 OR id < 2)""",
     "hint_trigger": f"""WITH RECURSIVE l AS (SELECT conv_id AS m, turn AS id, turn * 9.0::DOUBLE AS now, length(text) AS n, CASE WHEN turn % 3 = 0 THEN 'skip' WHEN turn % 5 = 1 THEN 'error' ELSE 'ok' END AS o, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
       f AS (SELECT m, -1::BIGINT AS id, 0::BIGINT AS i, 0::BIGINT AS chars, -1e18::DOUBLE AS last, {GAP_S}::DOUBLE AS gap, 0::BIGINT AS skips, 0::BIGINT AS errors, -1e18::DOUBLE AS until, false AS off, false AS fired FROM (SELECT DISTINCT m FROM l)
-        UNION ALL SELECT l.m, l.id, l.i, CASE WHEN {_FIRES} AND o <> 'error' THEN 0 ELSE f.chars + l.n END, CASE WHEN {_FIRES} THEN l.now ELSE f.last END,
+        UNION ALL SELECT l.m, l.id, l.i, CASE WHEN {_FIRES} THEN 0 ELSE f.chars + l.n END, CASE WHEN {_FIRES} THEN l.now ELSE f.last END,
           CASE WHEN {_FIRES} AND o = 'ok' THEN {GAP_S} WHEN {_FIRES} AND o = 'skip' THEN least({SKIP_STEP_S} * (f.skips + 1), {SKIP_MOST_S}) ELSE f.gap END, CASE WHEN {_FIRES} AND o = 'ok' THEN 0 WHEN {_FIRES} AND o = 'skip' THEN f.skips + 1 ELSE f.skips END,
           CASE WHEN {_FIRES} AND o = 'error' THEN f.errors + 1 WHEN {_FIRES} THEN 0 ELSE f.errors END, CASE WHEN {_FIRES} AND o = 'error' THEN l.now + least({BACKOFF_S} * 2 ** (f.errors + 1), {BACKOFF_MOST_S}) WHEN {_FIRES} AND o = 'ok' THEN -1e18 ELSE f.until END,
           f.off OR ({_FIRES} AND o = 'error' AND f.errors + 1 >= {MOST_ERRORS}), {_FIRES} FROM f JOIN l ON l.m = f.m AND l.i = f.i + 1)
