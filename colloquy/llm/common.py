@@ -48,15 +48,41 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def keep_rows(df: DataFrame, keys: list[Column], stay: DataFrame, many: DataFrame) -> DataFrame:
+#: Bits of the bitmap that tells rows that may have a given key from those that have not: 65,536 words, 1 MB.
+MARK_BITS = 1 << 22
+
+
+def marked(rows: DataFrame, key_hash: Column, keys: DataFrame, hash_of_keys: Column) -> DataFrame:
+    """``rows`` with ``maybe``, false only where the row's key is none of ``keys``.
+
+    A bitmap of fixed size is broadcast, so that rows of other keys, long ones for most, need no shuffle to find that
+    out. The more keys there are, the more rows pass that need not; at worst all do, which costs what a join costs.
+    """
+    slot = lambda h: F.pmod(h, F.lit(MARK_BITS).cast("long"))
+    words = keys.select(slot(hash_of_keys).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    words = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("bits"))
+    slotted = rows.withColumn("slot", slot(key_hash)).withColumn("word", F.shiftright("slot", 6))
+    bit = F.call_function("shiftright", F.col("bits"), (F.col("slot") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return slotted.join(F.broadcast(words), "word", "left").withColumn("maybe", F.coalesce(bit == 1, F.lit(False))).drop("slot", "word", "bits")
+
+
+def keep_rows(df: DataFrame, keys: list[Column], stay: DataFrame, many: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` whose ``keys`` are a row of ``stay``, with all their columns, whatever their names.
 
     ``stay`` holds each key once, nulls equal to nulls. Keys that are also in ``many`` are those of several rows: of
-    them the row with the least hash of all columns stays.
+    them the row with the least hash of all columns stays. ``gone``, if given, has all other keys of ``df``: rows that
+    are surely neither of them nor of ``many`` stay where they are, and only the rest is shuffled.
     """
     names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[k.alias(n) for k, n in zip(keys, names)])
 
+    certain = None
+    if gone is not None:
+        doubtful = gone.toDF(*names).unionByName(many.select(*many.columns[: len(keys)]).toDF(*names))
+        rows = marked(rows, F.xxhash64(*names), doubtful, F.xxhash64(*names))
+        certain = rows.filter("not maybe").select("row")
+        rows = rows.filter("maybe").select("row", *names)
+
     def on(other: DataFrame, how: str, these: DataFrame) -> DataFrame:
         other = other.toDF(*[f"of_{n}" for n in names])
         same = functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"of_{n}")) for n in names])
@@ -64,10 +90,11 @@ def keep_rows(df: DataFrame, keys: list[Column], stay: DataFrame, many: DataFram
 
     kept = on(stay.select(*stay.columns[: len(keys)]), "left_semi", rows)
     many = many.select(*many.columns[: len(keys)])
-    if many.isEmpty():
-        return kept.select("row.*")
-    one = on(many, "left_semi", kept).groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
-    return on(many, "left_anti", kept).select("row").unionByName(one).select("row.*")
+    kept_rows = kept.select("row")
+    if not many.isEmpty():
+        one = on(many, "left_semi", kept).groupBy(*names).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+        kept_rows = on(many, "left_anti", kept).select("row").unionByName(one)
+    return (kept_rows if certain is None else certain.unionByName(kept_rows)).select("row.*")
 
 
 def crc_bucket(id_col: str, n: int):

@@ -21,7 +21,8 @@ def _toward_least(links: DataFrame, larger_only: bool) -> DataFrame:
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         down = links.join(least, "a")
         moved = down.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return moved.filter("a <> b").distinct()
+    moved = moved.filter("a <> b")
+    return moved if larger_only else moved.distinct()  # repeats change no minimum
 
 
 def components(links: DataFrame) -> DataFrame:

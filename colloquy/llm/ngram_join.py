@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, keep_rows, materialise, mix64, text_slices, window_hashes, words
+from .common import documents, keep_rows, marked, materialise, mix64, text_slices, window_hashes, words
 from .components import components
 
 WIDTH = 5
@@ -420,7 +420,9 @@ def _components(df: DataFrame, text: str, row_id: str) -> tuple[DataFrame, DataF
     thinned = held.filter("chunks = 1").select("anchor", "id", "n").join(signed, "id").groupBy("anchor").applyInArrow(_with_partner, "anchor long, id long")
     kept = materialise(thinned.unionByName(held.filter("chunks > 1").select("anchor", "id")))
     wanted = materialise(wanted.join(kept.select("id").distinct(), "id"))
-    texts = docs.join(wanted, _same_row(docs, wanted)).select(wanted["id"], docs["text"])
+    near = marked(docs, F.xxhash64("doc_id", "text_hash"), wanted, F.xxhash64("doc_id", "text_hash")).filter("maybe")
+    of = wanted.select("id", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    texts = near.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))).select("id", "text")
     texts = materialise(texts.mapInArrow(_first_of_class, "id long, text string"))
 
     held = held.join(kept, ["anchor", "id"])
@@ -469,7 +471,10 @@ def near_dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> Dat
     many = members.filter("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1")
     empty = members.filter("n_shingles = 0").select(F.col("doc_id").alias("rep"), "text_hash").distinct()
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return keep_rows(df, [F.col(f"`{row_id}`").cast("long"), F.xxhash64(whole)], stay.unionByName(empty), many)
+    stay = materialise(stay.toDF("of_id", "of_hash").unionByName(empty.toDF("of_id", "of_hash")))
+    known = members.select("doc_id", "text_hash").distinct()
+    gone = known.join(stay, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left_anti")
+    return keep_rows(df, [F.col(f"`{row_id}`").cast("long"), F.xxhash64(whole)], stay, many, materialise(gone))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
