@@ -200,7 +200,21 @@ def _rollup(spark, d):
     return counts.withColumn("share", F.round(F.col("passed") / F.col("total") * 100, 6))
 
 
-_CATALOGUE = [("a", 131072, ["text"]), ("b", 8192, ["text"]), ("c", None, ["text"]), ("d", 65536, ["audio"]), ("e", 200000, None), ("f", 0, ["text", "image"])]
+# Parts as a provider's models, as limits and as evaluation runs, by expressions that both engines read.
+_MODEL = """concat('m', p_partkey) AS id, CAST(CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE p_size * 2048 END AS BIGINT) AS context, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN {text} WHEN 2 THEN {audio} ELSE {both} END AS modalities"""
+_LIMIT = "p_partkey AS id, CAST(CASE p_size % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE p_size * 700 END AS BIGINT) AS tpm"
+_RUN = "p_partkey AS run, CAST(p_size AS DOUBLE) / 1000 AS wer, CAST(p_partkey % 3 AS BIGINT) AS splits, CAST(p_partkey % 5 AS BIGINT) AS merges"
+
+
+def _parts(spark, d, columns: str):
+    names = {"text": "array('text')", "audio": "array('audio')", "both": "array('text', 'image')"}
+    return table(spark, d, "part").selectExpr(*columns.format(**names).replace(", CAST", ",\0CAST").replace(", CASE", ",\0CASE").split(",\0"))
+
+
+def _parts_sql(columns: str) -> str:
+    return f"(SELECT {columns.format(text="['text']", audio="['audio']", both="['text', 'image']")} FROM part)"
+
+
 
 
 def fits(least_context: int) -> Column:
@@ -227,9 +241,6 @@ def chunk_plan(sizes: DataFrame, summary_tokens: int, overhead: int, least: int
     return sizes.withColumn("way", way).withColumn("parts", F.when(way == "parts", F.ceil(F.col("chars") / room)).when(way == "whole", 1).otherwise(0).cast("long"))
 
 
-_LIMITS = [(0, None), (1, 6000), (2, 8000), (3, 0), (4, 30000)]
-
-
 def _histogram(spark, d):
     rows = table(spark, d, "events").withColumn("code", 200 + F.col("user_id") % 4 * 100)
     return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_if(F.col("code") == 200).alias("ok"), F.count_if(F.col("code") == 400).alias("limited"), F.count_if(F.col("code") >= 500).alias("server"), F.count("*").alias("total"))
@@ -267,7 +278,7 @@ QUERIES = {
     "library_growth": lambda s, d: growth(table(s, d, "part").groupBy("p_size").agg(F.round(F.sum("p_retailprice"), 4).alias("cost")).withColumn("p_size", F.col("p_size").cast("long")), "p_size", "cost"),
     "kinds_by_rate": lambda s, d: worst_last(table(s, d, "part").groupBy("p_type").agg(F.round(F.avg("p_size"), 6).alias("rate")), "rate", "p_type"),
     "test_totals": lambda s, d: test_totals(_cases(s, d)),
-    "model_counts": lambda s, d: offered_models(s.createDataFrame(_CATALOGUE, "id string, context long, modalities array<string>")),
+    "model_counts": lambda s, d: offered_models(_parts(s, d, _MODEL)),
     "window_budget": lambda s, d: table(s, d, "part").select("p_partkey", window_chars((F.col("p_size") % 40 * 100).cast("long"), (F.col("p_partkey") % 3000).cast("long"), F.lit(6000).cast("long")).alias("chars")),
     "latency_percentiles": lambda s, d: percentiles(timed_segments(s, d), "channel", "energy"),
     "latency_p95_naive": lambda s, d: naive_p95(timed_segments(s, d), "channel", "energy"),
@@ -279,12 +290,13 @@ QUERIES = {
     "soak_verdict": _soak,
     "ramp_limit": lambda s, d: ramp_limit(_steps(s, d).withColumn("verdict", load_verdict(1e9)), "meeting_id", "verdict"),
     "progress_bars": lambda s, d: table(s, d, "part").select("p_partkey", progress_bar(F.col("p_size") * 2).alias("bar")),
-    "regression_gate": lambda s, d: regression_problems(s.createDataFrame([(1, 0.03, 0, 0), (2, 0.05, 0, 0), (3, 0.01, 1, 2)], "run long, wer double, splits long, merges long"), {"wer": 0.016, "splits": 0, "merges": 0}).select("run", "problems"),
+    "regression_gate": lambda s, d: regression_problems(_parts(s, d, _RUN), {"wer": 0.016, "splits": 1, "merges": 3}).select("run", "problems"),
     "level_rollup": _rollup,
-    "model_catalogue": lambda s, d: model_catalogue(s.createDataFrame(_CATALOGUE, "id string, context long, modalities array<string>")),
-    "budget_table": lambda s, d: budgets(s.createDataFrame(_LIMITS, "id long, tpm long")),
+    "model_catalogue": lambda s, d: model_catalogue(_parts(s, d, _MODEL)),
+    "budget_table": lambda s, d: budgets(_parts(s, d, _LIMIT)),
     "chunk_plan": lambda s, d: chunk_plan(table(s, d, "conversations").groupBy(F.col("conv_id").alias("meeting_id")).agg(F.sum(F.length("text") + 1).alias("chars")), 3000, 1500),
 }
+_FIT = "coalesce(list_contains(modalities, 'text'), true) AND coalesce(nullif(context, 0), 32768) >= 32768"
 _SHARE = "round(count(*) FILTER (status = 'passed') / count(*) * 100, 1)"
 SQL = {
     "rest_steps": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ms) AS i, count(*) OVER (PARTITION BY day) AS k FROM {_REQUESTS}), c AS (SELECT day, string_agg(status || ':' || n, ',' ORDER BY status) AS codes FROM (SELECT day, status, count(*) AS n FROM r GROUP BY ALL) GROUP BY day),
@@ -299,7 +311,7 @@ SQL = {
     "test_totals": f"""SELECT p_type AS suite, count(*) AS tests, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status IN ('failed', 'error')) AS failed, count(*) FILTER (status = 'skipped') AS skipped, {_SHARE} AS share,
       repeat('█', round({_SHARE} / 100 * 22)::BIGINT) || repeat('░', 22 - round({_SHARE} / 100 * 22)::BIGINT) AS bar
       FROM (SELECT p_type, CASE p_size % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' ELSE 'passed' END AS status FROM part) GROUP BY ROLLUP (p_type)""",
-    "model_counts": "SELECT count(*) FILTER (fit) AS offered, count(*) FILTER (NOT fit) AS rejected FROM (SELECT coalesce(list_contains(m, 'text'), true) AND coalesce(nullif(c, 0), 32768) >= 32768 AS fit FROM (VALUES (131072, ['text']), (8192, ['text']), (NULL, ['text']), (65536, ['audio']), (200000, NULL), (0, ['text', 'image'])) AS v(c, m))",
+    "model_counts": f"SELECT count(*) FILTER (fit) AS offered, count(*) FILTER (NOT fit) AS rejected FROM (SELECT {_FIT} AS fit FROM {_parts_sql(_MODEL)})",
     "window_budget": "SELECT p_partkey, CASE WHEN p_size % 40 = 0 THEN 6000 ELSE greatest(80, least(6000, trunc((p_size % 40 * 100 - (p_partkey % 3000) / 2.5::DOUBLE) * 2.5)::BIGINT)) END::BIGINT AS chars FROM part",
     "latency_percentiles": f"SELECT channel, round(median(energy), 6) AS p50, round(quantile_disc(energy, 0.95), 6) AS p95, count(energy) AS n FROM {TIMED} GROUP BY channel",
     "latency_p95_naive": f"SELECT channel, round(energy, 6) AS p95 FROM (SELECT channel, energy, row_number() OVER (PARTITION BY channel ORDER BY energy) AS i, count(*) OVER (PARTITION BY channel) AS n FROM {TIMED}) WHERE i = greatest(n * 95 // 100, 1)",
@@ -312,9 +324,9 @@ SQL = {
     "ramp_limit": f"""WITH v AS (SELECT meeting_id, restarted OR status <> 'running' OR errors > 0 OR segments = 0 OR segments < meetings AS bad FROM {_STEP}), f AS (SELECT min(meeting_id) AS first_bad FROM v WHERE bad)
       SELECT max(meeting_id) FILTER (NOT bad AND (first_bad IS NULL OR meeting_id < first_bad)) AS last_ok, max(first_bad) AS first_bad FROM v, f""",
     "progress_bars": "SELECT p_partkey, repeat('█', round(p_size * 2 / 100 * 22)::BIGINT) || repeat('░', 22 - round(p_size * 2 / 100 * 22)::BIGINT) AS bar FROM part",
-    "regression_gate": "SELECT * FROM (VALUES (1::BIGINT, ''), (2, 'wer'), (3, 'splits,merges')) AS v(run, problems)",
+    "regression_gate": f"SELECT run, concat_ws(',', CASE WHEN wer > 0.016::DOUBLE + 0.02::DOUBLE THEN 'wer' END, CASE WHEN splits > 1 THEN 'splits' END, CASE WHEN merges > 3 THEN 'merges' END) AS problems FROM {_parts_sql(_RUN)}",
     "level_rollup": "SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS passed, round(count(*) FILTER (o_orderstatus = 'F') / count(*) * 100, 6) AS share FROM orders GROUP BY ROLLUP (o_orderpriority)",
-    "model_catalogue": "SELECT * FROM (VALUES ('a', 131072::BIGINT), ('c', 0), ('e', 200000), ('f', 0)) AS v(id, context)",
-    "budget_table": "SELECT id, s AS summary_tokens, s // 4 AS hint_tokens FROM (SELECT id, CASE WHEN coalesce(tpm, 6000) > 0 THEN coalesce(tpm, 6000) * 3 // 4 ELSE 0 END AS s FROM (VALUES (0::BIGINT, NULL::BIGINT), (1, 6000), (2, 8000), (3, 0), (4, 30000)) AS v(id, tpm))",
+    "model_catalogue": f"SELECT id, coalesce(context, 0) AS context FROM {_parts_sql(_MODEL)} WHERE {_FIT}",
+    "budget_table": f"SELECT id, s AS summary_tokens, s // 4 AS hint_tokens FROM (SELECT id, CASE WHEN coalesce(tpm, 6000) > 0 THEN coalesce(tpm, 6000) * 3 // 4 ELSE 0 END AS s FROM {_parts_sql(_LIMIT)})",
     "chunk_plan": "SELECT meeting_id, chars, CASE WHEN chars <= 6000 THEN 'whole' ELSE 'parts' END AS way, CASE WHEN chars <= 6000 THEN 1 ELSE CAST(ceil(chars / 6000) AS BIGINT) END AS parts FROM (SELECT conv_id AS meeting_id, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM conversations GROUP BY 1)",
 }
