@@ -46,21 +46,36 @@ def naive_p95(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def late_slope(samples: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Growth per hour over the later half of each key's samples, the middle one included; under three of them 0."""
-    by = Window.partitionBy(key)
-    ranked = samples.withColumn("_i", F.row_number().over(by.orderBy(at))).withColumn("_n", F.count("*").over(by))
-    late = ranked.filter(F.col("_i") > F.floor(F.col("_n") / 2))
-    slope = F.coalesce(F.when(F.count("*") >= 3, F.regr_slope(value, at) * 3600), F.lit(0.0))
-    return late.groupBy(key).agg(F.round(slope, 4).alias("per_hour"), F.count("*").alias("n"))
+    """Growth per hour over the later half of each key's samples, the middle one included; under three of them 0.
+
+    The time at the middle rank comes from counts by ranges, the slope from sums (n, t, v, tt, tv) that tasks add up:
+    no key's samples meet in one task. Where several samples share the middle's time, each counts with the share of them
+    that belongs to the later half. Samples without a time are none; those without a value count in ``n`` alone.
+    """
+    rows = samples.select(F.col(key).alias("key"), F.col(at).cast("double").alias("t"), F.col(value).cast("double").alias("v")).filter("t IS NOT NULL")
+    middle = values_at_ranks(rows, "key", "t", {"middle": F.floor(F.col("n") / 2) + 1}).select(F.col("key").alias("of"), F.col("n").alias("all"), "middle")
+    shifted = rows.join(middle, F.col("key").eqNullSafe(F.col("of"))).filter("t >= middle").withColumn("t", F.col("t") - F.col("middle"))
+    told = F.col("v").isNotNull()
+    total = lambda x, name: F.sum(F.when(told, x)).alias(name)
+    sums = shifted.groupBy("key", "all", (F.col("t") == 0).alias("tied")).agg(F.count("*").alias("rows"), F.count("v").alias("n"), total(F.col("t"), "st"), total(F.col("v"), "sv"), total(F.col("t") * F.col("t"), "stt"), total(F.col("t") * F.col("v"), "stv"))
+    # The later half has all - floor(all / 2) samples; the tied ones fill what the later ones leave.
+    half = F.col("all") - F.floor(F.col("all") / 2)
+    later = F.sum(F.when(~F.col("tied"), F.col("rows")).otherwise(0)).over(Window.partitionBy("key"))
+    weighed = sums.withColumn("w", F.when(F.col("tied"), (half - later) / F.col("rows")).otherwise(1.0))  # two rows a key
+    m = lambda c: F.coalesce(F.sum(F.col("w") * F.col(c)), F.lit(0.0))
+    spread = m("n") * m("stt") - m("st") * m("st")
+    slope = F.when((F.sum(F.col("w") * F.col("rows")) >= 2.5) & (spread > 0), (m("n") * m("stv") - m("st") * m("sv")) / spread * 3600).otherwise(0.0)
+    return weighed.groupBy(F.col("key").alias(key)).agg(F.round(slope, 4).alias("per_hour"), F.round(F.sum(F.col("w") * F.col("rows"))).cast("long").alias("n"))
 
 
 def early_late(marks: DataFrame, key: str, at: str, window: float) -> DataFrame:
     """Events per minute within ``window`` of the first and of the last; under four events (0, 0)."""
-    by = Window.partitionBy(key)
-    told = marks.withColumn("_first", F.min(at).over(by)).withColumn("_last", F.max(at).over(by))
-    span = F.greatest(F.least(F.lit(window), F.max("_last") - F.min("_first")), F.lit(1e-6)) / 60
+    rows = marks.select(F.col(key).alias("key"), F.col(at).alias("t"))
+    ends = rows.groupBy(F.col("key").alias("of")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    told = rows.join(ends, F.col("key").eqNullSafe(F.col("of")))
+    span = F.greatest(F.least(F.lit(window), F.max("last") - F.min("first")), F.lit(1e-6)) / 60
     rate = lambda near: F.round(F.when(F.count("*") >= 4, F.count_if(near) / span).otherwise(0.0), 6)
-    return told.groupBy(key).agg(rate(F.col(at) - F.col("_first") <= window).alias("early"), rate(F.col("_last") - F.col(at) <= window).alias("late"))
+    return told.groupBy(F.col("key").alias(key)).agg(rate(F.col("t") - F.col("first") <= window).alias("early"), rate(F.col("last") - F.col("t") <= window).alias("late"))
 
 
 def load_verdict(limit: float) -> Column:
