@@ -115,6 +115,20 @@ def _pairs_of_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([k[0] for k in keys], pa.int64()), "b": pa.array([k[1] for k in keys], pa.int64())} | {c: pa.array([v[i] for v in values], kind) for i, (c, kind) in enumerate(zip(("pairs", "low", "total", "high"), kinds))})
 
 
+def inside_similarity(prints: DataFrame) -> DataFrame:
+    """(a, b, pairs, low, mean, high) inside each speaker, a = b: only prints of one speaker are multiplied, in pairs of its blocks."""
+    held = prints.filter("speaker_id IS NOT NULL").select("id", "speaker_id", F.col("centroid").cast("array<double>").alias("centroid"))
+    sizes = held.groupBy("speaker_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
+    dealt = held.join(sizes, "speaker_id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = dealt.select("id", "speaker_id", "centroid", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
+    return _summed(placed.groupBy("speaker_id", "one", "two"))
+
+
+def _summed(tiles) -> DataFrame:
+    found = tiles.applyInArrow(_pairs_of_blocks, "a long, b long, pairs long, low double, total double, high double")
+    return found.groupBy("a", "b").agg(F.sum("pairs").alias("pairs"), F.min("low").alias("low"), (F.sum("total") / F.sum("pairs")).alias("mean"), F.max("high").alias("high"))
+
+
 def pair_similarity(prints: DataFrame) -> DataFrame:
     """(a, b, pairs, low, mean, high): similarities of all pairs of prints by their two speakers, a = b inside one.
 
@@ -125,8 +139,7 @@ def pair_similarity(prints: DataFrame) -> DataFrame:
     blocks = max(1, -(-held.count() // PAIR_BLOCK))
     dealt = held.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     placed = dealt.select("id", "speaker_id", "centroid", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
-    found = placed.groupBy("one", "two").applyInArrow(_pairs_of_blocks, "a long, b long, pairs long, low double, total double, high double")
-    return found.groupBy("a", "b").agg(F.sum("pairs").alias("pairs"), F.min("low").alias("low"), (F.sum("total") / F.sum("pairs")).alias("mean"), F.max("high").alias("high"))
+    return _summed(placed.groupBy("one", "two"))
 
 
 def separability(pairs: DataFrame) -> DataFrame:
@@ -155,9 +168,11 @@ def assignment_errors(truth: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def threshold_sweep(matches: DataFrame, steps: list[float]) -> DataFrame:
-    """How many probes each threshold would attribute: a join with the steps, counted."""
-    grid = matches.sparkSession.createDataFrame([(float(s),) for s in steps], "threshold double")
-    return matches.join(F.broadcast(grid)).groupBy("threshold").agg(F.count_if(F.col("best_sim") >= F.col("threshold")).alias("matched"), F.count("*").alias("probes"))
+    """How many probes each threshold would attribute: probes counted by the highest step they reach, and added up."""
+    reached = F.size(F.filter(F.array(*[F.lit(float(s)) for s in sorted(steps)]), lambda s: F.col("best_sim") >= s))
+    counts = matches.groupBy(F.greatest(reached, F.lit(0)).alias("reached")).agg(F.count("*").alias("n"))  # one row a step at most
+    told = [F.struct(F.lit(float(s)).alias("threshold"), F.coalesce(F.sum(F.when(F.col("reached") > k, F.col("n"))), F.lit(0)).alias("matched"), F.coalesce(F.sum("n"), F.lit(0)).alias("probes")) for k, s in enumerate(sorted(steps))]
+    return counts.agg(F.array(*told).alias("told")).select(F.explode("told").alias("t")).select("t.*").filter("probes > 0")
 
 
 STEPS = [k / 100 for k in range(20, 65, 5)]
@@ -186,8 +201,7 @@ _PAIRS = f"""(SELECT least(x.speaker_id, y.speaker_id) AS a, greatest(x.speaker_
 
 QUERIES = {
     "voice_match_frozen": _frozen,
-    "similarity_within": lambda s, d: _rounded(pair_similarity(voice_prints(s, d)).filter("a = b")),
-    "similarity_between": lambda s, d: _rounded(pair_similarity(voice_prints(s, d)).filter("a < b")),
+    "similarity_within": lambda s, d: _rounded(inside_similarity(voice_prints(s, d))),
     "voice_separability": lambda s, d: separability(_rounded(pair_similarity(voice_prints(s, d)))),
     "assignment_errors": _errors,
     "threshold_sweep": lambda s, d: threshold_sweep(_frozen(s, d), STEPS),
@@ -197,7 +211,6 @@ QUERIES = {
 SQL = {
     "voice_match_frozen": f"SELECT probe, print, speaker_id, sim, best_sim FROM {_MATCH}",
     "similarity_within": f"SELECT * FROM {_PAIRS} WHERE a = b",
-    "similarity_between": f"SELECT * FROM {_PAIRS} WHERE a < b",
     "voice_separability": f"""SELECT *, worst_inside > best_between AS separable, CASE WHEN worst_inside > best_between THEN round((worst_inside + best_between) / 2, 2) END AS threshold
       FROM (SELECT coalesce(min(low) FILTER (a = b), 1.0) AS worst_inside, coalesce(max(high) FILTER (a <> b), -1.0) AS best_between FROM {_PAIRS})""",
     "assignment_errors": f"""WITH h AS (SELECT DISTINCT person, speaker_id AS profile FROM {_MATCH} WHERE speaker_id IS NOT NULL)
