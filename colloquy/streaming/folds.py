@@ -10,7 +10,7 @@ from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, GAP_S, LEAST_CHARS, MOS
 from ..operators.signal import SQL as SIGNAL_SQL
 from ..operators.signal import sessions
 from ..operators.vectors import STEPS, assignment_errors
-from ..sources.lens import SPOKEN, table, timed_segments, transcript, voice_prints
+from ..sources.lens import PRINTS, SPOKEN, table, timed_segments, transcript, voice_prints
 from .live import ATTRIBUTED, attributed_frame, in_order, live_step, told, told_of
 
 
@@ -162,7 +162,45 @@ QUERIES = {
     "session_windows": lambda s, d: sessions(timed_segments(s, d), 900_000_000, 1 << 60).drop("part"),
 }
 _FIRES = f"NOT f.off AND l.now >= f.until AND f.chars + l.n >= {LEAST_CHARS} AND l.now - f.last >= f.gap"
+def _unit_sql(v: str) -> str:
+    return f"CASE WHEN list_dot_product({v}, {v}) > 0 THEN list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v}))) ELSE {v} END"
+
+
+def _match_sql(rows: str, threshold: str = "0.35") -> str:
+    """The learning match in recursive SQL over ``rows`` (s, i, id, v, mic, seconds), v of length 1: (s, id, speaker, similarity, is_new).
+
+    A step carries the library, a list of prints in its order: the first best of those that reach their own need wins.
+    """
+    return f"""(WITH RECURSIVE r AS ({rows}),
+      f AS (SELECT s, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS speaker, NULL::DOUBLE AS sim, false AS fresh, 1::BIGINT AS next_id, []::STRUCT(sp BIGINT, v DOUBLE[], n BIGINT)[] AS lib FROM (SELECT DISTINCT s FROM r)
+      UNION ALL SELECT s, i, id, speaker, sim, fresh, CASE WHEN fresh THEN next_id + 1 ELSE next_id END,
+        CASE WHEN first_self OR fresh THEN list_append(lib, {{'sp': speaker, 'v': v, 'n': 1::BIGINT}})
+          WHEN (speaker = 0) <> mic THEN lib
+          WHEN sim >= {threshold} THEN list_concat(list_concat(lib[1:k - 1], [{{'sp': speaker, 'v': {_unit_sql("w")}, 'n': lib[k].n + 1}}]), lib[k + 1:])
+          WHEN own < {MatchRules.most_prints} AND seconds >= {MatchRules.least_new_print_s} THEN list_concat(list_append(lib[1:final], {{'sp': speaker, 'v': v, 'n': 1::BIGINT}}), lib[final + 1:]) ELSE lib END
+      FROM (SELECT *, list_transform(range(1, len(v) + 1), lambda j: (coalesce(lib[k].v[j], 0) * least(coalesce(lib[k].n, 1), {MatchRules.count_cap}) + v[j]) / (least(coalesce(lib[k].n, 1), {MatchRules.count_cap}) + 1)) AS w,
+          len(list_filter(lib, lambda x: x.sp = speaker)) AS own, list_max(list_filter(range(1, len(lib) + 1), lambda j: lib[j].sp = speaker)) AS final
+        FROM (SELECT *, CASE WHEN first_self THEN 0 WHEN k IS NULL THEN next_id ELSE lib[k].sp END::BIGINT AS speaker, NOT first_self AND k IS NULL AS fresh, CASE WHEN first_self THEN NULL WHEN k IS NULL THEN list_max(sims) ELSE sims[k] END AS sim
+          FROM (SELECT *, CASE WHEN NOT first_self THEN list_min(list_filter(able, lambda j: sims[j] = list_max(list_transform(able, lambda x: sims[x])))) END AS k
+            FROM (SELECT *, mic AND len(list_filter(lib, lambda x: x.sp = 0)) = 0 AS first_self, list_filter(range(1, len(lib) + 1), lambda j: sims[j] >= {threshold} - CASE WHEN mic AND lib[j].sp = 0 THEN {MatchRules.self_bonus} ELSE 0 END) AS able
+              FROM (SELECT r.s, r.i, r.id, r.v, r.mic, r.seconds, f.next_id, f.lib, list_transform(f.lib, lambda x: list_dot_product(x.v, r.v)) AS sims FROM f JOIN r ON r.s = f.s AND r.i = f.i + 1))))))
+      SELECT s, id, speaker, sim AS similarity, fresh AS is_new FROM f WHERE i > 0)"""
+
+
+_ONLINE = f"SELECT id % 4 AS s, row_number() OVER (PARTITION BY id % 4 ORDER BY id) AS i, id, {_unit_sql('centroid')} AS v, id % 3 = 0 AS mic, 2.5::DOUBLE AS seconds FROM {PRINTS}"
+_TURNS = f"SELECT 0 AS s, row_number() OVER (ORDER BY turn, speaker_id) AS i, speaker_id AS id, {_unit_sql('centroid')} AS v, false AS mic, 0.0::DOUBLE AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY id) AS turn FROM {PRINTS})"
+
+
+def _simulated_sql(threshold: float) -> str:
+    """Profiles, splits and merges of one threshold: ``id`` of the match is the person."""
+    return f"""(WITH h AS (SELECT DISTINCT id AS person, speaker AS profile FROM {_match_sql(_TURNS, str(threshold))})
+      SELECT {threshold}::DOUBLE AS threshold, (SELECT count(DISTINCT profile) FROM h) AS profiles, (SELECT count(*) FROM (SELECT person FROM h GROUP BY person HAVING count(*) > 1)) AS splits,
+        (SELECT count(*) FROM (SELECT DISTINCT a.person, b.person FROM h a JOIN h b ON a.profile = b.profile AND a.person < b.person)) AS merges)"""
+
+
 SQL = {
+    "voice_match_online": f"SELECT id, speaker, round(similarity, 6) AS similarity, is_new FROM {_match_sql(_ONLINE)}",
+    "threshold_simulation": " UNION ALL ".join(_simulated_sql(t) for t in STEPS),
     "session_windows": SIGNAL_SQL["speech_sessions"].replace("600000000", "900000000").replace("1800000000", str(1 << 60)).replace(" part, count", " count").replace(", session, part", ", session"),
     "segment_events": f"""SELECT meeting_id, id, no, CASE no WHEN 0 THEN 'speaker_new' ELSE 'segment' END AS type, id % 2 AS speaker, CASE no WHEN 1 THEN length(text) END AS chars FROM {SPOKEN}, (VALUES (0::BIGINT), (1)) AS v(no) WHERE id % 4 <> 3 AND length(text) > 0 AND (no = 1 OR id < 2)""",
     "hint_trigger": f"""WITH RECURSIVE l AS (SELECT conv_id AS m, turn AS id, turn * 9.0::DOUBLE AS now, length(text) AS n, CASE WHEN turn % 3 = 0 THEN 'skip' WHEN turn % 5 = 1 THEN 'error' ELSE 'ok' END AS o, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
