@@ -224,6 +224,19 @@ SQL = {
         SELECT meeting_id, step + 1, {_ABSORBED} FROM (SELECT *, list_position(list_transform(x, lambda e: e.n), list_min(list_transform(x, lambda e: e.n))) AS k FROM a) WHERE len(x) > 1 AND x[k].n < 2),
       z AS (SELECT meeting_id, unnest(x) AS e, generate_subscripts(x, 1) AS run FROM (SELECT meeting_id, arg_max(x, step) AS x FROM a GROUP BY meeting_id))
       SELECT meeting_id, run::BIGINT AS run, e.l AS label, e.n AS n FROM z""",
+    "dominance_split": f"""WITH RECURSIVE g AS (SELECT *, coalesce(start_us - lag(start_us) OVER w > 900000000, true)::BIGINT AS fresh FROM {TIMED} WINDOW w AS (PARTITION BY meeting_id ORDER BY start_us, id)),
+      o AS (SELECT *, sum(fresh) OVER (PARTITION BY meeting_id ORDER BY start_us, id)::BIGINT AS span FROM g),
+      p AS (SELECT meeting_id, span, min(start_us) AS b, max(start_us) AS e, greatest((max(start_us) - min(start_us)) // 300000000, 1) AS slots FROM o GROUP BY meeting_id, span),
+      v AS (SELECT meeting_id, span, slot, {_LEVELS} FROM (SELECT o.meeting_id, o.span, o.channel, o.energy, least((o.start_us - p.b) // 300000000, p.slots - 1) AS slot FROM o JOIN p ON p.meeting_id = o.meeting_id AND p.span = o.span) GROUP BY ALL),
+      d AS (SELECT meeting_id, span, slot, {_DOM.format(r=1.2)} AS label FROM (SELECT k.meeting_id, k.span, k.slot, coalesce(v.mic, 0) AS mic, coalesce(v.sys, 0) AS sys FROM (SELECT meeting_id, span, unnest(range(slots)) AS slot FROM p) k LEFT JOIN v ON v.meeting_id = k.meeting_id AND v.span = k.span AND v.slot = k.slot)),
+      f AS (SELECT meeting_id, span, slot, coalesce(last_value(CASE WHEN label <> 'mixed' THEN label END IGNORE NULLS) OVER (PARTITION BY meeting_id, span ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        first_value(CASE WHEN label <> 'mixed' THEN label END IGNORE NULLS) OVER (PARTITION BY meeting_id, span ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'mixed') AS filled FROM d),
+      m AS (SELECT *, coalesce(filled <> lag(filled) OVER w, true)::BIGINT AS fresh FROM f WINDOW w AS (PARTITION BY meeting_id, span ORDER BY slot)),
+      r AS (SELECT *, sum(fresh) OVER (PARTITION BY meeting_id, span ORDER BY slot) AS run FROM m), u AS (SELECT meeting_id, span, run, min(filled) AS l, count(*) AS n FROM r GROUP BY meeting_id, span, run),
+      a AS (SELECT meeting_id, span, 0 AS step, list({{'l': l, 'n': n}} ORDER BY run) AS x FROM u GROUP BY meeting_id, span UNION ALL
+        SELECT meeting_id, span, step + 1, {_ABSORBED} FROM (SELECT *, list_position(list_transform(x, lambda e: e.n), list_min(list_transform(x, lambda e: e.n))) AS k FROM a) WHERE len(x) > 1 AND x[k].n < 2),
+      z AS (SELECT meeting_id, span, unnest(x) AS e, generate_subscripts(x, 1)::BIGINT AS part, list_transform(x, lambda y: y.n) AS ns FROM (SELECT meeting_id, span, arg_max(x, step) AS x FROM a GROUP BY meeting_id, span))
+      SELECT z.meeting_id, z.span, part, z.e.l AS label, (p.b + coalesce(list_sum(ns[1:part - 1]), 0) * 300000000)::BIGINT AS start_us, CASE WHEN part = len(ns) THEN p.e ELSE p.b + list_sum(ns[1:part]) * 300000000 END::BIGINT AS end_us FROM z JOIN p ON p.meeting_id = z.meeting_id AND p.span = z.span""",
     "speech_sessions": _SESSIONS,
     "frame_align": f"""WITH s AS (SELECT start_us // 60000000 AS slot, channel, max(energy / 100) AS x FROM {TIMED} WHERE channel <> 'mixed' GROUP BY ALL)
       SELECT slot, round(greatest(least(coalesce(m.x, 0) + coalesce(y.x, 0), 1.0), -1.0), 6) AS value FROM (SELECT * FROM s WHERE channel = 'mic') m FULL JOIN (SELECT * FROM s WHERE channel = 'system') y USING (slot)""",
