@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, GAP_S, LEAST_CHARS, MOST_ERRORS, SKIP_MOST_S, SKIP_STEP_S, Library, Live, MatchRules, Trigger, match_step, trigger_step
+from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, DONOR_US, GAP_S, LEAST_CHARS, LEAST_SPEECH_US, MOST_ERRORS, RECENT_US, SKIP_MOST_S, SKIP_STEP_S, Library, Live, MatchRules, Trigger, match_step, trigger_step
 from ..operators.signal import SQL as SIGNAL_SQL
 from ..operators.signal import sessions
 from ..operators.vectors import STEPS, assignment_errors
-from ..sources.lens import PRINTS, SPOKEN, table, timed_segments, transcript, voice_prints
+from ..sources.lens import PRINTS, SPOKEN, TIMED, table, timed_segments, transcript, voice_prints
 from .live import ATTRIBUTED, attributed_frame, in_order, live_step, told, told_of
 
 
@@ -198,7 +198,36 @@ def _simulated_sql(threshold: float) -> str:
         (SELECT count(*) FROM (SELECT DISTINCT a.person, b.person FROM h a JOIN h b ON a.profile = b.profile AND a.person < b.person)) AS merges)"""
 
 
+_MEETING_ROWS = f"""SELECT *, row_number() OVER (PARTITION BY m ORDER BY a, id NULLS FIRST) AS i FROM (
+        SELECT t.meeting_id AS m, t.id, {_unit_sql('p.centroid')} AS v, t.channel AS ch, t.start_us AS a, t.end_us AS b, CASE WHEN t.id % 3 = 0 THEN 300000 ELSE 2500000 END AS speech, NULL::BIGINT AS source, NULL::BIGINT AS target FROM {TIMED} t LEFT JOIN {PRINTS} p ON p.id = t.id
+        UNION ALL SELECT meeting_id, NULL, NULL, NULL, (min(start_us) + max(start_us)) // 2, NULL, NULL, 2, 1 FROM {TIMED} GROUP BY meeting_id)"""
+_NEED = f"{MatchRules.threshold} - greatest(CASE WHEN ch = 'mic' AND lib[j].sp = 0 THEN {MatchRules.self_bonus} ELSE 0 END, CASE WHEN list_contains(near, lib[j].sp) THEN {MatchRules.recent_bonus} ELSE 0 END)"
+#: Attribution with merges; a step carries the library, each channel's last speaker and each speaker's last end.
+_ATTRIBUTED_SQL = f"""WITH RECURSIVE r AS ({_MEETING_ROWS}),
+      f AS (SELECT m, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS speaker, NULL::DOUBLE AS sim, false AS fresh, 1::BIGINT AS next_id, []::STRUCT(sp BIGINT, v DOUBLE[], n BIGINT)[] AS lib, []::STRUCT(ch VARCHAR, e BIGINT, sp BIGINT)[] AS last, []::STRUCT(sp BIGINT, e BIGINT)[] AS recent FROM (SELECT DISTINCT m FROM r)
+      UNION ALL SELECT m, i, id, speaker, sim, fresh, CASE WHEN fresh THEN next_id + 1 ELSE next_id END,
+        CASE WHEN source IS NOT NULL THEN list_concat(list_concat(rest[1:target_at], list_transform(list_filter(lib, lambda x: x.sp = source), lambda x: {{'sp': target, 'v': x.v, 'n': x.n}})), rest[target_at + 1:])
+          WHEN NOT voiced THEN lib WHEN first_self OR fresh THEN list_append(lib, {{'sp': speaker, 'v': v, 'n': 1::BIGINT}})
+          WHEN (speaker = 0) <> (ch = 'mic') THEN lib
+          WHEN sim >= {MatchRules.threshold} THEN list_concat(list_concat(lib[1:k - 1], [{{'sp': speaker, 'v': {_unit_sql("w")}, 'n': lib[k].n + 1}}]), lib[k + 1:])
+          WHEN own < {MatchRules.most_prints} AND speech / 1e6 >= {MatchRules.least_new_print_s} THEN list_concat(list_append(lib[1:final], {{'sp': speaker, 'v': v, 'n': 1::BIGINT}}), lib[final + 1:]) ELSE lib END,
+        CASE WHEN source IS NOT NULL THEN list_transform(last, lambda x: {{'ch': x.ch, 'e': x.e, 'sp': CASE WHEN x.sp = source THEN target ELSE x.sp END}}) WHEN speaker IS NULL THEN last ELSE list_append(list_filter(last, lambda x: x.ch <> ch), {{'ch': ch, 'e': b, 'sp': speaker}}) END,
+        CASE WHEN source IS NOT NULL THEN list_filter(recent, lambda x: x.sp <> source) WHEN speaker IS NULL THEN recent ELSE list_append(list_filter(recent, lambda x: x.sp <> speaker), {{'sp': speaker, 'e': b}}) END
+      FROM (SELECT *, list_transform(range(1, coalesce(len(v), 0) + 1), lambda j: (coalesce(lib[k].v[j], 0) * least(coalesce(lib[k].n, 1), {MatchRules.count_cap}) + v[j]) / (least(coalesce(lib[k].n, 1), {MatchRules.count_cap}) + 1)) AS w,
+          len(list_filter(lib, lambda x: x.sp = speaker)) AS own, list_max(list_filter(range(1, len(lib) + 1), lambda j: lib[j].sp = speaker)) AS final, coalesce(list_max(list_filter(range(1, len(rest) + 1), lambda j: rest[j].sp = target)), len(rest)) AS target_at
+        FROM (SELECT *, CASE WHEN source IS NOT NULL THEN NULL WHEN NOT voiced THEN donor WHEN first_self THEN 0 WHEN k IS NULL THEN next_id ELSE lib[k].sp END::BIGINT AS speaker, voiced AND NOT first_self AND k IS NULL AS fresh,
+            CASE WHEN NOT voiced OR first_self THEN NULL WHEN k IS NULL THEN list_max(sims) ELSE sims[k] END AS sim, list_filter(lib, lambda x: source IS NULL OR x.sp <> source) AS rest
+          FROM (SELECT *, CASE WHEN voiced AND NOT first_self THEN list_min(list_filter(able, lambda j: sims[j] = list_max(list_transform(able, lambda x: sims[x])))) END AS k
+            FROM (SELECT *, voiced AND ch = 'mic' AND len(list_filter(lib, lambda x: x.sp = 0)) = 0 AS first_self, list_filter(range(1, len(sims) + 1), lambda j: sims[j] >= {_NEED}) AS able
+              FROM (SELECT r.*, f.next_id, f.lib, f.last, f.recent, source IS NULL AND v IS NOT NULL AND speech >= {LEAST_SPEECH_US} AS voiced, CASE WHEN v IS NOT NULL THEN list_transform(f.lib, lambda x: list_dot_product(x.v, r.v)) ELSE [] END AS sims,
+                  list_transform(list_filter(f.recent, lambda x: r.a - x.e BETWEEN 0 AND {RECENT_US}), lambda x: x.sp) AS near,
+                  (list_sort(list_transform(list_filter(f.last, lambda x: (x.ch = r.ch OR x.ch = 'mixed' OR r.ch = 'mixed') AND r.a - x.e < {DONOR_US}), lambda x: {{'e': x.e, 'sp': x.sp}}), 'DESC')[1]).sp AS donor
+                FROM f JOIN r ON r.m = f.m AND r.i = f.i + 1))))))
+      SELECT m AS meeting_id, id, speaker, round(sim, 6) AS similarity, fresh AS is_new FROM f WHERE id IS NOT NULL"""
+
+
 SQL = {
+    "attribution": _ATTRIBUTED_SQL,
     "voice_match_online": f"SELECT id, speaker, round(similarity, 6) AS similarity, is_new FROM {_match_sql(_ONLINE)}",
     "threshold_simulation": " UNION ALL ".join(_simulated_sql(t) for t in STEPS),
     "session_windows": SIGNAL_SQL["speech_sessions"].replace("600000000", "900000000").replace("1800000000", str(1 << 60)).replace(" part, count", " count").replace(", session, part", ", session"),
