@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,17 +63,18 @@ def pack_lines(segments: DataFrame, most: int) -> DataFrame:
         now, chunk, size = object(), 0, 0
         for rows in batches:
             out = []
-            for meeting, chars in zip(rows["meeting_id"], rows["chars"]):
+            for meeting, chars in zip(rows.column("meeting_id").to_pylist(), rows.column("chars").to_pylist()):
                 if meeting != now:
                     now, chunk, size = meeting, 0, 0
                 if size and size + chars + 1 > most:
                     chunk, size = chunk + 1, 0
                 size += chars + 1
                 out.append(chunk)
-            yield rows.drop(columns="chars").assign(chunk=out)
+            # Lines pass as they are; only their lengths are read.
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(out, pa.int64())], names=[*kept, "chunk"])
 
-    kinds = dict(told.dtypes)
-    placed = dealt.mapInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in ("meeting_id", "start_s", "id", "line")) + ", chunk long")
+    kept, kinds = ["meeting_id", "start_s", "id", "line"], dict(told.dtypes)
+    placed = dealt.mapInArrow(fold, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", chunk long")
     return placed.groupBy("meeting_id", "chunk").agg(_joined().alias("body"))
 
 
