@@ -143,6 +143,12 @@ def word_count(text: str = "text"):
 
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:
+    """All documents, sources weighing 3, 1, 2 in turn, 150 % of all words.
+
+    Null and empty texts have size 0 and nothing of them is taken; very long ones are taken in blocks like others. A null
+    source is one of its own, after all others; null ids and repeated rows are documents each. An empty table gives an
+    empty result.
+    """
     sized = documents(spark, sf_dir).select("doc_id", "source", word_count().alias("size"))
     mixed = mix(materialise(sized), "size", [3.0, 1.0, 2.0], 1.5)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
