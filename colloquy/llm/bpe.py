@@ -52,10 +52,18 @@ def character_tables() -> tuple[dict[str, str], dict[int, str]]:
     for kind in "LN":
         runs = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(whole)
         classes[kind] = "".join(f"{regex.escape(run[0])}-{regex.escape(run[-1])}" for run, _ in runs)
-    lower = normalizers.Lowercase().normalize_str(" ".join(chars).replace("\n", "")).split(" ")
-    kept = [c for c in chars if c not in " \n"]
-    lower = [x for x in lower if x]
-    return classes, {ord(c): x for c, x in zip(kept, lower, strict=True) if x != c.replace("Σ", "σ").lower()}
+    low, differ = normalizers.Lowercase(), {}
+    for k in range(0, len(chars), 4096):
+        block = chars[k : k + 4096]
+        if low.normalize_str("".join(block)) != "".join(block).replace("Σ", "σ").lower():
+            differ |= {ord(c): x for c in block if (x := low.normalize_str(c)) != c.replace("Σ", "σ").lower()}
+    return classes, differ
+
+
+def with_characters(spec: str) -> str:
+    """A vocabulary file's text with the character tables in it, so that workers need not ask the library."""
+    classes, lower = character_tables()
+    return json.dumps(json.loads(spec) | {"characters": [classes, lower]})
 
 
 def byte_symbols() -> list[str]:
@@ -77,7 +85,8 @@ class WordBpe:
         self.tokens.update({i: t for t, i in self.special.items()})
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         spelled = loaded["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _WHITE)
-        classes, self.lower = character_tables()
+        classes, lower = loaded.get("characters") or character_tables()
+        self.lower = {int(c): x for c, x in lower.items()}
         for kind, inside in classes.items():
             # Inside of a set the ranges alone stand for the class.
             spelled = regex.sub(r"\[[^\]]*\]", lambda m: m[0].replace(rf"\p{{{kind}}}", inside), spelled).replace(rf"\p{{{kind}}}", f"[{inside}]")
@@ -210,7 +219,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", keep: list[st
     keep = df.columns if keep is None else keep
     inner, out = [f"_k{i}" for i in range(len(keep))], ("n_tokens long", "ids binary", "decoded string")
     source = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner)], F.col(f"`{text}`").alias("_text"))
-    spec = df.sparkSession.sparkContext.broadcast(open(vocab_path, encoding="utf-8").read())
+    spec = df.sparkSession.sparkContext.broadcast(with_characters(open(vocab_path, encoding="utf-8").read()))
     types = dict(source.dtypes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +248,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", keep: list[st
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` plus the decoding of its packed ids; null ids decode to the empty string."""
-    spec = df.sparkSession.sparkContext.broadcast(open(vocab_path, encoding="utf-8").read())
+    spec = df.sparkSession.sparkContext.broadcast(with_characters(open(vocab_path, encoding="utf-8").read()))
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
