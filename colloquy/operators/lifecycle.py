@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.lens import PRINTS, TIMED, table, timed_segments, voice_prints
+from .ranks import ranked
 from .views import known_or_first
 
+#: Meetings whose counts are summed up beside each other; one window adds the spans.
+MEETINGS_A_SPAN = 100_000
+
 UNTITLED = "Untitled meeting"
 
 
@@ -36,14 +40,17 @@ def append_segments(segments: DataFrame, new: DataFrame, order: list[str]) -> Da
     """``segments`` and the ``new`` ones with ids after the largest there is, per meeting in ``order``.
 
     Ids are dealt per meeting from the table's largest id on: a count of each meeting's new rows, summed up over
-    meetings, and a number inside each.
+    meetings in two levels (spans of meetings, and inside each), and a number inside each.
     """
     top = segments.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
     counts = new.groupBy("meeting_id").agg(F.count("*").alias("n"))
-    before = Window.orderBy("meeting_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("meeting_id").alias("of_meeting"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("meeting_id").orderBy(*order))
-    placed = new.withColumn("place", inside).join(starts, F.col("meeting_id").eqNullSafe(F.col("of_meeting"))).join(F.broadcast(top))  # one row
+    # Meetings of one span are next to each other, so that ids go up with the meetings.
+    counts = counts.withColumn("span", F.floor(F.col("meeting_id") / MEETINGS_A_SPAN))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = counts.groupBy("span").agg(F.sum("n").alias("n")).select(F.col("span").alias("of_span"), upto(Window.orderBy("span")).alias("ahead"))
+    both = counts.join(ahead, F.col("span").eqNullSafe(F.col("of_span")))
+    starts = both.select(F.col("meeting_id").alias("of_meeting"), (F.col("ahead") + upto(Window.partitionBy("span").orderBy("meeting_id"))).alias("start"))
+    placed = ranked(new, "meeting_id", order, "place").join(starts, F.col("meeting_id").eqNullSafe(F.col("of_meeting"))).join(F.broadcast(top))  # one row
     return segments.unionByName(placed.withColumn("id", F.col("top") + F.col("start") + F.col("place")).select(*segments.columns))
 
 
@@ -90,11 +97,9 @@ def pair_files(samples: DataFrame, prints: DataFrame, there: DataFrame) -> DataF
     """Each speaker's k-th oldest sample that has a file with their k-th oldest print without a recording.
 
     Samples (id, speaker_id, path) whose file is missing take no print; what is left over on either side stays out.
-    Ranks are per speaker: a speaker's samples and prints are ordered in one task, as their number is small.
     """
-    order = Window.partitionBy("speaker_id").orderBy("id")
-    ready = samples.join(there.select("path").distinct(), "path", "left_semi").withColumn("rank", F.row_number().over(order)).select("speaker_id", "rank", F.col("id").alias("sample_id"), "path")
-    free = prints.filter(F.col("audio_path").isNull()).withColumn("rank", F.row_number().over(order)).select("speaker_id", "rank", F.col("id").alias("print_id"))
+    ready = ranked(samples.join(there.select("path").distinct(), "path", "left_semi"), "speaker_id", ["id"]).select("speaker_id", "rank", F.col("id").alias("sample_id"), "path")
+    free = ranked(prints.filter(F.col("audio_path").isNull()), "speaker_id", ["id"]).select("speaker_id", "rank", F.col("id").alias("print_id"))
     return ready.join(free, ["speaker_id", "rank"])
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.lens import PRINTS, SPEAKERS, TIMED, speakers, table, timed_segments, voice_prints
+from .ranks import ranked
 
 
 def custom_name(name: Column, speaker_id: Column) -> Column:
@@ -75,16 +76,14 @@ def repair_stale(meetings: DataFrame, now: Column) -> DataFrame:
 
 def pair_by_rank(samples: DataFrame, prints: DataFrame) -> DataFrame:
     """Each speaker's k-th oldest sample with their k-th oldest print; what is left over on either side stays out."""
-    order = Window.partitionBy("speaker_id").orderBy("id")
-    one = samples.withColumn("rank", F.row_number().over(order)).withColumnRenamed("id", "sample_id")
-    two = prints.select("speaker_id", "id").withColumn("rank", F.row_number().over(order)).withColumnRenamed("id", "print_id")
+    one = ranked(samples, "speaker_id", ["id"]).withColumnRenamed("id", "sample_id")
+    two = ranked(prints.select("speaker_id", "id"), "speaker_id", ["id"]).withColumnRenamed("id", "print_id")
     return one.join(two, ["speaker_id", "rank"])
 
 
 def interleave(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Round robin: the first of each key, the second of each, and so on."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("round", rank).orderBy("round", key)
+    return ranked(rows, key, [order], "round").orderBy("round", key)
 
 
 def split_column(rows: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
