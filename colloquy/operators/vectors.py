@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from ..sources.lens import PRINTS, voice_prints
 
 THRESHOLD, RECENT_BONUS = 0.35, 0.10
-#: Bytes of vectors up to which a library is broadcast; prints and probes that one task compares beyond that.
-BROADCAST_BYTES, BLOCK_PRINTS, BLOCK_PROBES = 32 << 20, 20_000, 20_000
+#: Bytes of vectors up to which a library is broadcast.
+BROADCAST_BYTES = 4 << 20
+#: Vectors are dealt into at most PARTS parts while a part's vectors, as doubles, stay under PART_BYTES: each vector travels
+#: as often as there are parts, and what a task holds is bounded. Fewer than these prints or probes are not parted further.
+PARTS, PART_BYTES, BLOCK_PRINTS, BLOCK_PROBES = 12, 64 << 20, 4_096, 4_096
 #: Prints of a block whose pairs with another block one task forms.
 PAIR_BLOCK = 1_024
+#: Rows and columns of one product, so that its similarities stay in a few MB; rows of pairs that a task gathers.
+PRODUCT, GATHERED = 1_024, 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,19 +36,78 @@ def unit(v: Column) -> Column:
 _ANSWER = "probe long, print long, speaker_id long, sim double, best_sim double"
 
 
+def parts(n: int, dims: int, least: int) -> int:
+    """Parts that ``n`` vectors are dealt into."""
+    return max(1, min(PARTS, -(-n // least)), -(-n * dims * 8 // PART_BYTES))
+
+
+def _copies(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector the first that equals it, and the second (the first again where there is one only)."""
+    whole = np.ascontiguousarray(vectors + 0.0)  # no negative zeros
+    order = np.lexsort(whole.T[::-1]) if whole.size == 0 else np.argsort(whole.view(np.dtype((np.void, whole.shape[1] * 8))).ravel(), kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = (whole[order[1:]] != whole[order[:-1]]).any(1)
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    after = np.minimum(start + 1, len(order) - 1)
+    after = np.where(new[after], start, after)
+    first, second = np.empty_like(order), np.empty_like(order)
+    first[order], second[order] = order[start], order[after]
+    return first, second
+
+
+def _best(probes: np.ndarray, vectors: np.ndarray, ids: np.ndarray, matrix: np.ndarray, others_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``matrix``, similarity) of each probe's best, the first of equal vectors; a row of -1 where it has none.
+
+    Products are formed in squares. A winner's similarity is formed once more row by row, so that equal vectors have equal
+    ones wherever they stand.
+    """
+    best, top = np.full(len(probes), -1), np.full(len(probes), -np.inf)
+    if not len(ids):
+        return best, top
+    own = [np.searchsorted(ids, probes, side) for side in ("left", "right")] if others_only else None
+    for at in range(0, len(probes), PRODUCT):
+        rows = np.arange(at, min(at + PRODUCT, len(probes)))
+        for c in range(0, len(ids), PRODUCT):
+            sims = vectors[rows] @ matrix[c : c + PRODUCT].T
+            if own:
+                lo, hi = np.maximum(own[0][rows], c) - c, np.minimum(own[1][rows], c + PRODUCT) - c
+                for r in np.flatnonzero(lo < hi):
+                    sims[r, lo[r] : hi[r]] = -np.inf
+            found = sims.argmax(1)
+            value = sims[np.arange(len(rows)), found]
+            better = value > top[rows]
+            best[rows[better]], top[rows[better]] = found[better] + c, value[better]
+    hit = np.flatnonzero(best >= 0)
+    first, second = _copies(matrix)
+    for equal in (second, first):
+        other = equal[best[hit]]
+        free = ids[other] != probes[hit] if others_only else np.ones(len(hit), bool)
+        best[hit[free]] = np.minimum(best[hit], other)[free]
+    top[hit] = np.einsum("ij,ij->i", vectors[hit], matrix[best[hit]])
+    return best, top
+
+
 def _answers(probes: np.ndarray, vectors: np.ndarray, ids: np.ndarray, speakers: np.ndarray, matrix: np.ndarray, rule: tuple) -> pa.Table:
-    """Each probe's best able print, the first on ties, and its best similarity of all, by one matrix product."""
+    """Each probe's best able print, the first on ties, and its best similarity of all; prints stand in order of id.
+
+    All prints of a kind, the favoured speaker's and the others', have one threshold, so the best of each kind decide.
+    """
     threshold, favoured, bonus, others_only = rule
     kinds = [("probe", pa.int64()), ("print", pa.int64()), ("speaker_id", pa.int64()), ("sim", pa.float64()), ("best_sim", pa.float64())]
-    if not len(ids):
+    if not len(ids) or not len(probes):
         return pa.table({name: pa.array(probes, kind) if name == "probe" else pa.nulls(len(probes), kind) for name, kind in kinds})
-    sims = vectors @ matrix.T
-    if others_only:
-        sims = np.where(probes[:, None] == ids[None, :], -np.inf, sims)
-    able = np.where(sims >= threshold - np.where(speakers == (-1 if favoured is None else favoured), bonus, 0.0), sims, -np.inf)
-    best, top = able.argmax(1), sims.max(1)
-    sim = able[np.arange(len(best)), best]
-    hit = np.isfinite(sim)
+    top, sim, best = (np.full(len(probes), x) for x in (-np.inf, -np.inf, -1))
+    favour = speakers == favoured if favoured is not None else np.zeros(len(ids), bool)
+    for kind, need in ((~favour, threshold), (favour, threshold - bonus)):
+        rows = np.flatnonzero(kind)
+        if not len(rows):
+            continue
+        row, value = _best(probes, vectors, ids[rows], matrix[rows], others_only)
+        row = np.where(row < 0, -1, rows[row])
+        top = np.maximum(top, value)
+        wins = (row >= 0) & (value >= need) & ((value > sim) | ((value == sim) & (row < best)))
+        best, sim = np.where(wins, row, best), np.where(wins, value, sim)
+    hit = best >= 0
     found = (probes, ids[best], speakers[best], sim, top)
     masks = (np.zeros(len(hit), bool), ~hit, ~hit, ~hit, ~np.isfinite(top))
     return pa.table({name: pa.array(np.where(m, 0, x), kind, mask=m) for (name, kind), x, m in zip(kinds, found, masks)})
@@ -60,32 +124,39 @@ def _matrix(vectors) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
+def _numbers(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and the centroid, as floats if it is given as such (they travel at half the size), else as doubles."""
+    kept = dict(df.dtypes)["centroid"] == "array<float>"
+    return df.select(*columns, F.col("centroid") if kept else F.col("centroid").cast("array<double>").alias("centroid"))
+
+
+def _every(n: int):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
 def match_frozen(probes: DataFrame, library: DataFrame, threshold: float = THRESHOLD, favoured: int | None = None, bonus: float = 0.0, others_only: bool = False) -> DataFrame:
     """Per probe its best print among those that reach their own speaker's threshold, the first on ties, and the best of all.
 
     ``favoured`` is the speaker whose threshold is lower by ``bonus``; with ``others_only`` a probe doesn't meet the
     print of its own id. A library of up to BROADCAST_BYTES is broadcast; a larger one is dealt into blocks, probes
-    meet every block in chunks, and their best answers are combined: nothing of it passes the driver.
+    meet every block in chunks, and their best answers are combined: nothing of it passes the driver. Each vector goes to
+    at most PARTS tasks while a task's vectors stay under PART_BYTES, and a task forms its products in small squares.
     """
     rule = (threshold, favoured, bonus, others_only)
-    held = library.select("id", "speaker_id", F.col("centroid").cast("array<double>").alias("centroid"))
-    asked = probes.select("id", F.col("centroid").cast("array<double>").alias("centroid"))
+    held, asked = _numbers(library, "id", "speaker_id"), _numbers(probes, "id")
     size = held.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("centroid")), F.lit(0)).alias("dims")).first()
     if size.n * size.dims * 8 <= BROADCAST_BYTES:
         shared = probes.sparkSession.sparkContext.broadcast(_library(held.toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    yield from _answers(part.column(0).to_numpy(), _matrix(part.column(1)), *shared.value, rule).to_batches()
+                yield from _answers(batch.column(0).to_numpy(), _matrix(batch.column(1)), *shared.value, rule).to_batches()
 
         return asked.mapInArrow(run, _ANSWER)
 
-    blocks, chunks = -(-size.n // BLOCK_PRINTS), max(1, -(-asked.count() // BLOCK_PROBES))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    dealt = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("chunk", every(chunks))
-    meet = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumn("block", every(blocks))
+    blocks, chunks = parts(size.n, size.dims, BLOCK_PRINTS), parts(asked.count(), size.dims, BLOCK_PROBES)
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("chunk", _every(chunks))
+    meet = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumn("block", _every(blocks))
     compare = lambda l, r: _answers(l.column("id").to_numpy(), _matrix(l.column("centroid")), *_library(r), rule)
     found = meet.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInArrow(compare, _ANSWER)
     best = F.max_by(F.struct("print", "speaker_id", "sim"), F.when(F.col("sim").isNotNull(), F.struct("sim", -F.col("print"))))
@@ -180,7 +251,7 @@ STEPS = [k / 100 for k in range(20, 65, 5)]
 
 def _frozen(spark, d):
     """Every print against all others."""
-    prints = voice_prints(spark, d)
+    prints = voice_prints(spark, d, "float")
     return match_frozen(prints, prints, 0.25, 3, RECENT_BONUS, others_only=True).select("probe", "print", "speaker_id", F.round("sim", 6).alias("sim"), F.round("best_sim", 6).alias("best_sim"))
 
 

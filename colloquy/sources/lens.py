@@ -44,9 +44,9 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPOKEN = "(SELECT conv_id AS meeting_id, turn AS id, role AS speaker, CAST(turn AS DOUBLE) AS start_s, text FROM conversations)"
 
 
-def voice_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, speaker_id, centroid as doubles."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("speaker_id"), F.col("embedding").cast("array<double>").alias("centroid"))
+def voice_prints(spark: SparkSession, sf_dir: str, kind: str = "double") -> DataFrame:
+    """id, speaker_id, centroid as doubles, or as floats, as which it is stored."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("speaker_id"), F.col("embedding").cast(f"array<{kind}>").alias("centroid"))
 
 
 PRINTS = "(SELECT vec_id AS id, CAST(label AS BIGINT) AS speaker_id, CAST(embedding AS DOUBLE[]) AS centroid FROM embeddings)"
