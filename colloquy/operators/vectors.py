@@ -155,10 +155,11 @@ def match_frozen(probes: DataFrame, library: DataFrame, threshold: float = THRES
         return asked.mapInArrow(run, _ANSWER)
 
     blocks, chunks = parts(size.n, size.dims, BLOCK_PRINTS), parts(asked.count(), size.dims, BLOCK_PROBES)
-    dealt = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("chunk", _every(chunks))
+    # Names of its own on one side: of two sides of one table Spark would prune columns by the other's needs.
+    dealt = held.select(*[F.col(c).alias(f"r_{c}") for c in held.columns]).withColumn("r_block", F.pmod(F.xxhash64("r_id"), F.lit(blocks))).withColumn("r_chunk", _every(chunks))
     meet = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumn("block", _every(blocks))
-    compare = lambda l, r: _answers(l.column("id").to_numpy(), _matrix(l.column("centroid")), *_library(r), rule)
-    found = meet.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInArrow(compare, _ANSWER)
+    compare = lambda l, r: _answers(l.column("id").to_numpy(), _matrix(l.column("centroid")), *_library(r.rename_columns([c.removeprefix("r_") for c in r.column_names])), rule)
+    found = meet.groupBy("block", "chunk").cogroup(dealt.groupBy("r_block", "r_chunk")).applyInArrow(compare, _ANSWER)
     best = F.max_by(F.struct("print", "speaker_id", "sim"), F.when(F.col("sim").isNotNull(), F.struct("sim", -F.col("print"))))
     return found.groupBy("probe").agg(best.alias("b"), F.max("best_sim").alias("best_sim")).select("probe", "b.print", "b.speaker_id", "b.sim", "best_sim")
 
