@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +17,7 @@ THRESHOLD, RECENT_BONUS = 0.35, 0.10
 BROADCAST_BYTES = 4 << 20
 #: Vectors are dealt into at most PARTS parts while a part's vectors, as doubles, stay under PART_BYTES: each vector travels
 #: as often as there are parts, and what a task holds is bounded. Fewer than these prints or probes are not parted further.
-PARTS, PART_BYTES, BLOCK_PRINTS, BLOCK_PROBES = 12, 64 << 20, 4_096, 4_096
-#: Prints of a block whose pairs with another block one task forms.
-PAIR_BLOCK = 1_024
+PARTS, PART_BYTES, BLOCK_PRINTS, BLOCK_PROBES, PAIR_BLOCK = 12, 64 << 20, 4_096, 4_096, 1_024
 #: Rows and columns of one product, so that its similarities stay in a few MB; rows of pairs that a task gathers.
 PRODUCT, GATHERED = 1_024, 1 << 20
 
@@ -164,36 +163,72 @@ def match_frozen(probes: DataFrame, library: DataFrame, threshold: float = THRES
     return found.groupBy("probe").agg(best.alias("b"), F.max("best_sim").alias("best_sim")).select("probe", "b.print", "b.speaker_id", "b.sim", "best_sim")
 
 
-def _pairs_of_blocks(table: pa.Table) -> pa.Table:
-    """Count, least, sum and greatest of the similarities of all pairs of prints, by their speakers (a <= b)."""
-    table = table.sort_by([("speaker_id", "ascending"), ("id", "ascending")])
-    side, one, two = table.column("side").to_numpy(), table.column("one")[0].as_py(), table.column("two")[0].as_py()
-    parts = [table.filter(pa.array(side == k)) for k in (one, two)]
-    speakers = [p.column("speaker_id").to_numpy() for p in parts]
-    out: dict[tuple[int, int], list] = {}
-    if all(len(x) for x in speakers):
-        sims = _matrix(parts[0].column("centroid")) @ _matrix(parts[1].column("centroid")).T
-        counted = np.ones(sims.shape, bool) if one != two else np.triu(np.ones(sims.shape, bool), 1)
-        cuts = [np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) for x in speakers]
-        by = lambda f, x: f.reduceat(f.reduceat(x, cuts[0], axis=0), cuts[1], axis=1)
+_PAIR_KINDS = {"a": pa.int64(), "b": pa.int64(), "pairs": pa.int64(), "low": pa.float64(), "total": pa.float64(), "high": pa.float64()}
+
+
+def _gathered(rows: list[pa.Table]) -> pa.Table:
+    """One row a pair of speakers."""
+    both = pa.concat_tables(rows).group_by(["a", "b"]).aggregate([("pairs", "sum"), ("low", "min"), ("total", "sum"), ("high", "max")])
+    return both.select(["a", "b", "pairs_sum", "low_min", "total_sum", "high_max"]).rename_columns(list(_PAIR_KINDS)).cast(pa.schema(_PAIR_KINDS))
+
+
+def _square(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, same: bool) -> pa.Table:
+    """Count, least, sum and greatest of the similarities of two runs of vectors, in order of speaker, by their speakers (a <= b)."""
+    sims = x @ y.T
+    cuts = [np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) for s in (of_x, of_y)]
+    by = lambda f, v: f.reduceat(f.reduceat(v, cuts[0], axis=0), cuts[1], axis=1)
+    if same:
+        counted = np.triu(np.ones(sims.shape, bool), 1)
         n, low = by(np.add, counted.astype(np.int64)), by(np.minimum, np.where(counted, sims, np.inf))
         total, high = by(np.add, np.where(counted, sims, 0.0)), by(np.maximum, np.where(counted, sims, -np.inf))
-        for i, j in zip(*np.nonzero(n)):
-            a, b = sorted((int(speakers[0][cuts[0][i]]), int(speakers[1][cuts[1][j]])))
-            old = out.get((a, b), [0, np.inf, 0.0, -np.inf])
-            out[a, b] = [old[0] + int(n[i, j]), min(old[1], low[i, j]), old[2] + total[i, j], max(old[3], high[i, j])]
-    keys, values = list(out), list(out.values())
-    kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-    return pa.table({"a": pa.array([k[0] for k in keys], pa.int64()), "b": pa.array([k[1] for k in keys], pa.int64())} | {c: pa.array([v[i] for v in values], kind) for i, (c, kind) in enumerate(zip(("pairs", "low", "total", "high"), kinds))})
+    else:
+        n = np.outer(*[np.diff(np.append(c, len(s))) for c, s in zip(cuts, (of_x, of_y))])
+        low, total, high = by(np.minimum, sims), by(np.add, sims), by(np.maximum, sims)
+    i, j = np.nonzero(n)
+    a, b = of_x[cuts[0]][i], of_y[cuts[1]][j]
+    return pa.table({c: pa.array(v, kind) for (c, kind), v in zip(_PAIR_KINDS.items(), (np.minimum(a, b), np.maximum(a, b), n[i, j], low[i, j], total[i, j], high[i, j]))})
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count, least, sum and greatest of the similarities of all pairs of prints of two parts, by their speakers (a <= b)."""
+    table = pa.Table.from_batches(batches)
+    one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    sides = []
+    for side in (one, two) if one != two else (one,):
+        part = table.filter(pyarrow.compute.equal(table.column("side"), side)).sort_by([("speaker_id", "ascending"), ("id", "ascending")])
+        sides.append((_matrix(part.column("centroid")), part.column("speaker_id").to_numpy()))
+    del table
+    (x, of_x), (y, of_y) = sides[0], sides[-1]
+    found = []
+    for i in range(0, len(x), PRODUCT):
+        for j in range(i if one == two else 0, len(y), PRODUCT):
+            found.append(_square(x[i : i + PRODUCT], y[j : j + PRODUCT], of_x[i : i + PRODUCT], of_y[j : j + PRODUCT], one == two and i == j))
+            if sum(map(len, found)) > GATHERED:
+                yield from _gathered(found).to_batches()
+                found = []
+        found = [_gathered(found)] if found else []
+    if found:
+        yield from _gathered(found).to_batches()
+
+
+def _tiles(held: DataFrame, blocks) -> DataFrame:
+    """Prints beside every part of ``blocks`` (a column): those of parts ``one`` <= ``two`` meet there."""
+    dealt = held.withColumn("side", F.pmod(F.xxhash64("id"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return dealt.select("id", "speaker_id", "centroid", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
+
+
+def _size(held: DataFrame) -> tuple[int, int]:
+    """(vectors, numbers of the longest)."""
+    return tuple(held.agg(F.count("*"), F.coalesce(F.max(F.size("centroid")), F.lit(0))).first())
 
 
 def inside_similarity(prints: DataFrame) -> DataFrame:
-    """(a, b, pairs, low, mean, high) inside each speaker, a = b: only prints of one speaker are multiplied, in pairs of its blocks."""
-    held = prints.filter("speaker_id IS NOT NULL").select("id", "speaker_id", F.col("centroid").cast("array<double>").alias("centroid"))
-    sizes = held.groupBy("speaker_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks"))
-    dealt = held.join(sizes, "speaker_id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = dealt.select("id", "speaker_id", "centroid", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
-    return _summed(placed.groupBy("speaker_id", "one", "two"))
+    """(a, b, pairs, low, mean, high) inside each speaker, a = b: only prints of one speaker are multiplied, in pairs of its parts."""
+    held = _numbers(prints.filter("speaker_id IS NOT NULL"), "id", "speaker_id")
+    n, room = F.count("*"), F.lit(PART_BYTES / 8)
+    blocks = F.greatest(F.least(F.lit(PARTS), F.ceil(n / PAIR_BLOCK)), F.ceil(n * F.max(F.size("centroid")) / room)).cast("long")
+    dealt = held.join(held.groupBy("speaker_id").agg(blocks.alias("blocks")), "speaker_id")
+    return _summed(_tiles(dealt, F.col("blocks")).groupBy("speaker_id", "one", "two"))
 
 
 def _summed(tiles) -> DataFrame:
@@ -204,14 +239,12 @@ def _summed(tiles) -> DataFrame:
 def pair_similarity(prints: DataFrame) -> DataFrame:
     """(a, b, pairs, low, mean, high): similarities of all pairs of prints by their two speakers, a = b inside one.
 
-    Prints are dealt into blocks; each pair of blocks is one matrix product in a task, of which only a row per pair of
-    speakers leaves.
+    Prints are dealt into parts, at most PARTS while a part's vectors stay under PART_BYTES, so what travels grows with the
+    prints and not with their pairs; two parts meet in a task, which multiplies them in squares, and of which only rows per
+    pair of speakers leave.
     """
-    held = prints.filter("speaker_id IS NOT NULL").select("id", "speaker_id", F.col("centroid").cast("array<double>").alias("centroid"))
-    blocks = max(1, -(-held.count() // PAIR_BLOCK))
-    dealt = held.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    placed = dealt.select("id", "speaker_id", "centroid", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
-    return _summed(placed.groupBy("one", "two"))
+    held = _numbers(prints.filter("speaker_id IS NOT NULL"), "id", "speaker_id")
+    return _summed(_tiles(held, F.lit(parts(*_size(held), PAIR_BLOCK)).cast("long")).groupBy("one", "two"))
 
 
 def separability(pairs: DataFrame) -> DataFrame:
@@ -273,8 +306,8 @@ _PAIRS = f"""(SELECT least(x.speaker_id, y.speaker_id) AS a, greatest(x.speaker_
 
 QUERIES = {
     "voice_match_frozen": _frozen,
-    "similarity_within": lambda s, d: _rounded(inside_similarity(voice_prints(s, d))),
-    "voice_separability": lambda s, d: separability(_rounded(pair_similarity(voice_prints(s, d)))),
+    "similarity_within": lambda s, d: _rounded(inside_similarity(voice_prints(s, d, "float"))),
+    "voice_separability": lambda s, d: separability(_rounded(pair_similarity(voice_prints(s, d, "float")))),
     "assignment_errors": _errors,
     "threshold_sweep": lambda s, d: threshold_sweep(_frozen(s, d), STEPS),
     "centroid_mean": lambda s, d: vector_sums(voice_prints(s, d)).select("speaker_id", F.col("n"), F.round(F.get(unit(F.col("total")), F.lit(0)), 6).alias("first"), F.round(F.get(unit(F.col("total")), F.lit(63)), 6).alias("last")),
