@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, DONOR_US, GAP_S, LEAST_CHARS, LEAST_SPEECH_US, MOST_ERRORS, RECENT_US, SKIP_MOST_S, SKIP_STEP_S, Library, Live, MatchRules, Trigger, match_step, trigger_step
+from ..functions.steps import BACKOFF_MOST_S, BACKOFF_S, DONOR_US, GAP_S, LEAST_CHARS, LEAST_SPEECH_US, MOST_ERRORS, RECENT_US, SKIP_MOST_S, SKIP_STEP_S, Library, Live, MatchRules, Trigger, TurnLibrary, match_step, trigger_step
+from ..operators.ranks import ranked
 from ..operators.signal import SQL as SIGNAL_SQL
 from ..operators.signal import sessions
 from ..operators.vectors import STEPS, assignment_errors
@@ -40,23 +41,22 @@ def match_online(utterances: DataFrame, key: str = "stream") -> DataFrame:
 def threshold_simulation(prints: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, profiles, splits, merges): prints of all speakers by turns through the learning match, once per threshold.
 
-    The prints are sorted once; the thresholds' libraries stand side by side, as what they learn parts them. The order is
-    total, so one task walks the prints, and holds what the libraries keep.
+    The order is total, so one task walks the prints of a threshold, and holds what its library keeps; thresholds run side
+    by side. Turns come from ranges: no task orders a speaker.
     """
-    turn = F.row_number().over(Window.partitionBy("speaker_id").orderBy("id"))
-    mixed = prints.withColumn("turn", turn).select(F.lit(0).alias("all"), "turn", "speaker_id", "id", "centroid").repartition("all").sortWithinPartitions("all", "turn", "speaker_id")
-    rules = [MatchRules(threshold=float(t)) for t in thresholds]
+    steps = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    mixed = ranked(prints.select("speaker_id", "id", "centroid"), "speaker_id", ["id"], "turn").select(steps.alias("threshold"), "speaker_id", "turn", "centroid")
+    dealt = mixed.repartition(8 * len(thresholds), "threshold").sortWithinPartitions("threshold", "turn", "speaker_id")
 
     def fold(batches):
-        libs = [Library() for _ in rules]
+        now, library = None, None
         for rows in batches:
-            found = [[match_step(lib, v, False, 0.0, rules=r)[0] for lib, r in zip(libs, rules)] for v in rows["centroid"]]
-            yield pd.DataFrame({"person": rows["speaker_id"], "profiles": found})
+            for threshold, part in rows.groupby("threshold"):
+                if threshold != now:
+                    now, library = threshold, TurnLibrary(MatchRules(threshold=threshold))
+                yield pd.DataFrame({"threshold": threshold, "person": part["speaker_id"], "profile": library.take(part["centroid"].tolist())}).drop_duplicates()
 
-    told_apart = mixed.mapInPandas(fold, "person long, profiles array<long>")
-    steps = F.array(*[F.lit(float(t)) for t in thresholds])
-    pairs = told_apart.select("person", F.explode(F.arrays_zip(steps.alias("threshold"), F.col("profiles").alias("profile"))).alias("x"))
-    return assignment_errors(pairs.select("x.threshold", "person", "x.profile"), ["threshold"])
+    return assignment_errors(dealt.mapInPandas(fold, "threshold double, person long, profile long"), ["threshold"])
 
 
 def attribute(utterances: DataFrame, merges: DataFrame | None = None) -> DataFrame:
@@ -155,7 +155,7 @@ def _events(spark, d):
 
 QUERIES = {
     "voice_match_online": _online,
-    "threshold_simulation": lambda s, d: threshold_simulation(voice_prints(s, d), STEPS),
+    "threshold_simulation": lambda s, d: threshold_simulation(voice_prints(s, d, "float"), STEPS),
     "attribution": _attributed,
     "segment_events": _events,
     "hint_trigger": _triggers,
