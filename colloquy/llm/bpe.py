@@ -43,18 +43,24 @@ def character_tables() -> tuple[dict[str, str], dict[int, str]]:
     The library, ``regex`` and Python each follow a Unicode version of their own, so the library is asked about every
     code point. Where it is not installed, the other two's tables serve.
     """
-    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     try:
         from tokenizers import Regex, normalizers, pre_tokenizers
     except ImportError:
         return {kind: rf"\p{{{kind}}}" for kind in "LN"}, {}
-    whole, classes = "".join(chars), {}
+    # Block by block: asked for all code points at once, the library takes hundreds of MB of the driver.
+    blocks = [[chr(c) for c in range(k, k + 4096) if not 0xD800 <= c < 0xE000] for k in range(0, 0x110000, 4096)]
+    blocks, classes = [b for b in blocks if b], {}
     for kind in "LN":
-        runs = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(whole)
-        classes[kind] = "".join(f"{regex.escape(run[0])}-{regex.escape(run[-1])}" for run, _ in runs)
+        split, runs = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True), []
+        for block in blocks:
+            for run, _ in split.pre_tokenize_str("".join(block)):
+                if runs and ord(run[0]) == ord(runs[-1][1]) + 1:
+                    runs[-1][1] = run[-1]
+                else:
+                    runs.append([run[0], run[-1]])
+        classes[kind] = "".join(f"{regex.escape(first)}-{regex.escape(last)}" for first, last in runs)
     low, differ = normalizers.Lowercase(), {}
-    for k in range(0, len(chars), 4096):
-        block = chars[k : k + 4096]
+    for block in blocks:
         if low.normalize_str("".join(block)) != "".join(block).replace("Σ", "σ").lower():
             differ |= {ord(c): x for c in block if (x := low.normalize_str(c)) != c.replace("Σ", "σ").lower()}
     return classes, differ

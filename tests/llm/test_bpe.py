@@ -60,3 +60,12 @@ def test_own_names_and_whole_decodings(spark, rows):
     assert got.columns == [*df.columns, "n_tokens_", "ids_", "decoded_"]
     again = bpe.bpe_decode(got, bpe.default_vocabulary(), ids="ids_", to="again").collect()
     assert len(again) == len(rows) and all((r.N_tokens, r.ids, r.decoded) == (7, "mine", "k") and r.again == r.decoded_ and r.n_tokens_ == len(r.ids_) // 4 for r in again)
+
+
+def test_character_tables_stay_small():
+    """The pipeline's driver: asked block by block, the library takes little beside Python's own objects."""
+    import subprocess
+    import sys
+
+    code = "import resource; from colloquy.llm import bpe; peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; was = peak(); bpe.character_tables(); print((peak() - was) // 1024)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(__import__("pathlib").Path(bpe.__file__).parents[2])).stdout) < 160
