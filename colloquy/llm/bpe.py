@@ -17,6 +17,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -27,7 +28,7 @@ from .common import documents, free_names
 
 LONG_WORD = 96
 #: Words whose encoding a Python worker remembers in each of two generations.
-REMEMBERED = 60_000
+REMEMBERED = 90_000
 _NEVER = 1 << 60
 #: Characters with Unicode's White_Space property (fixed values).
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -105,8 +106,8 @@ class WordBpe:
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + self.mark] for s in symbols]
         #: Encodings met lately and before that; pieces in use move back to the young ones.
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.aged: dict[str, tuple[bytes, str]] = {}
+        self.young: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
 
     def word(self, word: str) -> list[int]:
         raw = word.encode()
@@ -149,7 +150,7 @@ class WordBpe:
                     heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+    def _chunk(self, chunk: str) -> bytes:
         """A chunk between white space that is not in the young memory."""
         found = self.aged.get(chunk)
         if found is None:
@@ -160,20 +161,19 @@ class WordBpe:
                 return self._remember(chunk, self.word(chunk))
             else:
                 pieces = self.pattern.findall(chunk)
-            pairs = [self.young.get(p) or self.aged.get(p) or self._remember(p, self.word(p)) for p in pieces]
-            return b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
+            return b"".join([self.young.get(p) or self.aged.get(p) or self._remember(p, self.word(p)) for p in pieces])
         return self._keep(chunk, found)
 
-    def _remember(self, piece: str, ids: list[int]) -> tuple[bytes, str]:
-        return self._keep(piece, (pack(ids), self.decode(ids)))
+    def _remember(self, piece: str, ids: list[int]) -> bytes:
+        return self._keep(piece, pack(ids))
 
-    def _keep(self, piece: str, found: tuple[bytes, str]) -> tuple[bytes, str]:
+    def _keep(self, piece: str, found: bytes) -> bytes:
         if len(self.young) >= REMEMBERED:
             self.aged, self.young = self.young, {}
         self.young[piece] = found
         return found
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         text = unicodedata.normalize("NFC", text)
         if self.lowered and not text.isascii() and self.lowered.search(text):
             text = text.translate(self.lower)
@@ -190,8 +190,9 @@ class WordBpe:
         else:
             found = []
             for part in self.split_special.split(text):
-                found += [(pack([self.special[part]]), part)] if part in self.special else self._plain(part)
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
+                found += [pack([self.special[part]])] if part in self.special else self._plain(part)
+        ids = b"".join(found)
+        return ids, self.decode(np.frombuffer(ids, "<u4").tolist())
 
     def decode(self, ids) -> str:
         """Tokens of the ids, special ones included, separated by spaces: the vocabulary names no other decoder."""
@@ -219,8 +220,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", keep: list[st
 
     Null and empty texts have no ids and decode to the empty string. Texts are never cut. Row by row: no shuffle, repeated
     rows are coded alike, an empty table gives an empty one. Where the caller has a column of one of those three names,
-    the new one has an underscore after it. ``decoded`` is put together from the decodings of a text's pieces, which are
-    remembered with their ids: what ``bpe_decode`` makes of all ids at once.
+    the new one has an underscore after it. ``decoded`` is what ``bpe_decode`` makes of the ids.
     """
     keep = df.columns if keep is None else keep
     inner, out = [f"_k{i}" for i in range(len(keep))], ("n_tokens long", "ids binary", "decoded string")
